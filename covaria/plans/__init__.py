@@ -6,7 +6,7 @@ import importlib
 
 from covaria.plans import registry
 
-MODULES = ("dynamics",)
+MODULES = ("dynamics", "cohorts", "statistics")
 
 
 def _load() -> None:
