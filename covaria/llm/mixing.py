@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from covaria.llm.common import WORD, broadcast_if_small, materialize
 
 #: Bins of the ranking variable; only the bin in which a source's quota ends is ranked row by row.
 BINS = 4096
+#: White space before a word.
+SPACES = r"[\x20\x09-\x0D]*"
 
 
-def sizes(docs: DataFrame, source: str = "source", seed: int = 42) -> DataFrame:
+def sizes(docs: DataFrame, source: str = "source", seed: int = 42, *more: Column) -> DataFrame:
     """doc_id, source, size in words (null text: 0), and `u`, a uniform number in (0, 1) drawn from id, text and seed."""
     digest = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))))
     drawn = F.conv(F.substring(digest, 1, 12), 16, 10).cast("double")
@@ -21,6 +23,7 @@ def sizes(docs: DataFrame, source: str = "source", seed: int = 42) -> DataFrame:
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         ((drawn + 0.5) / F.lit(float(1 << 48))).alias("u"),
         digest.alias("digest"),
+        *more,
     )
 
 
@@ -49,6 +52,45 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), shar
     return levels.select("source", "source_size", F.least("cap", F.coalesce(F.col("w") * level, F.col("cap"))).alias("target"))
 
 
+def _plan(sized: DataFrame, weights: tuple[float, ...], share: float, most: float) -> tuple[DataFrame, DataFrame]:
+    """By source: what it has to give (size, target, whole copies, quota and rate of the rest), and the bin in which its quota ends."""
+    goal = targets(sized, weights, share, most)
+    means = sized.groupBy("source").agg((F.sum("size") / F.count("*")).alias("mean"))
+    goal = materialize(
+        goal.join(means.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
+        .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+        .withColumn("quota", F.round(F.col("target")).cast("long") - F.col("whole") * F.col("source_size"))
+        .withColumn("rate", F.when(F.col("source_size") > 0, F.col("quota") / F.col("source_size")).otherwise(0.0))
+        .select(F.col("source").alias("_s"), "source_size", "target", "mean", "whole", "quota", "rate"),
+        "targets",
+    )
+    bins = _ranked(sized, goal).where("_rank IS NOT NULL").groupBy("_s", "_bin").agg(F.sum("_size").alias("bin_size"), F.first("quota").alias("q"))
+    before = F.coalesce(F.sum("bin_size").over(Window.partitionBy("_s").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = bins.withColumn("before", before).where((F.col("before") < F.col("q")) & (F.col("before") + F.col("bin_size") >= F.col("q")))
+    return goal, materialize(last.select(F.col("_s").alias("_t"), F.col("_bin").alias("last_bin"), "before"), "quota-bins")
+
+
+def _ranked(sized: DataFrame, goal: DataFrame) -> DataFrame:
+    """Add the source's goal, the ranking variable (random odds by inclusion odds) and its bin."""
+    tilt = 2 * F.col("size") / (F.col("size") + F.col("mean"))
+    inclusion = F.col("rate") / F.greatest(1 - F.col("rate"), F.lit(1e-12)) * tilt
+    joined = sized.join(broadcast_if_small(goal), F.col("source").eqNullSafe(F.col("_s")), "left")
+    rank = F.when((F.col("size") > 0) & (F.col("rate") > 0), F.col("u") / (1 - F.col("u")) / inclusion)
+    return joined.withColumn("_rank", rank).withColumn("_bin", F.floor(F.col("_rank") / (1 + F.col("_rank")) * BINS).cast("int")).withColumnRenamed("size", "_size")
+
+
+def _place(sized: DataFrame, goal: DataFrame, last: DataFrame) -> DataFrame:
+    """Add `_part`, the words taken of each row beside its whole copies."""
+    placed = _ranked(sized, goal).join(broadcast_if_small(last), F.col("source").eqNullSafe(F.col("_t")), "left")
+    whole_in = F.coalesce(F.col("_bin") < F.col("last_bin"), F.lit(False))
+    edge = F.coalesce(F.col("_bin") == F.col("last_bin"), F.lit(False))
+    away = placed.where(~edge).withColumn("_part", F.when(whole_in, F.col("_size")).otherwise(F.lit(0)))
+    # only rows of the bin in which the quota ends are ranked one by one: a BINS-th of a source
+    filled = F.coalesce(F.sum("_size").over(Window.partitionBy("source").orderBy("_rank", "doc_id", "digest").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    close = placed.where(edge).withColumn("_part", F.greatest(F.lit(0), F.least("_size", F.col("quota") - F.col("before") - filled)))
+    return away.unionByName(close)
+
+
 def mix(
     docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, source: str = "source", seed: int = 42
 ) -> DataFrame:
@@ -65,41 +107,33 @@ def mix(
     An empty table gives no rows. Other columns of docs aren't read.
     """
     sized = materialize(sizes(docs, source, seed), "sizes")
-    goal = targets(sized, weights, share, most)
-    means = sized.groupBy("source").agg((F.sum("size") / F.count("*")).alias("mean"))
-    goal = materialize(
-        goal.join(means.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
-        .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-        .withColumn("quota", F.round(F.col("target")).cast("long") - F.col("whole") * F.col("source_size"))
-        .withColumn("rate", F.when(F.col("source_size") > 0, F.col("quota") / F.col("source_size")).otherwise(0.0))
-        .select(F.col("source").alias("_s"), "source_size", "target", "mean", "whole", "quota", "rate"),
-        "targets",
-    )
-    tilt = 2 * F.col("size") / (F.col("size") + F.col("mean"))
-    inclusion = F.col("rate") / F.greatest(1 - F.col("rate"), F.lit(1e-12)) * tilt
-    joined = sized.join(broadcast_if_small(goal), F.col("source").eqNullSafe(F.col("_s")), "left")
-    rank = F.when((F.col("size") > 0) & (F.col("rate") > 0), F.col("u") / (1 - F.col("u")) / inclusion)
-    ranked = joined.withColumn("rank", rank).withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * BINS).cast("int"))
-
-    bins = ranked.where("rank IS NOT NULL").groupBy("source", "bin").agg(F.sum("size").alias("bin_size"), F.first("quota").alias("q"))
-    before = F.coalesce(F.sum("bin_size").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = materialize(
-        bins.withColumn("before", before)
-        .where((F.col("before") < F.col("q")) & (F.col("before") + F.col("bin_size") >= F.col("q")))
-        .select(F.col("source").alias("_t"), F.col("bin").alias("last_bin"), "before"),
-        "quota-bins",
-    )
-    placed = ranked.join(broadcast_if_small(last), F.col("source").eqNullSafe(F.col("_t")), "left")
-    whole_in = F.col("rank").isNotNull() & (F.col("bin") < F.col("last_bin"))
-    edge = F.col("rank").isNotNull() & (F.col("bin") == F.col("last_bin"))
-    out = "doc_id", "source", "size", "source_size", "target", "whole"
-    away = placed.where(~F.coalesce(edge, F.lit(False))).select(*out, F.when(F.coalesce(whole_in, F.lit(False)), F.col("size")).otherwise(F.lit(0)).alias("part"))
-    filled = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("rank", "doc_id", "digest").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    close = placed.where(edge).withColumn("room", F.col("quota") - F.col("before") - filled)
-    close = close.select(*out, F.greatest(F.lit(0), F.least("size", "room")).alias("part"))
-    both = away.unionByName(close)
-    taken = F.col("whole") * F.col("size") + F.col("part")
-    return both.select(
-        "doc_id", "source", "size", "source_size", "target",
-        F.when(F.col("size") > 0, taken / F.col("size")).otherwise(0.0).alias("copies"), taken.cast("long").alias("taken"),
+    placed = _place(sized, *_plan(sized, weights, share, most))
+    taken = F.col("whole") * F.col("_size") + F.col("_part")
+    return placed.select(
+        "doc_id", "source", F.col("_size").alias("size"), "source_size", "target",
+        F.when(F.col("_size") > 0, taken / F.col("_size")).otherwise(0.0).alias("copies"), taken.cast("long").alias("taken"),
     )
+
+
+def apply(
+    docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, source: str = "source", seed: int = 42
+) -> DataFrame:
+    """The mix itself, in the columns of docs: each document as many times as mix() takes it.
+
+    Of a document taken in part the first words stay, with the white space before each, and n_chars follows. Documents
+    without words aren't in the mix. Columns that docs has beyond the known ones are carried along.
+    """
+    sized = materialize(sizes(docs, source, seed), "sizes")
+    names = {c: f"d{i}" for i, c in enumerate(docs.columns)}
+    carried = F.struct(*[F.col(c).alias(n) for c, n in names.items()]).alias("_row")
+    placed = _place(sizes(docs, source, seed, carried), *_plan(sized, weights, share, most))
+    takes = F.array_repeat(F.col("_size"), F.col("whole").cast("int"))
+    takes = F.when(F.col("_part") > 0, F.concat(takes, F.array(F.col("_part").cast("long")))).otherwise(takes)
+    each = placed.select("_row", "_size", F.explode(takes).alias("_take"))
+    text = F.col(f"_row.{names['text']}")
+    begun = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(SPACES + WORD), F.lit(0)), 1, F.col("_take").cast("int")), "")
+    cut = F.col("_take") < F.col("_size")
+    changed = {"text": F.when(cut, begun).otherwise(text)}
+    if "n_chars" in names:
+        changed["n_chars"] = F.when(cut, F.char_length(begun)).otherwise(F.col(f"_row.{names['n_chars']}")).cast(docs.schema["n_chars"].dataType)
+    return each.select(*[changed.get(c, F.col(f"_row.{n}")).alias(c) for c, n in names.items()])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covaria.llm import chat, extract, fingerprint, language, mixing, quality, secrets, simhash
+from covaria.llm import chat, extract, fingerprint, language, lm, mixing, pieces, quality, secrets, simhash
 from covaria.llm.common import held_out, materialize, read
 
 
@@ -34,6 +34,14 @@ def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(read(spark, sf_dir, "pages"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.summary(read(spark, sf_dir, "documents"))
+
+
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     ratios = quality.train(docs, labels.where("quality = 1"))
@@ -42,7 +50,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = f"{chat.END}{chat.BEGIN[:0]}{chat.ROLE} ok {chat.BODY}"
+    said = f"{chat.END}{chat.ROLE} ok {chat.BODY}"
     given = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     formatted = materialize(chat.windows(given.unionByName(extra)), "windows")
@@ -53,8 +61,14 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edits(read(spark, sf_dir, "documents"))
 
 
+QUERIES = (
+    op1_mix_sources, op2_language_id, op3_secret_scan, op4_simhash_dedup, op5_html_extract, op6_sentencepiece, op7_lm_score, op8_quality_rules, op9_chat_format,
+    op10_fingerprints,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_language_id, op3_secret_scan, op4_simhash_dedup, op5_html_extract, op8_quality_rules, op9_chat_format, op10_fingerprints)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
