@@ -42,9 +42,11 @@ def cross_product(rows: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
+        types: list[pa.DataType] = []
         for b in batches:
             if not b.num_rows:
                 continue
+            types = [b.schema.field(k).type for k in keys]
             left, right = _block(b, x), _block(b, y)
             groups: dict[tuple, list[int]] = {}
             for at, key in enumerate(zip(*(b.column(k).to_pylist() for k in keys), strict=True)) if keys else [(None, ())]:
@@ -53,7 +55,7 @@ def cross_product(rows: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
                 part = left[at].T @ right[at] if keys else left.T @ right
                 sums[key] = sums[key] + part if key in sums else part
         for key, total in sums.items():
-            columns = [pa.array([k] * len(total)) for k in key] + [pa.array(np.arange(len(total), dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64()))]
+            columns = [pa.array([k] * len(total), t) for k, t in zip(key, types, strict=True)] + [pa.array(np.arange(len(total), dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     full = rows.select(*columns).where(F.col(x).isNotNull() & F.col(y).isNotNull())

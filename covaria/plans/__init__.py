@@ -6,7 +6,7 @@ import importlib
 
 from covaria.plans import registry
 
-MODULES = ("dynamics", "cohorts", "statistics")
+MODULES = ("dynamics", "cohorts", "statistics", "modelling")
 
 
 def _load() -> None:
