@@ -88,3 +88,14 @@ def times(x: Column, matrix: list[list[float]]) -> Column:
 def retention(w: Column, basis: list[list[float]]) -> Column:
     """Share of a vector's energy inside the span of orthonormal columns: |V'w|^2 / |w|^2, 0 for a zero vector."""
     return F.when(squares(w) > 0, squares(times(w, basis)) / squares(w)).otherwise(0.0)
+
+
+def matrix_from_edges(z: Column, n: int, diagonal: float = 1.0 + 1e-4) -> Column:
+    """Row-major matrix of Fisher-z edges: tanh of each, with a diagonal a little above 1."""
+    return full_matrix(F.transform(z, F.tanh), n, diagonal)
+
+
+def coupled(w: Column, basis: list[list[float]]) -> Column:
+    """The part of a vector inside the span of orthonormal columns (n x k); the rest is its difference to the vector."""
+    transposed = [list(c) for c in zip(*basis, strict=True)]
+    return times(times(w, basis), transposed)

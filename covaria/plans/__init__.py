@@ -6,7 +6,7 @@ import importlib
 
 from covaria.plans import registry
 
-MODULES = ("dynamics", "cohorts", "statistics", "modelling")
+MODULES = ("dynamics", "cohorts", "statistics", "modelling", "suites")
 
 
 def _load() -> None:

@@ -267,3 +267,26 @@ def test_streams(spark, sf_dir, tmp_path):
     q.stop()
     want = dynamics.transitions(source, "user_id", ["ts", "event_id"], "event_type").agg(F.sum("n")).first()[0]
     assert spark.table("moved").agg(F.sum("n")).first()[0] == want
+
+
+def test_prepare(spark, sf_dir):
+    from covaria.operators import preprocess
+    from covaria.plans import suites
+
+    done = suites.cohorts(spark, sf_dir)
+    assert done.removed > 0 and preprocess.verify(done.rows).first()["passed"] and preprocess.verify(done.rows.union(done.rows)).first()["n_repeated"] == done.rows.count()
+    train = done.rows.where("dataset = 'ds1' AND split = 'train'").select(F.posexplode("y").alias("j", "v")).groupBy("j").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
+    assert all(abs(r["m"]) < 1e-9 and abs(r["s"] - 1) < 1e-9 for r in train.collect())
+
+
+def test_atlas(spark):
+    from covaria.operators import atlas
+
+    v = table(spark, [(1, 1, 2.0), (1, 2, 4.0), (1, 3, float("nan")), (2, 1, None)], "s long, voxel long, v double")
+    w = table(spark, [(1, 0, 1.0), (2, 0, 3.0), (3, 0, 5.0), (2, 1, 0.05), (1, 2, 0.0)], "voxel long, region long, w double")
+    assert [tuple(r) for r in atlas.region_means(v, w, "s", threshold=0.1).collect()] == [(1, 0, 3.5)]
+    rng = np.random.default_rng(0)
+    maps, x = rng.standard_normal((30, 3)), rng.standard_normal(30)
+    got = table(spark, [(x.tolist(),)], "x array<double>").select(atlas.loadings(F.col("x"), atlas.projector(maps))).first()[0]
+    m = maps - maps.mean(axis=0)
+    assert np.allclose(got, np.linalg.lstsq(m / np.linalg.norm(m, axis=0), x - x.mean(), rcond=None)[0])
