@@ -103,9 +103,12 @@ def report(scanned: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[secret]", **options) -> DataFrame:
     """Documents with live-looking secrets replaced by `mark`; widely copied examples stay. n_chars follows the text.
 
-    Overlapping spans of several kinds are replaced as one. All rows and columns stay; a null text stays null.
+    Overlapping spans of several kinds are replaced as one. All rows and columns stay; a null text stays null. Only
+    documents that match some pattern are shuffled to meet their spans; all others pass by.
     """
-    found = scan(docs, **options).where(F.size("live") > 0).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "live").dropDuplicates(["_id", "_key"])
+    matches = F.coalesce(F.greatest(*[F.col("text").rlike(p) for p in (*BASE.values(), *ADDED.values())]), F.lit(False))
+    rest, docs, every = docs.where(~matches), docs.where(matches), docs
+    found = scan(every, **options).where(F.size("live") > 0).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "live").dropDuplicates(["_id", "_key"])
     ordered = F.array_sort(F.transform("live", lambda s: F.struct(s["start"].alias("a"), s["end"].alias("b"))))
     kind = "array<struct<a:int,b:int>>"
     merged = F.aggregate(
@@ -121,4 +124,4 @@ def redact(docs: DataFrame, mark: str = "[secret]", **options) -> DataFrame:
     pieces = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda s: F.substring(F.col("text"), s["a"] + 1, s["b"] - s["a"]))
     text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(pieces, mark))
     changed = {"text": text} | ({"n_chars": F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(F.char_length(text)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return joined.select(*[changed.get(c, docs[c]).alias(c) for c in docs.columns])
+    return joined.select(*[changed.get(c, docs[c]).alias(c) for c in docs.columns]).unionByName(rest)

@@ -402,3 +402,17 @@ def test_queries_have_the_columns(spark, sf_dir):
         table = {"op5": "pages", "op9": "conversations"}.get(name.split("_")[0], "documents")
         n = spark.read.parquet(f"{sf_dir}/{table}.parquet")
         assert df.count() == (n.select("conv_id").distinct().count() + 1 if table == "conversations" else n.count())
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_against_sql(spark, sf_dir, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
+    got, want = queries.queries()[name](spark, sf_dir), con.sql(queries.oracle_sql()[name])
+    names = sorted(got.columns)
+    assert names == sorted(want.columns)
+    plain = lambda rows, columns: sorted((tuple(round(r[columns.index(c)], 6) if isinstance(r[columns.index(c)], float) else r[columns.index(c)] for c in names) for r in rows), key=repr)
+    assert plain(got.collect(), got.columns) == plain(want.fetchall(), want.columns)
