@@ -11,16 +11,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covaria.llm.common import broadcast_if_small, hash_words, materialize, mix64, slices, split_words, starts_of
+from covaria.llm.common import SLICE_BYTES, broadcast_if_small, hash_words, materialize, mix64, slices, split_words, starts_of
 
 SAMPLES = 128
 #: Samples drawn at once, which bounds the table of draws for a slice's terms.
 AT_ONCE = 16
+#: Ranges of doc_id into which documents are dealt, at most; their heads come back to the driver as numbers.
+MOST_RANGES = 20_000
 U64 = np.uint64
 
 
-def _uniform(key: np.ndarray, salt: int) -> np.ndarray:
-    return ((mix64(key ^ U64((salt * 0x9E3779B97F4A7C15) & (2**64 - 1))) >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
+def _uniforms(key: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two uniform numbers in (0, 1) of 32 bits from each key."""
+    h = mix64(key ^ U64((salt * 0x9E3779B97F4A7C15) & (2**64 - 1)))
+    return ((h >> U64(32)).astype(np.float64) + 0.5) * 2.0**-32, ((h & U64(0xFFFFFFFF)).astype(np.float64) + 0.5) * 2.0**-32
 
 
 def signatures(texts: pa.Array, samples: int = SAMPLES) -> np.ndarray:
@@ -51,9 +55,10 @@ def signatures(texts: pa.Array, samples: int = SAMPLES) -> np.ndarray:
         drawn = np.empty((len(kinds), AT_ONCE), dtype=np.uint64)
         for j in range(AT_ONCE):
             own = mix64(name + U64((k + j + 1) * 0xD1342543DE82EF95 & (2**64 - 1)))
-            r = -np.log(_uniform(own, 1) * _uniform(own, 2))
-            c = -np.log(_uniform(own, 3) * _uniform(own, 4))
-            b = _uniform(own, 5)
+            u1, u2 = _uniforms(own, 1)
+            u3, u4 = _uniforms(own, 2)
+            r, c = -np.log(u1 * u2), -np.log(u3 * u4)
+            b, _ = _uniforms(own, 3)
             t = np.floor(log_w / r + b)
             a = (np.log(c) - r * (t - b) - r).astype(np.float32)
             # floats ordered as integers, then 32 bits that name (term, t)
@@ -87,15 +92,17 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     return docs.select(*keep).mapInArrow(run, schema)
 
 
-def with_next(docs: DataFrame, rows_per_range: int = 4000) -> DataFrame:
+def with_next(docs: DataFrame, rows_per_range: int = 500, ranges_per_task: int = 4) -> DataFrame:
     """Deal documents out by ranges of descending doc_id, so that a task sees each document beside its next one.
 
     The first document of each range is sent to the range before it as well (guest = 1), and the first of all to the
-    last. Cut points are quantiles of doc_id, one for about `rows_per_range` rows; texts are shuffled once. Rows of one
+    last. Cut points are quantiles of doc_id, one for about `rows_per_range` rows and MOST_RANGES at most (a range is
+    sorted and read as a stream, so it may be long); `ranges_per_task` of them share a task, which evens tasks out.
+    Texts are shuffled once. Rows of one
     doc_id follow each other by text; null ids come last. Columns: range, guest, doc_id, text.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    n = max(1, round(ids.count() / rows_per_range))
+    n = min(MOST_RANGES, max(1, round(ids.count() / rows_per_range)))
     cuts = sorted({int(c) for c in (ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n)) if n > 1 else [])}, reverse=True)
     sent = docs.sparkSession.sparkContext.broadcast(np.array([-c for c in cuts], dtype=np.int64))
 
@@ -114,7 +121,7 @@ def with_next(docs: DataFrame, rows_per_range: int = 4000) -> DataFrame:
     before = docs.sparkSession.createDataFrame([(a, order[i - 1]) for i, a in enumerate(order)], "range int, to int")
     guests = heads.join(F.broadcast(before), "range").select(F.col("to").alias("range"), F.lit(1).alias("guest"), "h.doc_id", "h.text")
     both = ranged.select("range", F.lit(0).alias("guest"), "doc_id", "text").unionByName(guests)
-    return both.repartition(max(1, len(order)), "range").sortWithinPartitions("range", "guest", F.desc_nulls_last("doc_id"), "text")
+    return both.repartition(max(1, len(order) // ranges_per_task), "range").sortWithinPartitions("range", "guest", F.desc_nulls_last("doc_id"), "text")
 
 
 def edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -128,7 +135,7 @@ def edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row, whose next one isn't seen yet
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE_BYTES // 2):
             if held is not None:
                 part = pa.Table.from_batches([held, part]).combine_chunks().to_batches()[0]
             held = part.slice(part.num_rows - 1)
@@ -136,8 +143,9 @@ def edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
                 continue
             texts = part.column("text").to_pylist()
             edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, texts[1:], strict=False)]
-            own = signatures(part.column("text"), samples)
-            changed = signatures(pa.array(edited, pa.large_string()), samples)
+            # both at once: most words of the edited texts are in the texts too, and are drawn once
+            both = signatures(pa.array(texts + edited, pa.large_string()), samples)
+            own, changed = both[: len(texts)], both[len(texts) :]
             real = np.flatnonzero(part.column("guest").to_numpy()[:-1] == 0)
             n_chars = pc.utf8_length(part.column("text")).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([
