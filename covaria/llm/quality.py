@@ -17,6 +17,8 @@ WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 #: Bins of the score from which the threshold is chosen, over [-SPAN, SPAN] nats a gram.
 BINS, SPAN = 4000, 4.0
+#: Trusted documents from which the target is learnt, at most (about).
+TRUSTED = 50_000
 
 
 def _grams(words: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -32,13 +34,23 @@ def _grams(words: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(((mix64(h) % np.uint64(BUCKETS)), pair % np.uint64(BUCKETS))).astype(np.int64), np.concatenate((text, text[1:][same]))
 
 
-def train(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
-    """Log ratio by bucket of the trusted target's multinomial to the raw corpus's; all rows are counted.
+def trusted_ids(labels: DataFrame, good: str = "quality = 1", most: int = TRUSTED) -> np.ndarray:
+    """Sorted ids of documents labelled good: all of them, or where they are more than `most` about that many, chosen by hash."""
+    ids = labels.where(good).where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    share = most / max(1, ids.count())
+    if share < 1:
+        ids = ids.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return np.sort(ids.toArrow().column("doc_id").to_numpy())
 
-    docs: doc_id and text, the raw corpus; trusted: doc_ids of the target, distinct here. Counts have one row per
-    bucket at most, which bounds what comes back.
+
+def train(docs: DataFrame, trusted: np.ndarray) -> np.ndarray:
+    """Log ratio by bucket of the trusted target's multinomial to the raw corpus's.
+
+    docs: doc_id and text, the raw corpus, of which all rows are counted; trusted: sorted ids of the target, of bounded
+    number, so that they are broadcast and no text is shuffled. Counts have one row per bucket at most, which bounds what
+    comes back.
     """
-    marked = docs.join(trusted.select("doc_id").distinct().withColumn("_t", F.lit(True)), "doc_id", "left").select("text", F.coalesce("_t", F.lit(False)).alias("t"))
+    known = docs.sparkSession.sparkContext.broadcast(trusted)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, BUCKETS), dtype=np.int64)
@@ -47,12 +59,13 @@ def train(docs: DataFrame, trusted: DataFrame) -> np.ndarray:
             if not len(words):
                 continue
             bucket, text = _grams(words, counts)
-            mine = part.column("t").to_numpy(zero_copy_only=False)[text]
+            mine = np.isin(pc.fill_null(part.column("doc_id"), -(2**63)).to_numpy(), known.value)[text]
             total[0] += np.bincount(bucket, minlength=BUCKETS)
             total[1] += np.bincount(bucket[mine], minlength=BUCKETS)
         at = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[0, at]), pa.array(total[1, at])], names=["bucket", "raw", "target"])
 
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = marked.mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
     n = np.zeros((2, BUCKETS))
     for r in rows:

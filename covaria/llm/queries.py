@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from covaria.llm import chat, extract, fingerprint, language, lm, mixing, pieces, quality, secrets, simhash
 from covaria.llm.common import held_out, materialize, read
+from covaria.llm.oracles import oracle_sql  # noqa: F401  the entry reads both from here
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +45,7 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    ratios = quality.train(docs, labels.where("quality = 1"))
+    ratios = quality.train(docs, quality.trusted_ids(labels))
     measured = materialize(quality.measure(docs, ratios), "measured")
     return quality.judge(measured, quality.threshold(measured, labels))
 
@@ -69,7 +70,3 @@ QUERIES = (
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
