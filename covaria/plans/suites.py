@@ -44,10 +44,10 @@ def voxels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return v, w
 
 
-@query(f"WITH {VOXELS} SELECT subject, region::BIGINT AS region, round(sum(w * v) / sum(w), 6) + 0.0 AS v FROM v JOIN w USING (voxel) WHERE w > 0.95 GROUP BY ALL")
+@query(f"WITH {VOXELS} SELECT subject, region::BIGINT AS region, round(sum(w * v) / sum(w), 6) + 0.0 AS v FROM v JOIN w USING (voxel) WHERE w > 0.91 GROUP BY ALL")
 def roi_weighted_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, w = voxels(spark, sf_dir)
-    return rounded(atlas.region_means(v, w, "subject", threshold=0.95))
+    return rounded(atlas.region_means(v, w, "subject", threshold=0.91))
 
 
 @query(f"WITH {VOXELS}, g AS (SELECT voxel, avg(v) AS v FROM v GROUP BY voxel) SELECT region::BIGINT AS region, round(sum(w * v) / sum(w), 6) + 0.0 AS v FROM g JOIN w USING (voxel) WHERE w > 0.9 GROUP BY ALL")
