@@ -10,11 +10,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covaria.operators import geometry, models, moments
-from covaria.operators.splits import draw, multiplicities
+from covaria.operators.splits import multiplicities, ranked
 
 
 def p_value(null: Column, observed: float, corrected: bool = True) -> Column:
@@ -78,13 +78,13 @@ def mantel_null(spark: SparkSession, a: np.ndarray, b: np.ndarray, replicates: i
 def broken_pairs(rows: DataFrame, key: str, x: str, y: str, replicates: int, seed: int = 42, stratum: str | None = None) -> DataFrame:
     """(rep, x, y): for each replicate, x blocks dealt anew among rows (of a stratum), y blocks left in place.
 
-    Two orders are joined by rank within (replicate, stratum), so each replicate is a partition key of its own.
+    Two orders are joined by rank within (replicate, stratum); ranks are taken in hash buckets.
     """
     part = [stratum] if stratum else []
     reps = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")
     hash_of = lambda s: F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{s}|"), F.col("rep").cast("string")))
-    numbered = lambda c, s: rows.select(key, *part, c, reps).withColumn("_n", F.row_number().over(Window.partitionBy("rep", *part).orderBy(hash_of(s), key)))
-    return numbered(x, seed).drop(key).join(numbered(y, seed + 1).drop(key), ["rep", *part, "_n"]).drop("_n")
+    place = lambda c, s: ranked(rows.select(key, *part, c, reps), key, hash_of(s), "rep", *part).drop(key, "_size")
+    return place(x, seed).join(place(y, seed + 1), ["rep", *part, "_rank"]).drop("_rank")
 
 
 def by_replicate(sums: dict[tuple, moments.Stats], f: Callable[[moments.Stats], dict[str, float]]) -> list[dict[str, float]]:
@@ -131,6 +131,3 @@ def rank_test(train: moments.Stats, fitted: models.Fit, most: int) -> list[float
     scores = [0.0] + [models.r2(train, models.truncated(fitted.b, k)) for k in range(1, most + 1)]
     return np.diff(scores).tolist()
 
-
-def random_order(rows: DataFrame, key: str, seed: int) -> DataFrame:
-    return rows.withColumn("_h", draw(F.col(key), seed))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from covaria.operators.splits import running_before
+
 
 def summary(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     """min, max, mean and sd (ddof 0) without nulls and NaN; 0 where nothing is left."""
@@ -68,17 +70,17 @@ def effect_sizes(rows: DataFrame, value: str, case: str, *keys: str) -> DataFram
 def mid_ranks(rows: DataFrame, value: str, *keys: str, name: str = "rank") -> DataFrame:
     """Add average ranks from 1. Distinct values are counted before they are ordered, so ties cost one row."""
     counted = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counted.select(*keys, value, (before + (F.col("_n") + 1) / 2).alias(name))
+    placed = running_before(counted, keys, [value], "_n", "_before")
+    ranks = placed.select(*keys, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(name))
     return rows.join(ranks, [*keys, value])
 
 
 def auc(rows: DataFrame, score: str, case: str, *keys: str) -> DataFrame:
     """Area under the ROC curve by mid-ranks; null unless both classes occur."""
-    counted = rows.groupBy(*keys, score).agg(F.count_if(F.col(case) == 1).alias("_p"), F.count_if(F.col(case) == 0).alias("_q"))
-    below = F.coalesce(F.sum("_q").over(Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = counted.withColumn("_w", F.col("_p") * (below + F.col("_q") / 2))
-    return wins.groupBy(*keys).agg((F.sum("_w") / F.nullif(F.sum("_p") * F.sum("_q"), F.lit(0))).alias("auc"))
+    counted = rows.groupBy(*keys, score).agg(F.count_if(F.col(case) == 1).alias("_pos"), F.count_if(F.col(case) == 0).alias("_q"))
+    placed = running_before(counted, keys, [score], "_q", "_below")
+    wins = placed.withColumn("_w", F.col("_pos") * (F.col("_below") + F.col("_q") / 2))
+    return wins.groupBy(*keys).agg((F.sum("_w") / F.nullif(F.sum("_pos") * F.sum("_q"), F.lit(0))).alias("auc"))
 
 
 def correlation(rows: DataFrame, x: str, y: str, *keys: str) -> DataFrame:

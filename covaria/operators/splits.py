@@ -1,8 +1,9 @@
 """Deterministic splits, folds, samples and permutations.
 
 Rows are put in a random order by md5 of id and seed, so the same rows fall alike whatever the partitions and engine.
-Ranks within a stratum are windows over that stratum; `approximate` variants decide row by row from the hash alone and
-need no shuffle, at the price of sizes that are right on average only.
+Ranks within a stratum are taken in hash buckets, with the rows of earlier buckets added, so a stratum with most of the
+rows is many tasks. hash_split decides row by row from the hash alone and needs no shuffle, at the price of shares that
+are right on average only.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from covaria.sources.scratch import materialize
+
 
 def draw(key: Column, seed: int) -> Column:
     """32 hex digits from key and seed, by which rows are ordered."""
@@ -23,18 +26,34 @@ def uniform(key: Column, seed: int) -> Column:
     return F.conv(F.substring(draw(key, seed), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
+def ranked(rows: DataFrame, key: str, digest: Column, *strata: str, rank: str = "_rank", size: str = "_size") -> DataFrame:
+    """Add each row's rank from 1 in its stratum (of all rows, without strata) by digest and key, and the stratum's size.
+
+    digest: hex digits; the first three name a bucket, whose rows are ranked together.
+    """
+    cut = rows.withColumn("_h", digest).withColumn("_b", F.substring("_h", 1, 3))
+    counts = cut.groupBy(*strata, "_b").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*strata)
+    before = F.coalesce(F.sum("_c").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = counts.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(strata)], F.col("_b").alias("_kb"), before.alias("_before"), F.sum("_c").over(w).alias(size))
+    here = F.row_number().over(Window.partitionBy(*strata, "_b").orderBy("_h", key))
+    same = F.col("_b") == F.col("_kb")
+    for i, c in enumerate(strata):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    joined = cut.withColumn("_here", here).join(known, same)
+    return joined.withColumn(rank, F.col("_before") + F.col("_here")).drop("_h", "_b", "_kb", "_before", "_here", *[f"_k{i}" for i in range(len(strata))])
+
+
 def stratified_split(rows: DataFrame, key: str, stratum: str, train: float = 0.7, val: float = 0.15, seed: int = 42) -> DataFrame:
     """(key, split): of each stratum, round(n * test) rows become test, then val's share of the rest, and the others train."""
     test = 1 - train - val
     if test < -1e-9 or train < 0 or val < 0:
         raise ValueError("shares must be 0 or more and add up to 1 at most")
-    w = Window.partitionBy(stratum)
-    n = F.count("*").over(w)
-    rank = F.row_number().over(w.orderBy(draw(F.col(key), seed), key))
+    n, rank = F.col("_size"), F.col("_rank")
     n_test = F.round(n * test).cast("long")
     n_val = F.round((n - n_test) * (val / (train + val) if train + val else 0)).cast("long")
     split = F.when(rank <= n_test, "test").when(rank <= n_test + n_val, "val").otherwise("train")
-    return rows.select(key, split.alias("split"))
+    return ranked(rows, key, draw(F.col(key), seed), stratum).select(key, split.alias("split"))
 
 
 def hash_split(rows: DataFrame, key: str, train: float = 0.7, val: float = 0.15, seed: int = 42) -> DataFrame:
@@ -50,20 +69,9 @@ def split_proof(splits: DataFrame, key: str = "id") -> DataFrame:
 
 
 def folds(rows: DataFrame, key: str, k: int, seed: int = 42, stratum: str | None = None) -> DataFrame:
-    """(key, fold): ranks in hash order modulo k, within strata if given; fold sizes differ by one at most.
-
-    Without strata the order is over hash buckets: ranks within a bucket plus the rows before it, so that no one task
-    sorts all rows.
-    """
-    h = draw(F.col(key), seed)
-    if stratum:
-        rank = F.row_number().over(Window.partitionBy(stratum).orderBy(h, key)) - 1
-        return rows.select(key, F.pmod(rank, F.lit(k)).cast("long").alias("fold"))
-    cut = rows.select(key, h.alias("h")).withColumn("b", F.substring("h", 1, 2))
-    sizes = cut.groupBy("b").count()
-    before = sizes.select("b", F.coalesce(F.sum("count").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("b").orderBy("h", key)) - 1
-    return cut.join(F.broadcast(before), "b").select(key, F.pmod(F.col("before") + rank, F.lit(k)).cast("long").alias("fold"))  # 256 buckets at most
+    """(key, fold): ranks in hash order modulo k, within strata if given; fold sizes differ by one at most."""
+    placed = ranked(rows, key, draw(F.col(key), seed), *([stratum] if stratum else []))
+    return placed.select(key, F.pmod(F.col("_rank") - 1, F.lit(k)).cast("long").alias("fold"))
 
 
 def external_mapping(first: DataFrame, second: DataFrame, key: str = "id") -> DataFrame:
@@ -90,11 +98,8 @@ def quantile_strata(rows: DataFrame, value: str, parts: int = 10, name: str = "s
 
 def stratified_subsample(rows: DataFrame, key: str, stratum: str, n: int, seed: int = 42) -> DataFrame:
     """Of each stratum its share of n rows, one at least and all at most, in hash order; then cut to n in hash order."""
-    w = Window.partitionBy(stratum)
-    here, total = F.count("*").over(w), F.lit(rows.count())
-    rank = F.row_number().over(w.orderBy(draw(F.col(key), seed), key))
-    take = F.least(F.greatest(F.lit(1), F.round(here * n / total).cast("long")), here)
-    picked = rows.withColumn("_take", take).withColumn("_rank", rank).where("_rank <= _take").drop("_take", "_rank")
+    take = F.least(F.greatest(F.lit(1), F.round(F.col("_size") * n / rows.count()).cast("long")), F.col("_size"))
+    picked = ranked(rows, key, draw(F.col(key), seed), stratum).where(F.col("_rank") <= take).drop("_rank", "_size")
     return picked.orderBy(draw(F.col(key), seed + 1), key).limit(n)
 
 
@@ -105,28 +110,48 @@ def stride(rows: DataFrame, order: Sequence[str], step: int, most: int) -> DataF
 
 
 def with_row_index(rows: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Add `row_idx`, the rank from 0 in the given order: rows are range-partitioned, and counts of the ranges before are added."""
+    """Add `row_idx`, the rank from 0 in the given order: rows are dealt out by ranges, and counts of the ranges before are added.
+
+    Ranges come from samples that differ from run to run, so rows are written down with the number of their range.
+    """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    dealt = materialize(rows.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()), "ranges")
     sizes = dealt.groupBy("_p").count()
     before = sizes.select("_p", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
     return dealt.withColumn("_r", rank).join(F.broadcast(before), "_p").withColumn("row_idx", (F.col("_before") + F.col("_r")).cast("long")).drop("_p", "_r", "_before")
 
 
+def running_before(rows: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, name: str) -> DataFrame:
+    """Add the sum of a column over the rows before each one of its keys, in an order that tells the rows of a key apart.
+
+    Rows are dealt out by ranges of keys and order and written down; sums of a key's earlier ranges are added to those
+    within a range, so one key, or no key at all, is many tasks.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialize(rows.repartitionByRange(parts, *keys, *order).withColumn("_p", F.spark_partition_id()), "running")
+    sums = dealt.groupBy(*keys, "_p").agg(F.sum(column).alias("_s"))
+    earlier = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.col("_p").alias("_kp"), F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_sum_before"))
+    same = F.col("_p") == F.col("_kp")
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    inside = F.sum(column).over(Window.partitionBy(*keys, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    joined = dealt.withColumn("_sum_inside", F.coalesce(inside, F.lit(0))).join(before, same)
+    return joined.withColumn(name, F.col("_sum_before") + F.col("_sum_inside")).drop("_p", "_kp", "_sum_before", "_sum_inside", *[f"_k{i}" for i in range(len(keys))])
+
+
 def permuted(rows: DataFrame, key: str, value: str, seed: int, stratum: str | None = None) -> DataFrame:
     """(key, value) with values dealt anew among rows of a stratum (or of all rows), by joining two orders."""
     part = [stratum] if stratum else []
-    w = lambda s: Window.partitionBy(*part).orderBy(draw(F.col(key), s), key)
-    a = rows.select(key, *part, F.row_number().over(w(seed)).alias("_n"))
-    b = rows.select(*part, value, F.row_number().over(w(seed + 1)).alias("_n"))
-    return a.join(b, [*part, "_n"]).drop("_n")
+    place = lambda s: ranked(rows.select(key, *part, value), key, draw(F.col(key), s), *part)
+    a, b = place(seed).select(key, *part, "_rank"), place(seed + 1).select(*part, value, "_rank")
+    return a.join(b, [*part, "_rank"]).drop("_rank")
 
 
 def halves(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """2n rows without replacement in hash order, the first n as half 0 and the others as half 1."""
-    picked = rows.select(key, draw(F.col(key), seed).alias("h")).orderBy("h", key).limit(2 * n)
-    return picked.select(key, (F.row_number().over(Window.orderBy("h", key)) > n).cast("long").alias("half"))
+    return ranked(rows.select(key), key, draw(F.col(key), seed)).where(F.col("_rank") <= 2 * n).select(key, (F.col("_rank") > n).cast("long").alias("half"))
 
 
 def multiplicities(keys: DataFrame, key: str, replicates: int, seed: int = 42) -> DataFrame:

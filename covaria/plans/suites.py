@@ -157,8 +157,8 @@ def auc_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
     drawn = rows.join(splits.multiplicities(rows, "doc_id", 40), "doc_id")
     per = drawn.groupBy("rep", "n_chars").agg(F.sum(F.when(F.col("quality") == 1, F.col("times")).otherwise(0)).alias("p"), F.sum(F.when(F.col("quality") == 0, F.col("times")).otherwise(0)).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy("rep").orderBy("n_chars").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = per.withColumn("w", F.col("p") * (below + F.col("q") / 2)).groupBy("rep").agg((F.sum("w") / F.nullif(F.sum("p") * F.sum("q"), F.lit(0))).alias("auc"))
+    placed = splits.running_before(per, ["rep"], ["n_chars"], "q", "below")
+    wins = placed.withColumn("w", F.col("p") * (F.col("below") + F.col("q") / 2)).groupBy("rep").agg((F.sum("w") / F.nullif(F.sum("p") * F.sum("q"), F.lit(0))).alias("auc"))
     return rounded(metrics.percentile_interval(wins.where("auc IS NOT NULL"), "auc"))
 
 
