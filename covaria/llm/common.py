@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from covaria.sources.scratch import materialize  # noqa: F401  operators take it from here
+
 #: White space that separates words, and the words themselves, as Java and RE2 patterns.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a Python task holds as arrays at once; a longer text is a slice of its own.
@@ -20,27 +20,6 @@ SLICE_BYTES = 4 << 20
 BROADCAST_ROWS = 200_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or where it is unset one of our own.
-
-    Where it is unset, a temporary folder serves local mode (tests) and the warehouse serves a cluster.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        local = spark.sparkContext.master.split("[")[0] == "local"
-        found = tempfile.mkdtemp(prefix="covaria-") if local else spark.conf.get("spark.sql.warehouse.dir")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again, which cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/covaria-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting; a larger table is left to a shuffle join that AQE splits where skewed."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -77,10 +56,6 @@ def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarr
     return flat.filter(full), np.bincount(row[keep], minlength=len(texts)).astype(np.int64)
 
 
-def starts_of(counts: np.ndarray) -> np.ndarray:
-    return np.concatenate(([0], np.cumsum(counts)))
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """SplitMix64's finaliser over unsigned 64-bit integers."""
     x = x.astype(np.uint64, copy=True)

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covaria.llm.common import SLICE_BYTES, broadcast_if_small, hash_words, materialize, mix64, slices, split_words, starts_of
+from covaria.llm.common import SLICE_BYTES, broadcast_if_small, hash_words, materialize, mix64, slices, split_words
 
 SAMPLES = 128
 #: Samples drawn at once, which bounds the table of draws for a slice's terms.

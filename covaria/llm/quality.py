@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covaria.llm.common import hash_words, mix64, slices, split_words, starts_of
+from covaria.llm.common import hash_words, mix64, slices, split_words
 
 BUCKETS = 1 << 16
 WINDOW = 8

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from covaria.llm import chat, extract, fingerprint, language, lm, mixing, pieces, quality, secrets, simhash
 from covaria.llm.common import held_out, materialize, read
