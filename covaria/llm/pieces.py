@@ -27,10 +27,10 @@ U64 = np.uint64
 SPACE = "▁"
 #: Characters to which suffixes are sorted; no piece is longer.
 DEPTH = 16
-#: Words whose encodings a worker remembers (when full, it forgets all), and places for pairs of pieces.
-WORDS_KEPT, PAIRS_KEPT = 500_000, 1 << 21
+#: Words whose encodings a task remembers (when full, it forgets all), and places for pairs of pieces.
+WORDS_KEPT, PAIRS_KEPT = 300_000, 1 << 20
 #: Code points of distinct words that are indexed at once.
-INDEX_CHARS = 1 << 20
+INDEX_CHARS = 1 << 18
 # A word and the spaces before it, spaces at a line's end, or a line break; no piece crosses these.
 SPLIT = re.compile(r" *[^ \n]+| +|\n")
 
@@ -221,21 +221,25 @@ class Pieces:
                 flat += found
         coded = pa.array(flat, pa.large_string()).dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self.words) + len(words) > WORDS_KEPT:
-            self.words.clear()
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        kept = [self.words.get(w) for w in words]
         new, size = [], 0
-        for w in [w for w in words if w not in self.words] + [None]:
-            if new and (w is None or size > INDEX_CHARS):
-                self.words.update(zip(new, self._index([x.replace(" ", SPACE) for x in new]), strict=True))
+        for i in [i for i, k in enumerate(kept) if k is None] + [-1]:
+            if new and (i < 0 or size > INDEX_CHARS):
+                for j, ids in zip(new, self._index([words[j].replace(" ", SPACE) for j in new]), strict=True):
+                    kept[j] = ids
                 new, size = [], 0
-            if w is not None:
-                new.append(w)
-                size += len(w) + 1
-        kept = [self.words[w] for w in words]
+            if i >= 0:
+                new.append(i)
+                size += len(words[i]) + 1
+        # words that a batch has once seldom come again
+        again = np.flatnonzero(np.bincount(code, minlength=len(words)) > 1).tolist()
+        if len(self.words) + len(again) > WORDS_KEPT:
+            self.words.clear()
+        self.words.update((words[i], kept[i]) for i in again)
         lens = np.fromiter(map(len, kept), dtype=np.int64, count=len(kept)) // 4
         first = np.cumsum(lens) - lens
         table = np.frombuffer(b"".join(kept), dtype=np.int32)
-        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         each = lens[code]
         total = np.concatenate(([0], np.cumsum(each)))
         ids = table[np.arange(total[-1]) - np.repeat(total[:-1] - first[code], each)]
@@ -286,6 +290,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", check:
             ids = model.encode(part.column(text))
             more = [ids.cast(pa.list_(pa.int32()))] + ([model.decode(ids).cast(pa.string())] if check else [])
             yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, *new])
+        model.words.clear()  # the worker may go on with other tasks
 
     return docs.select(*keep).mapInArrow(run, schema)
 
