@@ -15,10 +15,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from covaria.llm.common import materialize, slices
+from covaria.llm.common import broadcast_if_small, materialize, slices
 
 BITS = 64
 #: Variants of a block held in memory at once; a fuller block is split by its next bits.
@@ -138,25 +138,28 @@ def links(prints: DataFrame, distance: int = 4, prefix_bits: int = 10) -> DataFr
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """Connected components of undirected edges (a, b) as (node, root), root being the least node.
 
-    Alternates large-star and small-star steps over tables in the shared folder until no edge changes; each step
-    groups by node with partial minima, so a node with very many neighbours is not gathered in one task.
+    Alternates large-star and small-star steps over tables in the shared folder until no edge changes. Each step takes
+    minima by node, in parts before the shuffle, and writes them down; edges meet them by a broadcast where their
+    number was counted to be small, else by a join that AQE can split, so a node with very many neighbours is not
+    gathered in one task.
     """
 
+    def minima(rows: DataFrame, least: Column) -> DataFrame:
+        return broadcast_if_small(materialize(rows.groupBy("u").agg(least.alias("m")), "minima"))
+
     def large(e: DataFrame) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b"), F.col("a")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
+        return both.join(minima(both, F.least(F.min("v"), F.col("u"))), "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
 
     def small(e: DataFrame) -> DataFrame:
         down = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        moved = down.join(least, "u").select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b"))
+        moved = down.join(minima(down, F.min("v")), "u").select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b"))
         return moved.where("a <> b").distinct()
 
     e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     state, e = None, materialize(e, "edges")
     for _ in range(rounds):
-        e = materialize(small(large(e)), "edges")
+        e = materialize(small(materialize(large(e), "stars")), "edges")
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now == state:
             break
