@@ -1,4 +1,4 @@
-"""From documents to token ids: language ID, SimHash near-dedup, secret scans, source mixing, SentencePiece encoding.
+"""From documents to token ids: language ID, near-dedup, secret scans, source mixing, SentencePiece encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. The
 result of each is written as Parquet in the shared folder and read again as the next one's docs.
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covaria.llm import language, mixing, pieces, secrets, simhash
+from covaria.llm import language, mixing, pieces, secrets, similar
 from covaria.llm.common import held_out, materialize, read
 
 #: Score below which a language is taken as unknown; texts without letters have 0.
@@ -27,8 +27,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least doc_id of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """Keep the document with the least doc_id of each group whose five-word shingles are at Jaccard 0.8 or more."""
+    return similar.keep_one(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,116 @@
+"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands propose pairs, an exact count verifies them."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from covaria.llm.common import hash_words, materialize, mix64, slices, split_words
+from covaria.llm.simhash import components
+
+U64 = np.uint64
+#: Bands and hashes in a band: two sets at Jaccard 0.8 share no band with a chance of 5e-5.
+BANDS, ROWS = 25, 5
+#: Members of a band's bucket that all others are compared with, by round; the second sees only pairs not connected yet.
+LEADERS = (1, 16)
+MULTIPLIERS = mix64(np.arange(1, BANDS * ROWS + 1, dtype=U64)) | U64(1)
+
+
+def _shingles(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text, ascending, text after text, and their number in each text.
+
+    Words have A-Z lowered; a text of fewer words is one shingle, one without words has none.
+    """
+    # a copy: PyArrow 23's ascii_lower reads other rows' bytes where an array is a slice
+    words, counts = split_words(texts.take(pa.array(np.arange(len(texts)))))
+    if not len(words):
+        return np.zeros(0, dtype=U64), np.zeros(len(counts), dtype=np.int64)
+    coded = words.dictionary_encode()
+    h = hash_words(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+    text = np.repeat(np.arange(len(counts)), counts)
+    place = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
+    left = counts[text] - place
+    key = np.zeros(len(h), dtype=U64)
+    with np.errstate(over="ignore"):
+        for k in range(shingle):
+            inside = np.flatnonzero(left > k)
+            key[inside] = mix64(key[inside] * U64(3) + h[inside + k] + U64(k))
+    begins = (place == 0) | (left >= shingle)
+    key, text = key[begins], text[begins]
+    order = np.lexsort((key, text))
+    key, text = key[order], text[order]
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])))
+    return key[new], np.bincount(text[new], minlength=len(counts))
+
+
+def sets(docs: DataFrame, shingle: int, listed: bool) -> DataFrame:
+    """doc_id and `set`, a hash that equal shingle sets share, with the shingles (listed) or the hashes of bands."""
+    name = "shingles" if listed else "bands"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            keys, n = _shingles(part.column("text"), shingle)
+            ends, some = np.concatenate(([0], np.cumsum(n))), np.flatnonzero(n)
+            made = np.zeros(len(n), dtype=U64)
+            with np.errstate(over="ignore"):
+                if len(some):
+                    made[some] = mix64(np.add.reduceat(mix64(keys), ends[some]) + n[some].astype(U64))
+                if not listed:
+                    bands = np.zeros((len(some), BANDS), dtype=U64)
+                    for i in range(BANDS * ROWS if len(some) else 0):
+                        least = np.minimum.reduceat(keys * MULTIPLIERS[i], ends[some])
+                        bands[:, i // ROWS] = mix64(bands[:, i // ROWS] * U64(3) + least + U64(i))
+                    keys, ends = bands.ravel(), np.concatenate(([0], np.cumsum(np.where(n > 0, BANDS, 0))))
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(made.view(np.int64)), lists], names=["doc_id", "set", name])
+
+    schema = docs.select("doc_id").withColumns({"set": F.lit(0).cast("long"), name: F.array().cast("array<bigint>")}).schema
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """doc_id and component_id, the least doc_id reachable over pairs whose shingle sets have Jaccard `least` or more.
+
+    Equal sets are one node. In a bucket of up to LEADERS[-1] sets all pairs are compared; in a larger one each set
+    is compared with that many of the least ones, in every band anew, so the work grows with the sets and not their square.
+    """
+    made = materialize(sets(docs, shingle, False), "sets")
+    nodes = materialize(made.groupBy("set").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "set-nodes")
+    rows = nodes.select("set", F.explode("bands").alias("band"))
+    shared = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    rows = materialize(rows.join(shared, "band"), "buckets")
+    # shingles of the sets that meet another one, made again from one document of each
+    meet = rows.select("set").distinct()
+    one = nodes.join(meet, "set", "left_semi").select(F.col("first").alias("doc_id")).distinct()
+    listed = sets(docs.join(one, "doc_id", "left_semi"), shingle, True).join(meet, "set", "left_semi").select("set", "shingles").dropDuplicates(["set"])
+    listed = materialize(listed, "shingles")
+    rank = F.row_number().over(Window.partitionBy("band").orderBy("set"))
+    edges, roots = None, None
+    for most in LEADERS:
+        lead = rows.withColumn("_n", rank).where(F.col("_n") <= most).select("band", F.col("set").alias("a"))
+        pairs = rows.join(lead, "band").where("a < set").select("a", F.col("set").alias("b")).distinct()
+        if roots is not None:
+            for side in "ab":
+                pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), side, "left")
+            pairs = pairs.where("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b")
+        x, y = (listed.select(F.col("set").alias(s), F.col("shingles").alias(f"{s}_set")) for s in "ab")
+        both = pairs.join(x, "a").join(y, "b").withColumn("_both", F.size(F.array_intersect("a_set", "b_set")))
+        near = both.where(F.col("_both") >= F.lit(least) * (F.size("a_set") + F.size("b_set") - F.col("_both"))).select("a", "b")
+        edges = materialize(near if edges is None else edges.union(near), "similar")
+        roots = components(edges)
+    rooted = nodes.join(roots, F.col("set") == F.col("node"), "left").select("set", "first", F.coalesce("root", "set").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("set", "component_id")
+    return made.select("doc_id", "set").join(named, "set").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """Of each group of near-duplicates the row with the least doc_id, one row if it is repeated; see simhash.keep_one."""
+    named = docs.where("doc_id IS NOT NULL")
+    kept = near_duplicates(named, shingle, least).where("doc_id = component_id").select("doc_id").distinct()
+    order = F.xxhash64("text"), F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])
+    ranked = named.join(kept, "doc_id", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
+    return ranked.where("_n = 1").drop("_n").unionByName(docs.where("doc_id IS NULL"))
