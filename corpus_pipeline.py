@@ -12,17 +12,21 @@ from pyspark.sql import functions as F
 from covaria.llm import language, mixing, pieces, secrets, similar
 from covaria.llm.common import held_out, materialize, read
 
-#: Score below which a language is taken as unknown; texts without letters have 0.
-LEAST_SCORE = 0.3
+#: Mean posterior of the words in their own labelled spans below which a language is taken as unknown.
+LEAST_SURE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from the labelled rows that aren't held out; drop documents without a letter or a recognised language.
 
-    The predicted language becomes `lang` where that is null; a label that is there stays.
+    The predicted language becomes `lang` where that is null; a label that is there stays. A text in several languages
+    is recognised where its words fit the spans that they are in. Where nothing could be learned, texts with letters stay.
     """
-    found = language.identify(docs, language.train(docs, ~held_out(4)))
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    model = language.train(docs, ~held_out(4))
+    if not model["langs"]:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = language.identify(docs, model)
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("sure") >= LEAST_SURE))
     return kept.select(*[F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
 
 

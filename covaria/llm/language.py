@@ -160,17 +160,18 @@ def _viterbi(scores: np.ndarray, counts: np.ndarray, switch: float) -> np.ndarra
 
 
 def identify(docs: DataFrame, model: dict, switch: float = SWITCH) -> DataFrame:
-    """Add lang_pred, score and spans to docs: spans is an array of (lang, words) in text order.
+    """Add lang_pred, score, sure and spans to docs: spans is an array of (lang, words) in text order.
 
     Words are runs of letters. Script ranges leave each word its candidates (all languages where no learned one uses
     its script); scores are mean log-odds over its letter n-grams, and Viterbi with a switching cost labels the words.
     lang_pred has the most letters; score is its share of letters times the mean posterior of its words, from 0 to 1.
+    sure is the mean posterior of all words, each in the language that its span is labelled with.
     A text that is null or has no letter is `und` with score 0, and so is every text when nothing was learned. Ties go
     to the first language in order. Texts beyond a million code points are scored in parts and labelled as a whole.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "spans")]
-    schema = docs.select(*keep).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "spans": F.array().cast("array<struct<lang:string,words:int>>")}).schema
+    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "sure", "spans")]
+    schema = docs.select(*keep).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "sure": F.lit(0.0), "spans": F.array().cast("array<struct<lang:string,words:int>>")}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -198,7 +199,7 @@ def identify(docs: DataFrame, model: dict, switch: float = SWITCH) -> DataFrame:
                     owners.append(np.array([i for i, _ in todo[at:to]], dtype=np.int64)[chars.text])
                     letters.append((chars.end - chars.start).astype(np.float64))
                 at = to
-            pred, score, spans = np.full(len(texts), -1), np.zeros(len(texts)), [[] for _ in texts]
+            pred, score, fit, spans = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts)), [[] for _ in texts]
             if scores and langs:
                 s, owner, weight = np.concatenate(scores), np.concatenate(owners), np.concatenate(letters)
                 counts = np.bincount(owner, minlength=len(texts))
@@ -212,11 +213,12 @@ def identify(docs: DataFrame, model: dict, switch: float = SWITCH) -> DataFrame:
                 mine = path == pred[owner]
                 total = np.bincount(owner, weights=weight, minlength=len(texts))
                 score = np.bincount(owner, weights=weight * np.where(mine, np.maximum(sure, 0.5), 0), minlength=len(texts)) / np.maximum(total, 1)
+                fit = np.bincount(owner, weights=weight * sure, minlength=len(texts)) / np.maximum(total, 1)
                 cut = np.flatnonzero(np.concatenate(([True], (path[1:] != path[:-1]) | (owner[1:] != owner[:-1]))))
                 for a, n in zip(cut.tolist(), np.diff(np.append(cut, len(path))).tolist(), strict=True):
                     spans[owner[a]].append({"lang": langs[path[a]], "words": n})
             named = [langs[p] if p >= 0 else "und" for p in pred]
             kind = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(named, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(spans, kind)], names=[*part.schema.names, "lang_pred", "score", "spans"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(named, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(np.clip(fit, 0, 1)), pa.array(spans, kind)], names=[*part.schema.names, "lang_pred", "score", "sure", "spans"])
 
     return docs.select(*keep).mapInArrow(run, schema)
