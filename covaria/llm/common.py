@@ -49,11 +49,13 @@ def split_words(texts: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarr
     A-Z are lowered if asked for; other letters stay as they are.
     """
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    lists = pc.ascii_split_whitespace(texts)
     flat, row = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
     full = pc.greater(pc.binary_length(flat), 0)
     keep = full.to_numpy(zero_copy_only=False)
-    return flat.filter(full), np.bincount(row[keep], minlength=len(texts)).astype(np.int64)
+    words = flat.filter(full)
+    # the words are lowered and not the texts: PyArrow 23's ascii_lower reads other rows' bytes where an array is a slice
+    return pc.ascii_lower(words) if lower else words, np.bincount(row[keep], minlength=len(texts)).astype(np.int64)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from covaria.llm import chat, extract, fingerprint, language, lm, mixing, pieces, quality, queries, secrets, simhash
-from covaria.llm.common import held_out
+from covaria.llm.common import held_out, split_words
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, key string, row int, fp string, _row string, ids string"
@@ -41,6 +41,15 @@ def texts(df):
     return {r["doc_id"]: r["text"] for r in df.select("doc_id", "text").collect()}
 
 
+def test_words_of_a_slice_are_its_own():
+    """PyArrow 23's ascii_lower misreads slices, and operators pass slices of batches."""
+    texts = pa.array([f"Ein Ä{i} Satz mit {i * 7} Wörtern und É mehr davon" for i in range(900)] + ["", None, "KURZ"])
+    for kind in (pa.string(), pa.large_string()):
+        words, counts = split_words(texts.cast(kind).slice(350, 553))
+        want = [brute.words(brute.lower(t)) for t in texts.to_pylist()[350:903]]
+        assert counts.tolist() == list(map(len, want)) and words.to_pylist() == [w for ws in want for w in ws]
+
+
 # mixing
 
 
