@@ -18,11 +18,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from covaria.llm.common import broadcast_if_small, materialize, slices
+from covaria.llm.common import broadcast_if_small, hash_words, materialize, mix64, slices, split_words
 
+U64 = np.uint64
 BITS = 64
 #: Variants of a block held in memory at once; a fuller block is split by its next bits.
 BLOCK_VARIANTS = 2_000_000
+#: Similar texts: short fingerprints of a text (an even number) and their bits; fingerprints after a shared one that are compared, bits by
+#: which these may differ (a pair at Jaccard 0.8 differs by 14.5 of 96, 4 deviations less than 29), and by which a leader takes a row.
+TABLES, BITS_SHORT, CHECKS, MOST_AWAY, GIVEN_AWAY = 32, 32, 3, 29, 20
+#: Sets that a task holds before it sends their fingerprints.
+HELD_SETS = 200_000
+
+
+def _unused(name: str, df: DataFrame) -> str:
+    """A column name that df doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def _signed(values) -> list[int]:
@@ -49,7 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, text: str = "text") -> DataF
 
     A text of fewer words is one shingle; null, empty or white text has fingerprint zero. Other columns stay.
     """
-    keep = [c for c in docs.columns if c != "fp"]
+    keep = [c for c in docs.columns if c.lower() != "fp"]
     schema = docs.select(*keep).withColumn("fp", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,15 +198,233 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, doc_id
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+# Similar texts: the same balls over several short fingerprints, so that pairs well beyond 4 of 64 bits meet too.
+
+
+def _shingles(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text, ascending, text after text, and their number in each text.
+
+    Words have A-Z lowered; a text of fewer words is one shingle, one without words has none.
+    """
+    words, counts = split_words(texts)
+    if not len(words):
+        return np.zeros(0, dtype=U64), np.zeros(len(counts), dtype=np.int64)
+    coded = words.dictionary_encode()
+    h = hash_words(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+    text = np.repeat(np.arange(len(counts)), counts)
+    left = np.repeat(np.cumsum(counts), counts) - np.arange(len(h))
+    key = np.zeros(len(h), dtype=U64)
+    with np.errstate(over="ignore"):
+        for k in range(shingle):
+            inside = slice(0, len(h) - k)
+            more = mix64(key[inside] * U64(3) + h[k:] + U64(k))
+            key[inside] = more if not k else np.where(left[inside] > k, more, key[inside])
+    begins = (left >= shingle) | (left == counts[text])
+    key, text = key[begins], text[begins]
+    ends = np.cumsum(np.bincount(text, minlength=len(counts)))
+    for a, b in zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist(), strict=True):
+        key[a:b].sort()
+    new = np.concatenate(([True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])))
+    return key[new], np.bincount(text[new], minlength=len(counts))
+
+
+def _prints(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Fingerprints (texts, TABLES) of 32 bits of sets of hashes that follow one another, n of each text (at least one)."""
+    ends = np.cumsum(n)
+    # bytes hold sums of up to 255 rows; groups of rows don't cross texts
+    groups = (n + 254) // 255
+    owner = np.repeat(np.arange(len(n)), groups)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(groups) - groups, groups)
+    starts = (ends - n)[owner] + 255 * place
+    firsts = np.cumsum(groups) - groups
+    out = np.empty((len(n), TABLES // 2), dtype="<u8")
+    for t in range(TABLES // 2):
+        bits = np.unpackbits(mix64(keys + U64((t + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))).view(np.uint8), bitorder="little").view("<u8").reshape(-1, 8)
+        lanes = np.add.reduceat(bits, starts, axis=0).view(np.uint8).reshape(-1, BITS)
+        ones = np.add.reduceat(lanes, firsts, axis=0, dtype=np.int64)
+        out[:, t] = np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view("<u8")[:, 0]
+    return out.view("<u4")
+
+
+def sets(docs: DataFrame, shingle: int, listed: bool) -> DataFrame:
+    """doc_id and `set`, a hash that equal shingle sets share, with the shingles (listed) or the fingerprints `prints`.
+
+    Both lists are empty for a text without words, whose set is 0.
+    """
+    name, kind = ("shingles", "bigint") if listed else ("prints", "int")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            keys, n = _shingles(part.column("text"), shingle)
+            ends, some = np.concatenate(([0], np.cumsum(n))), np.flatnonzero(n)
+            made = np.zeros(len(n), dtype=U64)
+            if len(some):
+                with np.errstate(over="ignore"):
+                    made[some] = mix64(np.add.reduceat(mix64(keys), ends[some]) + n[some].astype(U64))
+            values = pa.array(keys.view(np.int64))
+            if not listed:
+                values = pa.array((_prints(keys, n[some]) if len(some) else np.zeros((0, TABLES), dtype="<u4")).ravel().view(np.int32))
+                ends = np.concatenate(([0], np.cumsum(np.where(n > 0, TABLES, 0))))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(made.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)], names=["doc_id", "set", name])
+
+    schema = docs.select("doc_id").withColumns({"set": F.lit(0).cast("long"), name: F.array().cast(f"array<{kind}>")}).schema
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def _leaders(key: np.ndarray, prints: np.ndarray, table: np.ndarray, names: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Pairs (leader, member) of rows with equal keys, and which rows weren't given to a leader.
+
+    The row of the least name leads its key; rows whose next fingerprints look alike are paired with it, and those that
+    differ much go on to the next leader, until every key has one row left at most. Each round pairs a row once, so copies
+    of one text make as many pairs as there are copies.
+    """
+    order = np.lexsort((names, key))
+    free, pairs = np.ones(len(key), dtype=bool), []
+    while len(order) > 1:
+        k = key[order]
+        first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        sizes = np.diff(np.append(first, len(k)))
+        head = np.repeat(order[first], sizes)
+        member = order != head
+        a, b = head[member], order[member]
+        away = sum(np.bitwise_count(prints[a, (table[a] + i) % TABLES] ^ prints[b, (table[b] + i) % TABLES]).astype(np.int64) for i in range(1, CHECKS + 1))
+        near = away <= MOST_AWAY
+        pairs.append((a[near], b[near]))
+        given = away <= GIVEN_AWAY
+        free[b[given]] = False
+        # rows that no leader took meet once more, where two or more are left
+        rest = b[~given]
+        left = key[rest]
+        again = np.concatenate(([False], left[1:] == left[:-1])) if len(left) else np.zeros(0, dtype=bool)
+        again |= np.concatenate((again[1:], [False])) if len(left) else again
+        order = rest[again]
+    return pairs, free
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b), a below b, of `set`s of which two of the fingerprints `prints` differ by two bits or fewer.
+
+    Every fingerprint goes to the blocks, named by table and leading bits, that its ball of one bit reaches; there the
+    variants are made and those that meet are paired by leaders. Rows of a task with equal fingerprints are paired before
+    they are sent, and only their leaders are, so a group of copies crosses the shuffle in as many rows as tasks hold it.
+    """
+    n = max(1, nodes.count())
+    bits = min(20, max(3, math.ceil(math.log2(n * (BITS_SHORT + 1) / BLOCK_VARIANTS))))
+    low = np.uint32((1 << (BITS_SHORT - bits)) - 1)
+    flips = np.array([0, *(1 << b for b in range(bits))], dtype=np.uint32)
+
+    def rows(block: np.ndarray, name: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(block), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * (CHECKS + 1)), len(block[part]), [None, pa.py_buffer(np.ascontiguousarray(prints[part]))]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(block[part]), pa.array(name[part]), data], names=["block", "set", "prints"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            names, prints = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+            held.clear()
+            for t in range(TABLES):
+                own = np.full(len(names), t)
+                pairs, free = _leaders(prints[:, t].astype(U64), prints, own, names)
+                for a, b in pairs:
+                    # a pair passes through its block: the other set stands in the place of the fingerprints
+                    if len(a):
+                        other = np.zeros((len(a), CHECKS + 1), dtype="<u4")
+                        other[:, :2] = names[b].view("<u4").reshape(-1, 2)
+                        yield from rows(-1 - (mix64(names[b].view(U64)) % U64(1 << 12)).astype(np.int32), names[a], other)
+                at = np.flatnonzero(free)
+                mine = prints[at][:, (t + np.arange(CHECKS + 1)) % TABLES]
+                lead = prints[at, t] >> np.uint32(BITS_SHORT - bits)
+                for f in flips:
+                    yield from rows((t << bits) + (lead ^ f).astype(np.int32), names[at], mine)
+
+        for b in batches:
+            flat = b.column("prints").flatten().to_numpy().view(np.uint32)
+            held.append((b.column("set").to_numpy(), flat.reshape(-1, TABLES)))
+            if sum(len(x) for x, _ in held) > HELD_SETS:
+                yield from flush()
+        if held:
+            yield from flush()
+
+    def meet(key: tuple, group: pa.Table) -> pa.Table:
+        names = group.column("set").to_numpy()
+        prints = np.frombuffer(b"".join(group.column("prints").to_pylist()), dtype="<u4").reshape(-1, CHECKS + 1)
+        block, (a, b) = key[0].as_py(), (names[:0], names[:0])
+        if block < 0:
+            a, b = names, np.ascontiguousarray(prints[:, :2]).view("<i8")[:, 0]
+        elif len(names) > 1:
+            # the ball's other bit was spent on rows of a neighbouring block
+            home = (prints[:, 0] >> np.uint32(BITS_SHORT - bits)).astype(np.int64) == block & ((1 << bits) - 1)
+            made, owner = [prints[:, 0] & low], [np.arange(len(names))]
+            own = np.flatnonzero(home)
+            masks = U64(1) << np.arange(BITS_SHORT - bits, dtype=U64)
+            made.append(((prints[own, 0] & low).astype(U64)[:, None] ^ masks[None, :]).ravel())
+            owner.append(np.repeat(own, len(masks)))
+            variant, owner = np.concatenate([x.astype(U64) for x in made]), np.concatenate(owner)
+            order = np.argsort(variant, kind="stable")
+            same = variant[order][1:] == variant[order][:-1]
+            hit = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
+            wide = np.zeros((len(hit), TABLES), dtype=np.uint32)
+            wide[:, : CHECKS + 1] = prints[owner[hit]]
+            pairs, _ = _leaders(variant[hit], wide, np.zeros(len(hit), dtype=np.int64), names[owner[hit]])
+            found = [np.stack([names[owner[hit[x]]], names[owner[hit[y]]]], axis=1) for x, y in pairs if len(x)]
+            if found:
+                found = np.unique(np.concatenate(found), axis=0)
+                a, b = found[:, 0], found[:, 1]
+        ok = a != b
+        return pa.table({"a": np.minimum(a, b)[ok], "b": np.maximum(a, b)[ok]})
+
+    sent = nodes.where(F.size("prints") > 0).select("set", "prints").mapInArrow(send, "block int, set long, prints binary")
+    return sent.groupBy("block").applyInArrow(meet, "a long, b long").distinct()
+
+
+def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """doc_id and component_id, the least doc_id reachable over pairs whose shingle sets have Jaccard `least` or more.
+
+    Equal sets are one node. Candidates share a variant in one of TABLES fingerprints; each is verified by an exact count.
+    A pair at 0.8 differs in 15% of the bits, so it meets in a table with a chance of 0.12 and in none of 32 with 0.018;
+    at 0.85 that is 0.0008. Texts without words are one node, linked to no other. An empty table gives no rows.
+    """
+    made = materialize(sets(docs, shingle, False), "sets")
+    nodes = materialize(made.groupBy("set").agg(F.min("doc_id").alias("first"), F.first("prints").alias("prints")), "set-nodes")
+    pairs = materialize(candidates(nodes), "pairs")
+    # shingles of the sets that meet another one, made again from one document of each
+    meet = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    one = nodes.join(meet, "set", "left_semi").select(F.col("first").alias("doc_id")).distinct()
+    listed = sets(docs.join(one, "doc_id", "left_semi"), shingle, True).join(meet, "set", "left_semi").select("set", "shingles").dropDuplicates(["set"])
+    listed = materialize(listed, "shingles")
+    x, y = (listed.select(F.col("set").alias(s), F.col("shingles").alias(f"{s}_set")) for s in "ab")
+    both = pairs.join(x, "a").join(y, "b").withColumn("_both", F.size(F.array_intersect("a_set", "b_set")))
+    edges = both.where(F.col("_both") >= F.lit(least) * (F.size("a_set") + F.size("b_set") - F.col("_both"))).select("a", "b")
+    roots = components(edges)
+    rooted = materialize(nodes.join(roots, F.col("set") == F.col("node"), "left").select("set", "first", F.coalesce("root", "set").alias("root")), "rooted")
+    top = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "roots")
+    named = rooted.join(broadcast_if_small(top), "root").select("set", "component_id")
+    return made.select("doc_id", "set").join(named, "set").select("doc_id", "component_id")
+
+
+def _keep_least(docs: DataFrame, named: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of `named` whose doc_id is their component's least, one row of each id, and the rows of docs without one."""
+    kept = found.where("doc_id = component_id").select("doc_id").distinct()
+    n = _unused("_n", docs)
+    order = F.xxhash64("text"), F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
+    ranked = named.join(kept, "doc_id", "left_semi").withColumn(n, F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
+    return ranked.where(F.col(n) == 1).drop(n).unionByName(docs.where("doc_id IS NULL"))
+
+
 def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
-    """Documents without near-duplicates: of each component the row with the least doc_id, one row if it is repeated.
+    """Documents without near-duplicates by op4's links: of each component the row with the least doc_id.
 
-    Among repeated rows of that id the one whose text has the least hash stays. Rows with a null doc_id cannot be
-    named, take no part and stay.
+    A repeated row of that id stays once, the one whose text has the least hash. Rows with a null doc_id cannot be
+    named, take no part and stay. An empty table gives no rows; other columns, whatever their names, stay.
     """
     named = docs.where("doc_id IS NOT NULL")
-    found = near_duplicates(named, shingle, distance)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    order = F.xxhash64("text"), F.xxhash64(*[F.col(c).cast("string") for c in docs.columns])
-    ranked = named.join(kept, "doc_id", "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
-    return ranked.where("_n = 1").drop("_n").unionByName(docs.where("doc_id IS NULL"))
+    return _keep_least(docs, named, near_duplicates(named, shingle, distance))
+
+
+def keep_one_similar(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """keep_one() by similar_texts(): of each group of texts at Jaccard `least` or more the row with the least doc_id."""
+    named = docs.where("doc_id IS NOT NULL")
+    return _keep_least(docs, named, similar_texts(named, shingle, least))

@@ -3,7 +3,7 @@
 import pyarrow as pa
 
 import corpus_pipeline as pipeline
-from covaria.llm import similar
+from covaria.llm import simhash
 from tests.llm import brute
 
 
@@ -49,7 +49,7 @@ def test_near_dedup_of_large_groups_and_short_texts(spark):
 
 def test_slices_have_the_shingles_of_their_own_rows():
     texts = pa.array([f"Ein Ä{i} Satz mit {i * 7} Wörtern und é mehr davon" for i in range(900)] + ["", None, "kurz"])
-    keys, n = similar._shingles(texts, 5)
+    keys, n = simhash._shingles(texts, 5)
     for at in (1, 350, 700):
-        own, m = similar._shingles(texts.slice(at, 200), 5)
+        own, m = simhash._shingles(texts.slice(at, 200), 5)
         assert m.tolist() == n[at : at + 200].tolist() and own.tolist() == keys[n[:at].sum() : n[: at + 200].sum()].tolist()
