@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covaria.llm import language, mixing, pieces, secrets, similar
+from covaria.llm import language, mixing, pieces, secrets, simhash
 from covaria.llm.common import held_out, materialize, read
 
 #: Mean posterior of the words in their own labelled spans below which a language is taken as unknown.
@@ -32,7 +32,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the least doc_id of each group whose five-word shingles are at Jaccard 0.8 or more."""
-    return similar.keep_one(docs)
+    return simhash.keep_one_similar(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
