@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +22,36 @@ MOST_RANGES = 20_000
 U64 = np.uint64
 
 
-def _uniforms(key: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two uniform numbers in (0, 1) of 32 bits from each key."""
-    h = mix64(key ^ U64((salt * 0x9E3779B97F4A7C15) & (2**64 - 1)))
-    return ((h >> U64(32)).astype(np.float64) + 0.5) * 2.0**-32, ((h & U64(0xFFFFFFFF)).astype(np.float64) + 0.5) * 2.0**-32
+def _uniforms(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two uniform numbers in (0, 1) of 32 bits from each hash."""
+    halves = h.view(np.uint32).reshape(-1, 2)
+    return (halves[:, 1] + 0.5) * 2.0**-32, (halves[:, 0] + 0.5) * 2.0**-32
+
+
+def _drawn(name: np.ndarray, log_w: np.ndarray, k: int) -> np.ndarray:
+    """Draws of AT_ONCE samples from k on for words of a log weight: 32 bits in the order of a, then 32 that name (term, t).
+
+    Drawn are exponentials x, g and f: c = x + g, r = ln(c / x) + f and b = f / r have the joint distribution of two numbers
+    from Gamma(2, 1) and a uniform one, and a = c / (y exp(r)) = x exp(-r t). For weight 1, t is 0 and a is x, whose
+    distribution function is uniform: the order of a is kept as 1 - exp(-a), which is then the hash itself.
+    """
+    drawn = np.empty((AT_ONCE, len(name)), dtype=np.uint64)
+    heavy = np.flatnonzero(log_w)
+    for j in range(AT_ONCE):
+        salt = U64((k + j + 1) * 0xD1342543DE82EF95 & (2**64 - 1))
+        for lo in range(0, len(name), 8192):
+            drawn[j, lo : lo + 8192] = mix64(name[lo : lo + 8192] + salt)
+        for lo in range(0, len(heavy), 8192):
+            at = heavy[lo : lo + 8192]
+            h = drawn[j, at]
+            x = -np.log1p(-_uniforms(h)[0])
+            u, v = _uniforms(mix64(h + U64(0x9E3779B97F4A7C15)))
+            f = -np.log(v)
+            r = np.log1p(-np.log(u) / x) + f
+            t = np.floor((log_w[at] + f) / r)
+            term = (h + t.astype(np.int64).view(np.uint64) * U64(0x9E3779B1)) & U64(0xFFFFFFFF)
+            drawn[j, at] = ((-np.expm1(-x * np.exp(-r * t)) * 2.0**32).astype(np.uint64) << U64(32)) | term
+    return np.ascontiguousarray(drawn.T)
 
 
 def signatures(texts: pa.Array, samples: int = SAMPLES) -> np.ndarray:
@@ -52,21 +79,9 @@ def signatures(texts: pa.Array, samples: int = SAMPLES) -> np.ndarray:
     first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
     out = np.empty((len(counts), samples), dtype=np.uint16)
     for k in range(0, samples, AT_ONCE):
-        drawn = np.empty((len(kinds), AT_ONCE), dtype=np.uint64)
-        for j in range(AT_ONCE):
-            own = mix64(name + U64((k + j + 1) * 0xD1342543DE82EF95 & (2**64 - 1)))
-            u1, u2 = _uniforms(own, 1)
-            u3, u4 = _uniforms(own, 2)
-            r, c = -np.log(u1 * u2), -np.log(u3 * u4)
-            b, _ = _uniforms(own, 3)
-            t = np.floor(log_w / r + b)
-            a = (np.log(c) - r * (t - b) - r).astype(np.float32)
-            # floats ordered as integers, then 32 bits that name (term, t)
-            bits = a.view(np.uint32)
-            bits = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31))
-            drawn[:, j] = (bits.astype(np.uint64) << U64(32)) | (mix64(own + t.astype(np.int64).view(np.uint64) * U64(0x9E3779B97F4A7C15)) >> U64(32))
-        for lo in range(0, len(first), 4096):
-            hi = min(lo + 4096, len(first))
+        drawn = _drawn(name, log_w, k)[:, : samples - k]
+        for lo in range(0, len(first), 64):
+            hi = min(lo + 64, len(first))
             a, b = first[lo], first[hi] if hi < len(first) else len(at)
             out[lo:hi, k : k + AT_ONCE] = np.minimum.reduceat(drawn[at[a:b]], first[lo:hi] - a, axis=0).astype(np.uint16)
     return out
@@ -81,8 +96,11 @@ def _hex(s: np.ndarray) -> list[str]:
 
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """Add `fingerprint`, a hex string of 4 digits for each sample. Null text counts as empty; equal texts agree."""
-    keep = [c for c in docs.columns if c != "fingerprint"]
+    """Add `fingerprint`, a hex string of 4 digits for each sample, in place of a column of that name in any case.
+
+    Null text counts as empty; equal texts agree. Every row stays; an empty table gives no rows.
+    """
+    keep = [c for c in docs.columns if c.lower() != "fingerprint"]
     schema = docs.select(*keep).withColumn("fingerprint", F.lit("")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,22 +115,23 @@ def with_next(docs: DataFrame, rows_per_range: int = 500, ranges_per_task: int =
 
     The first document of each range is sent to the range before it as well (guest = 1), and the first of all to the
     last. Cut points are quantiles of doc_id, one for about `rows_per_range` rows and MOST_RANGES at most (a range is
-    sorted and read as a stream, so it may be long); `ranges_per_task` of them share a task, which evens tasks out.
-    Texts are shuffled once. Rows of one
-    doc_id follow each other by text; null ids come last. Columns: range, guest, doc_id, text.
+    sorted and read as a stream, so it may be long); `ranges_per_task` neighbours share a task. Texts are shuffled once.
+    Rows of one doc_id follow each other by text. Null ids come last, dealt to ranges of their own by a hash of the text.
+    Columns: range, guest, doc_id, text.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    n = min(MOST_RANGES, max(1, round(ids.count() / rows_per_range)))
+    total, known = ids.agg(F.count("*"), F.count("doc_id")).first()
+    n, unnamed = (min(MOST_RANGES, max(1, round(x / rows_per_range))) for x in (known, total - known))
     cuts = sorted({int(c) for c in (ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n)) if n > 1 else [])}, reverse=True)
     sent = docs.sparkSession.sparkContext.broadcast(np.array([-c for c in cuts], dtype=np.int64))
 
     @F.pandas_udf("int")
     def range_of(ids):
-        x = ids.to_numpy(dtype="float64", na_value=np.nan)
-        return ids.__class__(np.where(np.isnan(x), len(sent.value), np.searchsorted(sent.value, -np.nan_to_num(x), side="left")).astype(np.int32))
+        return ids.__class__(np.searchsorted(sent.value, -ids.to_numpy(dtype=np.int64), side="left").astype(np.int32))
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ranged = rows.withColumn("range", range_of("doc_id")) if cuts else rows.withColumn("range", F.lit(0))
+    named = range_of(F.coalesce("doc_id", F.lit(0))) if cuts else F.lit(0)
+    ranged = rows.withColumn("range", F.when(F.col("doc_id").isNull(), len(cuts) + 1 + F.pmod(F.xxhash64("text"), F.lit(unnamed)).cast("int")).otherwise(named))
     tops = ranged.groupBy("range").agg(F.max("doc_id").alias("top"))
     heads = materialize(
         ranged.join(broadcast_if_small(tops), "range").where("doc_id <=> top").groupBy("range").agg(F.min_by(F.struct("doc_id", "text"), "text").alias("h")), "heads"
@@ -121,7 +140,9 @@ def with_next(docs: DataFrame, rows_per_range: int = 500, ranges_per_task: int =
     before = docs.sparkSession.createDataFrame([(a, order[i - 1]) for i, a in enumerate(order)], "range int, to int")
     guests = heads.join(F.broadcast(before), "range").select(F.col("to").alias("range"), F.lit(1).alias("guest"), "h.doc_id", "h.text")
     both = ranged.select("range", F.lit(0).alias("guest"), "doc_id", "text").unionByName(guests)
-    return both.repartition(max(1, len(order) // ranges_per_task), "range").sortWithinPartitions("range", "guest", F.desc_nulls_last("doc_id"), "text")
+    tasks = max(1, math.ceil((order[-1] + 1 if order else 1) / ranges_per_task))
+    dealt = both.repartitionById(tasks, F.floor(F.col("range") / ranges_per_task).cast("int"))
+    return dealt.sortWithinPartitions("range", "guest", F.desc_nulls_last("doc_id"), "text")
 
 
 def edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -129,7 +150,8 @@ def edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
 
     The edited text is the text whose last floor(n_chars / 2) code points are replaced by the first as many (or all)
     of the next document's in descending doc_id; the first document follows the last. A table of one document has that
-    as its own next one. Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+    as its own next one. Null text counts as empty; rows of one doc_id follow each other by text, rows without an id come
+    last; an empty table gives no rows. Columns beside doc_id and text aren't read. Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
