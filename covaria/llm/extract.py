@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pyarrow as pa
@@ -23,129 +24,184 @@ BLOCK = (
     "nav", "ol", "option", "p", "pre", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 )
 NOISE = ("nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "svg", "canvas", "object", "head", *RAW)
-# Parts of class, id and role names that mark boilerplate, and those that mark the article.
-NOISE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookie\w*|consent|notice|alert|popup|modal|newsletter|subscri\w+|sidebar|side|widget\w*"
-    r"|nav\w*|menu\w*|breadcrumb\w*|pagination|pager|foot\w*|copyright|masthead|toolbar|topbar|share\w*|sharing|social\w*|related|recommend\w*|comments?|comment-\w+"
-    r"|disqus\w*|repl(?:y|ies)|respond|login|signup|search\w*|form|hidden|header|complementary|contentinfo|navigation|teaser|outbrain|taboola)(?:$|[\s_-])",
-    re.IGNORECASE,
+# Words in class, id and role names that mark boilerplate, those of other people's text, those that mark the article or its
+# headline, and first words by which a name only tells how a page is laid out.
+NOISE_WORDS = re.compile(
+    r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|notice|alert|popup|modal|newsletter|subscri\w+|sidebar|side|widgets?"
+    r"|nav\w*|menus?|breadcrumbs?|pagination|pager|foot\w*|copyright|masthead|toolbar|topbar|share|sharing|social|login|signup|search|form|hidden|header|complementary"
+    r"|contentinfo|navigation|teasers?|outbrain|taboola)",
 )
-MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:article\w*|post(?:-?(?:body|content|text))?|entry(?:-?(?:content|body|text))?|story(?:-?body)?|content|main(?:-?content)?|body-?text)(?:$|[\s_-])", re.IGNORECASE)
+OTHERS_WORDS = re.compile(r"(?:comments?|disqus|repl(?:y|ies)|respond|related|recommend\w*)")
+MAIN_NAME = re.compile(r"(?:article|post|entry|story)(?:[-_]?(?:body|content|text))?|content|main(?:[-_]?content)?|body[-_]?text", re.IGNORECASE)
+HEADLINE = re.compile(r"(?:article|post|entry|story)[-_]?(?:header|head|heading|title)", re.IGNORECASE)
+LAYOUT = ("has", "no", "with", "without", "is", "not", "layout", "page", "template", "single", "col", "js", "wp")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.DOTALL)
 NAMED = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 # Elements that an opening tag closes, beside an open paragraph, and those that it doesn't look beyond.
-CLOSES = {"body": ("head",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = ("html", "body", "ul", "ol", "dl", "table", "div", "article", "section", "main", "td", "th", "blockquote", "li", "dd", "aside", "form", "nav", "header", "footer")
 
-#: Importance below which a branch is removed, the weight of a node's own part, pages needed to judge, and factors of
-#: nodes that are marked as boilerplate or as the article.
-LEAST, GAMMA, PAGES, NOISE_FACTOR = 0.3, 0.9, 4, 0.0
-SCHEMA = "path string, style string, content string, weight long"
+#: Importance below which a branch is removed, the weight of content against a branch's own styles (to the power of their number),
+#: and pages needed to judge.
+LEAST, GAMMA, PAGES = 0.3, 0.9, 4
+#: Levels of the tree; what lies deeper belongs to its ancestor there.
+DEPTH = 64
 
 
-def nodes(page: str) -> list[tuple[str, str, str]]:
-    """A page's events in order: open and close with path and tag, text with path and text, break with a tag.
+@lru_cache(100_000)
+def mark(step: str) -> str:
+    """What an element's own tag and names say: "others" (comments, related pages), "noise", "header" (of a page or of an
+    article), "main", or nothing.
+
+    Whole names count, by their words: one that begins with a word of LAYOUT ("has-sidebar") says nothing of the element,
+    and nothing is said of html and body.
+    """
+    tag, _, names = step.partition(".")
+    said = ""
+    if tag not in ("html", "body"):
+        for name in names.split():
+            words = [w.lower() for w in PART.findall(name)]
+            if not words or words[0] in LAYOUT or HEADLINE.fullmatch(name):
+                continue
+            if any(OTHERS_WORDS.fullmatch(w) for w in words):
+                return "others"
+            if any(NOISE_WORDS.fullmatch(w) for w in words):
+                said = "noise"
+    if tag in NOISE:
+        return "noise" if tag == "form" else "others"
+    if tag in ("article", "main") or "articlebody" in names.lower().replace("-", ""):
+        return "main"
+    if said or tag == "header":
+        return said or "header"
+    return "main" if any(MAIN_NAME.fullmatch(n) for n in names.split()) else ""
 
-    A path is made of tags with their class, id and role names; siblings with equal ones share a path.
+
+@dataclass
+class Page:
+    """A page's tree of block and marked elements, each of siblings with equal names once, and its texts and breaks in order.
+
+    For each node: its parent, its step (tag with class, id and role names), its path's hash and the tags of its children in
+    order. `events` are (node, text) and (-1, "") for a break between blocks.
     """
-    out: list[tuple[str, str, str]] = []
-    stack: list[tuple[str, str]] = []
-    raw, raw_from, at = "", 0, 0
 
-    def close(to: int) -> None:
-        while len(stack) > to:
-            out.append(("close", stack[-1][1], stack.pop()[0]))
+    parent: list[int] = field(default_factory=lambda: [-1])
+    step: list[str] = field(default_factory=lambda: [""])
+    path: list[int] = field(default_factory=lambda: [0])
+    children: list[list[str]] = field(default_factory=lambda: [[]])
+    events: list[tuple[int, str]] = field(default_factory=list)
+
+    @classmethod
+    def of(cls, page: str) -> Page:
+        import xxhash
 
-    for m in TOKEN.finditer(page):
-        if raw:  # until its own end tag, markup in it is text
-            if not (m[1] and m[2].lower() == raw):
+        out, stack, opened, known = cls(), [("", 0)], Counter(), {}
+
+        def close(to: int) -> None:
+            while len(stack) > to:
+                tag, _ = stack.pop()
+                opened[tag] -= 1
+                if tag in BLOCK:
+                    out.events.append((-1, ""))
+
+        at, end = 0, len(page)
+        while at < end:
+            m = TOKEN.search(page, at)
+            if m is None or m.start() > at:
+                out.events.append((stack[-1][1], page[at : m.start() if m else end]))
+            if m is None:
+                break
+            at = m.end()
+            if m[2] is None:
+                continue
+            tag = m[2].lower()
+            if m[1]:
+                if opened[tag]:
+                    close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
+                elif tag in BLOCK:
+                    out.events.append((-1, ""))
                 continue
-            raw, at = "", m.end()
-            close(len(stack) - 1)
-            continue
-        if m.start() > at:
-            out.append(("text", stack[-1][1] if stack else "", page[at : m.start()]))
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if found is not None:
-                close(found)
-            elif tag in BLOCK:
-                out.append(("break", "", tag))
-            continue
-        if tag in VOID or m[3].rstrip().endswith("/"):
-            out.append(("break", "", tag)) if tag in ("br", "hr") or tag in BLOCK else None
-            continue
-        if tag in BLOCK:
-            # a block ends an open paragraph, and items end their like, up to the box that holds them
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p" or stack[i][0] in CLOSES.get(tag, ()):
-                    close(i)
-                elif stack[i][0] in SCOPE:
-                    break
-        names = " ".join(dict.fromkeys("".join(g[1:]) for g in NAMED.findall(m[3])))
-        path = (stack[-1][1] + ">" if stack else "") + tag + ("." + re.sub(r"[\s>]+", " ", names).strip() if names else "")
-        stack.append((tag, path))
-        out.append(("open", path, tag))
-        if tag in RAW:
-            raw = tag
-    if not raw and at < len(page):
-        out.append(("text", stack[-1][1] if stack else "", page[at:]))
-    close(0)
-    return out
+            if tag in RAW:  # up to its own end tag, whatever is in it
+                found = _end_tag(tag).search(page, at)
+                at = found.end() if found else end
+                continue
+            if tag == "br":
+                out.events.append((stack[-1][1], " "))
+                continue
+            if tag in VOID or m[3].rstrip().endswith("/"):
+                if tag in BLOCK:
+                    out.events.append((-1, ""))
+                continue
+            names = " ".join(dict.fromkeys(" ".join("".join(g[1:]) for g in NAMED.findall(m[3])).split()))
+            step = tag + ("." + names if names else "")
+            if tag not in BLOCK and not (tag in NOISE or names and mark(step)):
+                continue  # inline elements are part of the block that holds them
+            if tag in BLOCK:
+                if opened["head"] and tag not in ("head", "html"):
+                    close(next(i for i, x in enumerate(stack) if x[0] == "head"))
+                # a block ends an open paragraph, and items end their like, up to the box that holds them
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i][0] == "p" or stack[i][0] in CLOSES.get(tag, ()):
+                        close(i)
+                    elif stack[i][0] in SCOPE:
+                        break
+                out.events.append((-1, ""))
+            up = stack[-1][1]
+            out.children[up].append(tag)
+            if (node := known.get((up, step))) is None:
+                if len(stack) > DEPTH:
+                    node = up
+                else:
+                    node = len(out.parent)
+                    out.parent.append(up)
+                    out.step.append(step)
+                    out.path.append(xxhash.xxh64_intdigest(f"{out.path[up]}>{step}") >> 1)
+                    out.children.append([])
+                known[up, step] = node
+            stack.append((tag, node))
+            opened[tag] += 1
+        return out
 
 
-@lru_cache(100_000)
-def factor(step: str) -> float | None:
-    """What a node's own name says of its branch: 0 for boilerplate, 1 for the article, None where the tree decides."""
-    tag, _, names = step.partition(".")
-    if tag in NOISE:
-        return NOISE_FACTOR
-    if tag in ("article", "main") or "articlebody" in names.lower().replace("-", ""):
-        return 1.0
-    if names and NOISE_NAME.search(names):
-        return NOISE_FACTOR
-    if names and MAIN_NAME.search(names):
-        return 1.0
-    return NOISE_FACTOR if tag == "header" else None
+@lru_cache
+def _end_tag(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])[^>]*>?|</{tag}\Z", re.IGNORECASE)
 
 
-def _features(page: str) -> list[tuple[str, str, str, int]]:
-    """(path, style, content, weight) of a page's nodes: an element's run of child tags, and its own text.
+def _features(page: str) -> list[tuple[int, list[int], str, int, int]]:
+    """(path, paths above and its own, kind, value, weight) of a page's nodes: the run of its child tags, and its own text."""
+    import xxhash
 
-    Branches that their names mark as boilerplate are left out; they go anyway.
-    """
-    texts: dict[str, list[str]] = defaultdict(list)
-    open_: list[tuple[str, list[str]]] = []
+    tree = Page.of(page)
+    texts: dict[int, list[str]] = {}
+    for node, text in tree.events:
+        if node >= 0 and (words := text.split()):
+            texts.setdefault(node, []).extend(words)
     rows = []
-    for kind, path, what in nodes(page):
-        if kind == "open":
-            if open_ and (not open_[-1][1] or open_[-1][1][-1] != what):
-                open_[-1][1].append(what)
-            open_.append((path, []))
-        elif kind == "close" and open_:
-            own, children = open_.pop()
-            rows.append((own, " ".join(children), "", 0))
-        elif kind == "text" and what.strip():
-            texts[path].append(" ".join(what.split()))
-    # one content node for each path of the page
-    rows += [(path, "", " ".join(t), sum(map(len, t))) for path, t in texts.items()]
-    return [r for r in rows if all(factor(x) != NOISE_FACTOR for x in r[0].split(">"))]
+    for i in range(1, len(tree.parent)):
+        rows.append((tree.path[i], [], "style", xxhash.xxh64_intdigest(" ".join(tree.children[i])) >> 1, 0))
+    for i, words in texts.items():
+        above, at = [], i
+        while at > 0:
+            above.append(tree.path[at])
+            at = tree.parent[at]
+        text = " ".join(words)
+        rows.append((tree.path[i], above, "text", xxhash.xxh64_intdigest(text) >> 1, len(text)))
+    return rows
 
 
 def site_trees(pages: DataFrame, host: str = "host", least_pages: int = PAGES) -> DataFrame:
-    """Importance of the nodes of each host's style tree: host, path, pages, importance.
-
-    Pages of a host are merged by path (tags with class, id and role). A node's own part is the entropy of its
-    presentation styles (runs of child tags) over pages; a content node's is the entropy-based novelty of its texts:
-    1 less the mean over texts of how evenly each recurs. Both are to the base of the number of pages, where pages with
-    an equal longest content node count once (copies of an article don't make it boilerplate). A branch weighs its own part by 1 - GAMMA and its content nodes, by text length, by GAMMA.
-    With fewer than `least_pages` distinct pages nothing can be told and importance is 1. Nodes under a branch
-    whose name marks it as boilerplate are left out.
+    """Importance of the nodes of each host's style tree: host, path (a hash of tags, classes, ids and roles), pages, importance.
+
+    Pages of a host are merged by path; all branches take part, whatever their names. A node's own part is the entropy of
+    its presentation styles (the tags of its children) over pages; a content node's is the entropy-based novelty of its
+    texts: 1 less the mean over texts of how evenly each recurs. Both are to the base of the number of pages with the node,
+    where pages with equal content count once (copies of an article don't make it boilerplate). Of a branch with l styles the
+    content, weighted by text length, counts GAMMA ** l and its own part the rest. With fewer than `least_pages` distinct
+    pages nothing can be told and importance is 1. Null html is an empty page; an empty table has no trees.
     """
+    names, kinds = ("host", "page", "path", "above", "kind", "value", "weight"), (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string(), pa.int64(), pa.int64())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -153,70 +209,77 @@ def site_trees(pages: DataFrame, host: str = "host", least_pages: int = PAGES) -
             out: list[tuple] = []
             for name, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
                 rows = _features(page or "")
-                print_ = xxhash.xxh64_intdigest(max((c for _, _, c, _ in rows), key=len, default="")) >> 1
-                out += [(name, print_, p, "text" if c else "style", xxhash.xxh64_intdigest(c or s) >> 1, w) for p, s, c, w in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)] if out else [pa.array([], t) for t in (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())], names=["host", "page", "path", "kind", "value", "weight"])
-
-    seen = pages.select(F.col(host).alias("host"), "html").mapInArrow(run, "host string, page long, path string, kind string, value long, weight long")
-    # a third of the pages may be one host's: rows are summed by (host, path, value, page) before anything gathers by host
-    each = seen.groupBy("host", "path", "kind", "value", "page").agg(F.max("weight").alias("weight"))
-    values = each.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n"), F.max("weight").alias("weight"))
+                own = xxhash.xxh64_intdigest(repr([r[3] for r in rows if r[2] == "text"])) >> 1
+                out += [(name, own, *r) for r in rows]
+            columns = zip(*out, strict=True) if out else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=list(names))
+
+    seen = pages.select(F.col(host).alias("host"), "html").mapInArrow(run, "host string, page long, path long, above array<long>, kind string, value long, weight long")
+    # a third of the pages may be one host's: rows are summed by (host, path, value, page) before anything gathers by path
+    each = seen.groupBy("host", "path", "kind", "value", "page").agg(F.max("weight").alias("weight"), F.first("above").alias("above"))
+    each = materialize(each, "tree-values")
     held = each.groupBy("host", "path").agg(F.count_distinct("page").alias("pages"))
-    per = values.join(held, ["host", "path"])
+    values = each.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("n"), F.max("weight").alias("weight"), F.first("above").alias("above"))
+    style, text = F.col("kind") == "style", F.col("kind") == "text"
+    stats = values.groupBy("host", "path").agg(
+        F.count_if(style).alias("styles"), F.sum(F.when(style, F.col("n"))).alias("styled"), F.sum(F.when(style, F.col("n") * F.log("n"))).alias("n_log_n"),
+        F.avg(F.when(text, F.log("n"))).alias("even"), F.sum(F.when(text, F.col("weight"))).alias("weight"), F.first(F.when(text, F.col("above")), ignorenulls=True).alias("above"),
+    )
     m = F.col("pages")
-    p = F.col("n") / m
-    stats = per.groupBy("host", "path", "pages").agg(
-        F.sum(F.when(F.col("kind") == "style", -p * F.log(p))).alias("style_h"),
-        F.avg(F.when(F.col("kind") == "text", F.log("n"))).alias("even"),
-        F.sum(F.when(F.col("kind") == "text", F.col("weight"))).alias("weight"),
-    )
-    judged = m >= least_pages
-    node = stats.select(
-        "host", "path", "pages",
-        F.when(judged, F.least(F.lit(1.0), F.coalesce("style_h", F.lit(0.0)) / F.log(m))).otherwise(1.0).alias("own"),
-        F.when(judged, 1 - F.coalesce("even", F.lit(0.0)) / F.log(m)).otherwise(1.0).alias("novel"), F.col("weight"),
+    # shares of styles are of the pages with the node: sum(-p ln p) = ln(m) styled / m - sum(n ln n) / m
+    entropy = F.coalesce(F.col("styled") / m - F.col("n_log_n") / (m * F.log(m)), F.lit(0.0))
+    node = materialize(
+        stats.join(held, ["host", "path"]).select(
+            "host", "path", "pages", "styles", "above", "weight", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(m > 1, entropy))).alias("own"),
+            F.when(m > 1, 1 - F.coalesce("even", F.lit(0.0)) / F.log(m)).otherwise(1.0).alias("novel"),
+        ), "tree-nodes",
     )
-    node = materialize(node, "tree-nodes")
-    steps = F.split("path", ">")
-    above = node.where("weight > 0").select("host", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), ">"))).alias("path"), "novel", "weight")
-    content = above.groupBy("host", "path").agg((F.sum(F.col("novel") * F.col("weight")) / F.sum("weight")).alias("content"))
+    content = node.where("weight > 0").select("host", F.explode("above").alias("path"), "novel", "weight")
+    content = content.groupBy("host", "path").agg((F.sum(F.col("novel") * F.col("weight")) / F.sum("weight")).alias("content"))
+    rest = F.pow(F.lit(GAMMA), F.greatest("styles", F.lit(1)))
     return node.join(content, ["host", "path"], "left").select(
-        "host", "path", "pages", F.when(F.col("pages") < least_pages, 1.0).otherwise((1 - GAMMA) * F.col("own") + GAMMA * F.coalesce("content", "own")).alias("importance")
+        "host", "path", "pages", F.when(m < least_pages, 1.0).otherwise((1 - rest) * F.col("own") + rest * F.coalesce("content", "own")).alias("importance")
     )
 
 
-def _text(page: str, low: set[str]) -> str:
-    """Blocks of the branches that are kept, each with single spaces, joined by one space in page order."""
-    rows = nodes(page)
-    marks: dict[str, float | None] = {}
-
-    def of(path: str) -> float | None:
-        if path not in marks:
-            up, _, step = path.rpartition(">")
-            above = of(up) if path else None
-            own = factor(step) if path else None
-            if above == NOISE_FACTOR or own == NOISE_FACTOR and not (above == 1.0 and step.partition(".")[0] == "header"):
-                marks[path] = NOISE_FACTOR
-            elif above == 1.0 or own == 1.0:
-                # inside an article the tree judges boxes with names of their own, not paragraphs and headings
-                marks[path] = NOISE_FACTOR if own is None and path in low and "." in step else 1.0
-            else:
-                marks[path] = NOISE_FACTOR if path in low else None
-        return marks[path]
+def _text(page: str, low: set[int]) -> str:
+    """Blocks of the branches that are kept, each with single spaces, joined by one space in page order.
 
+    low: paths of low importance in the page's site tree. Such branches go, but the article's own paragraphs and headings,
+    where the tree judges boxes with names only. Branches with boilerplate's names go, except those that hold more than half of
+    the article's text that the tree finds new (a form or a box around the whole page).
+    """
+    tree = Page.of(page)
+    many = len(tree.parent)
+    said = [mark(s) if s else "" for s in tree.step]
+    new = [0] * many
+    for node, text in tree.events:
+        if node >= 0 and tree.path[node] not in low:
+            new[node] += len(text) - text.count(" ")
+    # parents come before their children
+    gone, inside = [False] * many, [False] * many
+    for i in range(1, many):
+        up = tree.parent[i]
+        gone[i], inside[i] = gone[up] or said[i] == "others", inside[up] or said[i] == "main"
+    body = [n if a and not g else 0 for n, a, g in zip(new, inside, gone, strict=True)]
+    whole = sum(body)
+    for i in range(many - 1, 0, -1):
+        body[tree.parent[i]] += body[i]
+    cut, main = [False] * many, [False] * many
+    for i in range(1, many):
+        up = tree.parent[i]
+        noise = said[i] == "others" or said[i] == "header" and not main[up] or said[i] == "noise" and 2 * body[i] <= whole
+        main[i] = main[up] or said[i] == "main"
+        cut[i] = cut[up] or noise or tree.path[i] in low and (not main[i] or main[up] and "." in tree.step[i])
     # an article is read alone; a page without one keeps all that wasn't removed
-    main = any(kind == "text" and of(path) == 1.0 and what.strip() for kind, path, what in rows)
+    alone = any(node >= 0 and main[node] and not cut[node] and text.strip() for node, text in tree.events)
     blocks, now = [], []
-    for kind, path, what in rows:
-        if kind == "text":
-            mark = of(path)
-            if mark != NOISE_FACTOR and (mark == 1.0 or not main):
-                now.append(html.unescape(what))
-        elif what == "br":
-            now.append(" ")
-        elif what in BLOCK:
+    for node, text in tree.events:
+        if node < 0:
             blocks.append("".join(now))
             now = []
+        elif not cut[node] and (main[node] or not alone):
+            now.append(html.unescape(text))
     blocks.append("".join(now))
     return " ".join(" ".join(b.split()) for b in blocks if b.strip())
 
@@ -224,10 +287,11 @@ def _text(page: str, low: set[str]) -> str:
 def extract(pages: DataFrame, **options) -> DataFrame:
     """Main text of each page: page_id, url, text, n_chars.
 
-    Importance is a branch's value in its host's style tree times what its own name says (0 for menus, headers,
-    footers, sidebars, notices, adverts, forms, scripts, styles and comments; an article counts in full). Branches
-    below LEAST go. Null html counts as empty, gives an empty text; a null or odd url is a host of its own kind.
-    Repeated rows stay and count once in a tree. Broken markup is read as far as it goes; nothing is capped.
+    Branches of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments go by their names,
+    and any branch whose importance in its host's style tree is below LEAST, whatever its name; see _text() for what is kept
+    where the two disagree. Null html counts as empty and gives an empty text; a null or odd url is a host of its own kind.
+    Repeated rows stay and count once in a tree; an empty table gives no rows; columns beside page_id, url and html aren't
+    read. Broken markup is read as far as it goes; nothing is capped.
     """
     hosted = pages.select("page_id", "url", "html", F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1)), F.lit("")).alias("host"))
     trees = site_trees(hosted, **options)

@@ -234,6 +234,51 @@ def test_style_tree_removes_what_recurs(spark):
     assert all("club" not in got[i]["text"] and f"Story number {i} " in got[i]["text"] for i in range(12)) and "club" in got[100]["text"]
 
 
+def test_extract_broken_and_deep_pages():
+    article = "<article class='post'><header class=article-header><h1>Big  news</h1></header><p>It &lt;works&gt; now.</article>"
+    for page, want in {
+        f"<script>for(var i=0;i<n;i++){{}}</script>{article}": None, f"<body class='single has-sidebar'>{article}<aside>x</aside></body>": None,
+        f"<form id=aspnet><div class=sidebar>s</div>{article}</form>": None, f"<html><head><title>t</title><meta x>{article}": None,
+        f"<div class=related><article><p>Other</p></article></div>{article}<div id=comments><article>me</article></div>": None,
+        "<b>" * 3000 + "<div>" * 3000 + "deep <i>down</i>": "deep down", "</p>" * 10 + "a < b<br>c" + "<script>": "a < b c", "<p>one<p class=ad>two<p>three": "one three",
+    }.items():
+        assert extract._text(page, set()) == (want or "Big news It <works> now.")
+
+
+def test_style_tree_against_brute_force(spark, sf_dir):
+    """Importance from plain counts, on the table's pages and on a host whose pages share boxes."""
+    rows = [(i, f"http://h.example/{i}", f"<body><div class=a><p>Same words</p></div><div class=b><p>{i * i}</p>" + "<p>more</p>" * (i % 3) + "</div></body>") for i in range(7)]
+    df = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").limit(300).union(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    hosted = df.withColumn("host", F.regexp_extract("url", "//([^/?#]*)", 1)).cache()
+    got = {(r["host"], r["path"]): r["importance"] for r in extract.site_trees(hosted).collect()}
+    sites = defaultdict(dict)
+    for r in hosted.collect():
+        features = extract._features(r["html"] or "")
+        sites[r["host"]][tuple(f[3] for f in features if f[2] == "text")] = features
+    want, novel = {}, {}
+    for host, pages in sites.items():
+        seen, above, weight = defaultdict(lambda: defaultdict(set)), {}, {}
+        for name, features in pages.items():
+            for path, up, kind, value, w in features:
+                seen[path][kind, value].add(name)
+                if kind == "text":
+                    above[path], weight[path, value] = up, w
+        m = {p: len(set().union(*v.values())) for p, v in seen.items()}
+        for p, v in seen.items():
+            if (t := [len(x) for (kind, _), x in v.items() if kind == "text"]) and m[p]:
+                novel[p] = 1 - sum(map(math.log, t)) / len(t) / math.log(m[p]) if m[p] > 1 else 1.0
+        for p, v in seen.items():
+            styles = [len(x) / m[p] for (kind, _), x in v.items() if kind == "style"]
+            own = min(1.0, max(0.0, -sum(x * math.log(x) for x in styles) / math.log(m[p]))) if m[p] > 1 else None
+            under = [(novel[q], sum(w for (x, _), w in weight.items() if x == q)) for q, up in above.items() if p in up]
+            content = sum(a * b for a, b in under) / sum(b for _, b in under) if under else own
+            rest = 0.9 ** max(1, len(styles))
+            want[host, p] = 1.0 if m[p] < extract.PAGES else (1 - rest) * own + rest * content
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in want)
+    texts_ = by_id(extract.extract(df.where("url LIKE 'http://h.example/%'")), "page_id")
+    assert all(texts_[i]["text"].startswith(str(i * i)) and "Same" not in texts_[i]["text"] for i in range(7))
+
+
 # pieces
 
 
