@@ -2,7 +2,9 @@
 
 Counts of words and word pairs are summed over the shuffle and quantised to levels of their logarithm. A key of level q
 is put into the filter q times, as (key, 1) to (key, q); probing (key, 1), (key, 2) and so on until one is missing gives
-the level back. The filter is broadcast while it is within a bound; beyond that the same levels are joined by key.
+the level back. The filter consists of parts of bounded size, which are rows of a table. While they are within a bound
+together they are broadcast; beyond that each distinct key is sent to the part that it belongs to and probed there. Both
+ways read the same bits, so scores are the same.
 """
 
 from __future__ import annotations
@@ -25,30 +27,30 @@ WORD_KIND, PAIR_KIND, BACK_KIND = 1, 2, 3
 #: Bases of the levels of counts and of back-off weights, bits and hashes of an item in the filter.
 BASE, BACK_BASE, ITEM_BITS, HASHES = 1.5, 1.2, 12, 8
 MOST_LEVELS = 100
-#: Pairs seen less often are left to back-off; what is taken off the count of a pair.
-LEAST_PAIR, DISCOUNT = 2, 0.75
-#: Bytes of the largest filter that is broadcast, bits of the parts in which it is built, words whose exact counts are.
-FILTER_BYTES, PART_BITS, HOT_WORDS = 64 << 20, 1 << 25, 400_000
+#: What is taken off the count of a pair and left to back-off.
+DISCOUNT = 0.75
+#: Bytes of the largest filter that is broadcast, bits of its parts, words whose exact counts are broadcast.
+FILTER_BYTES, PART_BITS, HOT_WORDS = 128 << 20, 1 << 23, 400_000
 #: Distinct keys that a counting task holds before it passes them on.
 FLUSH_KEYS = 4_000_000
 
 
-def _counts_of_levels(least: int) -> np.ndarray:
+def _counts_of_levels() -> np.ndarray:
     """The count that each level stands for: the mean of the whole numbers in it; level 0 is count 0."""
     out = [0.0]
     for q in range(MOST_LEVELS):
-        lo, hi = least * BASE**q, least * BASE ** (q + 1)
+        lo, hi = BASE**q, BASE ** (q + 1)
         n = math.floor(hi - 1e-9) - math.ceil(lo - 1e-9) + 1
         out.append((math.ceil(lo - 1e-9) + math.floor(hi - 1e-9)) / 2 if n > 0 else (lo + hi) / 2)
     return np.array(out)
 
 
-WORD_COUNT, PAIR_COUNT = _counts_of_levels(1), _counts_of_levels(LEAST_PAIR)
+LEVEL_COUNT = _counts_of_levels()
 BACK_WEIGHT = BACK_BASE ** -np.arange(MOST_LEVELS + 1.0)
 
 
-def _level(n, least: int = 1):
-    return (F.floor(F.log(n / F.lit(float(least))) / math.log(BASE) + 1e-9) + 1).cast("int")
+def _level(n):
+    return (F.floor(F.log(n) / math.log(BASE) + 1e-9) + 1).cast("int")
 
 
 @dataclass
@@ -122,38 +124,36 @@ def count(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """What training leaves: totals, tables of word counts and of levels (kind, key, level), and the number of items."""
+    """What training leaves: totals, exact counts of words, levels (kind, key, level), the number of items, and the filter's parts."""
 
+    texts: int
     tokens: int
     vocabulary: int
     words: DataFrame
-    entries: DataFrame
     items: int
+    parts: DataFrame
     hot: tuple[np.ndarray, np.ndarray]
 
 
-def train(docs: DataFrame) -> Model:
-    """Count all rows' words and pairs, null text as empty, and quantise them.
+def train(docs: DataFrame, part_bits: int = PART_BITS) -> Model:
+    """Count all rows' words and pairs, null text as empty, quantise them and put them into the filter.
 
-    Pairs seen LEAST_PAIR times or more keep their count less DISCOUNT; a context's back-off weight is what this leaves
-    of its count. Only totals and the exact counts of the HOT_WORDS most frequent words come back to the driver.
+    A pair keeps its count less DISCOUNT; a context's back-off weight is what this leaves of its count. Only totals and the
+    exact counts of the HOT_WORDS most frequent words come back to the driver. An empty table leaves an empty filter.
     """
     spark = docs.sparkSession
     n_docs = docs.count()
-    kept = materialize(count(docs.select("text")).where(f"kind <> {PAIR_KIND} OR n >= {LEAST_PAIR}"), "lm-counts")
+    kept = materialize(count(docs.select("text")), "lm-counts")
     words, pairs = kept.where(f"kind = {WORD_KIND}").select("key", "n"), kept.where(f"kind = {PAIR_KIND}").select("key", "n")
     total = words.agg(F.sum("n"), F.count("*")).first()
     start = spark.createDataFrame([(int(np.array(START).view(np.int64)), n_docs)], "key long, n long")
     context = words.union(start).groupBy(F.shiftright("key", 32).alias("key")).agg(F.sum("n").alias("seen"))
+    # a frequent context has a row for each of its pairs: they are summed before the shuffle
     stored = pairs.groupBy(F.shiftright("key", 32).alias("key")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
     left = 1 - (F.col("n") - DISCOUNT * F.col("kinds")) / F.col("seen")
     back = F.least(F.lit(MOST_LEVELS), F.floor(-F.log(F.greatest(left, F.lit(1e-7))) / math.log(BACK_BASE) + 0.5).cast("int"))
-    entries = (
-        words.select(F.lit(WORD_KIND).alias("kind"), "key", _level(F.col("n")).alias("level"))
-        .union(pairs.select(F.lit(PAIR_KIND), "key", _level(F.col("n"), LEAST_PAIR)))
-        .union(stored.join(context, "key").select(F.lit(BACK_KIND), "key", back.alias("level")).where("level > 0"))
-    )
-    entries = materialize(entries, "lm-levels")
+    backs = materialize(stored.join(context, "key").select(F.lit(BACK_KIND).cast("byte").alias("kind"), "key", back.alias("level")).where("level > 0"), "lm-backs")
+    entries = kept.select("kind", "key", _level(F.col("n")).alias("level")).union(backs)
     items = entries.agg(F.sum("level")).first()[0] or 0
     # the most frequent words, down to a level above which at most HOT_WORDS are
     levels = sorted(words.groupBy(_level(F.col("n")).alias("level")).count().collect(), key=lambda r: -r["level"])
@@ -165,20 +165,18 @@ def train(docs: DataFrame) -> Model:
     top = words.where(_level(F.col("n")) >= least).toArrow()
     key, n = top.column("key").to_numpy().view(U64), top.column("n").to_numpy()
     order = np.argsort(key)
-    return Model(total[0] or 0, total[1], words, entries, items, (key[order], n[order]))
+    return Model(n_docs, total[0] or 0, total[1], words, items, materialize(build(entries, items, part_bits), "lm-filter"), (key[order], n[order]))
 
 
-def _positions(key: np.ndarray, level: int, kind: int, bits: int) -> Iterator[np.ndarray]:
-    with np.errstate(over="ignore"):
-        h = mix64(key ^ U64((kind * 0x9E3779B97F4A7C15 + level * 0xD1B54A32D192ED03) & (2**64 - 1)))
-        step = mix64(h + U64(0x8BB84B93962EACC9)) | U64(1)
-        for i in range(HASHES):
-            yield (h + U64(i) * step) % U64(bits)
+def _part(key: np.ndarray, parts: int) -> np.ndarray:
+    return (key & U64(0xFFFFFF)) % U64(parts)
 
 
-def _part(key: np.ndarray, kind: int, parts: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (mix64(key + U64(kind * 0x2545F4914F6CDD1D)) >> U64(20)) % U64(parts)
+def _shape(items: int, part_bits: int) -> tuple[int, int]:
+    """Number of parts and bits of each."""
+    bits = max(64, items * ITEM_BITS)
+    parts = math.ceil(bits / part_bits)
+    return parts, math.ceil(bits / parts / 64) * 64
 
 
 @dataclass
@@ -204,7 +202,7 @@ class Filter:
         """Level of each key: probes go on until one is missing."""
         out = np.zeros(len(key), dtype=np.int64)
         at = np.arange(len(key))
-        base = _part(key, kind, self.parts) * U64(self.bits)
+        base = _part(key, self.parts) * U64(self.bits)
         for level in range(1, MOST_LEVELS + 1):
             at = at[self._has(key[at], base[at], level, kind)]
             if not len(at):
@@ -213,44 +211,69 @@ class Filter:
         return out
 
 
-def build(entries: DataFrame, items: int, part_bits: int = PART_BITS) -> Filter:
-    """Put the levels into a filter of ITEM_BITS bits an item; its parts are filled in tasks and joined on the driver.
+def _positions(key: np.ndarray, level: int, kind: int, bits: int) -> Iterator[np.ndarray]:
+    with np.errstate(over="ignore"):
+        h = mix64(key ^ U64((kind * 0x9E3779B97F4A7C15 + level * 0xD1B54A32D192ED03) & (2**64 - 1)))
+        step = mix64(h + U64(0x8BB84B93962EACC9)) | U64(1)
+        for i in range(HASHES):
+            yield (h + U64(i) * step) % U64(bits)
 
-    The caller has checked that the whole is within a bound.
-    """
-    bits = max(64, items * ITEM_BITS)
-    parts = math.ceil(bits / part_bits)
-    bits = math.ceil(bits / parts / 64) * 64
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kind, key, part = b.column("kind").to_numpy(), b.column("key").to_numpy().view(U64), np.zeros(b.num_rows, dtype=np.int32)
-            for k in np.unique(kind):
-                part[kind == k] = _part(key[kind == k], int(k), parts)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part)], names=[*b.schema.names, "part"])
+def _dealt(keyed: DataFrame, parts: int) -> DataFrame:
+    """Rows with a long `key` in the task of the part that it belongs to; every part is a task of its own."""
+    return keyed.withColumn("part", (F.col("key").bitwiseAND(F.lit(0xFFFFFF)) % parts).cast("int")).repartitionById(parts, "part")
+
+
+def build(entries: DataFrame, items: int, part_bits: int = PART_BITS) -> DataFrame:
+    """Put the levels into a filter of ITEM_BITS bits an item: one row (part, data) for each part, filled in a task of its own."""
+    parts, bits = _shape(items, part_bits)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        data, own = np.zeros(bits // 8, dtype=np.uint8), None
         for b in batches:
-            kind, level, part = (b.column(c).to_numpy() for c in ("kind", "level", "part"))
-            key = b.column("key").to_numpy().view(U64)
-            for p, k in {*zip(part.tolist(), kind.tolist(), strict=True)}:
-                mine = (part == p) & (kind == k)
-                own, q = key[mine], level[mine]
-                data = held.setdefault(p, np.zeros(bits // 8, dtype=np.uint8))
+            kind, level, key = b.column("kind").to_numpy(), b.column("level").to_numpy(), b.column("key").to_numpy().view(U64)
+            for k in np.unique(kind):
+                mine, q = key[kind == k], level[kind == k]
                 for now in range(1, int(q.max()) + 1):
-                    for at in _positions(own[q >= now], now, int(k), bits):
+                    for at in _positions(mine[q >= now], now, int(k), bits):
                         np.bitwise_or.at(data, (at >> U64(3)).astype(np.int64), np.uint8(1) << (at & U64(7)).astype(np.uint8))
-        for p, data in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([data.tobytes()], pa.binary())], names=["part", "data"])
+            own = b.column("part")[0].as_py() if b.num_rows else own
+        if own is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([data.tobytes()], pa.binary())], names=["part", "data"])
+
+    return _dealt(entries, parts).mapInArrow(fill, "part int, data binary")
 
-    dealt = entries.mapInArrow(named, "kind int, key long, level int, part int").repartition(parts, "part") if parts > 1 else entries.coalesce(1).mapInArrow(named, "kind int, key long, level int, part int")
+
+def gather(rows: DataFrame, items: int, part_bits: int = PART_BITS) -> Filter:
+    """The whole filter on the driver; the caller has checked that it is within a bound."""
+    parts, bits = _shape(items, part_bits)
     data = np.zeros(bits // 8 * parts, dtype=np.uint8)
-    for r in dealt.mapInArrow(fill, "part int, data binary").collect():
+    for r in rows.toLocalIterator():
         data[r["part"] * bits // 8 : (r["part"] + 1) * bits // 8] = np.frombuffer(r["data"], dtype=np.uint8)
     return Filter(bits, parts, data)
 
 
+def probe(keys: DataFrame, rows: DataFrame, items: int, part_bits: int = PART_BITS) -> DataFrame:
+    """Levels (kind, key, level) of distinct (kind, key), each probed in the task that holds its part of the filter."""
+    parts, bits = _shape(items, part_bits)
+    asked = _dealt(keys.select("kind", "key"), parts).select("part", "kind", "key", F.lit(None).cast("binary").alias("data"))
+    # a part's own row comes before what is asked of it
+    both = rows.select("part", F.lit(0).cast("byte").alias("kind"), F.lit(0).cast("long").alias("key"), "data").unionByName(asked)
+    both = both.repartitionById(parts, "part").sortWithinPartitions("kind")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = Filter(bits, 1, np.zeros(bits // 8, dtype=np.uint8))
+        for b in batches:
+            kind, key = b.column("kind").to_numpy(), b.column("key").to_numpy().view(U64)
+            for place in np.flatnonzero(kind == 0):
+                f = Filter(bits, 1, np.frombuffer(b.column("data")[int(place)].as_py(), dtype=np.uint8))
+            for k in np.unique(kind[kind > 0]):
+                mine = key[kind == k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), k, dtype=np.int8)), pa.array(mine.view(np.int64)), pa.array(f.levels(mine, int(k)).astype(np.int32))], names=["kind", "key", "level"])
+
+    return both.mapInArrow(run, "kind byte, key long, level int")
+
+
 def _probability(word, pair, before, back, tokens: int, vocabulary: int):
     """Discounted share of the pair in its context, and the word's own share, plus one each, by the back-off weight.
 
@@ -261,35 +284,35 @@ def _probability(word, pair, before, back, tokens: int, vocabulary: int):
 
 def _log10(t: Tokens, f: Filter, n_docs: int, tokens: int, vocabulary: int) -> np.ndarray:
     names, at = np.unique(np.concatenate((t.word, t.before)), return_inverse=True)
-    word = WORD_COUNT[f.levels(names, WORD_KIND)]
+    word = LEVEL_COUNT[f.levels(names, WORD_KIND)]
     word[names == START] = max(1, n_docs)
     back = BACK_WEIGHT[f.levels(_upper(names), BACK_KIND)]
-    pair = PAIR_COUNT[f.levels(t.pairs(), PAIR_KIND)]
+    pairs, place = np.unique(t.pairs(), return_inverse=True)
+    pair = LEVEL_COUNT[f.levels(pairs, PAIR_KIND)][place]
     w, v = at[: len(t.word)], at[len(t.word) :]
     own, rest = _probability(word[w], pair, np.maximum(word[v], np.maximum(pair, 1)), back[v], tokens, vocabulary)
     return np.log10(np.minimum(1.0, np.where(pair > 0, own, 0) + rest))
 
 
-def score(docs: DataFrame, held: F.Column | None = None, filter_bytes: int = FILTER_BYTES, model: Model | None = None) -> DataFrame:
+def score(docs: DataFrame, held: F.Column | None = None, filter_bytes: int = FILTER_BYTES, part_bits: int = PART_BITS) -> DataFrame:
     """Score every row of docs by a model of the rows that aren't held out: one row for each, with doc_id, held_out,
     n_tokens, n_known, train_tokens, base_score and score.
 
     Tokens are words with A-Z lowered and one end token for each text; null text is empty. score sums the log10 of
     interpolated, discounted pair probabilities; all counts in them are read from the filter. base_score and n_known
     use exact counts: those of the most frequent words come from a table of bounded size, all others are joined. Where
-    the filter would exceed `filter_bytes`, the levels of all pairs are joined by key instead of probed; only false
-    positives of the filter then differ. Repeated rows are scored each; an empty table gives no rows; with nothing
-    learned both scores are 0 a token. Columns but doc_id and text aren't read.
+    the filter exceeds `filter_bytes`, its parts stay where they are and keys are sent to them; scores are the same.
+    Equal texts tie and repeated rows are scored each; null ids are learned from; an empty table gives no rows; with nothing
+    learned both scores are 0 a token. Columns but doc_id and text aren't read, whatever their names.
     """
     spark = docs.sparkSession
     held = held_out(7) if held is None else held
     rows = docs.select("doc_id", held.alias("held_out"), "text")
     learned = rows.where("NOT held_out")
-    model = model or train(learned)
-    n_docs = learned.count()
-    tokens, vocabulary = model.tokens, model.vocabulary
+    model = train(learned, part_bits)
+    n_docs, tokens, vocabulary = model.texts, model.tokens, model.vocabulary
     whole = model.items * ITEM_BITS <= 8 * filter_bytes
-    sent = spark.sparkContext.broadcast((build(model.entries, model.items) if whole else None, model.hot))
+    sent = spark.sparkContext.broadcast((gather(model.parts, model.items, part_bits) if whole else None, model.hot))
     kind = pa.list_(pa.struct([("key", pa.int64()), ("n", pa.int32())]))
     trio = pa.list_(pa.struct([("w", pa.int64()), ("v", pa.int64()), ("p", pa.int64())]))
 
@@ -330,24 +353,28 @@ def score(docs: DataFrame, held: F.Column | None = None, filter_bytes: int = FIL
     more = other.join(model.words, "key").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"), F.sum("times").alias("more_known"))
     out = first.drop("rare", "probes").join(more, "row", "left")
     if not whole:
-        out = out.drop("scored").join(_joined(first, model, n_docs), "row")
+        out = out.drop("scored").join(_joined(first, model, part_bits), "row")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(tokens + vocabulary + 1)))).alias("base_score"), F.col("scored").alias("score"),
     )
 
 
-def _joined(first: DataFrame, model: Model, n_docs: int) -> DataFrame:
-    """row and scored, with the levels joined by key in place of a filter; probes are counted for each row before."""
-    probes = first.select("row", F.explode("probes").alias("x")).groupBy("row", "x.w", "x.v", "x.p").agg(F.count("*").alias("times"))
-    of = lambda kind, key, level: model.entries.where(f"kind = {kind}").select(F.col("key").alias(key), F.col("level").alias(level))
+def _joined(first: DataFrame, model: Model, part_bits: int) -> DataFrame:
+    """row and scored, with the levels of all distinct keys probed in the filter's parts and joined by key."""
+    probes = materialize(first.select("row", F.explode("probes").alias("x")).groupBy("row", "x.w", "x.v", "x.p").agg(F.count("*").alias("times")), "lm-probes")
+    names = [F.struct(F.lit(WORD_KIND).cast("byte").alias("kind"), F.col(c).alias("key")) for c in "wv"]
+    keys = F.array(*names, F.struct(F.lit(PAIR_KIND).cast("byte").alias("kind"), F.col("p").alias("key")), F.struct(F.lit(BACK_KIND).cast("byte").alias("kind"), F.shiftright("v", 32).alias("key")))
+    asked = probes.select("w", "v", "p").distinct().select(F.explode(keys).alias("k")).select("k.kind", "k.key").distinct()
+    levels = materialize(probe(asked, model.parts, model.items, part_bits), "lm-answers")
+    of = lambda kind, key, level: levels.where((F.col("kind") == kind) & (F.col("level") > 0)).select(F.col("key").alias(key), F.col("level").alias(level))
     joined = (
         probes.join(of(WORD_KIND, "w", "qw"), "w", "left").join(of(PAIR_KIND, "p", "qp"), "p", "left")
         .join(of(WORD_KIND, "v", "qv"), "v", "left").withColumn("u", F.shiftright("v", 32)).join(of(BACK_KIND, "u", "qu"), "u", "left")
     )
     table = lambda values, level: F.element_at(F.lit(values.tolist()), F.coalesce(level, F.lit(0)) + 1)
-    pair = table(PAIR_COUNT, F.col("qp"))
-    seen = F.when(F.col("v") == int(np.array(START).view(np.int64)), F.lit(float(max(1, n_docs)))).otherwise(table(WORD_COUNT, F.col("qv")))
-    own, rest = _probability(table(WORD_COUNT, F.col("qw")), pair, F.greatest(seen, pair, F.lit(1.0)), table(BACK_WEIGHT, F.col("qu")), model.tokens, model.vocabulary)
+    pair = table(LEVEL_COUNT, F.col("qp"))
+    seen = F.when(F.col("v") == int(np.array(START).view(np.int64)), F.lit(float(max(1, model.texts)))).otherwise(table(LEVEL_COUNT, F.col("qv")))
+    own, rest = _probability(table(LEVEL_COUNT, F.col("qw")), pair, F.greatest(seen, pair, F.lit(1.0)), table(BACK_WEIGHT, F.col("qu")), model.tokens, model.vocabulary)
     p = F.least(F.lit(1.0), F.when(pair > 0, own).otherwise(0.0) + rest)
     return joined.groupBy("row").agg(F.sum(F.col("times") * F.log10(p)).alias("scored"))
