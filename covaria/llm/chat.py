@@ -24,35 +24,41 @@ def unescape(text: Column) -> Column:
 def windows(conversations: DataFrame, budget: int = 2048, history: int = 512, overhead: int = 4) -> DataFrame:
     """Training windows of conversations: conv_id, window, text, repeated, loss (array of start and length).
 
-    Rows of a conversation are ordered by turn, then role and text. Prefix sums of turn tokens (words plus `overhead`)
-    cut it into strides of (budget - history) / 2: a window's own turns are those that begin in its stride, so no turn
-    is split and each is in one window as its own. A window repeats the leading system turn, and those last turns
-    before it whose tokens fit into `history`. Repeated turns come first (`repeated` of them) and are masked: `loss`
-    holds the code point spans of the window's own assistant texts only. Where turns are no longer than a stride,
-    a window keeps within the budget and the system turn; a longer turn has a window to itself, whole.
+    Rows of a conversation are ordered by turn, then role and text. A turn's tokens are its words, or a quarter of its UTF-8
+    bytes where that is more, plus `overhead`. A leading system turn of up to half of the budget is repeated in every window,
+    and what it leaves is the room: history is `history` or a quarter of the room, and the stride half of the rest. Prefix sums
+    of the other turns' tokens cut the conversation into strides: a window's own turns are those that begin in its stride, so
+    no turn is split and each is in one window as its own. A window repeats the last turns before it whose tokens fit into
+    history. Repeated turns come first (`repeated` of them) and are masked: `loss` holds the code point spans of the window's
+    own assistant texts only. Where turns are no longer than a stride, every window keeps within the budget; a longer turn is
+    the last of its window, whole. A system turn of more than half of the budget is in the first window only, like any turn.
 
     Null role or text counts as empty, null conv_id is one conversation, null turns come first; repeated rows are
-    turns of their own. Empty texts are kept. Columns beside conv_id, turn, role, text aren't read.
+    turns of their own. Empty texts are kept. Columns beside conv_id, turn, role, text aren't read. A conversation is
+    ordered in one task: its digests (summary) take it in order anyway.
     """
-    stride = max(1, (budget - history) // 2)
     rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    tokens = F.regexp_count("text", F.lit(r"\S+")) + overhead
+    every = Window.partitionBy("conv_id")
+    tokens = F.greatest(F.regexp_count("text", F.lit(r"\S+")), F.ceil(F.octet_length("text") / 4)) + overhead
+    first = (F.col("n") == 1) & (F.col("role") == "system") & (F.col("tokens") * 2 <= budget)
+    room = budget - F.coalesce("system", F.lit(0))
     turns = (
-        rows.withColumn("n", F.row_number().over(order))
+        rows.withColumn("n", F.row_number().over(every.orderBy("turn", "role", "text")))
         .withColumn("tokens", tokens.cast("long"))
-        .withColumn("begin", F.sum("tokens").over(Window.partitionBy("conv_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("begin", F.coalesce("begin", F.lit(0)))
-        .withColumn("window", F.floor(F.col("begin") / stride))
+        .withColumn("leading", first)
+        .withColumn("system", F.max(F.when(F.col("leading"), F.col("tokens"))).over(every))
+        .withColumn("history", F.least(F.lit(history), F.floor(room / 4)))
+        .withColumn("stride", F.greatest(F.lit(1), F.floor((room - F.col("history")) / 2)))
+        .withColumn("tokens", F.when(F.col("leading"), 0).otherwise(F.col("tokens")))
+        .withColumn("begin", F.coalesce(F.sum("tokens").over(every.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .withColumn("window", F.floor(F.col("begin") / F.col("stride")))
     )
     # the next window begins where this one's last turn ends
-    whole = Window.partitionBy("conv_id", "window")
-    turns = turns.withColumn("next", F.max(F.col("begin") + F.col("tokens")).over(whole)).withColumn("leading", (F.col("n") == 1) & (F.col("role") == "system"))
-    total = F.max("next").over(Window.partitionBy("conv_id"))
-    turns = turns.withColumn("last", F.col("next") == total)
-    again = ~F.col("last") & ~F.col("leading") & (F.col("next") - F.col("begin") <= history)
+    turns = turns.withColumn("next", F.max(F.col("begin") + F.col("tokens")).over(Window.partitionBy("conv_id", "window")))
+    turns = turns.withColumn("last", F.col("next") == F.max("next").over(every))
+    again = ~F.col("last") & ~F.col("leading") & (F.col("next") - F.col("begin") <= F.col("history"))
     own = F.struct(F.col("window").alias("window"), F.lit(1).alias("own"))
-    repeat = F.struct(F.floor(F.col("next") / stride).alias("window"), F.lit(0).alias("own"))
+    repeat = F.struct(F.floor(F.col("next") / F.col("stride")).alias("window"), F.lit(0).alias("own"))
     placed = turns.select("conv_id", "n", "role", "text", F.explode(F.when(again, F.array(own, repeat)).otherwise(F.array(own))).alias("p"))
     placed = placed.select("conv_id", F.col("p.window").alias("window"), F.col("p.own").alias("own"), "n", "role", "text")
     system = turns.where("leading").select(F.col("conv_id").alias("_c"), "role", "text")

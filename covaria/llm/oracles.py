@@ -52,12 +52,15 @@ _ESCAPE = r"""regexp_replace({}, '([<\[])(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g')
 
 OP9 = rf"""
 WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
-n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) + 4 AS tokens,
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, greatest(len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')), ceil(strlen(text) / 4))::BIGINT + 4 AS words,
   3 + 6 + len({_ESCAPE.format('role')}) + 7 + len({_ESCAPE.format('text')}) + 4 AS chars FROM r),
-b AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM n),
-w AS (SELECT *, start // 768 AS win, n = 1 AND role = 'system' AS heads FROM b),
+f AS (SELECT *, n = 1 AND role = 'system' AND words * 2 <= 2048 AS heads FROM n),
+g AS (SELECT *, CASE WHEN heads THEN 0 ELSE words END AS tokens, 2048 - coalesce(max(CASE WHEN heads THEN words END) OVER (PARTITION BY conv_id), 0) AS room FROM f),
+s AS (SELECT *, least(512, room // 4) AS history, greatest(1, (room - least(512, room // 4)) // 2) AS stride FROM g),
+b AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM s),
+w AS (SELECT *, start // stride AS win FROM b),
 x AS (SELECT *, max(start + tokens) OVER (PARTITION BY conv_id, win) AS next FROM w),
-y AS (SELECT *, next < max(next) OVER (PARTITION BY conv_id) AND NOT heads AND next - start <= 512 AS again FROM x),
+y AS (SELECT *, next < max(next) OVER (PARTITION BY conv_id) AND NOT heads AND next - start <= history AS again FROM x),
 z AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '') AS said,
   sum(chars + CASE WHEN again THEN chars ELSE 0 END) + coalesce(max(CASE WHEN heads THEN chars END), 0) * (count(DISTINCT win) FILTER (WHERE win > 0)) AS formatted_chars FROM y GROUP BY conv_id)
 SELECT conv_id, n_turns, turns_sha256, len(said)::BIGINT AS loss_chars, sha256(said) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM z

@@ -433,6 +433,14 @@ def test_chat_odd(spark):
     formatted = check_chat(spark, rows)
     four = formatted.where("conv_id = 4").orderBy("window").collect()
     assert len(four) > 2 and all("be kind" in r["text"] for r in four) and all(r["repeated"] > 1 for r in four[1:])
+    # every window keeps within the budget, the repeated system turn included, unless a turn is longer than a stride
+    tokens = lambda t: max(len(t.split()), -(-len(t.encode()) // 4)) + 4
+    for system, size in ((900, 150), (1010, 60), (1030, 60), (0, 300)):
+        told = [(5, 0, "system", "s " * system)] * (system > 0) + [(5, i, "assistant" if i % 2 else "user", f"{i} " + "w " * size) for i in range(1, 30)] + [(5, 40, "user", "日" * 300)]
+        made = check_chat(spark, told).collect()
+        parts = [[t.split(chat.BODY)[1] for t in r["text"].split(chat.END)[:-1]] for r in made]
+        assert len(made) > 1 and all(sum(map(tokens, p)) <= 2048 for p in parts)
+        assert sum(p[0].startswith("s s") for p in parts) == (0 if not system else 1 if tokens("s " * system) > 1024 else len(parts))
     assert chat.summary(chat.windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 
 
