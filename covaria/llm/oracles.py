@@ -40,7 +40,10 @@ WHERE len(values_[i]) >= {least}"""
 
 OP3 = f"""
 WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents), x AS ({" UNION ALL ".join(_kind(k, *spec) for k, spec in enumerate(KINDS))}),
-v AS (SELECT value, count(DISTINCT coalesce('=' || source, '')) >= 5 OR count(DISTINCT coalesce('=' || source, '') || chr(31) || coalesce('=' || lang, '')) >= 8 AS example FROM x GROUP BY value),
+o AS (SELECT count(*) AS many, sum(n) * sum(n) / sum(n * n) AS eff FROM (SELECT count(*)::DOUBLE AS n FROM d GROUP BY source)),
+p AS (SELECT count(*) AS many, sum(n) * sum(n) / sum(n * n) AS eff FROM (SELECT count(*)::DOUBLE AS n FROM d GROUP BY source, lang)),
+c AS (SELECT value, count(DISTINCT doc_id) AS n, count(DISTINCT coalesce('=' || source, '')) AS owners, count(DISTINCT coalesce('=' || source, '') || chr(31) || coalesce('=' || lang, '')) AS repositories FROM x GROUP BY value),
+v AS (SELECT value, owners >= 2 AND (owners >= greatest(0.01::DOUBLE * o.many, 0.5::DOUBLE * least(c.n, o.eff)) OR repositories >= greatest(2.0::DOUBLE, 0.01::DOUBLE * p.many, 0.5::DOUBLE * least(c.n, p.eff))) AS example FROM c, o, p),
 j AS (SELECT x.*, example, kind || ':' || a || ':' || (a + n) AS span FROM x JOIN v USING (value)),
 g AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n_assign, count(*) FILTER (WHERE k = 1) AS n_access, count(*) FILTER (WHERE k = 2) AS n_hex, string_agg(span, ',' ORDER BY a, k) FILTER (WHERE k < 3) AS base,
   string_agg(span, ',' ORDER BY a, k) FILTER (WHERE k < 3 OR NOT example) AS spans, count(*) FILTER (WHERE NOT example) AS n_live, count(*) FILTER (WHERE example) AS n_example FROM j GROUP BY doc_id)

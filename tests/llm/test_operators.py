@@ -162,6 +162,31 @@ def test_secrets_examples_stay(spark):
     assert "[secret]" in text[99] and "AKIA" in text[0]
 
 
+def test_secrets_of_the_table_that_owners_share(spark):
+    """Values that several sources of the fixture hold are examples, those of one source are live however often it repeats them."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows, owners = d.select("doc_id", "text", "source").collect(), defaultdict(set)
+    values = {r["doc_id"]: [(r["text"] or "")[a:b] if k else brute.ASSIGN.match(r["text"], a)[1] for a, k, b in brute.base_spans(r["text"])] for r in rows}
+    for r in rows:
+        for v in values[r["doc_id"]]:
+            owners[v].add(r["source"])
+    got = by_id(secrets.report(secrets.scan(d)))
+    assert all(got[i]["n_live"] >= sum(len(owners[v]) == 1 for v in vs) for i, vs in values.items())
+    assert all(got[i]["n_example"] <= sum(len(owners[v]) > 1 for v in vs) for i, vs in values.items())
+    assert sum(r["n_example"] for r in got.values()) > 0
+
+
+def test_secrets_many_matches(spark):
+    """A dump of very many matches takes time in proportion, and is cut right."""
+    import time
+
+    began = time.time()
+    text = " ".join(f"{i:06x}" + "a" * 20 for i in range(100_000)) + " 日 end"
+    d = spark.createDataFrame([(1, text, "s", "en"), (2, "x", "t", "en")], "doc_id long, text string, source string, lang string")
+    assert by_id(secrets.report(secrets.scan(d)))[1]["n_hex"] == 100_000
+    assert texts(secrets.redact(d))[1] == " ".join(["[secret]"] * 100_000) + " 日 end" and time.time() - began < 60
+
+
 # near-duplicates
 
 
