@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ ORDERS = (2, 3)
 SWITCH = 6.0
 #: A language is a candidate for a script that holds at least this share of its letters.
 SCRIPT_SHARE = 0.01
+#: Values of n-grams that are gathered at once; log-odds below which a language counts as out of the question.
+GATHERED, FLOOR = 1 << 22, -40.0
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -72,16 +75,29 @@ class _Chars:
             key = (key << np.uint64(21)) | np.concatenate((x[k:], np.full(k, 32, dtype=np.uint64)))
         return (mix64(key) % np.uint64(BUCKETS)).astype(np.int64)
 
-    def sums(self, values: np.ndarray, order: int) -> np.ndarray:
-        """Sums over each word's n-grams, its edges included."""
-        cum = np.concatenate((np.zeros((1, values.shape[1])), np.cumsum(values, axis=0, dtype=np.float64)))
-        a = self.start - 1
-        b = np.maximum(self.end + 1 - order, a) + 1
-        return cum[np.minimum(b, len(values))] - cum[a]
+    def scores(self, words: np.ndarray, grams: np.ndarray, order: int, logs: np.ndarray) -> np.ndarray:
+        """Sums of logs (buckets, languages) over the n-grams of the words named, their edges included."""
+        a = self.start[words] - 1
+        n = np.maximum(self.end[words] + 1 - order, a) + 1 - a
+        out = np.empty((len(words), logs.shape[1]), dtype=np.float32)
+        many, lo = np.cumsum(n), 0
+        while lo < len(words):  # so many n-grams at once that their logs stay within GATHERED
+            hi = max(lo + 1, int(np.searchsorted(many, (many[lo - 1] if lo else 0) + GATHERED // logs.shape[1], side="right")))
+            first = np.cumsum(n[lo:hi]) - n[lo:hi]
+            at = np.repeat(a[lo:hi] - first, n[lo:hi]) + np.arange(int(n[lo:hi].sum()))
+            out[lo:hi] = np.add.reduceat(logs[grams[at]], first, axis=0)
+            lo = hi
+        return out
 
 
 def _pieces(text: str, limit: int = 1 << 20) -> list[str]:
-    return [text[i : i + limit] for i in range(0, len(text), limit)] or [""]
+    """Parts of about `limit` code points, cut after something that isn't a letter; a longer run of letters is cut in it."""
+    out, at = [], 0
+    while len(text) - at > limit:
+        to = next((i for i in range(at + limit, at + limit // 2, -1) if not text[i - 1].isalpha()), at + limit)
+        out.append(text[at:to])
+        at = to
+    return [*out, text[at:]]
 
 
 def train(docs: DataFrame, labelled: Column, lang: str = "lang") -> dict:
@@ -159,26 +175,34 @@ def _viterbi(scores: np.ndarray, counts: np.ndarray, switch: float) -> np.ndarra
     return path
 
 
-def identify(docs: DataFrame, model: dict, switch: float = SWITCH) -> DataFrame:
-    """Add lang_pred, score, sure and spans to docs: spans is an array of (lang, words) in text order.
+def identify(docs: DataFrame, model: dict, switch: float = SWITCH, names: tuple[str, ...] = ("lang_pred", "score", "sure", "spans")) -> DataFrame:
+    """Add lang_pred, score, sure and spans to docs, under `names`: spans is an array of (lang, words) in text order.
 
-    Words are runs of letters. Script ranges leave each word its candidates (all languages where no learned one uses
-    its script); scores are mean log-odds over its letter n-grams, and Viterbi with a switching cost labels the words.
-    lang_pred has the most letters; score is its share of letters times the mean posterior of its words, from 0 to 1.
-    sure is the mean posterior of all words, each in the language that its span is labelled with.
+    Words are runs of letters. Script ranges leave each word its candidates, and only these are scored, by log-odds summed
+    over letter n-grams; Viterbi with a switching cost labels the words. A word of a script that no learned language uses has
+    no candidate and fits none: it takes its neighbours' label and its posterior is 0.
+    lang_pred has the most letters; score is the mean posterior over all letters of words with that label, others counting 0,
+    from 0 to 1. sure is the mean posterior of all words, each in the language that its span is labelled with.
     A text that is null or has no letter is `und` with score 0, and so is every text when nothing was learned. Ties go
-    to the first language in order. Texts beyond a million code points are scored in parts and labelled as a whole.
+    to the first language in order; repeated rows get equal results; an empty table gives no rows. Columns of docs with one of
+    the names, in any case, are replaced. Texts beyond a million code points are scored in parts and labelled as a whole.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score", "sure", "spans")]
-    schema = docs.select(*keep).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "sure": F.lit(0.0), "spans": F.array().cast("array<struct<lang:string,words:int>>")}).schema
+    keep = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
+    added = F.lit(""), F.lit(0.0), F.lit(0.0), F.array().cast("array<struct<lang:string,words:int>>")
+    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumns(dict(zip(names, added, strict=True))).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         langs, many = m["langs"], max(1, len(m["langs"]))
+
+        @lru_cache(None)
+        def table(order: int, script: int) -> np.ndarray:
+            return m["logs"][order] if m["allowed"][script].all() else np.ascontiguousarray(m["logs"][order][:, m["allowed"][script]])
+
         for part in slices(batches):
             texts = pc.fill_null(part.column("text"), "").to_pylist()
-            scores, owners, letters = [], [], []
+            scores, owners, letters, strange = [], [], [], []
             todo = [(i, p) for i, t in enumerate(texts) for p in _pieces(t)]
             at = 0
             while at < len(todo):  # about a million code points at once
@@ -188,14 +212,18 @@ def identify(docs: DataFrame, model: dict, switch: float = SWITCH) -> DataFrame:
                     to += 1
                 chars = _Chars([p for _, p in todo[at:to]])
                 if len(chars.start):
-                    words = np.zeros((len(chars.start), many))
-                    for order in ORDERS:
-                        words += chars.sums(m["logs"][order][chars.grams(order)], order)
-                    words -= words.max(axis=1, keepdims=True)
-                    allowed = m["allowed"][_Chars.script[chars.c[chars.start]]]
-                    allowed |= ~allowed.any(axis=1, keepdims=True)
-                    words[~allowed] = -40.0
-                    scores.append(np.maximum(words, -40.0).astype(np.float32))
+                    words = np.full((len(chars.start), many), FLOOR, dtype=np.float32)
+                    script = _Chars.script[chars.c[chars.start]]
+                    grams = {order: chars.grams(order) for order in ORDERS}
+                    for k in np.unique(script):
+                        able, at_ = np.flatnonzero(m["allowed"][k]), np.flatnonzero(script == k)
+                        if len(able):
+                            own = sum(chars.scores(at_, grams[order], order, table(order, k)) for order in ORDERS)
+                            words[np.ix_(at_, able)] = np.maximum(own - own.max(axis=1, keepdims=True), FLOOR)
+                        else:
+                            words[at_] = 0.0
+                    strange.append(~m["allowed"][script].any(axis=1))
+                    scores.append(words)
                     owners.append(np.array([i for i, _ in todo[at:to]], dtype=np.int64)[chars.text])
                     letters.append((chars.end - chars.start).astype(np.float64))
                 at = to
@@ -208,17 +236,17 @@ def identify(docs: DataFrame, model: dict, switch: float = SWITCH) -> DataFrame:
                 some = counts > 0
                 pred[some] = held.argmax(axis=1)[some]
                 e = np.exp(s)
-                sure = e[np.arange(len(path)), path] / e.sum(axis=1)
-                # words of one letter run say little: longer ones weigh more
+                sure = np.where(np.concatenate(strange), 0.0, e[np.arange(len(path)), path] / e.sum(axis=1))
+                # words weigh by their letters
                 mine = path == pred[owner]
                 total = np.bincount(owner, weights=weight, minlength=len(texts))
-                score = np.bincount(owner, weights=weight * np.where(mine, np.maximum(sure, 0.5), 0), minlength=len(texts)) / np.maximum(total, 1)
+                score = np.bincount(owner, weights=weight * np.where(mine, sure, 0), minlength=len(texts)) / np.maximum(total, 1)
                 fit = np.bincount(owner, weights=weight * sure, minlength=len(texts)) / np.maximum(total, 1)
                 cut = np.flatnonzero(np.concatenate(([True], (path[1:] != path[:-1]) | (owner[1:] != owner[:-1]))))
                 for a, n in zip(cut.tolist(), np.diff(np.append(cut, len(path))).tolist(), strict=True):
                     spans[owner[a]].append({"lang": langs[path[a]], "words": n})
             named = [langs[p] if p >= 0 else "und" for p in pred]
             kind = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(named, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(np.clip(fit, 0, 1)), pa.array(spans, kind)], names=[*part.schema.names, "lang_pred", "score", "sure", "spans"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(named, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(np.clip(fit, 0, 1)), pa.array(spans, kind)], names=[*part.schema.names, *names])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from covaria.llm.common import broadcast_if_small, hash_words, materialize, mix64, slices, split_words
+from covaria.llm.common import broadcast_if_small, hash_words, materialize, mix64, slices, split_words, unused
 
 U64 = np.uint64
 BITS = 64
@@ -31,14 +31,6 @@ TABLES, BITS_SHORT, CHECKS, MOST_AWAY, GIVEN_AWAY = 32, 32, 3, 29, 20
 HELD_SETS = 200_000
 
 
-def _unused(name: str, df: DataFrame) -> str:
-    """A column name that df doesn't have, whatever the case."""
-    taken = {c.lower() for c in df.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def _signed(values) -> list[int]:
     return [v - (1 << 64) if v >> 63 else v for v in values]
 
@@ -408,7 +400,7 @@ def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> Data
 def _keep_least(docs: DataFrame, named: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of `named` whose doc_id is their component's least, one row of each id, and the rows of docs without one."""
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    n = _unused("_n", docs)
+    n = unused("_n", docs)
     order = F.xxhash64("text"), F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
     ranked = named.join(kept, "doc_id", "left_semi").withColumn(n, F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
     return ranked.where(F.col(n) == 1).drop(n).unionByName(docs.where("doc_id IS NULL"))

@@ -123,6 +123,39 @@ def test_language_odd(odd, docs):
     assert language.identify(odd.limit(0), model).count() == 0
 
 
+def test_language_of_scripts_not_learned(spark, docs):
+    model = language.train(docs, F.lit(True))
+    known = next(r["text"] for r in docs.where("lang = 'en' AND n_chars > 500").collect())
+    rows = [(1, known), (2, "这是一个中文句子没有别的语言"), (3, "Это русский текст"), (4, known + " это русский текст " * 20)]
+    got = by_id(language.identify(spark.createDataFrame(rows, "doc_id long, Score string").withColumnRenamed("Score", "text").withColumn("Score", F.lit("mine")), model))
+    assert got[1]["score"] > 0.8 and got[2]["score"] == got[3]["score"] == got[2]["sure"] == 0 and 0 < got[4]["score"] < got[1]["score"]
+    again = language.identify(spark.createDataFrame(rows, "doc_id long, text string").withColumn("Score", F.lit("mine")), model, names=("_a", "_b", "_c", "_d"))
+    assert {r["Score"] for r in again.collect()} == {"mine"}
+
+
+def test_viterbi_against_brute_force():
+    from itertools import product
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    counts = rng.integers(0, 6, 40)
+    scores = rng.normal(0, 4, (int(counts.sum()), 3)).astype(np.float32)
+    path, at = language._viterbi(scores, counts, 2.5), 0
+    total = lambda p, s: sum(s[i, k] for i, k in enumerate(p)) - 2.5 * sum(a != b for a, b in zip(p, p[1:], strict=False))
+    for n in counts.tolist():
+        s = scores[at : at + n]
+        best = max(total(p, s) for p in product(range(3), repeat=n))
+        assert math.isclose(total(path[at : at + n].tolist(), s), best, abs_tol=1e-3)
+        at += n
+
+
+def test_long_texts_are_cut_between_words():
+    text = "abc défg " * 1000 + "x" * 5000 + " end"
+    parts = language._pieces(text, 100)
+    assert "".join(parts) == text and all(len(p) <= 100 for p in parts) and sum(p.endswith(" ") for p in parts) > 80
+
+
 # secrets
 
 
