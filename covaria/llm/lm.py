@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covaria.llm.common import hash_words, held_out, materialize, mix64, slices, split_words
+from covaria.llm.common import SLICE_BYTES, hash_words, held_out, materialize, mix64, slices, split_words
 
 U64 = np.uint64
 #: Hashes of the token that ends each text, and of the context before its first word.
@@ -32,7 +32,7 @@ DISCOUNT = 0.75
 #: Bytes of the largest filter that is broadcast, bits of its parts, words whose exact counts are broadcast.
 FILTER_BYTES, PART_BITS, HOT_WORDS = 128 << 20, 1 << 23, 400_000
 #: Distinct keys that a counting task holds before it passes them on.
-FLUSH_KEYS = 4_000_000
+FLUSH_KEYS = 2_000_000
 
 
 def _counts_of_levels() -> np.ndarray:
@@ -318,7 +318,7 @@ def score(docs: DataFrame, held: F.Column | None = None, filter_bytes: int = FIL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, (hot, hot_n) = sent.value
-        for part in slices(batches):
+        for part in slices(batches, limit=SLICE_BYTES // 2):
             t, many = Tokens.of(part.column("text")), part.num_rows
             total = np.bincount(t.text, minlength=many)
             at = np.minimum(np.searchsorted(hot, t.word), max(0, len(hot) - 1))
