@@ -25,8 +25,8 @@ BITS = 64
 #: Variants of a block held in memory at once; a fuller block is split by its next bits.
 BLOCK_VARIANTS = 2_000_000
 #: Similar texts: short fingerprints of a text (an even number) and their bits; fingerprints after a shared one that are compared, bits by
-#: which these may differ (a pair at Jaccard 0.8 differs by 14.5 of 96, 4 deviations less than 29), and by which a leader takes a row.
-TABLES, BITS_SHORT, CHECKS, MOST_AWAY, GIVEN_AWAY = 32, 32, 3, 29, 20
+#: which these may differ (a pair at Jaccard 0.8 differs by 14.5 of 96, 3.4 deviations less than 26), and by which a leader takes a row.
+TABLES, BITS_SHORT, CHECKS, MOST_AWAY, GIVEN_AWAY = 32, 32, 3, 26, 20
 #: Sets that a task holds before it sends their fingerprints.
 HELD_SETS = 200_000
 
@@ -263,32 +263,38 @@ def sets(docs: DataFrame, shingle: int, listed: bool) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _leaders(key: np.ndarray, prints: np.ndarray, table: np.ndarray, names: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """Pairs (leader, member) of rows with equal keys, and which rows weren't given to a leader.
+def _leaders(key: np.ndarray, checks: np.ndarray, names: np.ndarray) -> tuple[list[tuple[np.ndarray, ...]], np.ndarray]:
+    """Pairs (leader, member, whether the member was given to it, the leader's distance from the middle) of rows with equal
+    keys, and which rows weren't given away.
 
-    The row of the least name leads its key; rows whose next fingerprints look alike are paired with it, and those that
-    differ much go on to the next leader, until every key has one row left at most. Each round pairs a row once, so copies
-    of one text make as many pairs as there are copies.
+    The middle of a key has the bits that most of its rows have in their further fingerprints `checks`; the row closest to it
+    leads (of equal ones that of the least name), since edited copies are more like their origin than like each other. Rows
+    that look alike are paired with the leader, and those that differ much go on to the next one, until every key has one row
+    left at most. Each round pairs a row once, so copies of one text make as many pairs as there are copies.
     """
-    order = np.lexsort((names, key))
+    order = np.argsort(key, kind="stable")
     free, pairs = np.ones(len(key), dtype=bool), []
     while len(order) > 1:
         k = key[order]
         first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
         sizes = np.diff(np.append(first, len(k)))
-        head = np.repeat(order[first], sizes)
+        bits = np.unpackbits(np.ascontiguousarray(checks[order]).view(np.uint8), axis=1, bitorder="little")
+        middle = np.packbits(2 * np.add.reduceat(bits, first, axis=0, dtype=np.int32) > sizes[:, None], axis=1, bitorder="little").view("<u4")
+        off = np.bitwise_count(checks[order] ^ np.repeat(middle, sizes, axis=0)).sum(axis=1, dtype=np.int64)
+        best = np.lexsort((names[order], off, k))[first]
+        head, far = np.repeat(order[best], sizes), np.repeat(off[best], sizes)
         member = order != head
-        a, b = head[member], order[member]
-        away = sum(np.bitwise_count(prints[a, (table[a] + i) % TABLES] ^ prints[b, (table[b] + i) % TABLES]).astype(np.int64) for i in range(1, CHECKS + 1))
-        near = away <= MOST_AWAY
-        pairs.append((a[near], b[near]))
-        given = away <= GIVEN_AWAY
+        a, b, far = head[member], order[member], far[member]
+        away = np.bitwise_count(checks[a] ^ checks[b]).sum(axis=1, dtype=np.int64)
+        near, given = away <= MOST_AWAY, away <= GIVEN_AWAY
+        pairs.append((a[near], b[near], given[near], far[near]))
         free[b[given]] = False
         # rows that no leader took meet once more, where two or more are left
         rest = b[~given]
         left = key[rest]
-        again = np.concatenate(([False], left[1:] == left[:-1])) if len(left) else np.zeros(0, dtype=bool)
-        again |= np.concatenate((again[1:], [False])) if len(left) else again
+        again = np.zeros(len(left), dtype=bool)
+        again[1:] = left[1:] == left[:-1]
+        again[:-1] |= again[1:]
         order = rest[again]
     return pairs, free
 
@@ -318,16 +324,16 @@ def candidates(nodes: DataFrame) -> DataFrame:
             names, prints = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
             held.clear()
             for t in range(TABLES):
-                own = np.full(len(names), t)
-                pairs, free = _leaders(prints[:, t].astype(U64), prints, own, names)
-                for a, b in pairs:
+                mine = prints[:, (t + np.arange(CHECKS + 1)) % TABLES]
+                pairs, free = _leaders(mine[:, 0].astype(U64), mine[:, 1:], names)
+                for a, b, *_ in pairs:
                     # a pair passes through its block: the other set stands in the place of the fingerprints
                     if len(a):
                         other = np.zeros((len(a), CHECKS + 1), dtype="<u4")
                         other[:, :2] = names[b].view("<u4").reshape(-1, 2)
                         yield from rows(-1 - (mix64(names[b].view(U64)) % U64(1 << 12)).astype(np.int32), names[a], other)
                 at = np.flatnonzero(free)
-                mine = prints[at][:, (t + np.arange(CHECKS + 1)) % TABLES]
+                mine = mine[at]
                 lead = prints[at, t] >> np.uint32(BITS_SHORT - bits)
                 for f in flips:
                     yield from rows((t << bits) + (lead ^ f).astype(np.int32), names[at], mine)
@@ -347,8 +353,9 @@ def candidates(nodes: DataFrame) -> DataFrame:
         if block < 0:
             a, b = names, np.ascontiguousarray(prints[:, :2]).view("<i8")[:, 0]
         elif len(names) > 1:
-            # the ball's other bit was spent on rows of a neighbouring block
-            home = (prints[:, 0] >> np.uint32(BITS_SHORT - bits)).astype(np.int64) == block & ((1 << bits) - 1)
+            # of rows from a neighbouring block the ball's bit is spent
+            came, here = (prints[:, 0] >> np.uint32(BITS_SHORT - bits)).astype(np.int64), block & ((1 << bits) - 1)
+            home = came == here
             made, owner = [prints[:, 0] & low], [np.arange(len(names))]
             own = np.flatnonzero(home)
             masks = U64(1) << np.arange(BITS_SHORT - bits, dtype=U64)
@@ -358,13 +365,19 @@ def candidates(nodes: DataFrame) -> DataFrame:
             order = np.argsort(variant, kind="stable")
             same = variant[order][1:] == variant[order][:-1]
             hit = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
-            wide = np.zeros((len(hit), TABLES), dtype=np.uint32)
-            wide[:, : CHECKS + 1] = prints[owner[hit]]
-            pairs, _ = _leaders(variant[hit], wide, np.zeros(len(hit), dtype=np.int64), names[owner[hit]])
-            found = [np.stack([names[owner[hit[x]]], names[owner[hit[y]]]], axis=1) for x, y in pairs if len(x)]
-            if found:
-                found = np.unique(np.concatenate(found), axis=0)
-                a, b = found[:, 0], found[:, 1]
+            pairs, _ = _leaders(variant[hit], prints[owner[hit], 1:], names[owner[hit]])
+            if pairs:
+                x, y, given, far = (np.concatenate(c) for c in zip(*pairs, strict=True))
+                # rows of one block meet elsewhere too, and those of neighbouring blocks in both: made is a pair where its member is at home
+                one, other = came[owner[hit[x]]], came[owner[hit[y]]]
+                once = ~given | (other == here) | (one != here) & (one != other)
+                x, y, given, far = x[once], y[once], given[once], far[once]
+                found = np.unique(np.stack([~given, names[owner[hit[y]]], far, names[owner[hit[x]]]], axis=1), axis=0)
+                # a row has several variants here; of the leaders that it was given to, the one closest to its middle is enough
+                given = found[:, 0] == 0
+                again = np.zeros(len(found), dtype=bool)
+                again[1:] = given[1:] & given[:-1] & (found[1:, 1] == found[:-1, 1])
+                b, a = found[~again, 1], found[~again, 3]
         ok = a != b
         return pa.table({"a": np.minimum(a, b)[ok], "b": np.maximum(a, b)[ok]})
 
