@@ -6,15 +6,16 @@ reduced to p x q sums per replicate before anything dense is done; those that do
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from covaria.operators import geometry, models, moments
 from covaria.operators.splits import multiplicities, ranked
+from covaria.sources.scratch import materialize
 
 
 def p_value(null: Column, observed: float, corrected: bool = True) -> Column:
@@ -78,32 +79,128 @@ def mantel_null(spark: SparkSession, a: np.ndarray, b: np.ndarray, replicates: i
 def broken_pairs(rows: DataFrame, key: str, x: str, y: str, replicates: int, seed: int = 42, stratum: str | None = None) -> DataFrame:
     """(rep, x, y): for each replicate, x blocks dealt anew among rows (of a stratum), y blocks left in place.
 
-    Two orders are joined by rank within (replicate, stratum); ranks are taken in hash buckets.
+    Two orders of the keys, which must be unique, are joined by rank within (replicate, stratum); ranks are taken in hash
+    buckets. Only keys are ranked and shuffled for that; the pairs are written down and meet the blocks afterwards.
     """
     part = [stratum] if stratum else []
     reps = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")
     hash_of = lambda s: F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{s}|"), F.col("rep").cast("string")))
-    place = lambda c, s: ranked(rows.select(key, *part, c, reps), key, hash_of(s), "rep", *part).drop(key, "_size")
-    return place(x, seed).join(place(y, seed + 1), ["rep", *part, "_rank"]).drop("_rank")
+    place = lambda name, s: ranked(rows.select(key, *part, reps), key, hash_of(s), "rep", *part).drop("_size").withColumnRenamed(key, name)
+    pairs = materialize(place("_x", seed).join(place("_y", seed + 1), ["rep", *part, "_rank"]).select("rep", "_x", "_y"), "pairs")
+    left, right = (rows.select(F.col(key).alias(n), c) for n, c in (("_x", x), ("_y", y)))
+    return pairs.join(left, "_x").join(right, "_y").select("rep", x, y)
 
 
-def by_replicate(sums: dict[tuple, moments.Stats], f: Callable[[moments.Stats], dict[str, float]]) -> list[dict[str, float]]:
-    return [{"rep": k[-1], **f(s)} for k, s in sorted(sums.items())]
+def by_replicate(rows: DataFrame, x: str, y: str, f: Callable[[moments.Stats], list[dict[str, float]]], schema: str, weight: str | None = None) -> DataFrame:
+    """(rep, schema): what f tells of each replicate's statistics, which are put together and solved in a task of their own.
+
+    Tasks sum their rows first, so what meets for a replicate is the (1 + p + q)^2 cells of each task, and nothing but f's
+    rows leaves it. No rows, no replicates.
+    """
+    cells, p = moments.cells_by(rows, x, y, ["rep"], weight)
+
+    def solve(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        size = int(part["i"].max()) + 1
+        m = np.zeros((size, size))
+        m[part["i"].to_numpy(), part["j"].to_numpy()] = part["v"].to_numpy()
+        return pd.DataFrame([{"rep": int(key[0]), **r} for r in f(moments.unpack(m, p))])
+
+    return cells.groupBy("rep").applyInPandas(solve, f"rep long, {schema}")
 
 
 def break_pairing_null(rows: DataFrame, key: str, x: str, y: str, observed: np.ndarray, k: int, alpha: float, replicates: int = 100, seed: int = 42) -> DataFrame:
     """(rep, overlap): right subspaces of ridge maps refitted at one penalty on broken pairs, against the observed one."""
-    sums = moments.stats_by(broken_pairs(rows, key, x, y, replicates, seed), x, y, ["rep"])
-    told = by_replicate(sums, lambda s: {"overlap": geometry.overlap(observed, geometry.right_subspace(models.ridge(s, s, [alpha]).b, k))})
-    return rows.sparkSession.createDataFrame([(int(r["rep"]), r["overlap"]) for r in told], "rep long, overlap double")
+    one = lambda s: [{"overlap": geometry.overlap(observed, geometry.right_subspace(models.ridge(s, s, [alpha]).b, k))}]
+    return by_replicate(broken_pairs(rows, key, x, y, replicates, seed), x, y, one, "overlap double")
+
+
+def group_scores(s: moments.Stats, fitted: models.Fit, groups: dict[str, list[int]], ks: Sequence[int]) -> list[dict]:
+    """Per group of y features and k: overlap of truth's and prediction's leading subspaces within it, mean feature R2, and their ratio."""
+    cxx, _, cyy = s.centered()
+    told = fitted.b.T @ cxx @ fitted.b
+    b, c = fitted.b, fitted.intercept
+    sse = np.diag(s.yy) - 2 * (np.sum(b * s.xy, axis=0) + c * s.sy) + np.sum(b * (s.xx @ b), axis=0) + 2 * c * (s.sx @ b) + s.n * c * c
+    sst = np.diag(cyy)
+    r2 = np.where(sst > 0, 1 - sse / np.where(sst > 0, sst, 1), 0.0)
+    out = []
+    for name, at in groups.items():
+        axes = [np.linalg.eigh(m[np.ix_(at, at)])[1][:, ::-1] for m in (cyy, told)]
+        for k in ks:
+            o, r = geometry.overlap(axes[0][:, :k], axes[1][:, :k]), float(r2[at].mean())
+            out.append({"group": name, "k": int(min(k, len(at))), "overlap": o, "r2": r, "ratio": o / r if abs(r) > 1e-12 else float("inf")})
+    return out
+
+
+def tier_null(train: DataFrame, key: str, x: str, y: str, test: moments.Stats, groups: dict[str, list[int]], ks: Sequence[int], alpha: float, replicates: int = 300, seed: int = 42) -> DataFrame:
+    """(rep, group, k, overlap): per group of y features, what ridge maps fitted to broken training pairs predict on the test rows."""
+    one = lambda s: [{n: r[n] for n in ("group", "k", "overlap")} for r in group_scores(test, models.ridge(s, s, [alpha]), groups, ks)]
+    return by_replicate(broken_pairs(train, key, x, y, replicates, seed), x, y, one, "group string, k long, overlap double")
+
+
+def margins(null: DataFrame, observed: DataFrame, *by: str) -> DataFrame:
+    """Per group of `by`: observed, null mean and sd (ddof 0), margin, sds above, and p with one added to both counts."""
+    o = F.first("observed")
+    joined = null.join(observed, list(by))
+    above = F.count_if(F.col("overlap") >= F.col("observed"))
+    told = joined.groupBy(*by).agg(o.alias("observed"), F.avg("overlap").alias("null_mean"), F.stddev_pop("overlap").alias("null_sd"), ((above + 1) / (F.count("*") + 1)).alias("p"))
+    margin = F.col("observed") - F.col("null_mean")
+    return told.withColumns({"margin": margin, "sd_above": margin / (F.col("null_sd") + 1e-12)})
+
+
+def group_bootstrap(rows: DataFrame, key: str, x: str, y: str, fitted: models.Fit, groups: dict[str, list[int]], k: int, replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """(rep, group, k, overlap, r2, ratio) over Poisson bootstraps of the test rows, the map left as it is."""
+    drawn = multiplicities(rows, key, replicates, seed, x, y)
+    return by_replicate(drawn, x, y, lambda s: group_scores(s, fitted, groups, [k]), "group string, k long, overlap double, r2 double, ratio double", "times")
+
+
+def basic_intervals(boot: DataFrame, observed: DataFrame, values: Sequence[str], level: float = 0.95) -> DataFrame:
+    """(group, value, observed, lo, hi): twice the observed value less the bootstrap's upper and lower percentiles."""
+    each = lambda df, n: df.select("group", F.explode(F.array(*[F.struct(F.lit(v).alias("value"), F.col(v).alias(n)) for v in values])).alias("c")).select("group", "c.*")
+    ends = each(boot, "x").groupBy("group", "value").agg(*[F.percentile("x", p).alias(n) for n, p in (("low", (1 - level) / 2), ("high", (1 + level) / 2))])
+    return each(observed, "observed").join(ends, ["group", "value"]).select("group", "value", "observed", (2 * F.col("observed") - F.col("high")).alias("lo"), (2 * F.col("observed") - F.col("low")).alias("hi"))
+
+
+def scrambled_component_null(rows: DataFrame, key: str, x: str, y: str, val: moments.Stats, test: moments.Stats, k: int, replicates: int = 100, seed: int = 42) -> DataFrame:
+    """(rep, chosen, r2): mean component R2 on test rows of ridge maps fitted to scrambled x, the penalty chosen again for each."""
+    def one(s: moments.Stats) -> list[dict[str, float]]:
+        fitted = models.ridge(s, val)
+        return [{"chosen": float(fitted.chosen), "r2": float(models.component_r2(test, fitted, *models.components(s, k)).mean())}]
+
+    return by_replicate(broken_pairs(rows, key, x, y, replicates, seed), x, y, one, "chosen double, r2 double")
+
+
+def gains(s: moments.Stats, b: np.ndarray, most: int) -> np.ndarray:
+    """Gain in global R2 from each further rank of a map; rank 0 predicts 0."""
+    return np.diff([models.r2(s, models.truncated(b, k)) if k else models.r2(s, np.zeros_like(b)) for k in range(most + 1)])
+
+
+def rank_test(rows: DataFrame, key: str, x: str, y: str, b: np.ndarray, most: int, replicates: int = 1000, seed: int = 42, alpha: float = 0.05, stop: int = 3) -> DataFrame:
+    """(rank, gain, cumulative, p, null_mean, null_sd, significant): does a further rank of a map gain more on the rows than on
+    broken pairs? Ranks are told in order until `stop` in a row aren't significant.
+
+    A replicate's gains come from its p x q sums, so ranks cost no further pass.
+    """
+    observed = gains(moments.stats(rows, x, y), b, most)
+    start = models.r2(moments.stats(rows, x, y), np.zeros_like(b))
+    one = lambda s: [{"rank": k + 1, "gain": float(g)} for k, g in enumerate(gains(s, b, most))]
+    null = by_replicate(broken_pairs(rows, key, x, y, replicates, seed), x, y, one, "rank long, gain double")
+    spark = rows.sparkSession
+    seen = spark.createDataFrame([(k + 1, float(g), float(start + observed[: k + 1].sum())) for k, g in enumerate(observed)], "rank long, observed double, cumulative double")
+    p = (F.count_if(F.col("gain") >= F.col("observed")) + 1) / (F.count("*") + 1)
+    told = null.join(F.broadcast(seen), "rank").groupBy("rank").agg(
+        F.first("observed").alias("gain"), F.first("cumulative").alias("cumulative"), p.alias("p"), F.avg("gain").alias("null_mean"), F.stddev_pop("gain").alias("null_sd")
+    ).withColumn("significant", F.col("p") < alpha)
+    # a row for each rank: as many as the map has at most
+    back = Window.orderBy("rank").rowsBetween(-(stop - 1), 0)
+    ended = (F.count("*").over(back) == stop) & (F.count_if("significant").over(back) == 0)
+    before = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    return told.withColumn("_end", ended.cast("int")).withColumn("_past", F.coalesce(F.max("_end").over(before), F.lit(0))).where("_past = 0").drop("_end", "_past")
 
 
 def bootstrap_singular_values(rows: DataFrame, key: str, x: str, y: str, k: int, replicates: int = 200, seed: int = 42) -> DataFrame:
     """(rep, idx, sigma): leading singular values of X'Y over Poisson bootstraps of rows; each is one weighted product."""
-    drawn = rows.join(multiplicities(rows, key, replicates, seed), key).select("rep", x, y, "times")
-    sums = moments.stats_by(drawn, x, y, ["rep"], weight="times")
-    cells = [(int(rep[0]), i, float(d)) for rep, s in sums.items() for i, d in enumerate(np.linalg.svd(s.xy, compute_uv=False)[:k])]
-    return rows.sparkSession.createDataFrame(cells, "rep long, idx long, sigma double")
+    one = lambda s: [{"idx": i, "sigma": float(d)} for i, d in enumerate(np.linalg.svd(s.xy, compute_uv=False)[:k])]
+    return by_replicate(multiplicities(rows, key, replicates, seed, x, y), x, y, one, "idx long, sigma double", "times")
 
 
 def cluster_bootstrap(windows: DataFrame, subject: str, state: str, value: str, replicates: int, seed: int = 42) -> DataFrame:
@@ -112,7 +209,7 @@ def cluster_bootstrap(windows: DataFrame, subject: str, state: str, value: str,
     Rows are summed by subject and state first, so what meets the replicates is one row for each of these.
     """
     sums = windows.groupBy(subject, state).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    drawn = sums.join(multiplicities(windows.select(subject).distinct(), subject, replicates, seed), subject)
+    drawn = multiplicities(sums, subject, replicates, seed, state, "s", "n")
     return drawn.groupBy("rep", state).agg((F.sum(F.col("s") * F.col("times")) / F.sum(F.col("n") * F.col("times"))).alias("mean"))
 
 
@@ -121,13 +218,7 @@ def bootstrap_component_r2(errors: DataFrame, key: str, replicates: int, *method
 
     errors: a row per subject, component (j) and method with err2 and t2. Truth isn't centred again.
     """
-    drawn = errors.join(multiplicities(errors.select(key).distinct(), key, replicates, seed), key)
+    drawn = multiplicities(errors, key, replicates, seed, *methods, "j", "err2", "t2")
     per = drawn.groupBy("rep", *methods, "j").agg((1 - F.sum(F.col("times") * F.col("err2")) / (F.sum(F.col("times") * F.col("t2")) + 1e-12)).alias("r2"))
     return per.groupBy("rep", *methods).agg(F.avg("r2").alias("r2"))
 
-
-def rank_test(train: moments.Stats, fitted: models.Fit, most: int) -> list[float]:
-    """Gain in global R2 on the same sums from each further rank of a map."""
-    scores = [0.0] + [models.r2(train, models.truncated(fitted.b, k)) for k in range(1, most + 1)]
-    return np.diff(scores).tolist()
-

@@ -103,23 +103,29 @@ def stats(rows: DataFrame, x: str, y: str, weight: str | None = None) -> Stats:
 
     What returns is (1 + p + q)^2 cells whatever the number of rows.
     """
-    return list(stats_by(rows, x, y, weight=weight).values())[0] if rows.limit(1).count() else _unpack(np.zeros((1, 1)), 0)
+    return list(stats_by(rows, x, y, weight=weight).values())[0] if rows.limit(1).count() else unpack(np.zeros((1, 1)), 0)
 
 
-def stats_by(rows: DataFrame, x: str, y: str, keys: Sequence[str] = (), weight: str | None = None) -> dict[tuple, Stats]:
-    """Statistics of each group of keys (splits, folds, replicates: few)."""
+def cells_by(rows: DataFrame, x: str, y: str, keys: Sequence[str] = (), weight: str | None = None) -> tuple[DataFrame, int]:
+    """(keys, i, j, v) of the block [1, x, y] times itself for each group of keys, and the number of x features (0 without rows)."""
     one = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     block = F.concat(F.array(F.lit(1.0)), F.col(x).cast("array<double>"), F.col(y).cast("array<double>"))
-    part = rows.select(*keys, F.size(x).alias("_p"), block.alias("_u"), F.transform(block, lambda v: v * one).alias("_w"))
-    p = part.select("_p").first()["_p"]
-    cells = cross_product(part, "_w", "_u", *keys).toArrow().to_pydict()
+    part = rows.select(*keys, block.alias("_u"), F.transform(block, lambda v: v * one).alias("_w"))
+    first = rows.select(F.size(x).alias("_p")).first()
+    return cross_product(part, "_w", "_u", *keys), first["_p"] if first else 0
+
+
+def stats_by(rows: DataFrame, x: str, y: str, keys: Sequence[str] = (), weight: str | None = None) -> dict[tuple, Stats]:
+    """Statistics of each group of keys on the driver (splits, folds: few); replicates are solved in tasks instead."""
+    found, p = cells_by(rows, x, y, keys, weight)
+    cells = found.toArrow().to_pydict()
     out: dict[tuple, np.ndarray] = {}
-    size = max(cells["i"]) + 1
+    size = max(cells["i"], default=-1) + 1
     for *key, i, j, v in zip(*(cells[k] for k in keys), cells["i"], cells["j"], cells["v"], strict=True):
         out.setdefault(tuple(key), np.zeros((size, size)))[i, j] = v
-    return {k: _unpack(m, p) for k, m in out.items()}
+    return {k: unpack(m, p) for k, m in out.items()}
 
 
-def _unpack(m: np.ndarray, p: int) -> Stats:
+def unpack(m: np.ndarray, p: int) -> Stats:
     a, b = slice(1, 1 + p), slice(1 + p, None)
     return Stats(m[0, 0], m[0, a], m[0, b], m[a, a], m[a, b], m[b, b])

@@ -154,9 +154,13 @@ def halves(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return ranked(rows.select(key), key, draw(F.col(key), seed)).where(F.col("_rank") <= 2 * n).select(key, (F.col("_rank") > n).cast("long").alias("half"))
 
 
-def multiplicities(keys: DataFrame, key: str, replicates: int, seed: int = 42) -> DataFrame:
-    """Poisson(1) bootstrap: (key, rep, times) for times > 0. Rows are drawn on their own, so nothing is gathered."""
-    reps = keys.select(key, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+def multiplicities(rows: DataFrame, key: str, replicates: int, seed: int = 42, *keep: str) -> DataFrame:
+    """Poisson(1) bootstrap: (key, kept columns, rep, times) for times > 0.
+
+    A draw depends on key, seed and replicate alone, so rows carry their columns along and nothing is joined or gathered;
+    rows with equal keys are drawn together.
+    """
+    reps = rows.select(key, *keep, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
     u = F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}|"), F.col("rep").cast("string"))), 1, 12), 16, 10).cast("double") / float(1 << 48)
     cumulative, term, times = 0.0, 0.36787944117144233, F.lit(0)
     for k in range(12):

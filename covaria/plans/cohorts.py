@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -227,10 +229,13 @@ def disjoint_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.halves(table(spark, sf_dir, "customer"), "c_custkey", 50, 5)
 
 
-@query("""WITH u AS (SELECT c_custkey, rep, ('0x' || substring(md5(concat(c_custkey::VARCHAR, '|42|', rep::VARCHAR)), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM customer CROSS JOIN (SELECT unnest(range(20)) AS rep)),
-t AS (SELECT rep, CASE WHEN u < 0.36787944117144233 THEN 0 WHEN u < 0.7357588823428847 THEN 1 WHEN u < 0.9196986029286058 THEN 2 WHEN u < 0.9810118431238462 THEN 3 WHEN u < 0.9963401531726563 THEN 4 ELSE 5 END AS times, c_acctbal FROM u JOIN customer USING (c_custkey) WHERE u < 0.9994058151824183)
-SELECT rep, round(sum(least(times, 5) * c_acctbal) / sum(least(times, 5)), 6) + 0.0 AS mean FROM t GROUP BY rep""")
+#: Poisson(1) count of a uniform u: one for each value of its distribution function that u has reached.
+POISSON = " + ".join(f"(u >= {sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)):.17g}::DOUBLE)::BIGINT" for k in range(12))
+
+
+@query(f"""WITH u AS (SELECT c_custkey, rep, ('0x' || substring(md5(concat(c_custkey::VARCHAR, '|42|', rep::VARCHAR)), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM customer CROSS JOIN (SELECT unnest(range(20)) AS rep)),
+t AS (SELECT rep, {POISSON} AS times, c_acctbal FROM u JOIN customer USING (c_custkey))
+SELECT rep, round(sum(times * c_acctbal) / sum(times), 6) + 0.0 AS mean FROM t GROUP BY rep""")
 def bootstrap_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    times = splits.multiplicities(rows, "c_custkey", 20).where("times <= 5")
-    return rounded(times.join(rows, "c_custkey").groupBy(F.col("rep").cast("long").alias("rep")).agg((F.sum(F.col("times") * F.col("c_acctbal")) / F.sum("times")).alias("mean")))
+    times = splits.multiplicities(table(spark, sf_dir, "customer"), "c_custkey", 20, 42, "c_acctbal")
+    return rounded(times.groupBy(F.col("rep").cast("long").alias("rep")).agg((F.sum(F.col("times") * F.col("c_acctbal")) / F.sum("times")).alias("mean")))

@@ -124,9 +124,50 @@ def break_pairing_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stratified_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entropy rank of X'Y with pairs broken within sites only."""
     broken = inference.broken_pairs(vectors(spark, sf_dir), "id", "x", "y", 20, stratum="label")
-    sums = moments.stats_by(broken, "x", "y", ["rep"])
-    told = inference.by_replicate(sums, lambda s: {"rank": geometry.entropy_rank(np.linalg.svd(s.centered()[1], compute_uv=False))})
-    return rounded(spark.createDataFrame([(int(r["rep"]), r["rank"]) for r in told], "rep long, rank double"))
+    one = lambda s: [{"rank": geometry.entropy_rank(np.linalg.svd(s.centered()[1], compute_uv=False))}]
+    return rounded(inference.by_replicate(broken, "x", "y", one, "rank double"))
+
+
+#: Groups of the y features in place of tiers of edges, which the tables don't have.
+TIERS = {"low": list(range(11)), "middle": list(range(11, 22)), "high": list(range(22, 32)), "all": list(range(32))}
+
+
+def _observed(spark: SparkSession, told: list[dict]) -> DataFrame:
+    return spark.createDataFrame([(r["group"], r["k"], r["overlap"], r["r2"], r["ratio"]) for r in told], "group string, k long, overlap double, r2 double, ratio double")
+
+
+@query()
+def tier_break_pairing_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per tier of features and k: the observed overlap against maps fitted to broken pairs, with margin and share above."""
+    train, val, test = parts(spark, sf_dir)
+    told = inference.group_scores(test, models.ridge(train, train, [10.0]), TIERS, [5, 10])
+    null = inference.tier_null(vectors(spark, sf_dir).where(TRAIN), "id", "x", "y", test, TIERS, [5, 10], 10.0, 50)
+    return rounded(inference.margins(null, _observed(spark, told).select("group", "k", F.col("overlap").alias("observed")), "group", "k"))
+
+
+@query()
+def hierarchy_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per tier: overlap, mean feature R2 and their ratio on the test rows, with basic bootstrap intervals."""
+    train, val, test = parts(spark, sf_dir)
+    fitted = models.ridge(train, val)
+    boot = inference.group_bootstrap(vectors(spark, sf_dir).where(TEST), "id", "x", "y", fitted, TIERS, 5, 100)
+    return rounded(inference.basic_intervals(boot, _observed(spark, inference.group_scores(test, fitted, TIERS, [5])), ["overlap", "r2", "ratio"]))
+
+
+@query()
+def scrambled_component_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean component R2 on test rows against that of maps fitted to scrambled x blocks, the penalty chosen again each time."""
+    train, val, test = parts(spark, sf_dir)
+    seen = float(models.component_r2(test, models.ridge(train, val), *models.components(train, 5)).mean())
+    null = inference.scrambled_component_null(vectors(spark, sf_dir).where(TRAIN), "id", "x", "y", val, test, 5, 30)
+    return rounded(inference.null_summary(null, "r2", seen))
+
+
+@query()
+def rank_dimension_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gain in R2 of each further rank on the test rows against broken pairs, until three in a row aren't significant."""
+    train, val, _ = parts(spark, sf_dir)
+    return rounded(inference.rank_test(vectors(spark, sf_dir).where(TEST), "id", "x", "y", models.ridge(train, val).b, 32, 100))
 
 
 def _centroids(spark: SparkSession, sf_dir: str) -> np.ndarray:

@@ -155,7 +155,7 @@ def leakage_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def auc_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentile interval of the AUC over Poisson bootstraps of documents."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    drawn = rows.join(splits.multiplicities(rows, "doc_id", 40), "doc_id")
+    drawn = splits.multiplicities(rows, "doc_id", 40, 42, "n_chars", "quality")
     per = drawn.groupBy("rep", "n_chars").agg(F.sum(F.when(F.col("quality") == 1, F.col("times")).otherwise(0)).alias("p"), F.sum(F.when(F.col("quality") == 0, F.col("times")).otherwise(0)).alias("q"))
     placed = splits.running_before(per, ["rep"], ["n_chars"], "q", "below")
     wins = placed.withColumn("w", F.col("p") * (F.col("below") + F.col("q") / 2)).groupBy("rep").agg((F.sum("w") / F.nullif(F.sum("p") * F.sum("q"), F.lit(0))).alias("auc"))

@@ -157,6 +157,43 @@ def test_geometry():
     assert [p[:2] for p in geometry.align_modes(q, -q[:, [1, 0, 2, 3, 4, 5]])][0][0] in range(6)
 
 
+def check_groups(spark, df, s):
+    """Group scores, tier null, intervals and the rank test against plain NumPy on the same rows."""
+    fitted = models.ridge(s["train",], s["val",])
+    rows = df.where("split = 'test'").orderBy("id").collect()
+    x, y = (np.array([r[c] for r in rows]) for c in "xy")
+    told, groups = x @ fitted.b + fitted.intercept, {"a": [0, 1, 2, 3], "b": list(range(y.shape[1]))}
+    got = inference.group_scores(s["test",], fitted, groups, [2])
+    for r in got:
+        at = groups[r["group"]]
+        axes = [np.linalg.svd(m[:, at] - m[:, at].mean(axis=0), full_matrices=False)[2][:2].T for m in (y, told)]
+        r2 = np.mean([1 - ((y[:, j] - told[:, j]) ** 2).sum() / ((y[:, j] - y[:, j].mean()) ** 2).sum() for j in at])
+        assert r["overlap"] == pytest.approx(geometry.overlap(*axes), abs=1e-6) and r["r2"] == pytest.approx(r2, abs=1e-6)
+    seen = spark.createDataFrame([(r["group"], r["k"], r["overlap"], r["r2"], r["ratio"]) for r in got], "group string, k long, overlap double, r2 double, ratio double")
+    null = inference.tier_null(df.where("split = 'train'"), "id", "x", "y", s["test",], groups, [2], 1.0, 8)
+    assert null.count() == 16
+    margins = inference.margins(null, seen.select("group", "k", F.col("overlap").alias("observed")), "group", "k").collect()
+    for r in margins:
+        values = np.array([n["overlap"] for n in null.where(F.col("group") == r["group"]).collect()])
+        assert r["null_sd"] == pytest.approx(values.std()) and r["margin"] == pytest.approx(r["observed"] - values.mean()) and r["p"] == pytest.approx(((values >= r["observed"]).sum() + 1) / 9)
+    boot = inference.group_bootstrap(df.where("split = 'test'"), "id", "x", "y", fitted, groups, 2, 20)
+    drawn = splits.multiplicities(df.where("split = 'test'"), "id", 20).where("rep = 3").collect()
+    at = np.array([i for r in drawn for i in [[q["id"] for q in rows].index(r["id"])] * r["times"]])
+    r2 = np.mean([1 - ((y[at, j] - told[at, j]) ** 2).sum() / ((y[at, j] - y[at, j].mean()) ** 2).sum() for j in groups["a"]])
+    assert boot.where("rep = 3 AND group = 'a'").first()["r2"] == pytest.approx(r2, abs=1e-6)
+    for r in inference.basic_intervals(boot, seen, ["overlap", "r2"]).collect():
+        values = [b[r["value"]] for b in boot.where(F.col("group") == r["group"]).collect()]
+        assert r["lo"] == pytest.approx(2 * r["observed"] - np.percentile(values, 97.5)) and r["hi"] == pytest.approx(2 * r["observed"] - np.percentile(values, 2.5))
+    scrambled = inference.scrambled_component_null(df.where("split = 'train'"), "id", "x", "y", s["val",], s["test",], 2, 5)
+    assert scrambled.agg(F.max("r2")).first()[0] < models.component_r2(s["test",], fitted, *models.components(s["train",], 2)).mean()
+    ranks = inference.rank_test(df.where("split = 'test'"), "id", "x", "y", fitted.b, min(fitted.b.shape), 60).orderBy("rank").collect()
+    u, d, v = np.linalg.svd(fitted.b, full_matrices=False)
+    r2s = [1 - ((y - x @ (u[:, :k] * d[:k]) @ v[:k]) ** 2).sum() / ((y - y.mean()) ** 2).sum() for k in range(len(ranks) + 1)]
+    assert np.allclose([r["gain"] for r in ranks], np.diff(r2s)) and np.allclose([r["cumulative"] for r in ranks], r2s[1:])
+    marks = [r["significant"] for r in ranks]
+    assert marks[0] and all(any(marks[i : i + 3]) for i in range(len(marks) - 3)) and (len(marks) == min(fitted.b.shape) or not any(marks[-3:]))
+
+
 def test_inference(planted, spark):
     _, _, b, df = planted
     s = moments.stats_by(df, "x", "y", ["split"])
@@ -170,6 +207,7 @@ def test_inference(planted, spark):
     assert null.agg(F.max("overlap")).first()[0] < geometry.overlap(v, truth)
     boot = inference.bootstrap_singular_values(df, "id", "x", "y", 2, 10).groupBy("idx").agg(F.avg("sigma").alias("m")).orderBy("idx").collect()
     assert np.allclose([r["m"] for r in boot], np.linalg.svd(moments.stats(df, "x", "y").xy, compute_uv=False)[:2], rtol=0.1)
+    check_groups(spark, df, s)
     lo, hi = results.bca_interval([1.0, 2.0, 3.0, 4.0, 9.0])
     assert lo < 3.8 < hi
 
