@@ -92,18 +92,18 @@ def assert_disjoint(a: DataFrame, b: DataFrame, key: str = "id") -> None:
         raise ValueError(f"ids in both tables: {[r[key] for r in bad]}")
 
 
-def alignment_hash(ids: DataFrame, key: str = "id", buckets: int = 1) -> DataFrame:
-    """SHA-256 of the ids in order, joined with bars.
+def alignment_hash(ids: DataFrame, key: str = "id", digits: int = 2) -> DataFrame:
+    """SHA-256 that is the same for the same ids in any order: (n, sha256).
 
-    With one bucket it is the digest of the whole list, which one task has to hold; with more, each range of ids (by
-    the first characters' order) gets its digest and the digests are hashed, so that no task holds all ids.
+    Ids with the same leading hex digits of their md5 are sorted, joined with bars and hashed, and so are these digests in
+    order of the digits: no task holds more than a bucket's ids. Take more digits for more ids; with 0 it is the digest of
+    the whole list. Null ids count in n but not in the digest.
     """
     text = F.col(key).cast("string")
-    if buckets == 1:
-        joined = F.array_join(F.array_sort(F.collect_list(text)), "|")
-        return ids.agg(F.count("*").alias("n"), F.sha2(joined, 256).alias("sha256"))
-    part = F.pmod(F.crc32(text.cast("binary")), F.lit(buckets))
-    per = ids.select(part.alias("b"), text.alias("t")).groupBy("b").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("t")), "|"), 256).alias("h"))
+    per = ids.select(F.substring(F.md5(text), 1, digits).alias("b"), text.alias("t")).groupBy("b").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("t")), "|"), 256).alias("h"))
+    if digits == 0:
+        return per.agg(F.sum("n").alias("n"), F.max(F.when(F.col("b").isNotNull(), F.col("h"))).alias("sha256"))
+    per = per.withColumn("h", F.when(F.col("b").isNotNull(), F.col("h")))
     return per.agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "|"), 256).alias("sha256"))
 
 

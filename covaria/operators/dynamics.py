@@ -23,11 +23,34 @@ def followed(seq: DataFrame, subject: str, order: Sequence[str], state: str, buc
     later = heads.select(subject, "_b", F.lead("_head").over(Window.partitionBy(subject).orderBy("_b")).alias("_after"))
     inner = Window.partitionBy(subject, "_b").orderBy(*order)
     rows = rows.withColumn("_next", F.lead(state).over(inner)).withColumn("_end", F.lead(F.lit(1)).over(inner).isNull())
-    return rows.join(later, [subject, "_b"]).withColumn("next", F.when(F.col("_end"), F.col("_after")).otherwise(F.col("_next"))).drop("_b", "_after", "_next", "_end")
+    return _of_bucket(rows, later, subject).withColumn("next", F.when(F.col("_end"), F.col("_after")).otherwise(F.col("_next"))).drop("_b", "_after", "_next", "_end")
 
 
-def runs(seq: DataFrame, subject: str, order: Sequence[str], state: str) -> DataFrame:
+def _of_bucket(rows: DataFrame, per: DataFrame, subject: str) -> DataFrame:
+    """Join what is known of each (subject, _b) to its rows; null subjects are a subject too."""
+    named = per.withColumnsRenamed({subject: "_s", "_b": "_sb"})
+    return rows.join(named, F.col(subject).eqNullSafe(F.col("_s")) & F.col("_b").eqNullSafe(F.col("_sb"))).drop("_s", "_sb")
+
+
+def _runs_by_bucket(seq: DataFrame, subject: str, order: Sequence[str], state: str, bucket: Column) -> DataFrame:
+    """Runs are counted within each bucket, from 0 where the first goes on from the bucket before; earlier buckets' runs are added."""
+    rows = seq.select(subject, state, *[c for c in order if c not in (subject, state)], bucket.alias("_b"))
+    inner, outer = Window.partitionBy(subject, "_b").orderBy(*order), Window.partitionBy(subject).orderBy("_b")
+    last = rows.groupBy(subject, "_b").agg(F.max_by(F.struct(F.col(state).alias("s")), F.struct(*order)).alias("_last"))
+    rows = _of_bucket(rows, last.select(subject, "_b", F.lag("_last").over(outer).alias("_prev")), subject)
+    goes_on = F.when(F.row_number().over(inner) > 1, F.lag(state).over(inner).eqNullSafe(F.col(state))).otherwise(F.col("_prev").isNotNull() & F.col("_prev.s").eqNullSafe(F.col(state)))
+    local = rows.withColumn("_begun", F.when(goes_on, 0).otherwise(1)).withColumn("_local", F.sum("_begun").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
+    short = local.groupBy(subject, "_b", "_local", state).agg(F.count("*").alias("_n"))
+    begun = short.groupBy(subject, "_b").agg(F.max("_local").alias("_begun"))
+    earlier = begun.select(subject, "_b", F.coalesce(F.sum("_begun").over(outer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"))
+    placed = _of_bucket(short, earlier, subject).withColumn("run", F.col("_earlier") + F.col("_local"))
+    return placed.groupBy(subject, "run", state).agg(F.sum("_n").alias("length"))
+
+
+def runs(seq: DataFrame, subject: str, order: Sequence[str], state: str, bucket: Column | None = None) -> DataFrame:
     """Maximal runs of equal states: subject, run (from 1), state, length."""
+    if bucket is not None:
+        return _runs_by_bucket(seq, subject, order, state, bucket)
     w = Window.partitionBy(subject).orderBy(*order)
     before = F.lag(state).over(w)
     begun = F.when(before.eqNullSafe(F.col(state)) & (F.row_number().over(w) > 1), 0).otherwise(1)
@@ -36,9 +59,9 @@ def runs(seq: DataFrame, subject: str, order: Sequence[str], state: str) -> Data
     return numbered.groupBy(subject, "run", state).agg(F.count("*").alias("length"))
 
 
-def dwell(seq: DataFrame, subject: str, order: Sequence[str], state: str) -> DataFrame:
+def dwell(seq: DataFrame, subject: str, order: Sequence[str], state: str, bucket: Column | None = None) -> DataFrame:
     """Mean run length for each subject and state that it visits."""
-    return runs(seq, subject, order, state).groupBy(subject, state).agg(F.avg("length").alias("dwell"), F.count("*").alias("visits"))
+    return runs(seq, subject, order, state, bucket).groupBy(subject, state).agg(F.avg("length").alias("dwell"), F.count("*").alias("visits"))
 
 
 def transitions(seq: DataFrame, subject: str, order: Sequence[str], state: str, bucket: Column | None = None) -> DataFrame:
@@ -92,7 +115,7 @@ def subject_summary(seq: DataFrame, subject: str, order: Sequence[str], state: s
         n.alias("n"), *[(F.count_if(is_state(s)) / n).alias(f"occ_{i}") for s, i in place.items()],
         *[F.coalesce(F.avg(F.when(is_state(s), F.col(energy))), F.lit(0.0)).alias(f"energy_{i}") for s, i in place.items() if energy],
     )
-    stay = runs(seq, subject, order, state).groupBy(subject).agg(*[F.coalesce(F.avg(F.when(is_state(s), F.col("length"))), F.lit(0.0)).alias(f"dwell_{i}") for s, i in place.items()])
+    stay = runs(seq, subject, order, state, bucket).groupBy(subject).agg(*[F.coalesce(F.avg(F.when(is_state(s), F.col("length"))), F.lit(0.0)).alias(f"dwell_{i}") for s, i in place.items()])
     counted = transitions(seq, subject, order, state, bucket)
     cell = lambda a, b: F.sum(F.when((F.col("from_state") == F.lit(a)) & (F.col("to_state") == F.lit(b)), F.col("n")).otherwise(0))
     row = lambda a: F.sum(F.when(F.col("from_state") == F.lit(a), F.col("n")).otherwise(0))

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covaria.operators.moments import Stats
+from covaria.operators.moments import Stats, linear_map
 
 # Default grids.
 ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)
@@ -172,8 +172,8 @@ def fit(method: str, train: Stats, val: Stats, **options) -> Fit:
 
 
 def predict(rows: DataFrame, x: str, fitted: Fit, name: str = "prediction") -> DataFrame:
-    """Add xB + intercept as an expression: coefficients are literals of the plan, p x q in size."""
-    return rows.withColumn(name, F.array(*[F.aggregate(F.zip_with(F.col(x).cast("array<double>"), F.lit(b.tolist()), lambda u, v: u * v), F.lit(float(c)), lambda s, v: s + v) for b, c in zip(fitted.b.T, fitted.intercept, strict=True)]))
+    """Add xB + intercept; coefficients are broadcast as a matrix."""
+    return linear_map(rows, x, fitted.b, fitted.intercept, name)
 
 
 def components(train: Stats, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -199,9 +199,8 @@ def component_r2(s: Stats, fitted: Fit, mean: np.ndarray, axes: np.ndarray) -> n
 
 
 def fourier_features(rows: DataFrame, x: str, d: int, bandwidth: float, seed: int = 0, name: str = "phi") -> DataFrame:
-    """Add sqrt(2 / d) cos(xW + b), random Fourier features of a Gaussian kernel; W and b come from the seed and are literals."""
+    """Add sqrt(2 / d) cos(xW + b), random Fourier features of a Gaussian kernel; W and b come from the seed."""
     p = rows.select(F.size(x).alias("p")).first()["p"]
     rng = np.random.default_rng(seed)
     w, b = rng.standard_normal((p, d)) / bandwidth, rng.uniform(0, 2 * np.pi, d)
-    part = lambda j: F.cos(F.aggregate(F.zip_with(F.col(x).cast("array<double>"), F.lit(w[:, j].tolist()), lambda u, v: u * v), F.lit(float(b[j])), lambda s, v: s + v)) * float((2 / d) ** 0.5)
-    return rows.withColumn(name, F.array(*[part(j) for j in range(d)]))
+    return linear_map(rows, x, w, b, name).withColumn(name, F.transform(name, lambda v: F.cos(v) * float((2 / d) ** 0.5)))

@@ -34,6 +34,30 @@ def _block(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def linear_map(rows: DataFrame, x: str, matrix: np.ndarray, offset: np.ndarray | float = 0.0, name: str = "mapped") -> DataFrame:
+    """Add or replace `name`, the block x times a p x q matrix, plus an offset. Each task multiplies its batches.
+
+    The matrix is broadcast: its size is features by features, whatever the rows. A null block gives null, a null value
+    inside one NaN; blocks of another length than p raise.
+    """
+    p, q = matrix.shape
+    sent = rows.sparkSession.sparkContext.broadcast((np.asarray(matrix, dtype=np.float64), offset))
+    others = [f for f in rows.schema.fields if f.name.lower() != name.lower()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b, plus = sent.value
+        for batch in batches:
+            column = batch.column(x)
+            there = column.is_valid().to_numpy(zero_copy_only=False)
+            block = column.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(int(there.sum()), p)
+            ends = np.concatenate(([0], np.cumsum(there * q))).astype(np.int32)
+            starts = pa.array(ends, mask=np.append(~there, False))
+            out = pa.ListArray.from_arrays(starts, pa.array((block @ b + plus).ravel()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in others], out], names=[*[f.name for f in others], name])
+
+    return rows.mapInArrow(run, T.StructType([*others, T.StructField(name, T.ArrayType(T.DoubleType()))]))
+
+
 def cross_product(rows: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
     """(keys, i, j, v): the sum over rows of x_i * y_j, for each group of keys. Rows with a null block don't count."""
     columns = list(dict.fromkeys([*keys, x, y]))

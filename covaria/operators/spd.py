@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from covaria.operators.moments import cross_product
+from covaria.sources.scratch import materialize
+
 FLOOR, TANGENT_FLOOR = 1e-6, 1e-10
 
 
@@ -136,18 +139,27 @@ def distance(a: Column, b: Column, metric: str = "airm") -> Column:
 
 
 def _mean(vectors: DataFrame, name: str) -> np.ndarray:
-    rows = vectors.select(F.posexplode(name).alias("j", "v")).groupBy("j").agg(F.avg("v").alias("v")).collect()
-    return np.array([r["v"] for r in sorted(rows, key=lambda r: r["j"])])
+    """Mean of a vector column, summed in tasks first; the sums carry a 1 before each vector, so the first is the count."""
+    one = F.array(F.lit(1.0))
+    sums = cross_product(vectors.select(one.alias("one"), F.concat(one, name).alias("v")), "one", "v").collect()
+    found = np.array([r["v"] for r in sorted(sums, key=lambda r: r["j"])])
+    return found[1:] / found[0]
 
 
 def log_euclidean_mean(rows: DataFrame, m: str) -> np.ndarray:
-    """exp of the mean logarithm: one pass."""
-    d = round(rows.select(F.size(m).alias("n")).first()["n"] ** 0.5)
+    """exp of the mean logarithm: one pass. Null matrices don't count; raises where there is none."""
+    rows = rows.where(F.col(m).isNotNull())
+    some = rows.select(F.size(m).alias("n")).first()
+    if some is None:
+        raise ValueError("there is no matrix to take a mean of")
+    d = round(some["n"] ** 0.5)
     return spectral(unvectorize(_mean(rows.select(tangent(F.col(m), np.eye(d), "log_euclidean").alias("t")), "t")), _exp, None)
 
 
 def frechet_mean(rows: DataFrame, m: str, steps: int = 50, tol: float = 1e-6) -> np.ndarray:
-    """Affine-invariant mean: from the log-Euclidean one, step along the mean tangent until it is short. One pass a step."""
+    """Affine-invariant mean: from the log-Euclidean one, step along the mean tangent until it is short. One pass a step
+    over the matrices, which are written down once."""
+    rows = materialize(rows.select(m).where(F.col(m).isNotNull()), "matrices")
     base = log_euclidean_mean(rows, m)
     for _ in range(steps):
         t = unvectorize(_mean(rows.select(tangent(F.col(m), base).alias("t")), "t"))

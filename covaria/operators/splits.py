@@ -81,10 +81,27 @@ def external_mapping(first: DataFrame, second: DataFrame, key: str = "id") -> Da
     return row(a, "ds1_to_ds2", "train").union(row(b, "ds1_to_ds2", "test")).union(row(b, "ds2_to_ds1", "train")).union(row(a, "ds2_to_ds1", "test"))
 
 
+def quantiles(rows: DataFrame, value: str | Column, probs: Sequence[float]) -> list[float | None]:
+    """Exact quantiles with linear interpolation between neighbours, nulls left out; all None where no value is left.
+
+    Rows of a value are counted first and values are placed in ranges, so neither repeated values nor all of them meet in
+    one task; two values for each quantile reach the driver.
+    """
+    counted = rows.select((F.col(value) if isinstance(value, str) else value).cast("double").alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
+    placed = running_before(counted, [], ["v"], "n", "below")
+    total = placed.agg(F.sum("n")).first()[0]
+    if not total:
+        return [None] * len(probs)
+    places = [p * (total - 1) for p in probs]
+    wanted = sorted({int(at) for at in places} | {min(int(at) + 1, total - 1) for at in places})
+    holds = F.filter(F.lit(wanted), lambda k: (k >= F.col("below")) & (k < F.col("below") + F.col("n")))
+    at = {k: r["v"] for r in placed.select("v", holds.alias("ks")).where(F.size("ks") > 0).collect() for k in r["ks"]}
+    return [at[int(x)] if x == int(x) else (int(x) + 1 - x) * at[int(x)] + (x - int(x)) * at[int(x) + 1] for x in places]
+
+
 def quantile_edges(rows: DataFrame, value: str, parts: int) -> list[float]:
     """Distinct interpolated quantiles of a column at 0, 1/parts, ... 1."""
-    found = rows.agg(F.percentile(value, [i / parts for i in range(parts + 1)])).first()[0]
-    return sorted(set(found or []))
+    return sorted({q for q in quantiles(rows, value, [i / parts for i in range(parts + 1)]) if q is not None})
 
 
 def quantile_strata(rows: DataFrame, value: str, parts: int = 10, name: str = "stratum") -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covaria.operators import moments
+from covaria.operators import moments, splits
 
 MISSING = "__MISSING__"
 
@@ -48,9 +48,9 @@ class Design:
 def fit_design(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], most_levels: int = 10_000) -> Design:
     """Medians (0 where all are null) and sorted levels, null as a level of its own, of training rows only.
 
-    One aggregation for all medians, one for each categorical column; raises beyond `most_levels`, which bounds the design.
+    Each median is found by ranges, levels by one aggregation a column; raises beyond `most_levels`, which bounds the design.
     """
-    found = train.agg(*[F.percentile(F.col(c).try_cast("double"), 0.5).alias(c) for c in numeric]).first() if numeric else {}
+    found = {c: splits.quantiles(train, F.col(c).try_cast("double"), [0.5])[0] for c in numeric}
     levels = {}
     for c in categorical:
         got = train.select(F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("v")).distinct().limit(most_levels + 1).collect()
@@ -79,9 +79,9 @@ def fit_ols(rows: DataFrame, design: str, vector: str) -> np.ndarray:
 
 
 def residualize(rows: DataFrame, design: str, vector: str, beta: np.ndarray) -> DataFrame:
-    """Subtract what the design explains, column by column as one expression; beta is small (design columns x features)."""
-    fitted = F.array(*[F.aggregate(F.zip_with(F.col(design), F.lit(b.tolist()), lambda a, c: a * c), F.lit(0.0), lambda s, v: s + v) for b in beta.T])
-    return rows.withColumn(vector, F.zip_with(F.col(vector).cast("array<double>"), fitted, lambda v, f: v - f))
+    """Subtract what the design explains; beta (design columns x features) is broadcast as a matrix."""
+    fitted = moments.linear_map(rows, design, beta, name="_fitted")
+    return fitted.withColumn(vector, F.zip_with(F.col(vector).cast("array<double>"), F.col("_fitted"), lambda v, f: v - f)).drop("_fitted")
 
 
 def regress_out(long_rows: DataFrame, key: str, covariate: str) -> DataFrame:

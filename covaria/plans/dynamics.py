@@ -51,12 +51,12 @@ def subject_dynamics_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {RUNS} SELECT user_id, run::BIGINT AS run, event_type, length FROM runs")
 def state_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dynamics.runs(sequence(spark, sf_dir), "user_id", ORDER, "event_type")
+    return dynamics.runs(sequence(spark, sf_dir), "user_id", ORDER, "event_type", F.to_date("ts"))
 
 
 @query(f"WITH {RUNS} SELECT user_id, event_type, round(avg(length), 6) + 0.0 AS dwell, count(*) AS visits FROM runs GROUP BY ALL")
 def state_dwell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(dynamics.dwell(sequence(spark, sf_dir), "user_id", ORDER, "event_type"))
+    return rounded(dynamics.dwell(sequence(spark, sf_dir), "user_id", ORDER, "event_type", F.to_date("ts")))
 
 
 @query(f"WITH {PAIRS} SELECT * FROM counted")

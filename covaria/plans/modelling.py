@@ -242,7 +242,7 @@ def spd_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def frechet_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = spd.frechet_mean(matrices(spark, sf_dir), "m", steps=10)
+    m = spd.frechet_mean(matrices(spark, sf_dir), "m")
     return rounded(spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(m) for j, v in enumerate(row)], "i long, j long, v double"))
 
 
@@ -263,8 +263,8 @@ def rsfe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ridge on random Fourier features of the median bandwidth."""
     rows = vectors(spark, sf_dir)
-    width = graphs.bandwidth(rows, "id", "x", 200).first()["bandwidth"]
-    phi = models.fourier_features(rows, "x", 50, width)
+    width = graphs.bandwidth(rows, "id", "x", 2000).first()["bandwidth"]
+    phi = models.fourier_features(rows, "x", 500, width)
     split = F.when(F.expr(TRAIN), "train").when(F.expr(VAL), "val").otherwise("test")
     s = moments.stats_by(phi.withColumn("split", split), "phi", "y", ["split"])
     fit = models.ridge(s["train",], s["val",])

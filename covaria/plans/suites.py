@@ -109,7 +109,7 @@ def stratified_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH p AS (SELECT o_orderkey, o_custkey, o_totalprice FROM orders), q AS (SELECT quantile_cont(o_totalprice, 0.8) AS q FROM p) SELECT DISTINCT o_custkey FROM p, q WHERE o_totalprice >= q""")
 def quantile_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice")
-    edge = orders.agg(F.percentile("o_totalprice", 0.8).alias("q")).first()["q"]
+    edge = splits.quantiles(orders, "o_totalprice", [0.8])[0]
     return orders.where(F.col("o_totalprice") >= edge).select("o_custkey").distinct()
 
 
@@ -135,7 +135,7 @@ def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
 def motion_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlap of a map's right subspace under subsets by a motion covariate, with the full map's."""
     rows = vectors(spark, sf_dir).withColumn("motion", F.abs(F.get("x", F.lit(0))))
-    median = rows.agg(F.percentile("motion", 0.5)).first()[0]
+    median = splits.quantiles(rows, "motion", [0.5])[0]
     kept = {"all": "true", "low": f"motion <= {median!r}", "very_low": f"motion <= {median / 2!r}"}
     tagged = rows.select("x", "y", F.explode(F.array_compact(F.array(*[F.when(F.expr(c), F.lit(n)) for n, c in kept.items()]))).alias("condition"))
     maps = {k: geometry.right_subspace(models.ridge(s, s, [10.0]).b, 5) for (k,), s in moments.stats_by(tagged, "x", "y", ["condition"]).items()}

@@ -1,5 +1,6 @@
 """Operators on small tables with known results."""
 
+import hashlib
 import json
 
 import numpy as np
@@ -29,8 +30,9 @@ def test_alignment(spark):
         cohort.assert_all_found(t("xyz"), t("xy"))
     with pytest.raises(ValueError, match="both"):
         cohort.assert_disjoint(t("ab"), t("bc"))
-    one = lambda names, b=1: cohort.alignment_hash(t(names), buckets=b).first()["sha256"]
-    assert one("abc") == one("cba") != one("abd") and one("abc", 4) == one("cab", 4) != one("abd", 4)
+    one = lambda names, d: cohort.alignment_hash(t(names), digits=d).first()["sha256"]
+    assert all(one("abc", d) == one("cba", d) != one("abd", d) for d in (0, 1, 2))
+    assert one("ab", 0) == hashlib.sha256(b"a|b").hexdigest()
 
 
 def test_ids(spark):
@@ -70,14 +72,44 @@ def test_splits(spark):
     assert abs(times.agg(F.sum("times")).first()[0] / 20_000 - 1) < 0.05
 
 
+def test_quantiles(spark):
+    values = [float(v) for v in np.random.default_rng(1).integers(0, 40, 300)] + [None, None]
+    df = table(spark, [(v,) for v in values], "v double")
+    probs = [0.0, 0.1, 0.5, 0.975, 1.0]
+    assert np.allclose(splits.quantiles(df, "v", probs), np.quantile(values[:-2], probs))
+    assert splits.quantiles(df.where("v IS NULL"), "v", [0.5]) == [None] and splits.quantiles(df.limit(1), "v", [0.3]) == [values[0]]
+
+
+def test_linear_map(spark):
+    df = table(spark, [(1, [1.0, 2.0], "k"), (2, None, "l"), (3, [0.5, -1.0], None)], "id long, x array<double>, other string")
+    b = np.array([[1.0, 0.0, 2.0], [3.0, -1.0, 0.5]])
+    got = {r["id"]: r for r in moments.linear_map(df, "x", b, np.array([0.0, 1.0, 0.0]), "x").collect()}
+    assert got[1]["x"] == [7.0, -1.0, 3.0] and got[2]["x"] is None and got[3]["x"] == [-2.5, 2.0, 0.5] and got[2]["other"] == "l"
+    assert moments.linear_map(df.where("id = 2"), "x", b).first()["mapped"] is None and moments.linear_map(df.limit(0), "x", b).count() == 0
+
+
+def test_means_of_matrices(spark):
+    rng = np.random.default_rng(3)
+    found = [a @ a.T + np.eye(3) for a in rng.normal(size=(20, 3, 3))]
+    df = table(spark, [(m.ravel().tolist(),) for m in found] + [(None,)], "m array<double>")
+    logs = [(v * np.log(w)) @ v.T for w, v in map(np.linalg.eigh, found)]
+    w, v = np.linalg.eigh(np.mean(logs, axis=0))
+    assert np.allclose(spd.log_euclidean_mean(df, "m"), (v * np.exp(w)) @ v.T)
+    assert spd.frechet_mean(df, "m").shape == (3, 3)
+    with pytest.raises(ValueError, match="no matrix"):
+        spd.frechet_mean(df.where("m IS NULL"), "m")
+
+
 def test_dynamics_with_buckets(spark):
     rng = np.random.default_rng(0)
     rows = [(int(u), i, i // 7, "abc"[rng.integers(3)]) for u in range(3) for i in range(int(rng.integers(1, 60)))]
     seq = table(spark, rows, "u long, t long, day long, s string")
     plain = dynamics.transitions(seq, "u", ["t"], "s")
     assert plain.exceptAll(dynamics.transitions(seq, "u", ["t"], "s", F.col("day"))).count() == 0
-    lengths = dynamics.runs(seq, "u", ["t"], "s").agg(F.sum("length")).first()[0]
-    assert lengths == len(rows)
+    whole, stitched = (dynamics.runs(seq, "u", ["t"], "s", b).collect() for b in (None, F.col("day")))
+    assert sum(r["length"] for r in whole) == len(rows) and set(whole) == set(stitched) and len(whole) == len(stitched)
+    odd = table(spark, [(None, 0, 0, "a"), (None, 1, 1, "a"), (1, 0, 0, None), (1, 1, 1, None), (1, 2, 2, "b")], "u long, t long, day long, s string")
+    assert set(dynamics.runs(odd, "u", ["t"], "s", F.col("day")).collect()) == set(dynamics.runs(odd, "u", ["t"], "s").collect())
     wide = dynamics.subject_summary(table(spark, [(1, 0, "a")], "u long, t long, s string"), "u", ["t"], "s", ["a", "b"]).first()
     assert wide["occ_0"] == 1 and wide["dwell_1"] == 0 and wide["switching_rate"] == 0 and wide["tc_0_1"] == 0
 
