@@ -89,3 +89,29 @@ def hash_words(words: pa.Array) -> np.ndarray:
 def held_out(modulus: int, remainder: int = 2, key: str = "doc_id"):
     """True where crc32 of the key as text leaves the remainder; a null key is never held out."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it back, dots and back-ticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def with_arrays(docs: DataFrame, columns: tuple[str, ...], added: dict[str, str], make, limit: int = SLICE_BYTES) -> DataFrame:
+    """Add columns (name → type) that a function of Arrow arrays gives; columns of these names, whatever the case, go.
+
+    make() is called once a task and returns a function from the given columns' arrays (the last one is the text, by which
+    batches are cut) to a list of new arrays. Other columns pass by under plain names, so theirs may hold anything.
+    """
+    gone = {c.lower() for c in added}
+    keep = [c for c in docs.columns if c.lower() not in gone]
+    plain = docs.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(keep)], *[F.col(quoted(c)).alias(f"in{i}") for i, c in enumerate(columns)])
+    passed, used = [f"c{i}" for i in range(len(keep))], [f"in{i}" for i in range(len(columns))]
+    schema = plain.select(*passed, *[F.lit(None).cast(kind).alias(f"new{i}") for i, kind in enumerate(added.values())]).schema
+    names = [f.name for f in schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        for part in slices(batches, used[-1], limit):
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in passed], *compute(*[part.column(c) for c in used])], names=names)
+
+    return plain.mapInArrow(run, schema).toDF(*keep, *added)

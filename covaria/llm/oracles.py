@@ -70,5 +70,41 @@ SELECT conv_id, n_turns, turns_sha256, len(said)::BIGINT AS loss_chars, sha256(s
 """
 
 
+def _canonical(*values: str) -> str:
+    return "sha256(concat(" + ", ".join(f"coalesce(strlen({v}::VARCHAR) || ':' || {v}::VARCHAR, '-')" for v in values) + "))"
+
+
+# 3988292384 is the polynomial of crc32 (reversed) and 4294967295 its first and last operand
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT)"""
+
+
+def _levels(name: str, leaves: str) -> str:
+    """Nodes of all levels of all trees: pairs become their digest while a tree has several nodes."""
+    return f"""{name} AS (SELECT tree, 0 AS level, idx, n, hash FROM {leaves} UNION ALL
+  SELECT tree, level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(hash, '' ORDER BY idx)) FROM {name} WHERE n > 1 GROUP BY tree, level, n, idx // 2)"""
+
+
+def _folds(name: str, nodes: str, first: str) -> str:
+    """From (tree, id, idx, n, acc, sibs): each level's sibling is added to sibs and hashed into acc."""
+    return f"""{name} AS (SELECT tree, id, 0 AS level, idx, n, acc, sibs FROM {first} UNION ALL
+  SELECT f.tree, f.id, f.level + 1, f.idx // 2, (f.n + 1) // 2, sha256(CASE WHEN f.idx % 2 = 0 THEN concat(f.acc, s.hash) ELSE concat(s.hash, f.acc) END), concat(f.sibs, s.hash)
+  FROM {name} f LEFT JOIN {nodes} s ON s.tree = f.tree AND s.level = f.level AND s.idx = xor(f.idx, 1) WHERE f.n > 1)"""
+
+
+OP12 = f"""
+WITH RECURSIVE h AS (SELECT *, row_number() OVER () AS id, coalesce({_CRC32} % 7 = 0, false) AS hit, coalesce('=' || lang, '-') AS tree FROM documents),
+l AS (SELECT id, doc_id, tree, {_canonical("doc_id", "source", "lang", "n_chars", "text")} AS hash, {_canonical("doc_id", "source", "lang", "(n_chars + hit::BIGINT)", "text")} AS claimed FROM h),
+b AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, hash, id) - 1 AS idx, count(*) OVER (PARTITION BY tree) AS n FROM l),
+{_levels("t", "b")},
+s AS (SELECT tree AS name, '' AS tree, hash, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM t WHERE n = 1),
+{_levels("u", "s")},
+a AS (SELECT tree, id, idx, n, claimed AS acc, '' AS sibs FROM b), {_folds("f", "t", "a")},
+c AS (SELECT s.tree, f.id, s.idx, s.n, f.acc, f.sibs FROM f JOIN s ON s.name = f.tree WHERE f.n = 1), {_folds("g", "u", "c")}
+SELECT b.doc_id, b.hash AS leaf, s.hash AS subroot, r.hash AS root, sha256(g.sibs) AS proof_sha256, g.acc AS folded_root, g.acc = r.hash AS verified
+FROM b JOIN s ON s.name = b.tree JOIN g ON g.id = b.id AND g.n = 1 JOIN u r ON r.n = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1, "op3_secret_scan": OP3, "op9_chat_format": OP9}
+    return {"op1_mix_sources": OP1, "op3_secret_scan": OP3, "op9_chat_format": OP9, "op12_merkle_manifest": OP12}

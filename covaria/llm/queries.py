@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from covaria.llm import chat, extract, fingerprint, language, lm, mixing, pieces, quality, secrets, simhash
+from covaria.llm import chat, extract, fingerprint, language, lm, manifest, mixing, periods, pieces, quality, secrets, simhash, tokens
 from covaria.llm.common import held_out, materialize, read
 from covaria.llm.oracles import oracle_sql  # noqa: F401  the entry reads both from here
 
@@ -61,9 +61,21 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edits(read(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.summary(read(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.audit(read(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.summary(read(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     op1_mix_sources, op2_language_id, op3_secret_scan, op4_simhash_dedup, op5_html_extract, op6_sentencepiece, op7_lm_score, op8_quality_rules, op9_chat_format,
-    op10_fingerprints,
+    op10_fingerprints, op11_token_counts, op12_merkle_manifest, op13_periodic_runs,
 )
 
 

@@ -543,7 +543,8 @@ def test_queries_have_the_columns(spark, sf_dir):
         "op1": "doc_id size source_size target taken", "op2": "doc_id held_out lang_pred score", "op3": "doc_id n_assign n_access n_hex base_sha256 spans", "op4": "doc_id fingerprint component_id",
         "op5": "page_id url text n_chars", "op6": "doc_id n_tokens ids", "op7": "doc_id held_out n_tokens n_known train_tokens base_score score",
         "op8": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op9": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
-        "op10": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
+        "op10": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", "op11": "doc_id n_bytes n_tokens over_limit",
+        "op12": "doc_id leaf subroot root proof_sha256 folded_root verified", "op13": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
     }
     for name, f in queries.queries().items():
         df = f(spark, sf_dir)
