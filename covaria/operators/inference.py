@@ -1,17 +1,22 @@
 """Permutation nulls and bootstraps: replicates are rows, so they run side by side as Spark tasks.
 
-Replicates that need the data again (permutations of rows, bootstraps) carry a replicate number through a join and are
-reduced to p x q sums per replicate before anything dense is done; those that don't are a range of seeds.
+Replicates that need the data again (permutations of rows, bootstraps) are drawn inside tasks, which reduce them to p x q
+sums per replicate before anything dense is done; those that don't are a range of seeds.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from covaria.operators import geometry, models, moments
 from covaria.operators.splits import multiplicities, ranked
@@ -94,24 +99,122 @@ def broken_pairs(rows: DataFrame, key: str, x: str, y: str, replicates: int, see
 def by_replicate(rows: DataFrame, x: str, y: str, f: Callable[[moments.Stats], list[dict[str, float]]], schema: str, weight: str | None = None) -> DataFrame:
     """(rep, schema): what f tells of each replicate's statistics, which are put together and solved in a task of their own.
 
-    Tasks sum their rows first, so what meets for a replicate is the (1 + p + q)^2 cells of each task, and nothing but f's
-    rows leaves it. No rows, no replicates.
+    Tasks sum their rows first, so what meets for a replicate is half of (1 + p + q)^2 numbers of each task, and nothing but
+    f's rows leaves it. No rows, no replicates.
     """
-    cells, p = moments.cells_by(rows, x, y, ["rep"], weight)
 
     def solve(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        size = int(part["i"].max()) + 1
-        m = np.zeros((size, size))
-        m[part["i"].to_numpy(), part["j"].to_numpy()] = part["v"].to_numpy()
-        return pd.DataFrame([{"rep": int(key[0]), **r} for r in f(moments.unpack(m, p))])
+        s = moments.assemble(part["i"].to_numpy(), part["row"].tolist(), int(part["p"].iloc[0]))
+        return pd.DataFrame([{"rep": int(key[0]), **r} for r in f(s)])
 
-    return cells.groupBy("rep").applyInPandas(solve, f"rep long, {schema}")
+    return moments.triangles(rows, x, y, ["rep"], weight).groupBy("rep").applyInPandas(solve, f"rep long, {schema}")
+
+
+def _uniform(h: np.ndarray, rep: int, seed: int) -> np.ndarray:
+    """SplitMix64 of a row's hash, a replicate and a seed, unsigned."""
+    with np.errstate(over="ignore"):
+        z = h.view(np.uint64) + np.uint64((rep + 1) * 0x9E3779B97F4A7C15 + (seed + 1) * 0xD1342543DE82EF95 & (2**64 - 1))
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(by)
+        return z ^ (z >> np.uint64(31))
+
+
+#: Distribution function of Poisson(1) at 0, 1, ...
+POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+
+
+def drawn_times(h: np.ndarray, rep: int, seed: int) -> np.ndarray:
+    """How often a replicate of a Poisson bootstrap draws rows of these hashes."""
+    return np.searchsorted(POISSON, (_uniform(h, rep, seed) >> np.uint64(11)) * 2.0**-53, side="right").astype(np.float64)
+
+
+def _in_cells(rows: DataFrame, groups: Sequence[str], block: int, seed: int) -> DataFrame:
+    """Rows dealt by hash into cells of about `block` rows of a group, and sorted by group, cell and hash; written down."""
+    if groups:
+        sizes = rows.groupBy(*groups).count().withColumnsRenamed({g: f"_g{i}" for i, g in enumerate(groups)})
+        same = functools.reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)])
+        rows, n = rows.join(sizes, same).drop(*[f"_g{i}" for i in range(len(groups))]), F.col("count")
+    else:
+        n = F.lit(rows.count())
+    order = [*groups, "_cell"]
+    dealt = rows.withColumn("_cell", F.pmod(F.xxhash64("_h", F.lit(seed)), F.greatest(F.lit(1), F.ceil(n / block)))).drop("count")
+    return materialize(dealt.repartition(*order).sortWithinPartitions(*order, "_h"), "cells")
+
+
+def resampled_products(
+    rows: DataFrame, key: str, x: str, y: str, replicates: int, seed: int = 42, how: str = "break", stratum: str | None = None, keys: Sequence[str] = (), block: int = 4096, at_once: int = 50,
+) -> DataFrame:
+    """(keys, rep, i, row): for each replicate the sums of [x, 1] times [y, 1], so sums and n are its last row and column.
+
+    how = "bootstrap": rows count as often as Poisson(1) draws them. how = "break": y blocks are dealt anew among rows.
+    Neither copies rows. Broken pairs: rows are dealt once into cells of about `block` rows (of a stratum), and each replicate
+    permutes y within cells. Cells come from a hash of the rows, not from how x and y go together over rows, so these are
+    permutations like any. Draws depend on row, seed and replicate alone; equal rows are drawn together. Replicates go in
+    groups of `at_once`, each of which reads the rows again, so a task holds that many p x q sums. Rows with a null block
+    don't count; a null key is a key.
+    """
+    if how not in ("break", "bootstrap"):
+        raise ValueError(f"unknown way to resample {how}")
+    groups = [*keys, *([stratum] if stratum else [])]
+    blocks = [F.col(c).cast("array<double>").alias(n) for c, n in ((x, "_x"), (y, "_y"))]
+    full = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*groups, F.xxhash64(F.col(key).cast("string"), x, y).alias("_h"), *blocks)
+    broken = how == "break"
+    full = _in_cells(full, groups, block, seed) if broken else materialize(full, "drawn")
+    order = [*groups, "_cell"] if broken else list(keys)
+    schema = T.StructType([*full.select(*keys).schema.fields, T.StructField("rep", T.LongType()), T.StructField("i", T.IntegerType()), T.StructField("row", T.ArrayType(T.DoubleType()))])
+    arrow = moments.to_arrow(schema)
+    cut = lambda k, m: [((*k, i), r) for i, r in enumerate(m)]
+
+    def of_group(reps: range) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = moments.Sums(arrow)
+            for batch in moments.whole_groups(batches, order, 4 * block) if broken else batches:
+                if not batch.num_rows:
+                    continue
+                hashes, *both = batch.column("_h").to_numpy(), *(np.hstack([m, np.ones((len(m), 1))]) for m in (moments.block_of(batch, c) for c in ("_x", "_y")))
+                # a cell of many equal rows is permuted in pieces, whose ends don't depend on the batches
+                pieces = ((g, at[lo : lo + 4 * block]) for g, at in moments.grouped(batch, order) for lo in range(0, len(at), 4 * block)) if broken else moments.grouped(batch, order)
+                for group, at in pieces:
+                    h, left, right = hashes[at], *(m[at] for m in both)
+                    for r in reps:
+                        again = right[np.argsort(_uniform(h + np.arange(len(h)), r, seed), kind="stable")] if broken else right * drawn_times(h, r, seed)[:, None]
+                        sums.add((*group[: len(keys)], r), left.T @ again)
+                if sums.full():
+                    yield from sums.batches(cut)
+            yield from sums.batches(cut)
+
+        return full.mapInArrow(run, schema)
+
+    chunks = [of_group(range(lo, min(lo + at_once, replicates))) for lo in range(0, replicates, at_once)]
+    return moments.summed(functools.reduce(DataFrame.unionAll, chunks), *keys, "rep", "i")
+
+
+def by_products(products: DataFrame, f: Callable[..., list[dict]], schema: str, *keys: str) -> DataFrame:
+    """(keys, rep, schema): what f tells of each replicate's n, sums of x and y, and x'y, solved in a task of its own."""
+
+    def solve(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        m = np.array(part.sort_values("i")["row"].tolist())
+        told = f(*([key[: len(keys)]] if keys else []), m[-1, -1], m[:-1, -1], m[-1, :-1], m[:-1, :-1])
+        return pd.DataFrame([{**dict(zip(keys, key[: len(keys)], strict=True)), "rep": int(key[-1]), **r} for r in told])
+
+    types = "".join(f"`{c.name}` {c.dataType.simpleString()}, " for c in products.select(*keys).schema.fields)
+    return products.groupBy(*keys, "rep").applyInPandas(solve, f"{types}rep long, {schema}")
+
+
+def by_broken_pairs(rows: DataFrame, key: str, x: str, y: str, replicates: int, f: Callable[[moments.Stats], list[dict]], schema: str, seed: int = 42, stratum: str | None = None) -> DataFrame:
+    """(rep, schema): what f tells of the rows' statistics with pairs broken (within strata).
+
+    Breaking pairs changes x'y alone, so all else is summed once, and a replicate is p x q numbers.
+    """
+    full = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    base = moments.stats(full, x, y)
+    return by_products(resampled_products(full, key, x, y, replicates, seed, "break", stratum), lambda n, sx, sy, xy: f(replace(base, xy=xy)), schema)
 
 
 def break_pairing_null(rows: DataFrame, key: str, x: str, y: str, observed: np.ndarray, k: int, alpha: float, replicates: int = 100, seed: int = 42) -> DataFrame:
     """(rep, overlap): right subspaces of ridge maps refitted at one penalty on broken pairs, against the observed one."""
     one = lambda s: [{"overlap": geometry.overlap(observed, geometry.right_subspace(models.ridge(s, s, [alpha]).b, k))}]
-    return by_replicate(broken_pairs(rows, key, x, y, replicates, seed), x, y, one, "overlap double")
+    return by_broken_pairs(rows, key, x, y, replicates, one, "overlap double", seed)
 
 
 def group_scores(s: moments.Stats, fitted: models.Fit, groups: dict[str, list[int]], ks: Sequence[int]) -> list[dict]:
@@ -134,7 +237,7 @@ def group_scores(s: moments.Stats, fitted: models.Fit, groups: dict[str, list[in
 def tier_null(train: DataFrame, key: str, x: str, y: str, test: moments.Stats, groups: dict[str, list[int]], ks: Sequence[int], alpha: float, replicates: int = 300, seed: int = 42) -> DataFrame:
     """(rep, group, k, overlap): per group of y features, what ridge maps fitted to broken training pairs predict on the test rows."""
     one = lambda s: [{n: r[n] for n in ("group", "k", "overlap")} for r in group_scores(test, models.ridge(s, s, [alpha]), groups, ks)]
-    return by_replicate(broken_pairs(train, key, x, y, replicates, seed), x, y, one, "group string, k long, overlap double")
+    return by_broken_pairs(train, key, x, y, replicates, one, "group string, k long, overlap double", seed)
 
 
 def margins(null: DataFrame, observed: DataFrame, *by: str) -> DataFrame:
@@ -166,7 +269,7 @@ def scrambled_component_null(rows: DataFrame, key: str, x: str, y: str, val: mom
         fitted = models.ridge(s, val)
         return [{"chosen": float(fitted.chosen), "r2": float(models.component_r2(test, fitted, *models.components(s, k)).mean())}]
 
-    return by_replicate(broken_pairs(rows, key, x, y, replicates, seed), x, y, one, "chosen double, r2 double")
+    return by_broken_pairs(rows, key, x, y, replicates, one, "chosen double, r2 double", seed)
 
 
 def gains(s: moments.Stats, b: np.ndarray, most: int) -> np.ndarray:
@@ -180,10 +283,10 @@ def rank_test(rows: DataFrame, key: str, x: str, y: str, b: np.ndarray, most: in
 
     A replicate's gains come from its p x q sums, so ranks cost no further pass.
     """
-    observed = gains(moments.stats(rows, x, y), b, most)
-    start = models.r2(moments.stats(rows, x, y), np.zeros_like(b))
+    seen = moments.stats(rows, x, y)
+    observed, start = gains(seen, b, most), models.r2(seen, np.zeros_like(b))
     one = lambda s: [{"rank": k + 1, "gain": float(g)} for k, g in enumerate(gains(s, b, most))]
-    null = by_replicate(broken_pairs(rows, key, x, y, replicates, seed), x, y, one, "rank long, gain double")
+    null = by_broken_pairs(rows, key, x, y, replicates, one, "rank long, gain double", seed)
     spark = rows.sparkSession
     seen = spark.createDataFrame([(k + 1, float(g), float(start + observed[: k + 1].sum())) for k, g in enumerate(observed)], "rank long, observed double, cumulative double")
     p = (F.count_if(F.col("gain") >= F.col("observed")) + 1) / (F.count("*") + 1)
@@ -199,8 +302,8 @@ def rank_test(rows: DataFrame, key: str, x: str, y: str, b: np.ndarray, most: in
 
 def bootstrap_singular_values(rows: DataFrame, key: str, x: str, y: str, k: int, replicates: int = 200, seed: int = 42) -> DataFrame:
     """(rep, idx, sigma): leading singular values of X'Y over Poisson bootstraps of rows; each is one weighted product."""
-    one = lambda s: [{"idx": i, "sigma": float(d)} for i, d in enumerate(np.linalg.svd(s.xy, compute_uv=False)[:k])]
-    return by_replicate(multiplicities(rows, key, replicates, seed, x, y), x, y, one, "idx long, sigma double", "times")
+    one = lambda n, sx, sy, xy: [{"idx": i, "sigma": float(d)} for i, d in enumerate(np.linalg.svd(xy, compute_uv=False)[:k])]
+    return by_products(resampled_products(rows, key, x, y, replicates, seed, "bootstrap"), one, "idx long, sigma double")
 
 
 def cluster_bootstrap(windows: DataFrame, subject: str, state: str, value: str, replicates: int, seed: int = 42) -> DataFrame:

@@ -1,8 +1,9 @@
 """Moments and cross-products of feature blocks.
 
 A block is an array column, one row per subject. Products over subjects are the only step that touches all rows: each
-task multiplies its batches as matrices and passes on one p x q partial, and partials are summed cell by cell, so what
-is shuffled depends on tasks and features and not on subjects. Everything dense is done on the sums.
+task multiplies its batches as matrices and passes on one partial, a row for each feature, of which products of a block
+with itself hold the upper triangle only. Partials are added by feature, so what is shuffled depends on tasks and
+features and not on subjects. Everything dense is done on the sums.
 """
 
 from __future__ import annotations
@@ -12,11 +13,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Bytes of sums that a task holds before it passes them on.
+HELD = 256 << 20
+
+
 def long(rows: DataFrame, vector: str, *keep: str) -> DataFrame:
     """One row per cell: the kept columns, j from 0, v."""
     return rows.select(*keep, F.posexplode(vector).alias("j", "v"))
@@ -29,7 +35,7 @@ def column_stats(rows: DataFrame, vector: str, train: str | None = None) -> Data
     return per.withColumn("sd", F.coalesce(F.nullif("sd", F.lit(0.0)), F.lit(1.0)))
 
 
-def _block(batch: pa.RecordBatch, name: str) -> np.ndarray:
+def block_of(batch: pa.RecordBatch, name: str) -> np.ndarray:
     column = batch.column(name)
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
@@ -58,33 +64,136 @@ def linear_map(rows: DataFrame, x: str, matrix: np.ndarray, offset: np.ndarray |
     return rows.mapInArrow(run, T.StructType([*others, T.StructField(name, T.ArrayType(T.DoubleType()))]))
 
 
-def cross_product(rows: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
-    """(keys, i, j, v): the sum over rows of x_i * y_j, for each group of keys. Rows with a null block don't count."""
-    columns = list(dict.fromkeys([*keys, x, y]))
+def grouped(batch: pa.RecordBatch, keys: Sequence[str]) -> Iterator[tuple[tuple, np.ndarray | slice]]:
+    """The keys that a batch holds and the places of each one's rows."""
+    if not keys:
+        yield (), slice(None)
+        return
+    code = np.zeros(batch.num_rows, dtype=np.int64)
+    for k in keys:
+        coded = batch.column(k).dictionary_encode(null_encoding="encode")
+        code = np.unique(code * len(coded.dictionary) + coded.indices.to_numpy(), return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    cuts = np.flatnonzero(np.diff(code[order])) + 1
+    for at in np.split(order, cuts):
+        yield tuple(batch.column(k)[int(at[0])].as_py() for k in keys), at
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches of rows sorted by keys cut anew, so that none ends within a group of up to `most` rows; larger ones are cut there."""
+    held, done = None, 0  # the last group's rows so far, and how many of its rows went before
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        ends = [int(at[-1]) + 1 for _, at in grouped(batch, keys)] if keys else [batch.num_rows]
+        start = max((e for e in ends if e < batch.num_rows), default=0)
+        cut = start + (batch.num_rows - start + (0 if start else done)) // most * most - (0 if start else done)
+        cut = max(cut, start)
+        if cut:
+            yield batch.slice(0, cut)
+        done = (cut - start + (0 if start else done)) % most
+        held = batch.slice(cut) if cut < batch.num_rows else None
+    if held is not None:
+        yield held
+
+
+class Sums:
+    """Arrays by key, added up in a task; when they exceed HELD bytes they are passed on and begun again."""
+
+    def __init__(self, schema: pa.Schema) -> None:
+        self.schema, self.sums, self.bytes = schema, {}, 0
+
+    def add(self, key: tuple, values: np.ndarray) -> None:
+        if key in self.sums:
+            self.sums[key] += values
+        else:
+            self.sums[key] = np.array(values, dtype=np.float64)
+            self.bytes += self.sums[key].nbytes
+
+    def full(self) -> bool:
+        return self.bytes > HELD
+
+    def batches(self, rows_of=lambda key, m: [(key, m)]) -> Iterator[pa.RecordBatch]:
+        """Rows of (key, array), a few megabytes at a time; rows_of cuts a key's sums into rows. Nothing is held afterwards."""
+        kept, size = [], 0
+        for key in list(self.sums):
+            for row in rows_of(key, self.sums.pop(key)):
+                kept.append(row)
+                size += row[1].nbytes
+                if size > 8 << 20:
+                    yield self._batch(kept)
+                    kept, size = [], 0
+        self.bytes = 0
+        if kept:
+            yield self._batch(kept)
+
+    def _batch(self, rows: list[tuple[tuple, np.ndarray]]) -> pa.RecordBatch:
+        ends = np.concatenate(([0], np.cumsum([len(v) for _, v in rows]))).astype(np.int32)
+        arrays = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([v for _, v in rows])))
+        keys = [pa.array(c, t) for c, t in zip(zip(*(k for k, _ in rows), strict=True), self.schema.types[:-1], strict=True)]
+        return pa.RecordBatch.from_arrays([*keys, arrays], names=self.schema.names)
+
+
+def to_arrow(schema: T.StructType) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
+
+
+def summed(parts: DataFrame, *keys: str, value: str = "row") -> DataFrame:
+    """(keys, value): arrays of equal keys added place by place, after one shuffle of them."""
+    schema = parts.select(*keys, value).schema
+    arrow = to_arrow(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Sums(arrow)
+        for b in batches:
+            column = b.column(value)
+            flat, ends = column.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))))
+            for at, key in enumerate(zip(*(b.column(k).to_pylist() for k in keys), strict=True)):
+                sums.add(key, flat[ends[at] : ends[at + 1]])
+        yield from sums.batches()
+
+    return parts.select(*keys, value).repartition(*keys).mapInArrow(run, schema)
+
+
+def _products(rows: DataFrame, x: str, y: str, keys: Sequence[str], weight: str | None) -> DataFrame:
+    """(keys, i, row): sums over rows of x_i times y (by weight, if given); where x is y, row begins at i."""
+    columns = list(dict.fromkeys([*keys, x, y, *([weight] if weight else [])]))
     schema = T.StructType([*rows.select(*keys).schema.fields, T.StructField("i", T.IntegerType()), T.StructField("row", T.ArrayType(T.DoubleType()))])
-    names = [f.name for f in schema]
+    arrow = to_arrow(schema)
+    cut = lambda key, m: [((*key, i), r[i:] if x == y else r) for i, r in enumerate(m)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple, np.ndarray] = {}
-        types: list[pa.DataType] = []
+        sums = Sums(arrow)
         for b in batches:
             if not b.num_rows:
                 continue
-            types = [b.schema.field(k).type for k in keys]
-            left, right = _block(b, x), _block(b, y)
-            groups: dict[tuple, list[int]] = {}
-            for at, key in enumerate(zip(*(b.column(k).to_pylist() for k in keys), strict=True)) if keys else [(None, ())]:
-                groups.setdefault(key, []).append(at)
-            for key, at in groups.items():
-                part = left[at].T @ right[at] if keys else left.T @ right
-                sums[key] = sums[key] + part if key in sums else part
-        for key, total in sums.items():
-            columns = [pa.array([k] * len(total), t) for k, t in zip(key, types, strict=True)] + [pa.array(np.arange(len(total), dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            left = block_of(b, x)
+            right = left if x == y else block_of(b, y)
+            if weight:
+                right = right * b.column(weight).to_numpy(zero_copy_only=False).astype(np.float64)[:, None]
+            for key, at in grouped(b, keys):
+                sums.add(key, left[at].T @ right[at])
+            if sums.full():
+                yield from sums.batches(cut)
+        yield from sums.batches(cut)
 
     full = rows.select(*columns).where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    cells = full.mapInArrow(run, schema).select(*keys, "i", F.posexplode("row").alias("j", "v"))
-    return cells.groupBy(*keys, "i", "j").agg(F.sum("v").alias("v"))
+    return summed(full.mapInArrow(run, schema), *keys, "i")
+
+
+def cross_product(rows: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
+    """(keys, i, j, v): the sum over rows of x_i * y_j, for each group of keys. Rows with a null block don't count."""
+    found = _products(rows, x, y, keys, None)
+    if x != y:
+        return found.select(*keys, "i", F.posexplode("row").alias("j", "v"))
+    upper = found.select(*keys, "i", F.posexplode("row").alias("at", "v")).withColumn("j", F.col("i") + F.col("at"))
+    one = lambda i, j: F.struct(F.col(i).alias("i"), F.col(j).alias("j"))
+    both = F.when(F.col("at") == 0, F.array(one("i", "j"))).otherwise(F.array(one("i", "j"), one("j", "i")))
+    return upper.select(*keys, "v", F.explode(both).alias("c")).select(*keys, "c.i", "c.j", "v")
 
 
 def participation(gram: DataFrame) -> DataFrame:
@@ -125,29 +234,36 @@ class Stats:
 def stats(rows: DataFrame, x: str, y: str, weight: str | None = None) -> Stats:
     """Sums over all rows, of p + q features, in one pass: the block [1, x, y] times itself (by weight, if given).
 
-    What returns is (1 + p + q)^2 cells whatever the number of rows.
+    What returns is half of (1 + p + q)^2 numbers whatever the number of rows.
     """
-    return list(stats_by(rows, x, y, weight=weight).values())[0] if rows.limit(1).count() else unpack(np.zeros((1, 1)), 0)
+    return next(iter(stats_by(rows, x, y, weight=weight).values()), None) or unpack(np.zeros((1, 1)), 0)
 
 
-def cells_by(rows: DataFrame, x: str, y: str, keys: Sequence[str] = (), weight: str | None = None) -> tuple[DataFrame, int]:
-    """(keys, i, j, v) of the block [1, x, y] times itself for each group of keys, and the number of x features (0 without rows)."""
-    one = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+def triangles(rows: DataFrame, x: str, y: str, keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """(keys, p, i, row): the upper triangle of the block [1, x, y] times itself for each group of keys, p features being x's."""
     block = F.concat(F.array(F.lit(1.0)), F.col(x).cast("array<double>"), F.col(y).cast("array<double>"))
-    part = rows.select(*keys, block.alias("_u"), F.transform(block, lambda v: v * one).alias("_w"))
-    first = rows.select(F.size(x).alias("_p")).first()
-    return cross_product(part, "_w", "_u", *keys), first["_p"] if first else 0
+    part = rows.select(*keys, F.size(x).alias("p"), block.alias("_u"), *([F.col(weight).cast("double").alias("_w")] if weight else []))
+    return _products(part, "_u", "_u", [*keys, "p"], "_w" if weight else None)
+
+
+def assemble(i: Sequence[int], rows: Sequence[np.ndarray], p: int) -> Stats:
+    """Statistics from the rows of an upper triangle."""
+    size = len(i)
+    m = np.zeros((size, size))
+    for at, row in zip(i, rows, strict=True):
+        m[at, at:] = row
+    return unpack(m + np.triu(m, 1).T, p)
 
 
 def stats_by(rows: DataFrame, x: str, y: str, keys: Sequence[str] = (), weight: str | None = None) -> dict[tuple, Stats]:
     """Statistics of each group of keys on the driver (splits, folds: few); replicates are solved in tasks instead."""
-    found, p = cells_by(rows, x, y, keys, weight)
-    cells = found.toArrow().to_pydict()
-    out: dict[tuple, np.ndarray] = {}
-    size = max(cells["i"], default=-1) + 1
-    for *key, i, j, v in zip(*(cells[k] for k in keys), cells["i"], cells["j"], cells["v"], strict=True):
-        out.setdefault(tuple(key), np.zeros((size, size)))[i, j] = v
-    return {k: unpack(m, p) for k, m in out.items()}
+    found = triangles(rows, x, y, keys, weight).toArrow()
+    groups: dict[tuple, list[int]] = {}
+    for at, key in enumerate(zip(*(found[k].to_pylist() for k in (*keys, "p")), strict=True)):
+        groups.setdefault(key, []).append(at)
+    i, column = found["i"].to_numpy(), found["row"].combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) and column.num_chunks else column
+    return {key[:-1]: assemble(i[at], [column[a].values.to_numpy(zero_copy_only=False) for a in at], key[-1]) for key, at in groups.items()}
 
 
 def unpack(m: np.ndarray, p: int) -> Stats:

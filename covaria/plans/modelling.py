@@ -46,7 +46,7 @@ def pls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def nuclear_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scores(spark, sf_dir, "nuclear_norm", steps=300)
+    return scores(spark, sf_dir, "nuclear_norm")
 
 
 @query()
@@ -66,7 +66,7 @@ def multivariate_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     mean, axes = models.components(train, 5)
     rows = []
     for name in models.METHODS:
-        fit = models.fit(name, train, val, **({"steps": 300} if name == "nuclear_norm" else {}))
+        fit = models.fit(name, train, val)
         d = np.linalg.svd(fit.b, compute_uv=False)
         rows.append((name, models.r2(test, fit.b, fit.intercept), float(models.component_r2(test, fit, mean, axes).mean()), float(geometry.effective_rank(d)), geometry.participation_ratio(d)))
     out = spark.createDataFrame(rows, "method string, r2 double, pc_r2 double, effective_rank double, participation_ratio double")
@@ -116,16 +116,15 @@ def haar_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 def break_pairing_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, val, test = parts(spark, sf_dir)
     a, b = (geometry.right_subspace(models.ridge(s, s, [10.0]).b, 5) for s in (train, test))
-    null = inference.break_pairing_null(vectors(spark, sf_dir).where(TRAIN), "id", "x", "y", b, 5, 10.0, 20)
+    null = inference.break_pairing_null(vectors(spark, sf_dir).where(TRAIN), "id", "x", "y", b, 5, 10.0, 500)
     return rounded(inference.null_summary(null, "overlap", geometry.overlap(a, b)))
 
 
 @query()
 def stratified_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entropy rank of X'Y with pairs broken within sites only."""
-    broken = inference.broken_pairs(vectors(spark, sf_dir), "id", "x", "y", 20, stratum="label")
     one = lambda s: [{"rank": geometry.entropy_rank(np.linalg.svd(s.centered()[1], compute_uv=False))}]
-    return rounded(inference.by_replicate(broken, "x", "y", one, "rank double"))
+    return rounded(inference.by_broken_pairs(vectors(spark, sf_dir), "id", "x", "y", 200, one, "rank double", stratum="label"))
 
 
 #: Groups of the y features in place of tiers of edges, which the tables don't have.
@@ -141,7 +140,7 @@ def tier_break_pairing_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per tier of features and k: the observed overlap against maps fitted to broken pairs, with margin and share above."""
     train, val, test = parts(spark, sf_dir)
     told = inference.group_scores(test, models.ridge(train, train, [10.0]), TIERS, [5, 10])
-    null = inference.tier_null(vectors(spark, sf_dir).where(TRAIN), "id", "x", "y", test, TIERS, [5, 10], 10.0, 50)
+    null = inference.tier_null(vectors(spark, sf_dir).where(TRAIN), "id", "x", "y", test, TIERS, [5, 10], 10.0, 300)
     return rounded(inference.margins(null, _observed(spark, told).select("group", "k", F.col("overlap").alias("observed")), "group", "k"))
 
 
@@ -159,7 +158,7 @@ def scrambled_component_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean component R2 on test rows against that of maps fitted to scrambled x blocks, the penalty chosen again each time."""
     train, val, test = parts(spark, sf_dir)
     seen = float(models.component_r2(test, models.ridge(train, val), *models.components(train, 5)).mean())
-    null = inference.scrambled_component_null(vectors(spark, sf_dir).where(TRAIN), "id", "x", "y", val, test, 5, 30)
+    null = inference.scrambled_component_null(vectors(spark, sf_dir).where(TRAIN), "id", "x", "y", val, test, 5, 200)
     return rounded(inference.null_summary(null, "r2", seen))
 
 
@@ -202,7 +201,7 @@ def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def bootstrap_sv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boot = inference.bootstrap_singular_values(vectors(spark, sf_dir), "id", "x", "y", 5, 20)
+    boot = inference.bootstrap_singular_values(vectors(spark, sf_dir), "id", "x", "y", 5, 200)
     return rounded(boot.groupBy("idx").agg(F.avg("sigma").alias("mean"), F.stddev_samp("sigma").alias("sd"), (F.stddev_samp("sigma") / F.avg("sigma")).alias("cv")))
 
 
