@@ -9,7 +9,7 @@ from __future__ import annotations
 import functools
 import math
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -141,62 +141,129 @@ def _in_cells(rows: DataFrame, groups: Sequence[str], block: int, seed: int) ->
     return materialize(dealt.repartition(*order).sortWithinPartitions(*order, "_h"), "cells")
 
 
+@dataclass
+class Products:
+    """What a replicate has of two blocks: n, sums, sums of squares, and x'y."""
+
+    n: float
+    sx: np.ndarray
+    sy: np.ndarray
+    xx: np.ndarray
+    yy: np.ndarray
+    xy: np.ndarray
+
+    def covariance(self, mx: np.ndarray | None = None, my: np.ndarray | None = None) -> np.ndarray:
+        """x'y / n about the replicate's own means, or about those given."""
+        mx, my = (self.sx / self.n if mx is None else mx), (self.sy / self.n if my is None else my)
+        return (self.xy - np.outer(self.sx, my) - np.outer(mx, self.sy)) / self.n + np.outer(mx, my)
+
+    def correlation(self) -> np.ndarray:
+        """Correlations of all pairs; 0 for a constant feature."""
+        vx, vy = (v / self.n - (s / self.n) ** 2 for v, s in ((self.xx, self.sx), (self.yy, self.sy)))
+        size = np.sqrt(np.outer(np.maximum(vx, 0), np.maximum(vy, 0)))
+        return np.where(size > 0, self.covariance() / np.where(size > 0, size, 1), 0.0)
+
+
+def _draws(how: str, h: np.ndarray, rep: int, seed: int, share: float) -> Iterator[tuple[tuple, np.ndarray | slice, np.ndarray | slice, np.ndarray | None]]:
+    """What a replicate takes of a cell: a further key, places of x, places of y, and weights."""
+    if rep < 0:
+        yield (-1,), slice(None), slice(None), None
+    elif how == "bootstrap":
+        yield (-1,), slice(None), slice(None), drawn_times(h, rep, seed)
+    else:
+        order = np.argsort(_uniform(h + np.arange(len(h)), 3 * rep, seed), kind="stable")
+        if how == "break":
+            yield (-1,), slice(None), order, None
+        else:
+            many = round(share * len(h))
+            for half in (0, 1):
+                at = order[half * many : (half + 1) * many]
+                yield (half,), at, at if how == "halves" else at[np.argsort(_uniform(h[at] + at, 3 * rep + 1 + half, seed), kind="stable")], None
+
+
 def resampled_products(
-    rows: DataFrame, key: str, x: str, y: str, replicates: int, seed: int = 42, how: str = "break", stratum: str | None = None, keys: Sequence[str] = (), block: int = 4096, at_once: int = 50,
+    rows: DataFrame, key: str, x: str, y: str, replicates: int, seed: int = 42, how: str = "break", stratum: str | None = None, keys: Sequence[str] = (), share: float = 0.5, observed: bool = False,
+    cluster: bool = False, block: int = 4096, at_once: int = 50,
 ) -> DataFrame:
-    """(keys, rep, i, row): for each replicate the sums of [x, 1] times [y, 1], so sums and n are its last row and column.
-
-    how = "bootstrap": rows count as often as Poisson(1) draws them. how = "break": y blocks are dealt anew among rows.
-    Neither copies rows. Broken pairs: rows are dealt once into cells of about `block` rows (of a stratum), and each replicate
-    permutes y within cells. Cells come from a hash of the rows, not from how x and y go together over rows, so these are
-    permutations like any. Draws depend on row, seed and replicate alone; equal rows are drawn together. Replicates go in
-    groups of `at_once`, each of which reads the rows again, so a task holds that many p x q sums. Rows with a null block
-    don't count; a null key is a key.
+    """(keys, rep, half, i, row): sums of [x, 1] times [y, 1] for each replicate, and a last row with the sums of squares.
+
+    how = "bootstrap": rows count as often as Poisson(1) draws them (cluster: all rows of a key alike). "break": y blocks are dealt anew among rows. "halves" and
+    "broken_halves": two disjoint draws of `share` of the rows, numbered by `half`, with pairs kept or broken in each.
+    observed: replicate -1 has the rows as they are. None of it copies rows. For pairs and halves, rows are dealt once into cells
+    of about `block` rows (of a stratum), and each replicate draws within cells. Cells come from a hash of the rows, not from
+    how x and y go together over rows, so these are permutations like any. Draws depend on row, seed and replicate
+    alone; equal rows are drawn together. Replicates go in groups of `at_once`, each of which reads the rows again, so a task
+    holds that many p x q sums. Rows with a null block don't count; a null key is a key.
     """
-    if how not in ("break", "bootstrap"):
+    if how not in ("break", "bootstrap", "halves", "broken_halves"):
         raise ValueError(f"unknown way to resample {how}")
+    if not 0 < share <= 0.5:
+        raise ValueError("two halves take a share of at most 0.5 each")
     groups = [*keys, *([stratum] if stratum else [])]
     blocks = [F.col(c).cast("array<double>").alias(n) for c, n in ((x, "_x"), (y, "_y"))]
-    full = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*groups, F.xxhash64(F.col(key).cast("string"), x, y).alias("_h"), *blocks)
-    broken = how == "break"
-    full = _in_cells(full, groups, block, seed) if broken else materialize(full, "drawn")
-    order = [*groups, "_cell"] if broken else list(keys)
-    schema = T.StructType([*full.select(*keys).schema.fields, T.StructField("rep", T.LongType()), T.StructField("i", T.IntegerType()), T.StructField("row", T.ArrayType(T.DoubleType()))])
+    name = F.col(key).cast("string")
+    h = F.xxhash64(name) if cluster and how == "bootstrap" else F.xxhash64(name, x, y)
+    full = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*groups, h.alias("_h"), *blocks)
+    celled = how != "bootstrap"
+    full = _in_cells(full, groups, block, seed) if celled else materialize(full, "drawn")
+    order = [*groups, "_cell"] if celled else list(keys)
+    schema = T.StructType([
+        *full.select(*keys).schema.fields, T.StructField("rep", T.LongType()), T.StructField("half", T.IntegerType()), T.StructField("i", T.IntegerType()), T.StructField("row", T.ArrayType(T.DoubleType())),
+    ])
     arrow = moments.to_arrow(schema)
-    cut = lambda k, m: [((*k, i), r) for i, r in enumerate(m)]
 
     def of_group(reps: range) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = moments.Sums(arrow)
-            for batch in moments.whole_groups(batches, order, 4 * block) if broken else batches:
+            shape = (0, 0)
+
+            def cut(k: tuple, flat: np.ndarray) -> list[tuple[tuple, np.ndarray]]:
+                p, q = shape
+                return [*(((*k, i), r) for i, r in enumerate(flat[: p * q].reshape(p, q))), ((*k, p), flat[p * q :])]
+
+            for batch in moments.whole_groups(batches, order, 4 * block) if celled else batches:
                 if not batch.num_rows:
                     continue
                 hashes, *both = batch.column("_h").to_numpy(), *(np.hstack([m, np.ones((len(m), 1))]) for m in (moments.block_of(batch, c) for c in ("_x", "_y")))
-                # a cell of many equal rows is permuted in pieces, whose ends don't depend on the batches
-                pieces = ((g, at[lo : lo + 4 * block]) for g, at in moments.grouped(batch, order) for lo in range(0, len(at), 4 * block)) if broken else moments.grouped(batch, order)
+                shape = both[0].shape[1], both[1].shape[1]
+                # a cell of many equal rows is drawn from in pieces, whose ends don't depend on the batches
+                pieces = ((g, at[lo : lo + 4 * block]) for g, at in moments.grouped(batch, order) for lo in range(0, len(at), 4 * block)) if celled else moments.grouped(batch, order)
                 for group, at in pieces:
                     h, left, right = hashes[at], *(m[at] for m in both)
                     for r in reps:
-                        again = right[np.argsort(_uniform(h + np.arange(len(h)), r, seed), kind="stable")] if broken else right * drawn_times(h, r, seed)[:, None]
-                        sums.add((*group[: len(keys)], r), left.T @ again)
+                        for half, a, b, w in _draws(how, h, r, seed, share):
+                            u, v = left[a], right[b]
+                            wu = u if w is None else u * w[:, None]
+                            squares = [(t[:, :-1] ** 2).sum(axis=0) if w is None else w @ t[:, :-1] ** 2 for t in (u, v)]
+                            sums.add((*group[: len(keys)], r, *half), np.concatenate([(wu.T @ v).ravel(), *squares]))
                 if sums.full():
                     yield from sums.batches(cut)
             yield from sums.batches(cut)
 
         return full.mapInArrow(run, schema)
 
-    chunks = [of_group(range(lo, min(lo + at_once, replicates))) for lo in range(0, replicates, at_once)]
-    return moments.summed(functools.reduce(DataFrame.unionAll, chunks), *keys, "rep", "i")
+    chunks = [of_group(range(lo, min(lo + at_once, replicates))) for lo in range(-1 if observed else 0, replicates, at_once)]
+    return moments.summed(functools.reduce(DataFrame.unionAll, chunks), *keys, "rep", "half", "i")
+
 
+def _unpacked(part: pd.DataFrame) -> Products:
+    ordered = part.sort_values("i")["row"].tolist()
+    m, squares = np.array(ordered[:-1]), ordered[-1]
+    p = len(m) - 1
+    return Products(m[-1, -1], m[:-1, -1], m[-1, :-1], squares[:p], squares[p:], m[:-1, :-1])
 
-def by_products(products: DataFrame, f: Callable[..., list[dict]], schema: str, *keys: str) -> DataFrame:
-    """(keys, rep, schema): what f tells of each replicate's n, sums of x and y, and x'y, solved in a task of its own."""
+
+def by_products(products: DataFrame, f: Callable[[dict[tuple, Products]], list[dict]], schema: str, *together: str, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, rep, schema): what f tells of each replicate, solved in a task of its own.
+
+    f gets the replicate's Products by the values of `together` (such as half, or a cohort); without it there is one, ().
+    """
 
     def solve(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        m = np.array(part.sort_values("i")["row"].tolist())
-        told = f(*([key[: len(keys)]] if keys else []), m[-1, -1], m[:-1, -1], m[-1, :-1], m[:-1, :-1])
-        return pd.DataFrame([{**dict(zip(keys, key[: len(keys)], strict=True)), "rep": int(key[-1]), **r} for r in told])
+        by = {k if isinstance(k, tuple) else (k,): _unpacked(g) for k, g in part.groupby(list(together), dropna=False)} if together else {(): _unpacked(part)}
+        return pd.DataFrame([{**dict(zip(keys, key, strict=False)), "rep": int(key[-1]), **r} for r in f(by)], columns=[*keys, "rep", *names])
 
+    names = [c.split()[0] for c in schema.split(", ")]
     types = "".join(f"`{c.name}` {c.dataType.simpleString()}, " for c in products.select(*keys).schema.fields)
     return products.groupBy(*keys, "rep").applyInPandas(solve, f"{types}rep long, {schema}")
 
@@ -208,7 +275,7 @@ def by_broken_pairs(rows: DataFrame, key: str, x: str, y: str, replicates: int,
     """
     full = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     base = moments.stats(full, x, y)
-    return by_products(resampled_products(full, key, x, y, replicates, seed, "break", stratum), lambda n, sx, sy, xy: f(replace(base, xy=xy)), schema)
+    return by_products(resampled_products(full, key, x, y, replicates, seed, "break", stratum), lambda by: f(replace(base, xy=by[()].xy)), schema)
 
 
 def break_pairing_null(rows: DataFrame, key: str, x: str, y: str, observed: np.ndarray, k: int, alpha: float, replicates: int = 100, seed: int = 42) -> DataFrame:
@@ -302,7 +369,7 @@ def rank_test(rows: DataFrame, key: str, x: str, y: str, b: np.ndarray, most: in
 
 def bootstrap_singular_values(rows: DataFrame, key: str, x: str, y: str, k: int, replicates: int = 200, seed: int = 42) -> DataFrame:
     """(rep, idx, sigma): leading singular values of X'Y over Poisson bootstraps of rows; each is one weighted product."""
-    one = lambda n, sx, sy, xy: [{"idx": i, "sigma": float(d)} for i, d in enumerate(np.linalg.svd(xy, compute_uv=False)[:k])]
+    one = lambda by: [{"idx": i, "sigma": float(d)} for i, d in enumerate(np.linalg.svd(by[()].xy, compute_uv=False)[:k])]
     return by_products(resampled_products(rows, key, x, y, replicates, seed, "bootstrap"), one, "idx long, sigma double")
 
 

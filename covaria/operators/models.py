@@ -6,7 +6,7 @@ Grids are ordered, and the first best wins.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,10 +40,25 @@ def r2(s: Stats, b: np.ndarray, intercept: np.ndarray | float = 0.0) -> float:
     return float(1 - sse / sst) if sst > 0 else 0.0
 
 
-def _best(val: Stats, fits: Iterable[tuple[float, np.ndarray, np.ndarray]]) -> Fit:
+def column_r2(s: Stats, b: np.ndarray, intercept: np.ndarray | float = 0.0) -> np.ndarray:
+    """R2 of each column of xB + intercept about its own mean, from the sums; 0 for a constant column."""
+    c = np.broadcast_to(intercept, s.sy.shape)
+    sse = np.diag(s.yy) - 2 * (np.sum(b * s.xy, axis=0) + c * s.sy) + np.sum(b * (s.xx @ b), axis=0) + 2 * c * (s.sx @ b) + s.n * c * c
+    sst = np.diag(s.yy) - s.sy**2 / s.n
+    return np.where(sst > 0, 1 - sse / np.where(sst > 0, sst, 1), 0.0)
+
+
+def on_axes(s: Stats, mean: np.ndarray, axes: np.ndarray) -> Stats:
+    """Statistics with y replaced by its scores (y - mean) on axes (q x k)."""
+    sy = (s.sy - s.n * mean) @ axes
+    yy = axes.T @ (s.yy - np.outer(mean, s.sy) - np.outer(s.sy, mean) + s.n * np.outer(mean, mean)) @ axes
+    return Stats(s.n, s.sx, sy, s.xx, (s.xy - np.outer(s.sx, mean)) @ axes, yy)
+
+
+def _best(val: Stats, fits: Iterable[tuple[float, np.ndarray, np.ndarray]], told: Callable[..., float] = r2) -> Fit:
     best = None
     for chosen, b, c in fits:
-        score = r2(val, b, c)
+        score = told(val, b, c)
         if best is None or score > best.score:
             best = Fit(b, c, chosen, score)
     return best
@@ -53,13 +68,13 @@ def _with_intercept(s: Stats, b: np.ndarray) -> np.ndarray:
     return (s.sy - s.sx @ b) / s.n
 
 
-def ridge(train: Stats, val: Stats, alphas: Sequence[float] = ALPHAS) -> Fit:
-    """Ridge with a free intercept; one eigendecomposition serves all penalties."""
+def ridge(train: Stats, val: Stats, alphas: Sequence[float] = ALPHAS, told: Callable[..., float] = r2) -> Fit:
+    """Ridge with a free intercept; one eigendecomposition serves all penalties, of which the best by `told` (global R2) is taken."""
     cxx, cxy, _ = train.centered()
     w, q = np.linalg.eigh(cxx)
     qty = q.T @ cxy
     solved = ((a, q @ (qty / (np.maximum(w, 0) + a)[:, None])) for a in alphas)
-    return _best(val, ((a, b, _with_intercept(train, b)) for a, b in solved))
+    return _best(val, ((a, b, _with_intercept(train, b)) for a, b in solved), told)
 
 
 def truncated(b: np.ndarray, rank: int) -> np.ndarray:
