@@ -102,12 +102,7 @@ def by_replicate(rows: DataFrame, x: str, y: str, f: Callable[[moments.Stats], l
     Tasks sum their rows first, so what meets for a replicate is half of (1 + p + q)^2 numbers of each task, and nothing but
     f's rows leaves it. No rows, no replicates.
     """
-
-    def solve(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        s = moments.assemble(part["i"].to_numpy(), part["row"].tolist(), int(part["p"].iloc[0]))
-        return pd.DataFrame([{"rep": int(key[0]), **r} for r in f(s)])
-
-    return moments.triangles(rows, x, y, ["rep"], weight).groupBy("rep").applyInPandas(solve, f"rep long, {schema}")
+    return moments.solve_by(rows, x, y, ["rep"], lambda by: f(*by.values()), schema, weight)
 
 
 def _uniform(h: np.ndarray, rep: int, seed: int) -> np.ndarray:

@@ -8,10 +8,11 @@ features and not on subjects. Everything dense is done on the sums.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -185,6 +186,11 @@ def _products(rows: DataFrame, x: str, y: str, keys: Sequence[str], weight: str
     return summed(full.mapInArrow(run, schema), *keys, "i")
 
 
+def product_rows(rows: DataFrame, one: str, y: str, *keys: str) -> DataFrame:
+    """(keys, row): sums over rows of y (an array) times the only number of `one`, for each group of keys."""
+    return _products(rows, one, y, keys, None).drop("i")
+
+
 def cross_product(rows: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
     """(keys, i, j, v): the sum over rows of x_i * y_j, for each group of keys. Rows with a null block don't count."""
     found = _products(rows, x, y, keys, None)
@@ -266,6 +272,19 @@ def stats_by(rows: DataFrame, x: str, y: str, keys: Sequence[str] = (), weight:
     return {key[:-1]: assemble(i[at], [column[a].values.to_numpy(zero_copy_only=False) for a in at], key[-1]) for key, at in groups.items()}
 
 
+def solve_by(rows: DataFrame, x: str, y: str, keys: Sequence[str], f: Callable[[dict[tuple, Stats]], list[dict]], schema: str, weight: str | None = None) -> DataFrame:
+    """(keys, schema): what f tells of {key: statistics} of each group of keys, solved in a task of its own."""
+
+    def solve(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        names = [c.split()[0] for c in schema.split(", ")]
+        s = assemble(part["i"].to_numpy(), part["row"].tolist(), int(part["p"].iloc[0]))
+        return pd.DataFrame([dict(zip(keys, key, strict=True)) | r for r in f({key: s})], columns=[*keys, *names])
+
+    found = triangles(rows, x, y, keys, weight)
+    types = "".join(f"`{c.name}` {c.dataType.simpleString()}, " for c in found.select(*keys).schema.fields)
+    return found.groupBy(*keys).applyInPandas(solve, types + schema)
+
+
 def unpack(m: np.ndarray, p: int) -> Stats:
     a, b = slice(1, 1 + p), slice(1 + p, None)
     return Stats(m[0, 0], m[0, a], m[0, b], m[a, a], m[a, b], m[b, b])
