@@ -41,30 +41,36 @@ def block_of(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def linear_map(rows: DataFrame, x: str, matrix: np.ndarray, offset: np.ndarray | float = 0.0, name: str = "mapped") -> DataFrame:
-    """Add or replace `name`, the block x times a p x q matrix, plus an offset. Each task multiplies its batches.
+def mapped(rows: DataFrame, x: str, f: Callable[..., np.ndarray], name: str, *held: np.ndarray | float) -> DataFrame:
+    """Add or replace `name`, f(block x, *held); each task maps its batches as matrices. A null block gives null.
 
-    The matrix is broadcast: its size is features by features, whatever the rows. A null block gives null, a null value
-    inside one NaN; blocks of another length than p raise.
+    `held` is broadcast; batches without a block that isn't null aren't passed to f.
     """
-    p, q = matrix.shape
-    sent = rows.sparkSession.sparkContext.broadcast((np.asarray(matrix, dtype=np.float64), offset))
-    others = [f for f in rows.schema.fields if f.name.lower() != name.lower()]
+    sent = rows.sparkSession.sparkContext.broadcast(held)
+    others = [c for c in rows.schema.fields if c.name.lower() != name.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b, plus = sent.value
         for batch in batches:
             column = batch.column(x)
             there = column.is_valid().to_numpy(zero_copy_only=False)
-            block = column.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(int(there.sum()), p)
-            ends = np.concatenate(([0], np.cumsum(there * q))).astype(np.int32)
-            starts = pa.array(ends, mask=np.append(~there, False))
-            out = pa.ListArray.from_arrays(starts, pa.array((block @ b + plus).ravel()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in others], out], names=[*[f.name for f in others], name])
+            n = int(there.sum())
+            values = f(column.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1), *sent.value) if n else np.empty((0, 0))
+            ends = np.concatenate(([0], np.cumsum(there * values.shape[1]))).astype(np.int32)
+            out = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~there, False)), pa.array(values.ravel()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c.name) for c in others], out], names=[*[c.name for c in others], name])
 
     return rows.mapInArrow(run, T.StructType([*others, T.StructField(name, T.ArrayType(T.DoubleType()))]))
 
 
+def linear_map(rows: DataFrame, x: str, matrix: np.ndarray, offset: np.ndarray | float = 0.0, name: str = "mapped") -> DataFrame:
+    """Add or replace `name`, the block x times a p x q matrix, plus an offset. Each task multiplies its batches.
+
+    The matrix is broadcast: its size is features by features, whatever the rows. A null block gives null, a null value
+    inside one NaN; blocks of another length than p raise.
+    """
+    return mapped(rows, x, lambda block, b, plus: block @ b + plus, name, np.asarray(matrix, dtype=np.float64), offset)
+
+
 def grouped(batch: pa.RecordBatch, keys: Sequence[str]) -> Iterator[tuple[tuple, np.ndarray | slice]]:
     """The keys that a batch holds and the places of each one's rows."""
     if not keys:
