@@ -197,10 +197,11 @@ def theory(train: Stats, test: Stats, fitted: models.Fit, r: int = 20) -> dict:
     noise2 = float(sse / (test.n * q))
     gamma = len(u) / train.n
     variance = np.diag(u[:, :r].T @ train.centered()[0] @ u[:, :r]) / train.n
-    return {
+    told = {
         "r": r, "gamma": gamma, "edge": gamma**0.25, "noise2": noise2, "n_recovered": int((d[:r] / noise2**0.5 > gamma**0.25).sum()), "overlap_theory": geometry.spiked_overlap(d[:r], noise2**0.5, gamma),
         "overlap_observed": prediction_overlap(test, b, r), "r2_theory": geometry.spiked_r2(d[:r], variance, q, noise2), "r2_observed": models.r2(test, b, fitted.intercept),
     }
+    return {k: v if isinstance(v, int) else float(v) for k, v in told.items()}
 
 
 def position_intervals(rows: DataFrame, key: str, x: str, y: str, gradient: np.ndarray, modes: int = 3, replicates: int = 200, seed: int = 42, level: float = 0.95) -> DataFrame:

@@ -314,8 +314,15 @@ def margins(null: DataFrame, observed: DataFrame, *by: str) -> DataFrame:
 
 def group_bootstrap(rows: DataFrame, key: str, x: str, y: str, fitted: models.Fit, groups: dict[str, list[int]], k: int, replicates: int = 1000, seed: int = 42) -> DataFrame:
     """(rep, group, k, overlap, r2, ratio) over Poisson bootstraps of the test rows, the map left as it is."""
-    drawn = multiplicities(rows, key, replicates, seed, x, y)
-    return by_replicate(drawn, x, y, lambda s: group_scores(s, fitted, groups, [k]), "group string, k long, overlap double, r2 double, ratio double", "times")
+    p = len(fitted.b)
+    both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(key, F.concat(F.col(x).cast("array<double>"), F.col(y).cast("array<double>")).alias("_u"))
+
+    def told(by: dict[tuple, Products]) -> list[dict]:
+        m = by[()]
+        return group_scores(moments.Stats(m.n, m.sx[:p], m.sx[p:], m.xy[:p, :p], m.xy[:p, p:], m.xy[p:, p:]), fitted, groups, [k])
+
+    products = resampled_products(both, key, "_u", "_u", replicates, seed, "bootstrap")
+    return by_products(products, told, "group string, k long, overlap double, r2 double, ratio double")
 
 
 def basic_intervals(boot: DataFrame, observed: DataFrame, values: Sequence[str], level: float = 0.95) -> DataFrame:

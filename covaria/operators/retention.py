@@ -127,8 +127,8 @@ def accuracy_retention(
 
     errors: key, dataset ("test" or "external") and the array of component_errors; rows of one key and dataset (such as seeds of
     the evaluation) are averaged. Each replicate draws subjects once for all methods, so differences of a pair of methods
-    (name "a - b") are paired; p is the share of replicates at or below 0, told for differences only. Retention is external
-    by test, null where test isn't positive.
+    (name "a - b") are paired; p is the share of replicates at or below 0. Retention is external by test, null where test
+    isn't positive; such replicates don't count.
     """
     means = errors.where(F.col(dataset).isin("test", "external")).select(F.col(key).cast("string").alias("k"), F.col(dataset).alias("d"), F.array(F.lit(1.0)).alias("one"), F.concat(F.array(F.lit(1.0)), "errors").alias("e"))
     sums = moments.product_rows(means, "one", "e", "k", "d")
@@ -149,5 +149,4 @@ def accuracy_retention(
     a = (1 - level) / 2
     v = F.col("value")
     boot = found.where("rep >= 0").groupBy("name", "measure").agg(F.avg(v).alias("boot_mean"), F.percentile(v, a).alias("lo"), F.percentile(v, 1 - a).alias("hi"), (F.count_if(v <= 0) / F.count(v)).alias("p"))
-    joined = found.where("rep < 0").drop("rep").join(boot, ["name", "measure"])
-    return joined.withColumn("p", F.when(F.col("name").contains(" - "), F.col("p")))
+    return found.where("rep < 0").drop("rep").join(boot, ["name", "measure"])

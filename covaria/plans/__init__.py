@@ -6,7 +6,7 @@ import importlib
 
 from covaria.plans import registry
 
-MODULES = ("dynamics", "cohorts", "statistics", "modelling", "suites")
+MODULES = ("dynamics", "cohorts", "statistics", "modelling", "suites", "coupling")
 
 
 def _load() -> None:

@@ -149,7 +149,7 @@ def hierarchy_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per tier: overlap, mean feature R2 and their ratio on the test rows, with basic bootstrap intervals."""
     train, val, test = parts(spark, sf_dir)
     fitted = models.ridge(train, val)
-    boot = inference.group_bootstrap(vectors(spark, sf_dir).where(TEST), "id", "x", "y", fitted, TIERS, 5, 100)
+    boot = inference.group_bootstrap(vectors(spark, sf_dir).where(TEST), "id", "x", "y", fitted, TIERS, 5, 1000)
     return rounded(inference.basic_intervals(boot, _observed(spark, inference.group_scores(test, fitted, TIERS, [5])), ["overlap", "r2", "ratio"]))
 
 
@@ -245,19 +245,6 @@ def frechet_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.createDataFrame([(i, j, float(v)) for i, row in enumerate(m) for j, v in enumerate(row)], "i long, j long, v double"))
 
 
-@query()
-def rsfe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tangent-space regression: X to log-Euclidean tangent vectors by a nuclear-norm map, predictions back to matrices, mean distance to truth."""
-    rows = matrices(spark, sf_dir).join(vectors(spark, sf_dir).select("id", "x"), "id")
-    base = spd.log_euclidean_mean(rows.where(TRAIN), "m")
-    tangents = rows.withColumn("t", spd.tangent(F.col("m"), base, "log_euclidean"))
-    split = F.when(F.expr(TRAIN), "train").when(F.expr(VAL), "val").otherwise("test")
-    s = moments.stats_by(tangents.withColumn("split", split), "x", "t", ["split"])
-    fit = models.nuclear_norm(s["train",], s["val",], steps=200)
-    done = models.predict(rows.where(TEST), "x", fit, "t").withColumn("predicted", spd.from_tangent(F.col("t"), base, "log_euclidean"))
-    return rounded(done.select(spd.distance(F.col("m"), F.col("predicted"), "log_euclidean").alias("d")).agg(F.avg("d").alias("distance"), F.count("*").alias("n")))
-
-
 @query()
 def rff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ridge on random Fourier features of the median bandwidth."""
@@ -313,27 +300,3 @@ def jled(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = parts(spark, sf_dir)[0].centered()[2]
     low = u @ u.T @ s @ u @ u.T
     return rounded(spark.createDataFrame([(float((low**2).sum() / (s**2).sum()), float(np.trace(low) / np.trace(s)))], "energy double, trace double"))
-
-
-@query()
-def surrogate_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlap of left subspaces of two disjoint halves' cross-correlations."""
-    rows = vectors(spark, sf_dir)
-    half = splits.halves(rows, "id", 100, 1)
-    s = moments.stats_by(rows.join(half, "id"), "x", "y", ["half"])
-    a, b = (geometry.cross_subspace(s[h,], 5) for h in (0, 1))
-    return rounded(spark.createDataFrame([(geometry.overlap(a, b), 5 / 32)], "overlap double, chance double"))
-
-
-@query()
-def dimensionality_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Participation ratio and entropy rank of X'Y on nested samples of 50, 100, ... rows in hash order."""
-    rows = vectors(spark, sf_dir)
-    sizes = [50, 100, 200, 400]
-    ranked = splits.with_row_index(rows.withColumn("h", splits.draw(F.col("id"), 9)), ["h", "id"])
-    tiers = ranked.select("x", "y", F.explode(F.filter(F.lit(sizes), lambda n: n > F.col("row_idx"))).alias("n"))
-    out = []
-    for (n,), s in moments.stats_by(tiers, "x", "y", ["n"]).items():
-        d = np.linalg.svd(np.nan_to_num(s.correlation()), compute_uv=False)
-        out.append((int(n), geometry.participation_ratio(d), geometry.entropy_rank(d)))
-    return rounded(spark.createDataFrame(out, "n long, participation_ratio double, entropy_rank double"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from covaria.functions import vectors as V
-from covaria.operators import atlas, geometry, metrics, models, moments, preprocess, splits
+from covaria.operators import atlas, classify, geometry, metrics, models, moments, preprocess, splits
 from covaria.plans.common import LONG, rounded, table, vectors
 from covaria.plans.modelling import parts
 from covaria.plans.registry import query
@@ -153,27 +153,16 @@ def leakage_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def auc_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentile interval of the AUC over Poisson bootstraps of documents."""
+    """AUC of text length for quality, with percentiles over 500 Poisson bootstraps of documents."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    drawn = splits.multiplicities(rows, "doc_id", 40, 42, "n_chars", "quality")
-    per = drawn.groupBy("rep", "n_chars").agg(F.sum(F.when(F.col("quality") == 1, F.col("times")).otherwise(0)).alias("p"), F.sum(F.when(F.col("quality") == 0, F.col("times")).otherwise(0)).alias("q"))
-    placed = splits.running_before(per, ["rep"], ["n_chars"], "q", "below")
-    wins = placed.withColumn("w", F.col("p") * (F.col("below") + F.col("q") / 2)).groupBy("rep").agg((F.sum("w") / F.nullif(F.sum("p") * F.sum("q"), F.lit(0))).alias("auc"))
-    return rounded(metrics.percentile_interval(wins.where("auc IS NOT NULL"), "auc"))
+    scored = rows.select(F.lit("n_chars").alias("score_of"), F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.col("n_chars").cast("double").alias("score"), F.col("quality").cast("int").alias("y"))
+    return rounded(classify.areas(scored, ["score_of"], 500))
 
 
 @query()
 def logistic_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logistic regression of the first five sites against the rest, penalty by validation AUC."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    rows = vectors(spark, sf_dir).select("id", (F.col("label") < 5).cast("double").alias("label"), array_to_vector("x").alias("features"))
-    train, out = rows.where("id % 10 < 7"), []
-    for c in (0.01, 0.1, 1.0, 10.0):
-        fitted = LogisticRegression(regParam=1 / (c * 350), standardization=False, maxIter=50).fit(train)
-        scored = fitted.transform(rows.where("id % 10 >= 7")).select("id", "label", F.get(vector_to_array("probability"), F.lit(1)).alias("p"))
-        for name, where in (("val", "id % 10 = 7"), ("test", "id % 10 > 7")):
-            out.append((c, name, metrics.auc(scored.where(where), "p", "label").first()["auc"]))
-    best = max((r for r in out if r[1] == "val"), key=lambda r: r[2])[0]
-    return rounded(spark.createDataFrame([(c, n, a, c == best) for c, n, a in out], "c double, dataset string, auc double, chosen boolean"))
+    """Logistic regression of the first five sites against the rest, penalty by validation AUC; all penalties fitted together."""
+    split = F.when(F.expr("id % 10 < 7"), 0).when(F.expr("id % 10 = 7"), 1).otherwise(2)
+    rows = vectors(spark, sf_dir).select("id", "x", (F.col("label") < 5).cast("int").alias("case"), split.alias("part"))
+    told = classify.grid(rows, "id", "x", "case", "part", {"all": (0, 32)}, replicates=0)
+    return rounded(told.select("c", F.when(F.col("dataset") == 1, "val").otherwise("test").alias("dataset"), "auc", "chosen"))

@@ -37,11 +37,15 @@ def test_against_sql(spark, sf_dir, duck, name):
     assert rows_of(got.collect(), [got.columns.index(c) for c in names]) == rows_of(want.fetchall(), [want.columns.index(c) for c in names])
 
 
+#: Values that may be null: retention where the test R2 isn't positive.
+NULLS = {"accuracy_retention": {"value", "boot_mean", "lo", "hi", "p"}}
+
+
 @pytest.mark.parametrize("name", sorted(plans.queries().keys() - plans.oracle_sql().keys()))
 def test_rows(spark, sf_dir, name):
     df = plans.queries()[name](spark, sf_dir)
     rows = df.collect()
-    assert rows and not any(v is None or isinstance(v, float) and math.isnan(v) for r in rows for v in r)
+    assert rows and not any(v is None and c not in NULLS.get(name, ()) or isinstance(v, float) and math.isnan(v) for r in rows for c, v in r.asDict().items())
 
 
 def test_entry(spark):
