@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covaria.llm.common import mix64, slices
+from covaria.llm.common import mix64, slices, with_arrays
 
 # First and last code points of scripts' letters. Letters outside are of script 0.
 SCRIPTS = {
@@ -100,11 +100,25 @@ def _pieces(text: str, limit: int = 1 << 20) -> list[str]:
     return [*out, text[at:]]
 
 
+def _together(pieces: Iterable[str], limit: int = 1 << 20) -> Iterator[list[str]]:
+    """Pieces of texts in lists of about `limit` code points, which bounds the arrays made of one."""
+    some, size = [], 0
+    for p in pieces:
+        if some and size + len(p) > limit:
+            yield some
+            some, size = [], 0
+        some.append(p)
+        size += len(p)
+    if some:
+        yield some
+
+
 def train(docs: DataFrame, labelled: Column, lang: str = "lang") -> dict:
     """Counts of hashed letter n-grams and scripts by language over every labelled row with text; a small dict.
 
     Counting runs in tasks and is summed over the shuffle; what comes back is one row per language, order and
-    bucket at most. Raises ValueError beyond 2,000 languages, which bounds the model.
+    bucket at most. Raises ValueError beyond 2,000 languages, which bounds the model. Rows with a null text or label
+    don't count, repeated rows count as often as they are there, and a table without labelled rows gives no languages.
     """
     rows = docs.where(labelled & F.col(lang).isNotNull() & F.col("text").isNotNull()).select(F.col(lang).cast("string").alias("lang"), "text")
     orders = list(ORDERS)
@@ -114,8 +128,8 @@ def train(docs: DataFrame, labelled: Column, lang: str = "lang") -> dict:
         for part in slices(batches):
             names, texts = part.column("lang").to_pylist(), part.column("text").to_pylist()
             for name in set(names):
-                for piece in ([t for n, t in zip(names, texts, strict=True) if n == name],):
-                    chars = _Chars([p for t in piece for p in _pieces(t)])
+                for some in _together(p for n, t in zip(names, texts, strict=True) if n == name for p in _pieces(t)):
+                    chars = _Chars(some)
                     inside = chars.is_letter.copy()
                     inside[:-1] |= chars.is_letter[1:]
                     for order in orders:
@@ -188,11 +202,9 @@ def identify(docs: DataFrame, model: dict, switch: float = SWITCH, names: tuple[
     the names, in any case, are replaced. Texts beyond a million code points are scored in parts and labelled as a whole.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
-    added = F.lit(""), F.lit(0.0), F.lit(0.0), F.array().cast("array<struct<lang:string,words:int>>")
-    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumns(dict(zip(names, added, strict=True))).schema
+    added = dict(zip(names, ("string", "double", "double", "array<struct<lang:string,words:int>>"), strict=True))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         m = sent.value
         langs, many = m["langs"], max(1, len(m["langs"]))
 
@@ -200,8 +212,8 @@ def identify(docs: DataFrame, model: dict, switch: float = SWITCH, names: tuple[
         def table(order: int, script: int) -> np.ndarray:
             return m["logs"][order] if m["allowed"][script].all() else np.ascontiguousarray(m["logs"][order][:, m["allowed"][script]])
 
-        for part in slices(batches):
-            texts = pc.fill_null(part.column("text"), "").to_pylist()
+        def compute(given: pa.Array) -> list[pa.Array]:
+            texts = pc.fill_null(given, "").to_pylist()
             scores, owners, letters, strange = [], [], [], []
             todo = [(i, p) for i, t in enumerate(texts) for p in _pieces(t)]
             at = 0
@@ -247,6 +259,8 @@ def identify(docs: DataFrame, model: dict, switch: float = SWITCH, names: tuple[
                     spans[owner[a]].append({"lang": langs[path[a]], "words": n})
             named = [langs[p] if p >= 0 else "und" for p in pred]
             kind = pa.list_(pa.struct([("lang", pa.string()), ("words", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(named, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(np.clip(fit, 0, 1)), pa.array(spans, kind)], names=[*part.schema.names, *names])
+            return [pa.array(named, pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(np.clip(fit, 0, 1)), pa.array(spans, kind)]
+
+        return compute
 
-    return docs.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
+    return with_arrays(docs, ("text",), added, make)
