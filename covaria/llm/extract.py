@@ -17,6 +17,7 @@ from covaria.llm.common import broadcast_if_small, materialize, slices
 
 # Element names by their role in a page.
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp")
+FOREIGN = ("svg", "math")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 BLOCK = (
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset",
@@ -45,23 +46,25 @@ SCOPE = ("html", "body", "ul", "ol", "dl", "table", "div", "article", "section",
 #: Importance below which a branch is removed, the weight of content against a branch's own styles (to the power of their number),
 #: and pages needed to judge.
 LEAST, GAMMA, PAGES = 0.3, 0.9, 4
-#: Levels of the tree; what lies deeper belongs to its ancestor there.
+#: Levels of a site's tree; a branch that lies deeper is judged with its ancestor there, but read by its own names.
 DEPTH = 64
 
 
 @lru_cache(100_000)
-def mark(step: str) -> str:
+def mark(step: str, inside: bool = False) -> str:
     """What an element's own tag and names say: "others" (comments, related pages), "noise", "header" (of a page or of an
     article), "main", or nothing.
 
     Whole names count, by their words: one that begins with a word of LAYOUT ("has-sidebar") says nothing of the element,
-    and nothing is said of html and body.
+    and nothing is said of html and body. Inside an article an id ("#related-work") is mostly a heading's anchor, so it
+    counts only where it is such a word as a whole.
     """
     tag, _, names = step.partition(".")
     said = ""
     if tag not in ("html", "body"):
         for name in names.split():
-            words = [w.lower() for w in PART.findall(name)]
+            anchor, name = name.startswith("#"), name.removeprefix("#")
+            words = [name.lower()] if anchor and inside else [w.lower() for w in PART.findall(name)]
             if not words or words[0] in LAYOUT or HEADLINE.fullmatch(name):
                 continue
             if any(OTHERS_WORDS.fullmatch(w) for w in words):
@@ -74,19 +77,21 @@ def mark(step: str) -> str:
         return "main"
     if said or tag == "header":
         return said or "header"
-    return "main" if any(MAIN_NAME.fullmatch(n) for n in names.split()) else ""
+    return "main" if any(MAIN_NAME.fullmatch(n.removeprefix("#")) for n in names.split()) else ""
 
 
 @dataclass
 class Page:
     """A page's tree of block and marked elements, each of siblings with equal names once, and its texts and breaks in order.
 
-    For each node: its parent, its step (tag with class, id and role names), its path's hash and the tags of its children in
-    order. `events` are (node, text) and (-1, "") for a break between blocks.
+    For each node: its parent, its step (tag with class, id and role names, ids after "#"), its level, the node that it is
+    judged with (itself, or its ancestor at DEPTH), that one's path's hash and the tags of its children in order. `events` are (node, text) and (-1, "") for a break between blocks.
     """
 
     parent: list[int] = field(default_factory=lambda: [-1])
     step: list[str] = field(default_factory=lambda: [""])
+    level: list[int] = field(default_factory=lambda: [0])
+    judged: list[int] = field(default_factory=lambda: [0])
     path: list[int] = field(default_factory=lambda: [0])
     children: list[list[str]] = field(default_factory=lambda: [[]])
     events: list[tuple[int, str]] = field(default_factory=list)
@@ -128,11 +133,12 @@ class Page:
             if tag == "br":
                 out.events.append((stack[-1][1], " "))
                 continue
-            if tag in VOID or m[3].rstrip().endswith("/"):
+            if tag in VOID or tag in FOREIGN and m[3].endswith("/"):  # a slash ends no other element
                 if tag in BLOCK:
                     out.events.append((-1, ""))
                 continue
-            names = " ".join(dict.fromkeys(" ".join("".join(g[1:]) for g in NAMED.findall(m[3])).split()))
+            named = (("#" * (g[0].lower() == "id") + n) for g in NAMED.findall(m[3]) for n in "".join(g[1:]).split())
+            names = " ".join(dict.fromkeys(named))
             step = tag + ("." + names if names else "")
             if tag not in BLOCK and not (tag in NOISE or names and mark(step)):
                 continue  # inline elements are part of the block that holds them
@@ -149,15 +155,14 @@ class Page:
             up = stack[-1][1]
             out.children[up].append(tag)
             if (node := known.get((up, step))) is None:
-                if len(stack) > DEPTH:
-                    node = up
-                else:
-                    node = len(out.parent)
-                    out.parent.append(up)
-                    out.step.append(step)
-                    out.path.append(xxhash.xxh64_intdigest(f"{out.path[up]}>{step}") >> 1)
-                    out.children.append([])
-                known[up, step] = node
+                node = known[up, step] = len(out.parent)
+                deep = out.level[up] >= DEPTH
+                out.parent.append(up)
+                out.step.append(step)
+                out.level.append(out.level[up] + 1)
+                out.judged.append(out.judged[up] if deep else node)
+                out.path.append(out.path[up] if deep else xxhash.xxh64_intdigest(f"{out.path[up]}>{step}") >> 1)
+                out.children.append([])
             stack.append((tag, node))
             opened[tag] += 1
         return out
@@ -176,9 +181,9 @@ def _features(page: str) -> list[tuple[int, list[int], str, int, int]]:
     texts: dict[int, list[str]] = {}
     for node, text in tree.events:
         if node >= 0 and (words := text.split()):
-            texts.setdefault(node, []).extend(words)
+            texts.setdefault(tree.judged[node], []).extend(words)
     rows = []
-    for i in range(1, len(tree.parent)):
+    for i in (i for i in range(1, len(tree.parent)) if tree.judged[i] == i):
         rows.append((tree.path[i], [], "style", xxhash.xxh64_intdigest(" ".join(tree.children[i])) >> 1, 0))
     for i, words in texts.items():
         above, at = [], i
@@ -251,15 +256,15 @@ def _text(page: str, low: set[int]) -> str:
     """
     tree = Page.of(page)
     many = len(tree.parent)
-    said = [mark(s) if s else "" for s in tree.step]
     new = [0] * many
     for node, text in tree.events:
         if node >= 0 and tree.path[node] not in low:
             new[node] += len(text) - text.count(" ")
     # parents come before their children
-    gone, inside = [False] * many, [False] * many
+    gone, inside, said = [False] * many, [False] * many, [""] * many
     for i in range(1, many):
         up = tree.parent[i]
+        said[i] = mark(tree.step[i], inside[up])
         gone[i], inside[i] = gone[up] or said[i] == "others", inside[up] or said[i] == "main"
     body = [n if a and not g else 0 for n, a, g in zip(new, inside, gone, strict=True)]
     whole = sum(body)
