@@ -9,7 +9,7 @@ reach, and the variants themselves are made there. That ships the same variants
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from covaria.llm.common import broadcast_if_small, hash_words, materialize, mix64, slices, split_words, unused
+from covaria.llm.common import broadcast_if_small, hash_words, materialize, mix64, quoted, slices, split_words, unused, with_arrays
 
 U64 = np.uint64
 BITS = 64
@@ -27,6 +27,9 @@ BLOCK_VARIANTS = 2_000_000
 #: Similar texts: short fingerprints of a text (an even number) and their bits; fingerprints after a shared one that are compared, bits by
 #: which these may differ (a pair at Jaccard 0.8 differs by 14.5 of 96, 3.4 deviations less than 26), and by which a leader takes a row.
 TABLES, BITS_SHORT, CHECKS, MOST_AWAY, GIVEN_AWAY = 32, 32, 3, 26, 20
+#: Rounds of leaders that are taken from the middle of a key; rows that still look unlike are then led by many at once, for which
+#: so many distances are told together.
+ROUNDS, AT_ONCE = 16, 1 << 22
 #: Sets that a task holds before it sends their fingerprints.
 HELD_SETS = 200_000
 
@@ -50,22 +53,18 @@ def _fingerprint(text: str | None, n: int, digest) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 4, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
     """Add `fp` (long, the fingerprint's bits): bit b is 1 if it is set in over half of the shingles' XXH64 (seed 42).
 
-    A text of fewer words is one shingle; null, empty or white text has fingerprint zero. Other columns stay.
+    A text of fewer words is one shingle; null, empty or white text has fingerprint zero. Other columns (or those in keep) stay.
     """
-    keep = [c for c in docs.columns if c.lower() != "fp"]
-    schema = docs.select(*keep).withColumn("fp", F.lit(0).cast("long")).schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         import xxhash
 
-        for part in slices(batches, text):
-            found = _signed(_fingerprint(t, shingle, xxhash.xxh64_intdigest) for t in part.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.int64())], names=[*part.schema.names, "fp"])
+        return lambda texts: [pa.array(_signed(_fingerprint(t, shingle, xxhash.xxh64_intdigest) for t in texts.to_pylist()), pa.int64())]
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return with_arrays(docs, (text,), {"fp": "long"}, make, keep=keep)
 
 
 def _flips(bits: range, most: int) -> list[int]:
@@ -181,7 +180,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, distance: int = 4, doc_id
     Equal fingerprints are linked; texts without words have fingerprint zero and link like any other. Repeated rows
     stay as they are. A component whose ids are all null has a null id. An empty table gives no rows.
     """
-    prints = materialize(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), "text"), shingle).select("doc_id", "fp"), "prints")
+    prints = materialize(fingerprints(docs.select(F.col(quoted(doc_id)).alias("doc_id"), "text"), shingle, keep=["doc_id"]), "prints")
     roots = components(links(prints, distance))
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     rooted = first.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
@@ -270,11 +269,14 @@ def _leaders(key: np.ndarray, checks: np.ndarray, names: np.ndarray) -> tuple[li
     The middle of a key has the bits that most of its rows have in their further fingerprints `checks`; the row closest to it
     leads (of equal ones that of the least name), since edited copies are more like their origin than like each other. Rows
     that look alike are paired with the leader, and those that differ much go on to the next one, until every key has one row
-    left at most. Each round pairs a row once, so copies of one text make as many pairs as there are copies.
+    left at most. Each round pairs a row once, so copies of one text make as many pairs as there are copies. After ROUNDS
+    the rest of a key are led by the order of their names, in few rounds however many don't look alike.
     """
     order = np.argsort(key, kind="stable")
     free, pairs = np.ones(len(key), dtype=bool), []
-    while len(order) > 1:
+    for _ in range(ROUNDS):
+        if len(order) < 2:
+            return pairs, free
         k = key[order]
         first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
         sizes = np.diff(np.append(first, len(k)))
@@ -296,9 +298,33 @@ def _leaders(key: np.ndarray, checks: np.ndarray, names: np.ndarray) -> tuple[li
         again[1:] = left[1:] == left[:-1]
         again[:-1] |= again[1:]
         order = rest[again]
+    for rows in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+        _many_leaders(rows[np.argsort(names[rows], kind="stable")], checks, pairs, free)
     return pairs, free
 
 
+def _many_leaders(rows: np.ndarray, checks: np.ndarray, pairs: list[tuple[np.ndarray, ...]], free: np.ndarray) -> None:
+    """Pairs of rows of one key, each led by the first one that it looks like; distances to many leaders are taken at once."""
+    while len(rows) > 1:
+        many = max(1, min(len(rows), AT_ONCE // len(rows)))
+        far = np.zeros((many, len(rows)), dtype=np.uint8)
+        for k in range(checks.shape[1]):
+            far += np.bitwise_count(checks[rows[:many], k][:, None] ^ checks[rows, k][None, :])
+        left = np.ones(len(rows), dtype=bool)
+        for i in range(many):
+            if not left[i]:
+                continue
+            left[i] = False
+            near = np.flatnonzero(left & (far[i] <= MOST_AWAY))
+            if len(near):
+                given = far[i, near] <= GIVEN_AWAY
+                # these leaders come after those from the middle where a row was given to several
+                pairs.append((np.full(len(near), rows[i]), rows[near], given, np.full(len(near), 8 * checks.itemsize * checks.shape[1], dtype=np.int64)))
+                left[near[given]] = False
+                free[rows[near[given]]] = False
+        rows = rows[many:][left[many:]]
+
+
 def candidates(nodes: DataFrame) -> DataFrame:
     """Pairs (a, b), a below b, of `set`s of which two of the fingerprints `prints` differ by two bits or fewer.
 
@@ -414,7 +440,7 @@ def _keep_least(docs: DataFrame, named: DataFrame, found: DataFrame) -> DataFram
     """The rows of `named` whose doc_id is their component's least, one row of each id, and the rows of docs without one."""
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
     n = unused("_n", docs)
-    order = F.xxhash64("text"), F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])
+    order = F.xxhash64("text"), F.xxhash64(*[F.col(quoted(c)).cast("string") for c in docs.columns])
     ranked = named.join(kept, "doc_id", "left_semi").withColumn(n, F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
     return ranked.where(F.col(n) == 1).drop(n).unionByName(docs.where("doc_id IS NULL"))
 
