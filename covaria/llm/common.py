@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -96,16 +96,20 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def with_arrays(docs: DataFrame, columns: tuple[str, ...], added: dict[str, str], make, limit: int = SLICE_BYTES) -> DataFrame:
+def with_arrays(docs: DataFrame, columns: tuple[str, ...], added: dict[str, str], make, limit: int = SLICE_BYTES, keep: Sequence[str] | None = None) -> DataFrame:
     """Add columns (name → type) that a function of Arrow arrays gives; columns of these names, whatever the case, go.
 
     make() is called once a task and returns a function from the given columns' arrays (the last one is the text, by which
-    batches are cut) to a list of new arrays. Other columns pass by under plain names, so theirs may hold anything.
+    batches are cut) to a list of new arrays. The other columns (or those of them in keep) pass by under plain names, so
+    theirs may hold anything; a given column that stays is sent once.
     """
     gone = {c.lower() for c in added}
-    keep = [c for c in docs.columns if c.lower() not in gone]
-    plain = docs.select(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(keep)], *[F.col(quoted(c)).alias(f"in{i}") for i, c in enumerate(columns)])
-    passed, used = [f"c{i}" for i in range(len(keep))], [f"in{i}" for i in range(len(columns))]
+    stay = [c for c in docs.columns if c.lower() not in gone and (keep is None or c in keep)]
+    passed = [f"c{i}" for i in range(len(stay))]
+    at = dict(zip(stay, passed, strict=True))
+    used = [at.get(c, f"in{i}") for i, c in enumerate(columns)]
+    more = [F.col(quoted(c)).alias(u) for c, u in zip(columns, used, strict=True) if c not in at]
+    plain = docs.select(*[F.col(quoted(c)).alias(n) for c, n in at.items()], *more)
     schema = plain.select(*passed, *[F.lit(None).cast(kind).alias(f"new{i}") for i, kind in enumerate(added.values())]).schema
     names = [f.name for f in schema]
 
@@ -114,4 +118,4 @@ def with_arrays(docs: DataFrame, columns: tuple[str, ...], added: dict[str, str]
         for part in slices(batches, used[-1], limit):
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in passed], *compute(*[part.column(c) for c in used])], names=names)
 
-    return plain.mapInArrow(run, schema).toDF(*keep, *added)
+    return plain.mapInArrow(run, schema).toDF(*stay, *added)

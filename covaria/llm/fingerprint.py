@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covaria.llm.common import SLICE_BYTES, broadcast_if_small, hash_words, materialize, mix64, slices, split_words
+from covaria.llm.common import SLICE_BYTES, broadcast_if_small, hash_words, materialize, mix64, slices, split_words, with_arrays
 
 SAMPLES = 128
 #: Samples drawn at once, which bounds the table of draws for a slice's terms.
@@ -100,14 +100,7 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
 
     Null text counts as empty; equal texts agree. Every row stays; an empty table gives no rows.
     """
-    keep = [c for c in docs.columns if c.lower() != "fingerprint"]
-    schema = docs.select(*keep).withColumn("fingerprint", F.lit("")).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_hex(signatures(part.column("text"), samples)))], names=[*part.schema.names, "fingerprint"])
-
-    return docs.select(*keep).mapInArrow(run, schema)
+    return with_arrays(docs, ("text",), {"fingerprint": "string"}, lambda: lambda texts: [pa.array(_hex(signatures(texts, samples)))])
 
 
 def with_next(docs: DataFrame, rows_per_range: int = 500, ranges_per_task: int = 4) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from covaria.llm.common import WORD, broadcast_if_small, materialize
+from covaria.llm.common import WORD, broadcast_if_small, materialize, quoted
 
 #: Bins of the ranking variable; only the bin in which a source's quota ends is ranked row by row.
 BINS = 4096
@@ -125,7 +125,7 @@ def apply(
     """
     sized = materialize(sizes(docs, source, seed), "sizes")
     names = {c: f"d{i}" for i, c in enumerate(docs.columns)}
-    carried = F.struct(*[F.col(c).alias(n) for c, n in names.items()]).alias("_row")
+    carried = F.struct(*[F.col(quoted(c)).alias(n) for c, n in names.items()]).alias("_row")
     placed = _place(sizes(docs, source, seed, carried), *_plan(sized, weights, share, most))
     takes = F.array_repeat(F.col("_size"), F.col("whole").cast("int"))
     takes = F.when(F.col("_part") > 0, F.concat(takes, F.array(F.col("_part").cast("long")))).otherwise(takes)

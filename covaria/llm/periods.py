@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Sequence
 from fractions import Fraction
 
 import numpy as np
@@ -193,14 +194,15 @@ def describe(words: pa.Array, codes: np.ndarray, order: np.ndarray | None) -> tu
 COLUMNS = {"n_runs": "long", "start": "long", "length": "long", "period": "long", "exponent_milli": "long", "runs_sha256": "string", "collapsed_sha256": "string"}
 
 
-def detect(docs: DataFrame, text: str = "text", key: str = "doc_id", alter: bool = False) -> DataFrame:
+def detect(docs: DataFrame, text: str = "text", key: str = "doc_id", alter: bool = False, keep: Sequence[str] | None = None) -> DataFrame:
     """Add to every document its number of runs, the run with most periods, and digests of all runs and of the words kept.
 
     A run is a stretch of at least max(24, 3 q) words with smallest period q that no neighbouring word extends; words of
     a run after its first q are dropped. alter: first make the documents named by `altered` periodic, which plants runs.
     Of equal numbers of periods the least start, then the least period wins. A null text has no words; a document without
     runs has nulls for its run. All rows stay, repeated ones with equal results; an empty table stays empty. Other columns
-    stay whatever their names, but for earlier ones of the names added. A text is one task's work whatever its length.
+    (or those in keep) stay whatever their names, but for earlier ones of the names added. A text is one task's work
+    whatever its length.
     """
 
     def make():
@@ -217,9 +219,9 @@ def detect(docs: DataFrame, text: str = "text", key: str = "doc_id", alter: bool
 
         return compute
 
-    return with_arrays(docs, (key, text), COLUMNS, make)
+    return with_arrays(docs, (key, text), COLUMNS, make, keep=keep)
 
 
 def summary(docs: DataFrame) -> DataFrame:
     """doc_id and the columns that `detect` adds, runs planted by id."""
-    return detect(docs.select("doc_id", "text"), alter=True).select("doc_id", *COLUMNS)
+    return detect(docs, alter=True, keep=["doc_id"])

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covaria.llm.common import mix64, slices
+from covaria.llm.common import mix64, quoted, unused, with_arrays
 
 U64 = np.uint64
 SPACE = "▁"
@@ -277,36 +276,40 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", check:
 
     path: a SentencePiece BPE model with byte pieces that keeps texts as they are, read on the driver and broadcast (its
     size doesn't grow with the data). Null and empty texts have no ids; repeated rows get equal ids. A text round-trips
-    exactly unless it holds U+2581, which stands for a space. Other columns stay, but for earlier ones of these names.
+    exactly unless it holds U+2581, which stands for a space. An empty table stays empty. Other columns stay whatever their
+    names, but for earlier ones of these.
     """
     sent = docs.sparkSession.sparkContext.broadcast(_load(path))
-    added = {"ids": F.array().cast("array<int>")} | ({"decoded": F.lit("")} if check else {})
-    keep = [c for c in docs.columns if c.lower() not in added]
-    schema, new = docs.select(*keep).withColumns(added).schema, list(added)
+    added = {"ids": "array<int>"} | ({"decoded": "string"} if check else {})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         model = _pieces(sent.value)
-        for part in slices(batches, text):
-            ids = model.encode(part.column(text))
-            more = [ids.cast(pa.list_(pa.int32()))] + ([model.decode(ids).cast(pa.string())] if check else [])
-            yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, *new])
-        model.words.clear()  # the worker may go on with other tasks
+        model.words.clear()  # of an earlier task
 
-    return docs.select(*keep).mapInArrow(run, schema)
+        def compute(texts: pa.Array) -> list[pa.Array]:
+            ids = model.encode(texts)
+            return [ids.cast(pa.list_(pa.int32()))] + ([model.decode(ids).cast(pa.string())] if check else [])
+
+        return compute
+
+    return with_arrays(docs, (text,), added, make)
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids") -> DataFrame:
-    """Add `decoded`, the text of the ids: bytes are joined, the first space goes. A null list gives an empty text."""
+    """Add `decoded`, the text of the ids: bytes are joined, the first space goes. A null list gives an empty text.
+
+    Repeated rows get equal texts; an empty table stays empty; other columns stay whatever their names.
+    """
     sent = encoded.sparkSession.sparkContext.broadcast(_load(path))
-    keep = [c for c in encoded.columns if c.lower() != "decoded"]
-    schema = encoded.select(*keep).withColumn("decoded", F.lit("")).schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         model = _pieces(sent.value)
-        for part in batches:
-            yield pa.RecordBatch.from_arrays([*part.columns, model.decode(part.column(ids)).cast(pa.string())], names=[*part.schema.names, "decoded"])
+        return lambda lists, size: [model.decode(lists).cast(pa.string())]
 
-    return encoded.select(*keep).mapInArrow(run, schema)
+    # batches are cut by the bytes of the ids
+    size, names = unused("_size", encoded), [c for c in encoded.columns if c.lower() != "decoded"]
+    sized = encoded.withColumn(size, F.repeat(F.lit("."), F.least(F.coalesce(F.size(F.col(quoted(ids))), F.lit(0)), F.lit(1000))))
+    return with_arrays(sized, (ids, size), {"decoded": "string"}, make, keep=names)
 
 
 def summary(docs: DataFrame, path: str | None = None) -> DataFrame:

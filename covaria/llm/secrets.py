@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from covaria.llm.common import BROADCAST_ROWS, broadcast_if_small, materialize
+from covaria.llm.common import BROADCAST_ROWS, broadcast_if_small, materialize, quoted
 
 # Kinds of secrets in listed order, patterns and least lengths of the whole match or of group 2.
 ASSIGN = (
@@ -132,7 +132,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", **options) -> DataFrame:
     cuts = cuts.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("cuts"))
     cuts = materialize(cuts.withColumnsRenamed({"doc_id": "_id", "key": "_key"}), "secret-cuts")
     names = {c: f"d{i}" for i, c in enumerate(docs.columns)}
-    packed = docs.select(F.struct(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]).alias("_d"))
+    packed = docs.select(F.struct(*[F.col(quoted(c)).alias(n) for c, n in names.items()]).alias("_d"))
     given = F.col(f"_d.{names['text']}")
     few = cuts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     matches = F.lit(True) if few else F.coalesce(F.greatest(*[given.rlike(p) for p in (*BASE.values(), *ADDED.values())]), F.lit(False))

@@ -12,6 +12,7 @@ vocabulary; of these a sequence applies the leftmost occurrence only, which keep
 from __future__ import annotations
 
 import heapq
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -227,13 +228,13 @@ def _merges(model: bytes) -> Merges:
     return _READ[hash(model)]
 
 
-def count(docs: DataFrame, path: str | None = None, text: str = "text", limit: int = LIMIT) -> DataFrame:
+def count(docs: DataFrame, path: str | None = None, text: str = "text", limit: int = LIMIT, keep: Sequence[str] | None = None) -> DataFrame:
     """Add n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) of every whole text.
 
     path: a SentencePiece BPE model with byte pieces that keeps texts as they are, read on the driver and broadcast (its size
     doesn't grow with the data). Counts are those of the library's encoding, without added tokens; strings of special tokens
     in a text are ordinary text. A null text counts as empty, with no tokens. All rows stay, repeated ones with equal counts;
-    an empty table stays empty. Other columns stay whatever their names, but for earlier ones of these three.
+    an empty table stays empty. Other columns (or those in keep) stay whatever their names, but for earlier ones of these three.
     """
     with open(model_path(path), "rb") as f:  # on the driver
         sent = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -249,9 +250,9 @@ def count(docs: DataFrame, path: str | None = None, text: str = "text", limit: i
 
         return compute
 
-    return with_arrays(docs, (text,), {"n_bytes": "long", "n_tokens": "long", "over_limit": "boolean"}, make)
+    return with_arrays(docs, (text,), {"n_bytes": "long", "n_tokens": "long", "over_limit": "boolean"}, make, keep=keep)
 
 
 def summary(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every document."""
-    return count(docs.select("doc_id", "text"), path).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    return count(docs, path, keep=["doc_id"])
