@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covaria.llm import language, mixing, pieces, secrets, simhash
-from covaria.llm.common import held_out, materialize, read, unused
+from covaria.llm.common import held_out, materialize, quoted, read, unused
 
 #: Mean posterior of the words in their own labelled spans below which a language is taken as unknown.
 LEAST_SURE = 0.3
@@ -30,7 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = tuple(unused(c, docs) for c in ("lang_pred", "score", "sure", "spans"))
     found = language.identify(docs, model, names=names)
     kept = found.where((F.col(names[0]) != "und") & (F.col(names[2]) >= LEAST_SURE))
-    return kept.select(*[F.coalesce("lang", names[0]).alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
+    return kept.select(*[F.coalesce("lang", names[0]).alias("lang") if c == "lang" else F.col(quoted(c)) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
