@@ -119,7 +119,8 @@ def build(rows: DataFrame, values: Sequence[str], key: str, group: str, more: di
     tree = F.coalesce(F.concat(F.lit("="), named), F.lit("-"))  # "-" sorts before "="
     leaf = digest(*[F.col(quoted(v)) for v in values])
     item = F.struct(F.col(quoted(key)).alias("key"), leaf.alias("hash"), *[c.alias(name) for name, c in (more or {}).items()])
-    leaves = rows.select(tree.alias("tree"), item.alias("item"))
+    # written down first: dealing them out by ranges looks at them twice
+    leaves = materialize(rows.select(tree.alias("tree"), item.alias("item")), "digests")
     # equal rows are told apart by where they were read, so that ranges may part them
     spread = leaves.withColumn("k", F.col("item.key")).withColumn("h", F.col("item.hash")).withColumn("at", F.monotonically_increasing_id())
     numbered = _numbered(spread, ["k", "h", "at"]).drop("k", "h", "at")
