@@ -6,7 +6,7 @@ import importlib
 
 from covaria.plans import registry
 
-MODULES = ("dynamics", "cohorts", "statistics", "modelling", "suites", "coupling")
+MODULES = ("dynamics", "cohorts", "statistics", "modelling", "suites", "coupling", "storage")
 
 
 def _load() -> None:

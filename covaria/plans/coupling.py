@@ -7,7 +7,7 @@ windows and the label for a window's state. Bases are a ridge map's where a quer
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covaria.operators import analyses, blocks, classify, dimensions, geometry, models, moments, retention, spd, tangent
@@ -16,7 +16,9 @@ from covaria.plans.modelling import TEST, TIERS, TRAIN, VAL, parts
 from covaria.plans.registry import query
 from covaria.plans.statistics import BASIS, _basis
 
-SPLIT = F.when(F.expr(TRAIN), "train").when(F.expr(VAL), "val").otherwise("test")
+
+def _split() -> Column:
+    return F.when(F.expr(TRAIN), "train").when(F.expr(VAL), "val").otherwise("test")
 
 
 def _left(spark: SparkSession, sf_dir: str, k: int = 5) -> np.ndarray:
@@ -56,7 +58,7 @@ def rsfe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     edge = F.transform(F.slice("y", 1, 28), lambda v: F.tanh(v / 2))
     cov = F.array((F.col("id") % 50 + 18).cast("double"), (F.col("label") % 2).cast("double"))
-    rows = vectors(spark, sf_dir).select("id", "x", SPLIT.alias("split"), cov.alias("cov"), tangent.V.fisher_z(edge).alias("z"), spd.make_spd(tangent.V.full_matrix(edge, 8)).alias("m"))
+    rows = vectors(spark, sf_dir).select("id", "x", _split().alias("split"), cov.alias("cov"), tangent.V.fisher_z(edge).alias("z"), spd.make_spd(tangent.V.full_matrix(edge, 8)).alias("m"))
     out = []
     for metric in spd.METRICS:
         fitted = tangent.fit(rows, "m", "x", "split", "cov", metric)
@@ -70,7 +72,7 @@ def residual_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy with no covariate, an age, an age and a sex, and these and x's total residualized, on test rows and an external cohort."""
     total = F.aggregate("x", F.lit(0.0), lambda s, v: s + v)
     cov = F.array((F.col("id") % 50 + 18).cast("double"), (F.col("label") % 2).cast("double"), total)
-    rows = vectors(spark, sf_dir).withColumn("c", cov).withColumn("part", F.when(F.col("label") >= 8, "external").otherwise(SPLIT))
+    rows = vectors(spark, sf_dir).withColumn("c", cov).withColumn("part", F.when(F.col("label") >= 8, "external").otherwise(_split()))
     by = {name: b for (name,), b in blocks.sums_by(rows, ["c", "x", "y"], ["part"]).items()}
     modes = {"none": None, "age": [0], "age_sex": [0, 1], "age_sex_total": [0, 1, 2]}
     told = [tuple(r.values()) for r in blocks.sweep(by, modes)]
@@ -145,7 +147,7 @@ def difference_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def accuracy_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component R2 of four methods on test rows and an external cohort, retention, and paired differences; 2,000 replicates."""
-    rows = vectors(spark, sf_dir).withColumn("part", F.when(F.col("label") >= 8, "external").otherwise(SPLIT))
+    rows = vectors(spark, sf_dir).withColumn("part", F.when(F.col("label") >= 8, "external").otherwise(_split()))
     by = moments.stats_by(rows, "x", "y", ["part"])
     fits = {name: models.fit(name, by["train",], by["val",]) for name in ("nuclear_norm", "pls", "rrr", "ridge")}
     errors = retention.component_errors(rows, "id", "x", "y", "part", fits, *models.components(by["train",], 20))
@@ -185,7 +187,7 @@ def map_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def controls_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A nuclear-norm map of controls (labels 5 and above) beside everybody's: accuracy, overlaps and ranks."""
-    by = moments.stats_by(vectors(spark, sf_dir).select("x", "y", SPLIT.alias("split"), (F.col("label") >= 5).alias("control")), "x", "y", ["split", "control"])
+    by = moments.stats_by(vectors(spark, sf_dir).select("x", "y", _split().alias("split"), (F.col("label") >= 5).alias("control")), "x", "y", ["split", "control"])
     return rounded(spark.createDataFrame([tuple(r.values()) for r in analyses.controls_refit(by, (5, 10, 20))], "k long, measure string, value double"))
 
 
