@@ -31,6 +31,8 @@ MOST_LEVELS = 100
 DISCOUNT = 0.75
 #: Bytes of the largest filter that is broadcast, bits of its parts, words whose exact counts are broadcast.
 FILTER_BYTES, PART_BITS, HOT_WORDS = 128 << 20, 1 << 23, 400_000
+#: Parts beyond which they get larger instead of more, and bits of the largest.
+MANY_PARTS, MOST_PART_BITS = 1000, 1 << 28
 #: Distinct keys that a counting task holds before it passes them on.
 FLUSH_KEYS = 2_000_000
 
@@ -175,6 +177,8 @@ def _part(key: np.ndarray, parts: int) -> np.ndarray:
 def _shape(items: int, part_bits: int) -> tuple[int, int]:
     """Number of parts and bits of each."""
     bits = max(64, items * ITEM_BITS)
+    while bits > MANY_PARTS * part_bits and part_bits < MOST_PART_BITS:
+        part_bits *= 2
     parts = math.ceil(bits / part_bits)
     return parts, math.ceil(bits / parts / 64) * 64
 
@@ -229,17 +233,17 @@ def build(entries: DataFrame, items: int, part_bits: int = PART_BITS) -> DataFra
     parts, bits = _shape(items, part_bits)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, own = np.zeros(bits // 8, dtype=np.uint8), None
+        data, own = np.zeros(bits, dtype=bool), None
         for b in batches:
             kind, level, key = b.column("kind").to_numpy(), b.column("level").to_numpy(), b.column("key").to_numpy().view(U64)
             for k in np.unique(kind):
                 mine, q = key[kind == k], level[kind == k]
                 for now in range(1, int(q.max()) + 1):
                     for at in _positions(mine[q >= now], now, int(k), bits):
-                        np.bitwise_or.at(data, (at >> U64(3)).astype(np.int64), np.uint8(1) << (at & U64(7)).astype(np.uint8))
+                        data[at] = True
             own = b.column("part")[0].as_py() if b.num_rows else own
         if own is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([data.tobytes()], pa.binary())], names=["part", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([np.packbits(data, bitorder="little").tobytes()], pa.binary())], names=["part", "data"])
 
     return _dealt(entries, parts).mapInArrow(fill, "part int, data binary")
 
