@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from covaria.functions import vectors as V
 from covaria.operators import geometry, inference, models, moments
 from covaria.operators.moments import Stats
 from covaria.operators.splits import draw
@@ -212,3 +213,64 @@ def position_intervals(rows: DataFrame, key: str, x: str, y: str, gradient: np.n
     a = (1 - level) / 2
     ends = told.where("rep >= 0").groupBy("mode").agg(F.percentile("position", a).alias("lo"), F.percentile("position", 1 - a).alias("hi"))
     return told.where("rep < 0").drop("rep").join(ends, "mode")
+
+
+def prediction_targets(summary: DataFrame, key: str, states: int, eps: float = 1e-6) -> tuple[DataFrame, dict[str, list[int]]]:
+    """(key, y) of subjects' dynamics as numbers for regression, and where each group of targets lies in y.
+
+    From the columns of dynamics.subject_summary: occupancy as centred log-ratios, ln(1 + .) of dwell, energy, switching rate and
+    entropy, and each row of the transition matrix as centred log-ratios. Two bundles join the slow and the fast ones.
+    """
+    k = range(states)
+    occupancy = V.clr(F.array(*[F.col(f"occ_{i}") for i in k]), eps)
+    logs = lambda names: F.array(*[F.log1p(F.col(n)) for n in names])
+    rows = [V.clr(F.array(*[F.col(f"tp_{i}_{j}") for j in k]), eps) for i in k]
+    parts = {
+        "occupancy": (occupancy, states), "dwell": (logs([f"dwell_{i}" for i in k]), states), "energy": (logs([f"energy_{i}" for i in k]), states), "switching_rate": (logs(["switching_rate"]), 1),
+        "transition_entropy": (logs(["transition_entropy"]), 1), "transition_matrix": (F.concat(*rows), states * states),
+    }
+    groups, at = {}, 0
+    for name, (_, n) in parts.items():
+        groups[name], at = list(range(at, at + n)), at + n
+    groups["slow_bundle"] = groups["occupancy"] + groups["dwell"] + groups["energy"]
+    groups["fast_bundle"] = groups["switching_rate"] + groups["transition_entropy"] + groups["transition_matrix"]
+    return summary.select(key, F.concat(*[c for c, _ in parts.values()]).alias("y")), groups
+
+
+def columns_of(s: Stats, at: Sequence[int]) -> Stats:
+    """Statistics with some of y's columns."""
+    at = list(at)
+    return Stats(s.n, s.sx, s.sy[at], s.xx, s.xy[:, at], s.yy[np.ix_(at, at)])
+
+
+def regression_summary(s: Stats, b: np.ndarray, intercept: np.ndarray) -> dict:
+    """r2_mean, r2_median, corr_mean, corr_median, slope, n_targets of x b + intercept on the rows of s, from the sums.
+
+    Columns that don't vary don't count; a prediction that doesn't vary has correlation 0; slope is that of all cells of truth on
+    all cells of prediction, 0 where these are constant.
+    """
+    cxx, cxy, cyy = s.centered()
+    vary = np.diag(cyy) / s.n > 1e-24
+    told = np.einsum("ij,ik,kj->j", b, cxx, b)
+    both = np.sum(b * cxy, axis=0)
+    corr = np.where(told / s.n > 1e-24, both / np.sqrt(np.maximum(told * np.diag(cyy), 1e-300)), 0.0)[vary]
+    r2 = models.column_r2(s, b, intercept)[vary]
+    c = np.broadcast_to(intercept, s.sy.shape)
+    p, cells = s.sx @ b + s.n * c, s.n * len(s.sy)
+    pp = np.sum(b * (s.xx @ b)) + 2 * c @ (s.sx @ b) + s.n * c @ c - p.sum() ** 2 / cells
+    py = np.sum(b * s.xy) + c @ s.sy - p.sum() * s.sy.sum() / cells
+    mean = lambda f, v: float(f(v)) if len(v) else None
+    return {"r2_mean": mean(np.mean, r2), "r2_median": mean(np.median, r2), "corr_mean": mean(np.mean, corr), "corr_median": mean(np.median, corr), "slope": float(py / pp) if pp / cells > 1e-24 else 0.0, "n_targets": len(s.sy)}
+
+
+def prediction_suite(by: dict[str, Stats], groups: dict[str, Sequence[int]], alphas: Sequence[float] = models.ALPHAS) -> list[dict]:
+    """(target, dataset, alpha, and the summary) of ridge maps to each group of targets, penalties chosen on "val".
+
+    by: statistics by dataset from one pass over all targets; those beside "train" and "val" are told. Groups cost no pass.
+    """
+    out = []
+    for name, at in groups.items():
+        mine = {d: columns_of(s, at) for d, s in by.items()}
+        fit = models.ridge(mine["train"], mine["val"], alphas)
+        out += [{"target": name, "dataset": d, "alpha": float(fit.chosen), **regression_summary(s, fit.b, fit.intercept)} for d, s in mine.items() if d not in ("train", "val")]
+    return out

@@ -10,11 +10,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covaria.operators import analyses, blocks, classify, dimensions, geometry, models, moments, retention, spd, tangent
+from covaria.operators import analyses, blocks, classify, dimensions, dynamics, geometry, models, moments, retention, spd, splits, tangent
 from covaria.plans.common import LONG, rounded, vectors
+from covaria.plans.dynamics import ORDER, STATES, sequence
 from covaria.plans.modelling import TEST, TIERS, TRAIN, VAL, parts
 from covaria.plans.registry import query
 from covaria.plans.statistics import BASIS, _basis
+from covaria.sources.scratch import materialize
 
 
 def _split() -> Column:
@@ -199,6 +201,21 @@ def dissociation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(analyses.dissociation(spark, test, fits, (5, 10, 20)))
 
 
+@query()
+def dynamic_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ridge maps from vectors to their users' dynamics: occupancy, dwell, energy, switching, entropy, transitions and bundles."""
+    seq = sequence(spark, sf_dir).withColumn("energy", F.col("value") * F.col("value"))
+    summary = dynamics.subject_summary(seq, "user_id", ORDER, "event_type", STATES, "energy", F.to_date("ts"))
+    targets, groups = analyses.prediction_targets(summary, "user_id", len(STATES))
+    # vectors are more than users: several of them share a user's dynamics
+    users = materialize(targets, "targets")
+    most = users.count()
+    numbered = splits.with_row_index(users, ["user_id"]).select("y", F.col("row_idx").alias("n"))
+    rows = vectors(spark, sf_dir).select("id", "x", (F.col("id") % max(1, most)).alias("n")).join(numbered, "n").select("x", "y", _split().alias("part"))
+    told = analyses.prediction_suite({name: s for (name,), s in moments.stats_by(rows, "x", "y", ["part"]).items()}, groups)
+    return rounded(spark.createDataFrame([tuple(r.values()) for r in told], "target string, dataset string, alpha double, r2_mean double, r2_median double, corr_mean double, corr_median double, slope double, n_targets long"))
+
+
 @query()
 def theory_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spiked-model overlap and R2 beside the observed ones, for a ridge map at several ranks."""

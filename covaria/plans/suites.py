@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from covaria.functions import vectors as V
-from covaria.operators import atlas, classify, geometry, metrics, models, moments, preprocess, splits
+from covaria.operators import atlas, blocks, classify, geometry, metrics, models, moments, preprocess, splits
 from covaria.plans.common import LONG, rounded, table, vectors
 from covaria.plans.modelling import parts
 from covaria.plans.registry import query
@@ -133,13 +133,18 @@ def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def motion_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlap of a map's right subspace under subsets by a motion covariate, with the full map's."""
+    """Overlap of a map's right subspace with the full map's: in subsets by a motion covariate, and with that residualized."""
     rows = vectors(spark, sf_dir).withColumn("motion", F.abs(F.get("x", F.lit(0))))
     median = splits.quantiles(rows, "motion", [0.5])[0]
     kept = {"all": "true", "low": f"motion <= {median!r}", "very_low": f"motion <= {median / 2!r}"}
-    tagged = rows.select("x", "y", F.explode(F.array_compact(F.array(*[F.when(F.expr(c), F.lit(n)) for n, c in kept.items()]))).alias("condition"))
-    maps = {k: geometry.right_subspace(models.ridge(s, s, [10.0]).b, 5) for (k,), s in moments.stats_by(tagged, "x", "y", ["condition"]).items()}
-    return rounded(spark.createDataFrame([(k, geometry.overlap(v, maps["all"])) for k, v in maps.items()], "condition string, overlap double"))
+    tagged = rows.select(F.array("motion").alias("c"), "x", "y", F.explode(F.array_compact(F.array(*[F.when(F.expr(c), F.lit(n)) for n, c in kept.items()]))).alias("condition"))
+    by = {name: b for (name,), b in blocks.sums_by(tagged, ["c", "x", "y"], ["condition"]).items()}
+    stats = {name: b.stats(b.weights("x"), b.weights("y")) for name, b in by.items()}
+    whole = by["all"]
+    on = whole.weights("1", "c")
+    stats["residualized"] = whole.stats(*(whole.residual(whole.weights(n), on) for n in "xy"))
+    maps = {name: geometry.right_subspace(models.ridge(s, s, [10.0]).b, 5) for name, s in stats.items()}
+    return rounded(spark.createDataFrame([(k, int(stats[k].n), geometry.overlap(v, maps["all"])) for k, v in maps.items()], "condition string, n long, overlap double"))
 
 
 @query()

@@ -117,6 +117,37 @@ def test_theory_and_positions(spark, rows, by, data):
     assert np.allclose([got[1]["position"], got[2]["position"]], want) and got[1]["lo"] <= got[1]["position"] <= got[1]["hi"]
 
 
+def test_prediction_suite(data, rows, by):
+    """Summaries of ridge maps to groups of targets equal those of predictions on rows."""
+    x, y, split, _ = data
+    stats = {name: analyses.plus([v for (s, _), v in by.items() if s == name]) for name in ("train", "val", "test")}
+    (r,) = [r for r in analyses.prediction_suite(stats, {"some": [0, 3]}, [0.1, 1.0]) if r["dataset"] == "test"]
+    t = y[:, [0, 3]]
+    tr, va, te = (split == s for s in ("train", "val", "test"))
+    a, m = x[tr] - x[tr].mean(axis=0), t[tr].mean(axis=0)
+    fits = {al: np.linalg.solve(a.T @ a + al * np.eye(P), a.T @ (t[tr] - m)) for al in (0.1, 1.0)}
+    told = lambda al, at: (x[at] - x[tr].mean(axis=0)) @ fits[al] + m
+    best = max(fits, key=lambda al: -((t[va] - told(al, va)) ** 2).sum())
+    p = told(best, te)
+    r2 = 1 - ((t[te] - p) ** 2).sum(axis=0) / ((t[te] - t[te].mean(axis=0)) ** 2).sum(axis=0)
+    corr = [np.corrcoef(t[te][:, j], p[:, j])[0, 1] for j in range(2)]
+    assert r["alpha"] == best and np.isclose(r["r2_mean"], r2.mean()) and np.isclose(r["corr_mean"], np.mean(corr)) and np.isclose(r["slope"], np.polyfit(p.ravel(), t[te].ravel(), 1)[0]) and r["n_targets"] == 2
+    flat = analyses.regression_summary(analyses.columns_of(stats["test"], [1]), np.zeros((P, 1)), np.zeros(1))
+    assert flat["corr_mean"] == 0 and flat["slope"] == 0
+
+
+def test_prediction_targets(spark):
+    names = ["occ", "dwell", "energy"]
+    row = {f"{n}_{i}": 0.25 + 0.5 * i for n in names for i in range(2)} | {f"tp_{i}_{j}": (0.3, 0.7)[j] for i in range(2) for j in range(2)} | {"switching_rate": 0.5, "transition_entropy": 0.2}
+    df = spark.createDataFrame([("u", *row.values())], "user string, " + ", ".join(f"{c} double" for c in row))
+    targets, groups = analyses.prediction_targets(df, "user", 2)
+    y = np.array(targets.first()["y"])
+    logs = np.log(np.array([0.25, 0.75]) + 1e-6)
+    assert len(y) == 2 + 2 + 2 + 1 + 1 + 4 and np.allclose(y[groups["occupancy"]], logs - logs.mean(), atol=1e-6)
+    assert np.allclose(y[groups["dwell"]], np.log1p([0.25, 0.75])) and np.isclose(y[groups["switching_rate"][0]], np.log1p(0.5))
+    assert np.isclose(y[groups["transition_matrix"]].sum(), 0) and sorted(groups["slow_bundle"] + groups["fast_bundle"]) == list(range(12))
+
+
 def test_mapped_blocks_keep_nulls(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [3.0, 4.0])], "id int, x array<double>").coalesce(1)
     got = {r["id"]: r["z"] for r in moments.mapped(df, "x", lambda b: b * 2, "z").collect()}
