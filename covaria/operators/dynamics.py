@@ -13,37 +13,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _keyed(seq: DataFrame, subject: str, bucket: Column) -> DataFrame:
+    """Add `_k`, subject and bucket in a struct: it is never null itself, so nulls inside are keys like others and plain joins hold."""
+    return seq.withColumn("_k", F.struct(F.col(subject).alias("s"), bucket.alias("b")))
+
+
 def followed(seq: DataFrame, subject: str, order: Sequence[str], state: str, bucket: Column | None = None) -> DataFrame:
     """Add `next`, the state after each row's (null after a subject's last row)."""
     if bucket is None:
         return seq.withColumn("next", F.lead(state).over(Window.partitionBy(subject).orderBy(*order)))
-    rows = seq.withColumn("_b", bucket)
-    key = F.struct(*order)
-    heads = rows.groupBy(subject, "_b").agg(F.min_by(state, key).alias("_head"))
-    later = heads.select(subject, "_b", F.lead("_head").over(Window.partitionBy(subject).orderBy("_b")).alias("_after"))
-    inner = Window.partitionBy(subject, "_b").orderBy(*order)
+    rows = _keyed(seq, subject, bucket)
+    heads = rows.groupBy("_k").agg(F.min_by(state, F.struct(*order)).alias("_head"))
+    later = heads.select("_k", F.lead("_head").over(Window.partitionBy("_k.s").orderBy("_k.b")).alias("_after"))
+    inner = Window.partitionBy("_k").orderBy(*order)
     rows = rows.withColumn("_next", F.lead(state).over(inner)).withColumn("_end", F.lead(F.lit(1)).over(inner).isNull())
-    return _of_bucket(rows, later, subject).withColumn("next", F.when(F.col("_end"), F.col("_after")).otherwise(F.col("_next"))).drop("_b", "_after", "_next", "_end")
-
-
-def _of_bucket(rows: DataFrame, per: DataFrame, subject: str) -> DataFrame:
-    """Join what is known of each (subject, _b) to its rows; null subjects are a subject too."""
-    named = per.withColumnsRenamed({subject: "_s", "_b": "_sb"})
-    return rows.join(named, F.col(subject).eqNullSafe(F.col("_s")) & F.col("_b").eqNullSafe(F.col("_sb"))).drop("_s", "_sb")
+    return rows.join(later, "_k").withColumn("next", F.when(F.col("_end"), F.col("_after")).otherwise(F.col("_next"))).drop("_k", "_after", "_next", "_end")
 
 
 def _runs_by_bucket(seq: DataFrame, subject: str, order: Sequence[str], state: str, bucket: Column) -> DataFrame:
-    """Runs are counted within each bucket, from 0 where the first goes on from the bucket before; earlier buckets' runs are added."""
-    rows = seq.select(subject, state, *[c for c in order if c not in (subject, state)], bucket.alias("_b"))
-    inner, outer = Window.partitionBy(subject, "_b").orderBy(*order), Window.partitionBy(subject).orderBy("_b")
-    last = rows.groupBy(subject, "_b").agg(F.max_by(F.struct(F.col(state).alias("s")), F.struct(*order)).alias("_last"))
-    rows = _of_bucket(rows, last.select(subject, "_b", F.lag("_last").over(outer).alias("_prev")), subject)
-    goes_on = F.when(F.row_number().over(inner) > 1, F.lag(state).over(inner).eqNullSafe(F.col(state))).otherwise(F.col("_prev").isNotNull() & F.col("_prev.s").eqNullSafe(F.col(state)))
+    """Runs are counted within each bucket, from 0 where the first goes on from the bucket before; earlier buckets' runs are added.
+
+    All rows are dealt once, by subject and bucket; what is joined to them and grouped after that keeps the same key.
+    """
+    rows = _keyed(seq, subject, bucket).select("_k", F.col(state).alias("_state"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    by = [f"_o{i}" for i in range(len(order))]
+    inner, outer = Window.partitionBy("_k").orderBy(*by), Window.partitionBy("_k.s").orderBy("_k.b")
+    last = rows.groupBy("_k").agg(F.max_by(F.struct(F.col("_state").alias("s")), F.struct(*by)).alias("_last"))
+    rows = rows.join(last.select("_k", F.lag("_last").over(outer).alias("_prev")), "_k")
+    goes_on = F.when(F.row_number().over(inner) > 1, F.lag("_state").over(inner).eqNullSafe(F.col("_state"))).otherwise(F.col("_prev").isNotNull() & F.col("_prev.s").eqNullSafe(F.col("_state")))
     local = rows.withColumn("_begun", F.when(goes_on, 0).otherwise(1)).withColumn("_local", F.sum("_begun").over(inner.rowsBetween(Window.unboundedPreceding, 0)))
-    short = local.groupBy(subject, "_b", "_local", state).agg(F.count("*").alias("_n"))
-    begun = short.groupBy(subject, "_b").agg(F.max("_local").alias("_begun"))
-    earlier = begun.select(subject, "_b", F.coalesce(F.sum("_begun").over(outer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"))
-    placed = _of_bucket(short, earlier, subject).withColumn("run", F.col("_earlier") + F.col("_local"))
+    short = local.groupBy("_k", "_local", "_state").agg(F.count("*").alias("_n"))
+    begun = short.groupBy("_k").agg(F.max("_local").alias("_begun"))
+    earlier = begun.select("_k", F.coalesce(F.sum("_begun").over(outer.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"))
+    placed = short.join(earlier, "_k").select(F.col("_k.s").alias(subject), (F.col("_earlier") + F.col("_local")).alias("run"), F.col("_state").alias(state), "_n")
     return placed.groupBy(subject, "run", state).agg(F.sum("_n").alias("length"))
 
 
