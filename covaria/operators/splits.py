@@ -8,7 +8,7 @@ are right on average only.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,22 +81,35 @@ def external_mapping(first: DataFrame, second: DataFrame, key: str = "id") -> Da
     return row(a, "ds1_to_ds2", "train").union(row(b, "ds1_to_ds2", "test")).union(row(b, "ds2_to_ds1", "train")).union(row(a, "ds2_to_ds1", "test"))
 
 
-def quantiles(rows: DataFrame, value: str | Column, probs: Sequence[float]) -> list[float | None]:
-    """Exact quantiles with linear interpolation between neighbours, nulls left out; all None where no value is left.
+def quantiles_of(rows: DataFrame, values: Mapping[str, Column], probs: Sequence[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles of several columns with linear interpolation between neighbours, nulls left out; all None where no value is left.
 
-    Rows of a value are counted first and values are placed in ranges, so neither repeated values nor all of them meet in
-    one task; two values for each quantile reach the driver.
+    All columns go through one pass. Rows of a value are counted first and values are placed in ranges, so neither repeated
+    values nor all of them meet in one task; two values for each quantile reach the driver.
     """
-    counted = rows.select((F.col(value) if isinstance(value, str) else value).cast("double").alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
-    placed = running_before(counted, [], ["v"], "n", "below")
-    total = placed.agg(F.sum("n")).first()[0]
-    if not total:
-        return [None] * len(probs)
-    places = [p * (total - 1) for p in probs]
-    wanted = sorted({int(at) for at in places} | {min(int(at) + 1, total - 1) for at in places})
-    holds = F.filter(F.lit(wanted), lambda k: (k >= F.col("below")) & (k < F.col("below") + F.col("n")))
-    at = {k: r["v"] for r in placed.select("v", holds.alias("ks")).where(F.size("ks") > 0).collect() for k in r["ks"]}
-    return [at[int(x)] if x == int(x) else (int(x) + 1 - x) * at[int(x)] + (x - int(x)) * at[int(x) + 1] for x in places]
+    if not values:
+        return {}
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("c"), v.cast("double").alias("v")) for n, v in values.items()])).alias("x")
+    counted = rows.select(each).select("x.c", "x.v").where("v IS NOT NULL").groupBy("c", "v").agg(F.count("*").alias("n"))
+    placed = running_before(counted, ["c"], ["v"], "n", "below")
+    total = {r["c"]: r["n"] for r in placed.groupBy("c").agg(F.sum("n").alias("n")).collect()}
+    places = {c: [p * (n - 1) for p in probs] for c, n in total.items()}
+    wanted = {c: sorted({int(at) for at in ps} | {min(int(at) + 1, total[c] - 1) for at in ps}) for c, ps in places.items()}
+    found: dict[str, dict[int, float]] = {c: {} for c in total}
+    if wanted:
+        ks = F.lit(None).cast("array<long>")
+        for c, k in wanted.items():
+            ks = F.when(F.col("c") == c, F.lit(k).cast("array<long>")).otherwise(ks)
+        holds = F.filter(ks, lambda k: (k >= F.col("below")) & (k < F.col("below") + F.col("n")))
+        for r in placed.select("c", "v", holds.alias("ks")).where(F.size("ks") > 0).collect():
+            found[r["c"]].update(dict.fromkeys(r["ks"], r["v"]))
+    at = lambda f, x: f[int(x)] if x == int(x) else (int(x) + 1 - x) * f[int(x)] + (x - int(x)) * f[int(x) + 1]
+    return {c: [at(found[c], x) for x in places[c]] if c in total else [None] * len(probs) for c in values}
+
+
+def quantiles(rows: DataFrame, value: str | Column, probs: Sequence[float]) -> list[float | None]:
+    """Exact quantiles of one column, as quantiles_of."""
+    return quantiles_of(rows, {"v": F.col(value) if isinstance(value, str) else value}, probs)["v"]
 
 
 def quantile_edges(rows: DataFrame, value: str, parts: int) -> list[float]:

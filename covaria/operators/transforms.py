@@ -48,9 +48,10 @@ class Design:
 def fit_design(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str], most_levels: int = 10_000) -> Design:
     """Medians (0 where all are null) and sorted levels, null as a level of its own, of training rows only.
 
-    Each median is found by ranges, levels by one aggregation a column; raises beyond `most_levels`, which bounds the design.
+    All medians are found by ranges in one pass, levels by one aggregation a column; raises beyond `most_levels`, which bounds
+    the design.
     """
-    found = {c: splits.quantiles(train, F.col(c).try_cast("double"), [0.5])[0] for c in numeric}
+    found = {c: q[0] for c, q in splits.quantiles_of(train, {c: F.col(c).try_cast("double") for c in numeric}, [0.5]).items()}
     levels = {}
     for c in categorical:
         got = train.select(F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("v")).distinct().limit(most_levels + 1).collect()

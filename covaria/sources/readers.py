@@ -163,7 +163,7 @@ def with_paths(subjects: DataFrame, template: str, key: str = "id", name: str =
 def load_covariates(table: DataFrame, ids: DataFrame, columns: Sequence[str], key: str = "id") -> DataFrame:
     """Numeric covariates of the ids in one row each, nulls as the median over all requested ids."""
     joined = cohort.reindex(ids, table.select(key, *[F.col(c).try_cast("double").alias(c) for c in columns]), key)
-    medians = {c: splits.quantiles(joined, c, [0.5])[0] for c in columns}
+    medians = {c: q[0] for c, q in splits.quantiles_of(joined, {c: F.col(c) for c in columns}, [0.5]).items()}
     return joined.select(key, *[F.coalesce(F.col(c), F.lit(medians[c])).alias(c) for c in columns])
 
 
