@@ -274,3 +274,23 @@ def prediction_suite(by: dict[str, Stats], groups: dict[str, Sequence[int]], alp
         fit = models.ridge(mine["train"], mine["val"], alphas)
         out += [{"target": name, "dataset": d, "alpha": float(fit.chosen), **regression_summary(s, fit.b, fit.intercept)} for d, s in mine.items() if d not in ("train", "val")]
     return out
+
+
+def estimator_ranks(s: Stats, ratio: float, alphas: Sequence[float] = (1.0, 10.0, 100.0), steps: int = 2000) -> list[dict]:
+    """(estimator, effective_rank, max_gap, gap_after): does a map's rank come from its estimator? Nuclear norm, ridge and least squares.
+
+    All are fitted to the same centred sums; max_gap is the largest fall of log10 singular values and gap_after the place (from 0)
+    that it follows. Singular values at or below 1e-300 count as that.
+    """
+    cxx, cxy, _ = s.centered()
+    centred = Stats(s.n, s.sx * 0, s.sy * 0, cxx, cxy, np.zeros((len(s.sy), len(s.sy))))
+    maps = {f"nuclear_norm_{ratio:g}": models.nuclear_norm(centred, centred, [ratio], steps).b}
+    maps |= {f"ridge_{a:g}": np.linalg.solve(cxx + a * np.eye(len(cxx)), cxy) for a in alphas}
+    maps["ols"] = np.linalg.pinv(cxx, hermitian=True) @ cxy
+    out = []
+    for name, b in maps.items():
+        d = np.linalg.svd(b, compute_uv=False)
+        gaps = -np.diff(np.log10(np.maximum(d, 1e-300)))
+        at = int(np.argmax(gaps)) if len(gaps) else 0
+        out.append({"estimator": name, "effective_rank": geometry.effective_rank(d), "max_gap": float(gaps[at]) if len(gaps) else 0.0, "gap_after": at})
+    return out

@@ -219,3 +219,51 @@ def fourier_features(rows: DataFrame, x: str, d: int, bandwidth: float, seed: in
     rng = np.random.default_rng(seed)
     w, b = rng.standard_normal((p, d)) / bandwidth, rng.uniform(0, 2 * np.pi, d)
     return linear_map(rows, x, w, b, name).withColumn(name, F.transform(name, lambda v: F.cos(v) * float((2 / d) ** 0.5)))
+
+
+# Bandwidths by the median one, penalties and soft thresholds of the kernel spectral grid.
+BANDWIDTHS = (0.5, 1.0, 2.0)
+KERNEL_ALPHAS = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0)
+THRESHOLDS = (0.0, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.5)
+
+
+def soft_thresholded(val: Stats, train: Stats, b: np.ndarray, ratios: Sequence[float] = THRESHOLDS) -> Fit:
+    """A map with its singular values less a share of the largest; the best share on validation rows."""
+    top = np.linalg.norm(b, 2)
+    return _best(val, ((r, c, _with_intercept(train, c)) for r, c in ((r, soft_threshold(b, r * top)) for r in ratios)))
+
+
+@dataclass
+class KernelFit:
+    """A map on random Fourier features, the bandwidth by the median one, the ridge penalty, and the shrinkage chosen."""
+
+    fit: Fit
+    bandwidth: float
+    alpha: float
+    shrinkage: float
+
+
+def kernel_spectral(by: dict[float, tuple[Stats, Stats]], alphas: Sequence[float] = KERNEL_ALPHAS, multipliers: Sequence[float] = MULTIPLIERS) -> dict[str, KernelFit]:
+    """The best maps on Fourier features by validation R2: `shrunk` for white noise and `soft` thresholded.
+
+    by: training and validation statistics of the features at each bandwidth. Shrinkage is searched over bandwidths, penalties and
+    multiples of the noise level together; soft thresholds at the bandwidth and penalty that are best without any.
+    """
+    best: dict[str, KernelFit] = {}
+
+    def offer(name: str, found: KernelFit) -> None:
+        if name not in best or found.fit.score > best[name].fit.score:
+            best[name] = found
+
+    for width, (train, val) in by.items():
+        for alpha in alphas:
+            plain = ridge(train, val, [alpha])
+            offer("plain", KernelFit(plain, width, alpha, 0.0))
+            tried = _best(val, ((m, s, _with_intercept(train, s)) for m, s in ((m, shrunk(plain.b, m)) for m in multipliers)))
+            offer("shrunk", KernelFit(tried, width, alpha, float(tried.chosen)))
+    if "plain" in best:
+        p = best["plain"]
+        train, val = by[p.bandwidth]
+        soft = soft_thresholded(val, train, p.fit.b)
+        best["soft"] = KernelFit(soft, p.bandwidth, p.alpha, float(soft.chosen))
+    return best

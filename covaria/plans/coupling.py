@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from covaria.operators import analyses, blocks, classify, dimensions, dynamics, geometry, models, moments, retention, spd, splits, tangent
+from covaria.operators import analyses, blocks, classify, dimensions, dynamics, geometry, graphs, models, moments, retention, spd, splits, tangent
 from covaria.plans.common import LONG, rounded, vectors
 from covaria.plans.dynamics import ORDER, STATES, sequence
 from covaria.plans.modelling import TEST, TIERS, TRAIN, VAL, parts
@@ -230,3 +230,24 @@ def mode_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions of the three leading modes of x'y along a gradient of x's features, with intervals over 200 bootstraps."""
     gradient = np.linspace(-1, 1, 32)
     return rounded(analyses.position_intervals(vectors(spark, sf_dir), "id", "x", "y", gradient))
+
+
+@query()
+def kernel_spectral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps on 500 random Fourier features, shrunk for white noise or soft thresholded, over three bandwidths: R2 by split."""
+    rows = vectors(spark, sf_dir).select("id", "x", "y", _split().alias("part"))
+    width = graphs.bandwidth(rows.where("part = 'train'"), "id", "x", 2000).first()["bandwidth"]
+    by = {m: moments.stats_by(models.fourier_features(rows, "x", 500, m * width), "phi", "y", ["part"]) for m in models.BANDWIDTHS}
+    found = models.kernel_spectral({m: (s["train",], s["val",]) for m, s in by.items()})
+    told = []
+    for name, k in found.items():
+        rank = geometry.effective_rank(np.linalg.svd(k.fit.b, compute_uv=False))
+        told += [(name, k.bandwidth, k.alpha, k.shrinkage, part, models.r2(s, k.fit.b, k.fit.intercept), rank) for (part,), s in by[k.bandwidth].items()]
+    return rounded(spark.createDataFrame(told, "method string, bandwidth double, alpha double, shrinkage double, dataset string, r2 double, effective_rank long"))
+
+
+@query()
+def estimator_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks and largest gaps of maps by nuclear norm, ridge and least squares on the same sums."""
+    told = [tuple(r.values()) for r in analyses.estimator_ranks(parts(spark, sf_dir)[0], 0.3)]
+    return rounded(spark.createDataFrame(told, "estimator string, effective_rank long, max_gap double, gap_after long"))

@@ -148,6 +148,34 @@ def test_prediction_targets(spark):
     assert np.isclose(y[groups["transition_matrix"]].sum(), 0) and sorted(groups["slow_bundle"] + groups["fast_bundle"]) == list(range(12))
 
 
+def test_kernel_spectral(by):
+    """Every point of both grids against plain products; shrinkage is searched with the rest, thresholds at the best ridge."""
+    train, val = (analyses.plus([v for (s, _), v in by.items() if s == name]) for name in ("train", "val"))
+    got = models.kernel_spectral({1.0: (train, val), 2.0: (val, train)}, (0.1, 10.0), (0.5, 1.0))
+    plain, shrunk = {}, {}
+    for w, (t, v) in {1.0: (train, val), 2.0: (val, train)}.items():
+        cxx, cxy, _ = t.centered()
+        for a in (0.1, 10.0):
+            b = np.linalg.solve(cxx + a * np.eye(P), cxy)
+            plain[w, a] = models.r2(v, b, (t.sy - t.sx @ b) / t.n), b
+            for m in (0.5, 1.0):
+                c = models.shrunk(b, m)
+                shrunk[w, a, m] = models.r2(v, c, (t.sy - t.sx @ c) / t.n)
+    w, a = max(plain, key=lambda k: plain[k][0])
+    assert (got["plain"].bandwidth, got["plain"].alpha) == (w, a) and np.isclose(got["plain"].fit.score, plain[w, a][0])
+    assert np.isclose(got["shrunk"].fit.score, max(shrunk.values())) and np.isclose(shrunk[got["shrunk"].bandwidth, got["shrunk"].alpha, got["shrunk"].shrinkage], max(shrunk.values()))
+    assert got["soft"].fit.score >= got["plain"].fit.score - 1e-12 and got["soft"].shrinkage in models.THRESHOLDS
+
+
+def test_estimator_ranks(by):
+    s = analyses.plus([v for (split, _), v in by.items() if split == "train"])
+    got = {r["estimator"]: r for r in analyses.estimator_ranks(s, 0.3)}
+    assert set(got) == {"nuclear_norm_0.3", "ridge_1", "ridge_10", "ridge_100", "ols"} and got["ols"]["effective_rank"] == P
+    cxx, cxy, _ = s.centered()
+    d = np.linalg.svd(np.linalg.solve(cxx, cxy), compute_uv=False)
+    assert np.isclose(got["ols"]["max_gap"], np.max(-np.diff(np.log10(d)))) and got["nuclear_norm_0.3"]["effective_rank"] < P
+
+
 def test_mapped_blocks_keep_nulls(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [3.0, 4.0])], "id int, x array<double>").coalesce(1)
     got = {r["id"]: r["z"] for r in moments.mapped(df, "x", lambda b: b * 2, "z").collect()}
