@@ -22,10 +22,7 @@ TRUSTED = 50_000
 
 
 def _grams(words: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of words and word pairs, and the text each belongs to; pairs don't cross texts.
-
-    A word is hashed with a mark for its shape, so one vocabulary-wide hash serves every language.
-    """
+    """Buckets of words and word pairs, and the text each belongs to; pairs don't cross texts."""
     coded = words.dictionary_encode()
     h = hash_words(coded.dictionary)[coded.indices.to_numpy()]
     text = np.repeat(np.arange(len(counts)), counts)
@@ -48,7 +45,8 @@ def train(docs: DataFrame, trusted: np.ndarray) -> np.ndarray:
 
     docs: doc_id and text, the raw corpus, of which all rows are counted; trusted: sorted ids of the target, of bounded
     number, so that they are broadcast and no text is shuffled. Counts have one row per bucket at most, which bounds what
-    comes back.
+    comes back. Null texts count as empty, repeated rows as often as they are there, and a null id is in no target; with an
+    empty table or target all buckets of that multinomial are equally likely. Other columns aren't read.
     """
     known = docs.sparkSession.sparkContext.broadcast(trusted)
 
@@ -115,7 +113,7 @@ def measure(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and llr.
 
     llr is the mean log ratio over the text's words and word pairs; a text without words has 0. Null text counts as
-    empty. Repeated rows get equal results.
+    empty. Repeated rows get equal results; an empty table gives no rows; other columns aren't read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(ratios)
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double"
@@ -144,7 +142,7 @@ def threshold(measured: DataFrame, labels: DataFrame, keep_weight: float = 10.0)
     `keep_weight` times the share of good ones, over all labelled documents.
 
     Labelled rows are counted by label and bin, so a bounded histogram comes back. Among equal edges the lowest wins.
-    Without labels of both kinds it is -SPAN, which keeps all.
+    Without labels of both kinds, so with an empty table too, it is -SPAN, which keeps all.
     """
     bin_of = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("llr") + SPAN) / (2 * SPAN) * BINS))).cast("int")
     known = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -159,6 +157,9 @@ def threshold(measured: DataFrame, labels: DataFrame, keep_weight: float = 10.0)
 
 
 def judge(measured: DataFrame, least: float) -> DataFrame:
-    """Add base_failed (under 20 words, or over 30% of them in repeated windows) and kept (llr at least `least`)."""
+    """Add base_failed (under 20 words, or over 30% of them in repeated windows) and kept (llr at least `least`).
+
+    A text whose llr ties with the threshold is kept. Rows and other columns stay as they are; an empty table stays empty.
+    """
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return measured.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= F.lit(least)))
