@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from covaria.operators.splits import running_before
+
 # Two-sided 95% points of Student's t by degrees of freedom.
 T_POINTS = {
     1: 12.706, 2: 4.303, 3: 3.182, 4: 2.776, 5: 2.571, 6: 2.447, 7: 2.365, 8: 2.306, 9: 2.262, 10: 2.228,
@@ -57,6 +59,19 @@ def paired_t(rows: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
     return per.withColumn("t", F.when((F.col("n") > 1) & (F.col("sd_diff") > 0), F.col("mean_diff") / (F.col("sd_diff") / F.sqrt("n"))))
 
 
+def early_stop(tests: DataFrame, keys: Sequence[str], order: Sequence[str], not_significant: str, stop: int = 3) -> DataFrame:
+    """(keys, tested): how many tests of each group run, in an order that tells them apart, until `stop` in a row aren't significant.
+
+    Tests are numbered over ranges; one that isn't significant counts for its own place and the next stop - 1, and the first
+    place with `stop` of them ends the group. So a group with most of the tests is many tasks. Null results count as significant;
+    keys aren't null.
+    """
+    numbered = running_before(tests.withColumn("_one", F.lit(1)), keys, order, "_one", "_at")
+    ends = numbered.where(F.col(not_significant)).select(*keys, F.explode(F.sequence(F.col("_at"), F.col("_at") + (stop - 1))).alias("_p"))
+    first = ends.groupBy(*keys, "_p").count().where(F.col("count") == stop).groupBy(*keys).agg(F.min("_p").alias("_end"))
+    return numbered.join(first, list(keys), "left").where(F.col("_end").isNull() | (F.col("_at") <= F.col("_end"))).groupBy(*keys).agg(F.count("*").alias("tested"))
+
+
 def bca_interval(values: Sequence[float], replicates: int = 2000, seed: int = 42, level: float = 0.95) -> tuple[float, float]:
     """Bias-corrected, accelerated interval of the mean of a few values (one per seed)."""
     x = np.asarray(values, dtype=float)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from covaria.functions import vectors as V
-from covaria.operators import atlas, blocks, classify, geometry, metrics, models, moments, preprocess, splits
+from covaria.operators import atlas, blocks, classify, geometry, metrics, models, moments, preprocess, results, splits
 from covaria.plans.common import LONG, rounded, table, vectors
 from covaria.plans.modelling import parts
 from covaria.plans.registry import query
@@ -124,11 +124,8 @@ def best_of_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT *, coalesce(sum(third::INT) OVER (PARTITION BY g ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped FROM r) SELECT g::BIGINT AS g, count(*) AS tested FROM s WHERE stopped = 0 GROUP BY g""")
 def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many ordered tests run until three in a row aren't significant."""
-    w = Window.partitionBy("g").orderBy("k")
     p = table(spark, sf_dir, "customer").select((F.col("c_nationkey") % 5).cast("long").alias("g"), F.col("c_custkey").alias("k"), (F.col("c_acctbal") < 1000).alias("ns"))
-    third = F.col("ns") & F.lag("ns", 1, False).over(w) & F.lag("ns", 2, False).over(w)
-    stopped = F.coalesce(F.sum(F.col("third").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return p.withColumn("third", third).withColumn("stopped", stopped).where("stopped = 0").groupBy("g").agg(F.count("*").alias("tested"))
+    return results.early_stop(p, ["g"], ["k"], "ns")
 
 
 @query()
