@@ -26,6 +26,8 @@ END, START = U64(0xE7037ED1A0B428DB), U64(0xA0761D6478BD642F)
 WORD_KIND, PAIR_KIND, BACK_KIND = 1, 2, 3
 #: Bases of the levels of counts and of back-off weights, bits and hashes of an item in the filter.
 BASE, BACK_BASE, ITEM_BITS, HASHES = 1.5, 1.2, 12, 8
+#: Bits of a block: an item's are in two 64-bit words of one block, so that a probe reads one line of memory.
+BLOCK_BITS = 512
 MOST_LEVELS = 100
 #: What is taken off the count of a pair and left to back-off.
 DISCOUNT = 0.75
@@ -176,11 +178,11 @@ def _part(key: np.ndarray, parts: int) -> np.ndarray:
 
 def _shape(items: int, part_bits: int) -> tuple[int, int]:
     """Number of parts and bits of each."""
-    bits = max(64, items * ITEM_BITS)
+    bits = max(BLOCK_BITS, items * ITEM_BITS)
     while bits > MANY_PARTS * part_bits and part_bits < MOST_PART_BITS:
         part_bits *= 2
     parts = math.ceil(bits / part_bits)
-    return parts, math.ceil(bits / parts / 64) * 64
+    return parts, math.ceil(bits / parts / BLOCK_BITS) * BLOCK_BITS
 
 
 @dataclass
@@ -192,14 +194,16 @@ class Filter:
     data: np.ndarray
 
     def _has(self, key: np.ndarray, base: np.ndarray, level: int, kind: int) -> np.ndarray:
-        """Places of the keys that the filter holds at a level; each hash is looked up for those that passed the ones before."""
-        at = np.arange(len(key))
-        with np.errstate(over="ignore"):
-            h = mix64(key ^ U64((kind * 0x9E3779B97F4A7C15 + level * 0xD1B54A32D192ED03) & (2**64 - 1)))
-            step = mix64(h + U64(0x8BB84B93962EACC9)) | U64(1)
-            for i in range(HASHES):
-                p = base[at] + (h[at] + U64(i) * step[at]) % U64(self.bits)
-                at = at[(self.data[(p >> U64(3)).astype(np.int64)] >> (p & U64(7)).astype(np.uint8)) & 1 == 1]
+        """Places of the keys that the filter holds at a level; the second word is looked up for those that passed the first."""
+        words = self.data.view("<u8")
+        at, h, base = np.arange(len(key)), _hashed(key, level, kind), base >> U64(6)
+        for half in (0, 1):
+            word, *places = _places(h, half, self.bits)
+            mask = np.zeros(len(h), dtype=U64)
+            for p in places:
+                mask |= U64(1) << p
+            passed = (words[(base + word).astype(np.int64)] & mask) == mask
+            at, h, base = at[passed], h[passed], base[passed]
         return at
 
     def levels(self, key: np.ndarray, kind: int) -> np.ndarray:
@@ -215,12 +219,18 @@ class Filter:
         return out
 
 
-def _positions(key: np.ndarray, level: int, kind: int, bits: int) -> Iterator[np.ndarray]:
-    with np.errstate(over="ignore"):
-        h = mix64(key ^ U64((kind * 0x9E3779B97F4A7C15 + level * 0xD1B54A32D192ED03) & (2**64 - 1)))
-        step = mix64(h + U64(0x8BB84B93962EACC9)) | U64(1)
-        for i in range(HASHES):
-            yield (h + U64(i) * step) % U64(bits)
+def _hashed(key: np.ndarray, level: int, kind: int) -> np.ndarray:
+    return mix64(key ^ U64((kind * 0x9E3779B97F4A7C15 + level * 0xD1B54A32D192ED03) & (2**64 - 1)))
+
+
+def _places(h: np.ndarray, half: int, bits: int) -> list[np.ndarray]:
+    """One of the two words of a part that an item lies in, and the places of its bits there."""
+    block = ((h >> U64(32)) * U64(bits // BLOCK_BITS)) >> U64(32)
+    word = h & U64(7)
+    if half:  # another word of the block
+        word = word ^ (U64(1) + ((h >> U64(3)) & U64(0xFFFF)) % U64(7))
+    g = mix64(h + U64(0x8BB84B93962EACC9))
+    return [block * U64(BLOCK_BITS // 64) + word, *((g >> U64(6 * (i + half * HASHES // 2))) & U64(63) for i in range(HASHES // 2))]
 
 
 def _dealt(keyed: DataFrame, parts: int) -> DataFrame:
@@ -239,8 +249,10 @@ def build(entries: DataFrame, items: int, part_bits: int = PART_BITS) -> DataFra
             for k in np.unique(kind):
                 mine, q = key[kind == k], level[kind == k]
                 for now in range(1, int(q.max()) + 1):
-                    for at in _positions(mine[q >= now], now, int(k), bits):
-                        data[at] = True
+                    h = _hashed(mine[q >= now], now, int(k))
+                    for word, *places in (_places(h, half, bits) for half in (0, 1)):
+                        for p in places:
+                            data[(word << U64(6)) + p] = True
             own = b.column("part")[0].as_py() if b.num_rows else own
         if own is not None:
             yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([np.packbits(data, bitorder="little").tobytes()], pa.binary())], names=["part", "data"])
