@@ -209,8 +209,9 @@ def check_groups(spark, df, s):
         values = np.array([n["overlap"] for n in null.where(F.col("group") == r["group"]).collect()])
         assert r["null_sd"] == pytest.approx(values.std()) and r["margin"] == pytest.approx(r["observed"] - values.mean()) and r["p"] == pytest.approx(((values >= r["observed"]).sum() + 1) / 9)
     boot = inference.group_bootstrap(df.where("split = 'test'"), "id", "x", "y", fitted, groups, 2, 20)
-    drawn = splits.multiplicities(df.where("split = 'test'"), "id", 20).where("rep = 3").collect()
-    at = np.array([i for r in drawn for i in [[q["id"] for q in rows].index(r["id"])] * r["times"]])
+    u = F.concat("x", "y")
+    hashes = df.where("split = 'test'").orderBy("id").select(F.xxhash64(F.col("id").cast("string"), u, u).alias("h")).collect()
+    at = np.repeat(np.arange(len(rows)), inference.drawn_times(np.array([r["h"] for r in hashes]), 3, 42).astype(int))
     r2 = np.mean([1 - ((y[at, j] - told[at, j]) ** 2).sum() / ((y[at, j] - y[at, j].mean()) ** 2).sum() for j in groups["a"]])
     assert boot.where("rep = 3 AND group = 'a'").first()["r2"] == pytest.approx(r2, abs=1e-6)
     for r in inference.basic_intervals(boot, seen, ["overlap", "r2"]).collect():
