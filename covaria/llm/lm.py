@@ -334,7 +334,7 @@ def score(docs: DataFrame, held: F.Column | None = None, filter_bytes: int = FIL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, (hot, hot_n) = sent.value
-        for part in slices(batches, limit=SLICE_BYTES // 2):
+        for part in slices(batches, limit=SLICE_BYTES * 3 // 4):
             t, many = Tokens.of(part.column("text")), part.num_rows
             total = np.bincount(t.text, minlength=many)
             at = np.minimum(np.searchsorted(hot, t.word), max(0, len(hot) - 1))
