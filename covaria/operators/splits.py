@@ -8,6 +8,7 @@ are right on average only.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -188,13 +189,17 @@ def multiplicities(rows: DataFrame, key: str, replicates: int, seed: int = 42, *
     """Poisson(1) bootstrap: (key, kept columns, rep, times) for times > 0.
 
     A draw depends on key, seed and replicate alone, so rows carry their columns along and nothing is joined or gathered;
-    rows with equal keys are drawn together.
+    rows with equal keys are drawn together. The generator makes each digest once, and its first 12 hex digits are compared as
+    text with those of the distribution function's values, where a number would be made anew for every comparison.
     """
-    reps = rows.select(key, *keep, F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    u = F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}|"), F.col("rep").cast("string"))), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    cumulative, term, times = 0.0, 0.36787944117144233, F.lit(0)
+    digest = lambda rep: F.md5(F.concat(F.col(key).cast("string"), F.lit(f"|{seed}|"), rep.cast("string")))
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda rep: F.struct(rep.alias("rep"), digest(rep).alias("_d")))
+    cumulative, term, reached = 0.0, 0.36787944117144233, []
     for k in range(12):
         cumulative += term
-        times = times + F.when(u >= cumulative, 1).otherwise(0)
+        reached.append(f"{math.ceil(cumulative * (1 << 48)):012x}")
         term /= k + 1
-    return reps.withColumn("times", times.cast("long")).where("times > 0")
+    times = F.lit(12)
+    for k in range(11, 0, -1):
+        times = F.when(F.col("_d") < reached[k], k).otherwise(times)
+    return rows.select(key, *keep, F.inline(drawn)).where(F.col("_d") >= reached[0]).select(key, *keep, "rep", times.cast("long").alias("times"))
