@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covaria.operators.moments import Stats, linear_map
+from covaria.operators.moments import Features, Stats, linear_map, mapped
 
 # Default grids.
 ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)
@@ -213,12 +213,22 @@ def component_r2(s: Stats, fitted: Fit, mean: np.ndarray, axes: np.ndarray) -> n
     return np.nan_to_num(np.array(out), nan=0.0, posinf=0.0, neginf=0.0)
 
 
-def fourier_features(rows: DataFrame, x: str, d: int, bandwidth: float, seed: int = 0, name: str = "phi") -> DataFrame:
-    """Add sqrt(2 / d) cos(xW + b), random Fourier features of a Gaussian kernel; W and b come from the seed."""
+def fourier(rows: DataFrame, x: str, d: int, bandwidth: float, seed: int = 0) -> Features:
+    """sqrt(2 / d) cos(xW + b), random Fourier features of a Gaussian kernel; W and b come from the seed and are broadcast."""
     p = rows.select(F.size(x).alias("p")).first()["p"]
     rng = np.random.default_rng(seed)
-    w, b = rng.standard_normal((p, d)) / bandwidth, rng.uniform(0, 2 * np.pi, d)
-    return linear_map(rows, x, w, b, name).withColumn(name, F.transform(name, lambda v: F.cos(v) * float((2 / d) ** 0.5)))
+    sent = rows.sparkSession.sparkContext.broadcast((rng.standard_normal((p, d)) / bandwidth, rng.uniform(0, 2 * np.pi, d)))
+
+    def f(block: np.ndarray) -> np.ndarray:
+        w, b = sent.value
+        return np.cos(block @ w + b) * (2 / d) ** 0.5
+
+    return Features(p, d, f)
+
+
+def fourier_features(rows: DataFrame, x: str, d: int, bandwidth: float, seed: int = 0, name: str = "phi") -> DataFrame:
+    """Add random Fourier features; where only their sums are asked for, stats_by makes them as it multiplies."""
+    return mapped(rows, x, fourier(rows, x, d, bandwidth, seed).f, name)
 
 
 # Bandwidths by the median one, penalties and soft thresholds of the kernel spectral grid.

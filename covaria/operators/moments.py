@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 
 #: Bytes of sums that a task holds before it passes them on.
 HELD = 256 << 20
+#: Bytes of a block that a task maps or multiplies at once, and rows of which it learns how wide a block is.
+AT_ONCE, FIRST = 4 << 20, 64
 
 
 def long(rows: DataFrame, vector: str, *keep: str) -> DataFrame:
@@ -38,23 +40,40 @@ def column_stats(rows: DataFrame, vector: str, train: str | None = None) -> Data
 
 def block_of(batch: pa.RecordBatch, name: str) -> np.ndarray:
     column = batch.column(name)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
+
+
+class Pieces:
+    """Cuts batches so that blocks of `width` numbers a row, which is set once it is known, stay within AT_ONCE bytes."""
+
+    def __init__(self) -> None:
+        self.width = 0
+
+    def of(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        start = 0
+        while start < batch.num_rows:
+            rows = max(1, AT_ONCE // (8 * self.width)) if self.width else FIRST
+            yield batch.slice(start, rows)
+            start += rows
 
 
 def mapped(rows: DataFrame, x: str, f: Callable[..., np.ndarray], name: str, *held: np.ndarray | float) -> DataFrame:
-    """Add or replace `name`, f(block x, *held); each task maps its batches as matrices. A null block gives null.
+    """Add or replace `name`, f(block x, *held); each task maps pieces of its batches as matrices. A null block gives null.
 
-    `held` is broadcast; batches without a block that isn't null aren't passed to f.
+    f maps each row by itself. `held` is broadcast; pieces without a block that isn't null aren't passed to f.
     """
     sent = rows.sparkSession.sparkContext.broadcast(held)
     others = [c for c in rows.schema.fields if c.name.lower() != name.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        pieces = Pieces()
+        for batch in (piece for b in batches for piece in pieces.of(b)):
             column = batch.column(x)
             there = column.is_valid().to_numpy(zero_copy_only=False)
             n = int(there.sum())
-            values = f(column.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1), *sent.value) if n else np.empty((0, 0))
+            block = column.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(n, -1) if n else np.empty((0, 0))
+            values = f(block, *sent.value) if n else block
+            pieces.width = max(pieces.width, block.shape[1], values.shape[1])
             ends = np.concatenate(([0], np.cumsum(there * values.shape[1]))).astype(np.int32)
             out = pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~there, False)), pa.array(values.ravel()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c.name) for c in others], out], names=[*[c.name for c in others], name])
@@ -166,20 +185,22 @@ def summed(parts: DataFrame, *keys: str, value: str = "row") -> DataFrame:
     return parts.select(*keys, value).repartition(*keys).mapInArrow(run, schema)
 
 
-def _products(rows: DataFrame, x: str, y: str, keys: Sequence[str], weight: str | None) -> DataFrame:
-    """(keys, i, row): sums over rows of x_i times y (by weight, if given); where x is y, row begins at i."""
+def _products(rows: DataFrame, x: str, y: str, keys: Sequence[str], weight: str | None, turn: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(keys, i, row): sums over rows of x_i times y (by weight, if given); where x is y, row begins at i.
+
+    turn: maps rows of block x (which is y then) before they are multiplied.
+    """
     columns = list(dict.fromkeys([*keys, x, y, *([weight] if weight else [])]))
     schema = T.StructType([*rows.select(*keys).schema.fields, T.StructField("i", T.IntegerType()), T.StructField("row", T.ArrayType(T.DoubleType()))])
     arrow = to_arrow(schema)
     cut = lambda key, m: [((*key, i), r[i:] if x == y else r) for i, r in enumerate(m)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = Sums(arrow)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            left = block_of(b, x)
+        sums, pieces = Sums(arrow), Pieces()
+        for b in (piece for batch in batches for piece in pieces.of(batch)):
+            left = turn(block_of(b, x)) if turn else block_of(b, x)
             right = left if x == y else block_of(b, y)
+            pieces.width = max(left.shape[1], right.shape[1])
             if weight:
                 right = right * b.column(weight).to_numpy(zero_copy_only=False).astype(np.float64)[:, None]
             for key, at in grouped(b, keys):
@@ -251,11 +272,27 @@ def stats(rows: DataFrame, x: str, y: str, weight: str | None = None) -> Stats:
     return next(iter(stats_by(rows, x, y, weight=weight).values()), None) or unpack(np.zeros((1, 1)), 0)
 
 
-def triangles(rows: DataFrame, x: str, y: str, keys: Sequence[str] = (), weight: str | None = None) -> DataFrame:
-    """(keys, p, i, row): the upper triangle of the block [1, x, y] times itself for each group of keys, p features being x's."""
+@dataclass
+class Features:
+    """`f` maps rows of p numbers to rows of d numbers."""
+
+    p: int
+    d: int
+    f: Callable[[np.ndarray], np.ndarray]
+
+    def turn(self, u: np.ndarray) -> np.ndarray:
+        """[1, x, y] with the features of x in its place."""
+        return np.hstack([u[:, :1], self.f(u[:, 1 : 1 + self.p]), u[:, 1 + self.p :]])
+
+
+def triangles(rows: DataFrame, x: str, y: str, keys: Sequence[str] = (), weight: str | None = None, features: Features | None = None) -> DataFrame:
+    """(keys, p, i, row): the upper triangle of the block [1, x, y] times itself for each group of keys, p features being x's.
+
+    features: taken of x in the task that multiplies them, a piece at a time, so that rows are sent as narrow as they are.
+    """
     block = F.concat(F.array(F.lit(1.0)), F.col(x).cast("array<double>"), F.col(y).cast("array<double>"))
-    part = rows.select(*keys, F.size(x).alias("p"), block.alias("_u"), *([F.col(weight).cast("double").alias("_w")] if weight else []))
-    return _products(part, "_u", "_u", [*keys, "p"], "_w" if weight else None)
+    part = rows.select(*keys, (F.lit(features.d) if features else F.size(x)).alias("p"), block.alias("_u"), *([F.col(weight).cast("double").alias("_w")] if weight else []))
+    return _products(part, "_u", "_u", [*keys, "p"], "_w" if weight else None, features.turn if features else None)
 
 
 def assemble(i: Sequence[int], rows: Sequence[np.ndarray], p: int) -> Stats:
@@ -267,9 +304,9 @@ def assemble(i: Sequence[int], rows: Sequence[np.ndarray], p: int) -> Stats:
     return unpack(m + np.triu(m, 1).T, p)
 
 
-def stats_by(rows: DataFrame, x: str, y: str, keys: Sequence[str] = (), weight: str | None = None) -> dict[tuple, Stats]:
-    """Statistics of each group of keys on the driver (splits, folds: few); replicates are solved in tasks instead."""
-    found = triangles(rows, x, y, keys, weight).toArrow()
+def stats_by(rows: DataFrame, x: str, y: str, keys: Sequence[str] = (), weight: str | None = None, features: Features | None = None) -> dict[tuple, Stats]:
+    """Statistics of each group of keys on the driver (splits, folds: few), of x or of features of it; replicates are solved in tasks instead."""
+    found = triangles(rows, x, y, keys, weight, features).toArrow()
     groups: dict[tuple, list[int]] = {}
     for at, key in enumerate(zip(*(found[k].to_pylist() for k in (*keys, "p")), strict=True)):
         groups.setdefault(key, []).append(at)

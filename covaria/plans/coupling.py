@@ -237,7 +237,7 @@ def kernel_spectral(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maps on 500 random Fourier features, shrunk for white noise or soft thresholded, over three bandwidths: R2 by split."""
     rows = vectors(spark, sf_dir).select("id", "x", "y", _split().alias("part"))
     width = graphs.bandwidth(rows.where("part = 'train'"), "id", "x", 2000).first()["bandwidth"]
-    by = {m: moments.stats_by(models.fourier_features(rows, "x", 500, m * width), "phi", "y", ["part"]) for m in models.BANDWIDTHS}
+    by = {m: moments.stats_by(rows, "x", "y", ["part"], features=models.fourier(rows, "x", 500, m * width)) for m in models.BANDWIDTHS}
     found = models.kernel_spectral({m: (s["train",], s["val",]) for m, s in by.items()})
     told = []
     for name, k in found.items():

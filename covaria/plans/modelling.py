@@ -250,9 +250,8 @@ def rff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ridge on random Fourier features of the median bandwidth."""
     rows = vectors(spark, sf_dir)
     width = graphs.bandwidth(rows, "id", "x", 2000).first()["bandwidth"]
-    phi = models.fourier_features(rows, "x", 500, width)
     split = F.when(F.expr(TRAIN), "train").when(F.expr(VAL), "val").otherwise("test")
-    s = moments.stats_by(phi.withColumn("split", split), "phi", "y", ["split"])
+    s = moments.stats_by(rows.withColumn("split", split), "x", "y", ["split"], features=models.fourier(rows, "x", 500, width))
     fit = models.ridge(s["train",], s["val",])
     return rounded(spark.createDataFrame([(n, models.r2(v, fit.b, fit.intercept)) for (n,), v in s.items()], "dataset string, r2 double"))
 

@@ -1,10 +1,11 @@
-"""What keeps time and memory in proportion to the input: work done once a draw."""
+"""What keeps time in proportion to the input and memory bounded: work done once a draw, blocks cut into pieces."""
 
 import hashlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from covaria.operators import splits
+from covaria.operators import models, moments, splits
 
 
 def test_one_digest_a_draw(spark):
@@ -23,3 +24,37 @@ def test_one_digest_a_draw(spark):
     assert drawn.columns == ["id", "v", "rep", "times"]
     assert {(r["id"], r["v"], r["rep"]): r["times"] for r in drawn.collect()} == {k: n for k, n in want.items() if n}
     assert max(want.values()) > 4
+
+
+def _rows(spark, n):
+    x = F.array(*[F.when(F.col("id") % 50 != 3, F.sin(F.col("id") * (k + 1))) for k in range(3)])
+    return spark.range(0, n, 1, 1).select("id", F.when(F.col("id") % 50 != 3, x).alias("x"), F.array(F.cos("id"), F.col("id") / n).alias("y"), (F.col("id") % 3).alias("part"))
+
+
+def test_mapped_in_pieces(spark):
+    """No more rows are mapped at once than their wide results allow, whatever the batch; order and nulls stay."""
+    n, most = 6000, moments.AT_ONCE // (8 * 700)
+    got = moments.mapped(_rows(spark, n), "x", lambda b: np.hstack([np.full((len(b), 1), float(len(b))), np.repeat(b[:, :1], 699, axis=1)]), "z").select("id", F.get("z", F.lit(0)).alias("m"), F.get("z", F.lit(699)).alias("v")).collect()
+    assert [r["id"] for r in got] == list(range(n)) and max(r["m"] or 0 for r in got) <= most
+    assert all(r["m"] is None and r["v"] is None if r["id"] % 50 == 3 else np.isclose(r["v"], np.sin(r["id"])) for r in got)
+
+
+def test_sums_of_features(spark):
+    """Sums of features made where they are multiplied are those of features sent on, and are made in pieces too."""
+    rows, d = _rows(spark, 6000), 400
+    made = models.fourier(rows.where("x IS NOT NULL"), "x", d, 0.7)
+
+    def f(block):
+        if len(block) > moments.AT_ONCE // (8 * d):
+            raise ValueError(f"{len(block)} rows at once")
+        return made.f(block)
+
+    got = moments.stats_by(rows, "x", "y", ["part"], features=moments.Features(3, d, f))
+    want = moments.stats_by(models.fourier_features(rows.where("x IS NOT NULL"), "x", d, 0.7), "phi", "y", ["part"])
+    i = np.array([k for k in range(6000) if k % 50 != 3 and k % 3 == 1])
+    rng = np.random.default_rng(0)
+    w, b = rng.standard_normal((3, d)) / 0.7, rng.uniform(0, 2 * np.pi, d)
+    phi = np.cos(np.sin(np.outer(i, [1, 2, 3])) @ w + b) * (2 / d) ** 0.5
+    assert got.keys() == want.keys() == {(0,), (1,), (2,)}
+    assert np.allclose(got[1,].xx, phi.T @ phi) and np.allclose(got[1,].xy[:, 0], phi.T @ np.cos(i)) and got[1,].n == len(i)
+    assert all(np.allclose(getattr(got[k], a), getattr(want[k], a)) for k in want for a in ("n", "sx", "sy", "xx", "xy", "yy"))
