@@ -188,7 +188,8 @@ def summed(parts: DataFrame, *keys: str, value: str = "row") -> DataFrame:
 def _products(rows: DataFrame, x: str, y: str, keys: Sequence[str], weight: str | None, turn: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """(keys, i, row): sums over rows of x_i times y (by weight, if given); where x is y, row begins at i.
 
-    turn: maps rows of block x (which is y then) before they are multiplied.
+    turn: maps rows of block y (of both, where x is y) before they are multiplied. Rows with a null block are left out in the tasks,
+    since a filter on a column that Python makes would have it made once more.
     """
     columns = list(dict.fromkeys([*keys, x, y, *([weight] if weight else [])]))
     schema = T.StructType([*rows.select(*keys).schema.fields, T.StructField("i", T.IntegerType()), T.StructField("row", T.ArrayType(T.DoubleType()))])
@@ -198,8 +199,12 @@ def _products(rows: DataFrame, x: str, y: str, keys: Sequence[str], weight: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, pieces = Sums(arrow), Pieces()
         for b in (piece for batch in batches for piece in pieces.of(batch)):
-            left = turn(block_of(b, x)) if turn else block_of(b, x)
-            right = left if x == y else block_of(b, y)
+            if b.column(x).null_count or b.column(y).null_count:
+                b = b.filter(pc.and_(b.column(x).is_valid(), b.column(y).is_valid()))
+                if not b.num_rows:
+                    continue
+            right = turn(block_of(b, y)) if turn else block_of(b, y)
+            left = right if x == y else block_of(b, x)
             pieces.width = max(left.shape[1], right.shape[1])
             if weight:
                 right = right * b.column(weight).to_numpy(zero_copy_only=False).astype(np.float64)[:, None]
@@ -209,8 +214,7 @@ def _products(rows: DataFrame, x: str, y: str, keys: Sequence[str], weight: str
                 yield from sums.batches(cut)
         yield from sums.batches(cut)
 
-    full = rows.select(*columns).where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return summed(full.mapInArrow(run, schema), *keys, "i")
+    return summed(rows.select(*columns).mapInArrow(run, schema), *keys, "i")
 
 
 def product_rows(rows: DataFrame, one: str, y: str, *keys: str) -> DataFrame:
@@ -218,9 +222,9 @@ def product_rows(rows: DataFrame, one: str, y: str, *keys: str) -> DataFrame:
     return _products(rows, one, y, keys, None).drop("i")
 
 
-def cross_product(rows: DataFrame, x: str, y: str, *keys: str) -> DataFrame:
-    """(keys, i, j, v): the sum over rows of x_i * y_j, for each group of keys. Rows with a null block don't count."""
-    found = _products(rows, x, y, keys, None)
+def cross_product(rows: DataFrame, x: str, y: str, *keys: str, turn: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(keys, i, j, v): the sum over rows of x_i * y_j, for each group of keys; turn maps rows of y first. Rows with a null block don't count."""
+    found = _products(rows, x, y, keys, None, turn)
     if x != y:
         return found.select(*keys, "i", F.posexplode("row").alias("j", "v"))
     upper = found.select(*keys, "i", F.posexplode("row").alias("at", "v")).withColumn("j", F.col("i") + F.col("at"))

@@ -1,7 +1,8 @@
 """Symmetric positive definite matrices: repair, tangent vectors, distances and means.
 
-A matrix is a row-major array of d * d numbers. Batches of matrices are decomposed together inside tasks; means are
-sums over rows, taken by Spark, of which one d x d matrix comes back.
+A matrix is a row-major array of d * d numbers. Some megabytes of matrices are decomposed together inside tasks, as Arrow
+holds them and never as an object a row; means are sums over rows, taken by Spark, of which one d x d matrix comes back.
+A null matrix gives null.
 """
 
 from __future__ import annotations
@@ -9,23 +10,45 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covaria.operators.moments import cross_product
+from covaria.operators.moments import AT_ONCE, cross_product
 from covaria.sources.scratch import materialize
 
 FLOOR, TANGENT_FLOOR = 1e-6, 1e-10
 
 
-def _stack(s: pd.Series) -> np.ndarray:
-    flat = np.array(s.tolist(), dtype=np.float64)
-    d = round(flat.shape[1] ** 0.5)
-    m = flat.reshape(-1, d, d)
+def _square(flat: np.ndarray) -> np.ndarray:
+    return flat.reshape(len(flat), *[round(flat.shape[1] ** 0.5)] * 2)
+
+
+def _stack(flat: np.ndarray) -> np.ndarray:
+    m = _square(flat)
     return (m + m.transpose(0, 2, 1)) / 2
 
 
+def _by_pieces(f: Callable[..., np.ndarray], *columns: pa.Array, kind: pa.DataType | None = None) -> pa.Array:
+    """f of columns of arrays, AT_ONCE bytes of each at a time: a row of numbers or one value a row; null where a column is."""
+    there = np.logical_and.reduce([c.is_valid().to_numpy(zero_copy_only=False) for c in columns])
+    kept = [c.filter(pa.array(there)) for c in columns] if not there.all() else columns
+    n, found = int(there.sum()), []
+    if not n:
+        return pa.nulls(len(there), kind or pa.list_(pa.float64()))
+    blocks = [c.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(n, -1) for c in kept]
+    rows = max(1, AT_ONCE // (8 * max(1, *(b.shape[1] for b in blocks))))
+    for start in range(0, n, rows):
+        found.append(f(*(b[start : start + rows] for b in blocks)))
+    values = np.concatenate(found)
+    if kind:
+        out = np.zeros(len(there), dtype=values.dtype)
+        out[there] = values
+        return pa.array(out, kind, mask=~there)
+    ends = np.concatenate(([0], np.cumsum(there * values.shape[1]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, mask=np.append(~there, False)), pa.array(values.ravel()))
+
+
 def spectral(m: np.ndarray, f: Callable[[np.ndarray], np.ndarray], floor: float | None = TANGENT_FLOOR) -> np.ndarray:
     """f of the eigenvalues of symmetric matrices, which are raised to `floor` first."""
     w, v = np.linalg.eigh(m)
@@ -39,9 +62,9 @@ def _exp(w: np.ndarray) -> np.ndarray:
 def make_spd(m: Column, floor: float = FLOOR) -> Column:
     """The symmetric part with eigenvalues raised to a floor."""
 
-    @F.pandas_udf("array<double>")
-    def run(s: pd.Series) -> pd.Series:
-        return pd.Series(list(spectral(_stack(s), lambda w: w, floor).reshape(len(s), -1))) if len(s) else s
+    @F.arrow_udf("array<double>")
+    def run(s: pa.Array) -> pa.Array:
+        return _by_pieces(lambda flat: spectral(_stack(flat), lambda w: w, floor).reshape(len(flat), -1), s)
 
     return run(m)
 
@@ -49,13 +72,13 @@ def make_spd(m: Column, floor: float = FLOOR) -> Column:
 def is_spd(m: Column, least: float = -1e-8, tol: float = 1e-6) -> Column:
     """Symmetric within `tol` and no eigenvalue below `least`."""
 
-    @F.pandas_udf("boolean")
-    def run(s: pd.Series) -> pd.Series:
-        if not len(s):
-            return pd.Series([], dtype=bool)
-        flat = np.array(s.tolist(), dtype=np.float64)
-        raw = flat.reshape(len(s), *[round(flat.shape[1] ** 0.5)] * 2)
-        return pd.Series((np.abs(raw - raw.transpose(0, 2, 1)).max(axis=(1, 2)) <= tol) & (np.linalg.eigvalsh(_stack(s))[:, 0] >= least))
+    def told(flat: np.ndarray) -> np.ndarray:
+        raw = _square(flat)
+        return (np.abs(raw - raw.transpose(0, 2, 1)).max(axis=(1, 2)) <= tol) & (np.linalg.eigvalsh(_stack(flat))[:, 0] >= least)
+
+    @F.arrow_udf("boolean")
+    def run(s: pa.Array) -> pa.Array:
+        return _by_pieces(told, s, kind=pa.bool_())
 
     return run(m)
 
@@ -84,18 +107,25 @@ def _check(metric: str) -> None:
         raise ValueError(f"unknown metric {metric}; known: {', '.join(METRICS)}")
 
 
-def tangent(m: Column, base: np.ndarray, metric: str = "airm") -> Column:
-    """Tangent vectors at a base point: its whitened logarithm, or the difference of logarithms."""
+def _tangents(base: np.ndarray, metric: str) -> Callable[[np.ndarray], np.ndarray]:
+    """Maps rows of matrices to their tangent vectors at a base point."""
     _check(metric)
     root, inverse, log_base = spectral(base, np.sqrt), spectral(base, lambda w: 1 / np.sqrt(w)), spectral(base, np.log)
 
-    @F.pandas_udf("array<double>")
-    def run(s: pd.Series) -> pd.Series:
-        if not len(s):
-            return s
-        x = _stack(s)
-        t = root @ spectral(inverse @ x @ inverse, np.log) @ root if metric == "airm" else spectral(x, np.log) - log_base
-        return pd.Series(list(vectorize(t)))
+    def f(flat: np.ndarray) -> np.ndarray:
+        x = _stack(flat)
+        return vectorize(root @ spectral(inverse @ x @ inverse, np.log) @ root if metric == "airm" else spectral(x, np.log) - log_base)
+
+    return f
+
+
+def tangent(m: Column, base: np.ndarray, metric: str = "airm") -> Column:
+    """Tangent vectors at a base point: its whitened logarithm, or the difference of logarithms."""
+    f = _tangents(base, metric)
+
+    @F.arrow_udf("array<double>")
+    def run(s: pa.Array) -> pa.Array:
+        return _by_pieces(f, s)
 
     return run(m)
 
@@ -105,13 +135,14 @@ def from_tangent(v: Column, base: np.ndarray, metric: str = "airm") -> Column:
     _check(metric)
     root, inverse, log_base = spectral(base, np.sqrt), spectral(base, lambda w: 1 / np.sqrt(w)), spectral(base, np.log)
 
-    @F.pandas_udf("array<double>")
-    def run(s: pd.Series) -> pd.Series:
-        if not len(s):
-            return s
-        t = unvectorize(np.array(s.tolist(), dtype=np.float64))
+    def f(v: np.ndarray) -> np.ndarray:
+        t = unvectorize(v)
         x = root @ spectral(inverse @ t @ inverse, _exp, None) @ root if metric == "airm" else spectral(t + log_base, _exp, None)
-        return pd.Series(list(x.reshape(len(s), -1)))
+        return x.reshape(len(v), -1)
+
+    @F.arrow_udf("array<double>")
+    def run(s: pa.Array) -> pa.Array:
+        return _by_pieces(f, s)
 
     return run(v)
 
@@ -121,39 +152,40 @@ def distance(a: Column, b: Column, metric: str = "airm") -> Column:
     if metric not in (*METRICS, "bures"):
         raise ValueError(f"unknown metric {metric}")
 
-    @F.pandas_udf("double")
-    def run(s: pd.Series, t: pd.Series) -> pd.Series:
-        if not len(s):
-            return pd.Series([], dtype=float)
-        x, y = _stack(s), _stack(t)
+    def f(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        x, y = _stack(one), _stack(other)
         if metric == "log_euclidean":
-            return pd.Series(np.sqrt(((spectral(x, np.log) - spectral(y, np.log)) ** 2).sum(axis=(1, 2))))
+            return np.sqrt(((spectral(x, np.log) - spectral(y, np.log)) ** 2).sum(axis=(1, 2)))
         if metric == "airm":
             i = spectral(x, lambda w: 1 / np.sqrt(w))
-            return pd.Series(np.sqrt((np.log(np.maximum(np.linalg.eigvalsh(i @ y @ i), TANGENT_FLOOR)) ** 2).sum(axis=1)))
+            return np.sqrt((np.log(np.maximum(np.linalg.eigvalsh(i @ y @ i), TANGENT_FLOOR)) ** 2).sum(axis=1))
         r = spectral(x, np.sqrt)
         cross = np.sqrt(np.maximum(np.linalg.eigvalsh(r @ y @ r), 0)).sum(axis=1)
-        return pd.Series(np.sqrt(np.maximum(np.trace(x, axis1=1, axis2=2) + np.trace(y, axis1=1, axis2=2) - 2 * cross, 0)))
+        return np.sqrt(np.maximum(np.trace(x, axis1=1, axis2=2) + np.trace(y, axis1=1, axis2=2) - 2 * cross, 0))
+
+    @F.arrow_udf("double")
+    def run(s: pa.Array, t: pa.Array) -> pa.Array:
+        return _by_pieces(f, s, t, kind=pa.float64())
 
     return run(a, b)
 
 
-def _mean(vectors: DataFrame, name: str) -> np.ndarray:
-    """Mean of a vector column, summed in tasks first; the sums carry a 1 before each vector, so the first is the count."""
-    one = F.array(F.lit(1.0))
-    sums = cross_product(vectors.select(one.alias("one"), F.concat(one, name).alias("v")), "one", "v").collect()
+def _mean(rows: DataFrame, m: str, base: np.ndarray, metric: str = "airm") -> np.ndarray:
+    """Mean tangent vector of a matrix column, taken and summed in the same tasks; the sums carry a 1 before each vector, so the first is the count."""
+    f = _tangents(base, metric)
+    counted = lambda flat: np.hstack([np.ones((len(flat), 1)), f(flat)])
+    sums = cross_product(rows.select(F.array(F.lit(1.0)).alias("one"), m), "one", m, turn=counted).collect()
     found = np.array([r["v"] for r in sorted(sums, key=lambda r: r["j"])])
     return found[1:] / found[0]
 
 
 def log_euclidean_mean(rows: DataFrame, m: str) -> np.ndarray:
     """exp of the mean logarithm: one pass. Null matrices don't count; raises where there is none."""
-    rows = rows.where(F.col(m).isNotNull())
-    some = rows.select(F.size(m).alias("n")).first()
+    some = rows.where(F.col(m).isNotNull()).select(F.size(m).alias("n")).first()
     if some is None:
         raise ValueError("there is no matrix to take a mean of")
     d = round(some["n"] ** 0.5)
-    return spectral(unvectorize(_mean(rows.select(tangent(F.col(m), np.eye(d), "log_euclidean").alias("t")), "t")), _exp, None)
+    return spectral(unvectorize(_mean(rows, m, np.eye(d), "log_euclidean")), _exp, None)
 
 
 def frechet_mean(rows: DataFrame, m: str, steps: int = 50, tol: float = 1e-6) -> np.ndarray:
@@ -162,7 +194,7 @@ def frechet_mean(rows: DataFrame, m: str, steps: int = 50, tol: float = 1e-6) ->
     rows = materialize(rows.select(m).where(F.col(m).isNotNull()), "matrices")
     base = log_euclidean_mean(rows, m)
     for _ in range(steps):
-        t = unvectorize(_mean(rows.select(tangent(F.col(m), base).alias("t")), "t"))
+        t = unvectorize(_mean(rows, m, base))
         root, inverse = spectral(base, np.sqrt), spectral(base, lambda w: 1 / np.sqrt(w))
         new = root @ spectral(inverse @ t @ inverse, _exp, None) @ root
         moved = np.linalg.norm(new - base) / np.linalg.norm(base)

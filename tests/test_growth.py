@@ -3,9 +3,10 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from covaria.operators import models, moments, splits
+from covaria.operators import models, moments, spd, splits
 
 
 def test_one_digest_a_draw(spark):
@@ -58,3 +59,34 @@ def test_sums_of_features(spark):
     assert got.keys() == want.keys() == {(0,), (1,), (2,)}
     assert np.allclose(got[1,].xx, phi.T @ phi) and np.allclose(got[1,].xy[:, 0], phi.T @ np.cos(i)) and got[1,].n == len(i)
     assert all(np.allclose(getattr(got[k], a), getattr(want[k], a)) for k in want for a in ("n", "sx", "sy", "xx", "xy", "yy"))
+
+
+def test_matrices_in_pieces():
+    n, lengths = 30_000, []
+
+    def f(flat):
+        lengths.append(len(flat))
+        return flat * 2
+
+    there = ~np.isin(np.arange(n), [5, 20_000])
+    flat = np.arange((n - 2) * 49, dtype=float)
+    ends = pa.array(np.concatenate([[0], np.cumsum(there * 49)]), pa.int32(), mask=np.append(~there, False))
+    cells = pa.ListArray.from_arrays(ends, pa.array(flat))
+    got = spd._by_pieces(f, cells)
+    assert max(lengths) <= moments.AT_ONCE // (8 * 49) and sum(lengths) == n - 2
+    assert not got[5].is_valid and not got[20_000].is_valid and got.null_count == 2
+    assert np.array_equal(got.flatten().to_numpy(), 2 * flat)
+
+
+def test_matrices_made_once(spark):
+    """A mean of matrices that Python makes has them made once; null ones stay null and don't count."""
+    cells = [[2.0, 0.3, 0.3, 1.0], [1.5, -0.2, -0.2, 0.8], None, [3.0, 0.0, 0.0, 2.0]]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "id long, c array<double>").select("id", spd.make_spd(F.col("c")).alias("m"))
+    summed = moments.cross_product(rows.select(F.array(F.lit(1.0)).alias("one"), "m"), "one", "m")
+    assert summed._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    full = [np.array(c).reshape(2, 2) for c in cells if c]
+    logs = [(lambda w, v: (v * np.log(w)) @ v.T)(*np.linalg.eigh(m)) for m in full]
+    w, v = np.linalg.eigh(sum(logs) / len(logs))
+    assert np.allclose(spd.log_euclidean_mean(rows, "m"), (v * np.exp(w)) @ v.T)
+    told = {r["id"]: r["d"] for r in rows.select("id", spd.distance(F.col("m"), F.lit([1.0, 0.0, 0.0, 1.0])).alias("d")).collect()}
+    assert told[2] is None and np.isclose(told[3], np.sqrt(np.log(3) ** 2 + np.log(2) ** 2))
