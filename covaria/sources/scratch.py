@@ -25,15 +25,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     """Write a table to the shared folder and read it again, which cuts the lineage and survives lost executors.
 
-    The table stays until clear(), since whatever is derived from it may be computed later.
+    The table stays until clear(), since whatever is derived from it may be computed later. Options are the Parquet writer's.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/covaria-{name}-{uuid.uuid4().hex}"
     WRITTEN.append(path)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
