@@ -503,10 +503,12 @@ def score(docs: DataFrame, held: F.Column | None = None, filter_bytes: int | Non
         log = np.log10(np.minimum(1.0, np.where(pair > 0, own, 0) + rest))
         scored = np.bincount(text, weights=np.repeat(log, times), minlength=len(totals))
         ids, held = (asked.column(c).combine_chunks().flatten() for c in ("doc_id", "held_out"))
+        if pa.types.is_timestamp(ids.type) and ids.type.tz:  # they come in the session's zone and are taken back in UTC
+            ids = ids.cast(pa.timestamp("us", "UTC"))
         return pa.table([ids, held, pa.array(totals), pa.array(seen), pa.array(logs), pa.array(scored)], names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "score"])
 
-    zero = {"n_tokens": F.lit(0).cast("long"), "n_known": F.lit(0).cast("long"), "logs": F.lit(0.0), "score": F.lit(0.0)}
-    schema = rows.drop("text").withColumns(zero).schema
+    # ids as they were written, where all parts of them may be null
+    schema = T.StructType([T.StructField("doc_id", kept.schema["doc_id"].dataType.elementType), *T.StructType.fromDDL("held_out boolean, n_tokens long, n_known long, logs double, score double")])
     asked = kept.select("chunk", "doc_id", "held_out", "n_names", "totals", "codes").groupBy("chunk")
     answered = known.where("chunk IS NOT NULL").select("chunk", "part", "at", "exact", "word", "back", "pair").groupBy("chunk")
     return asked.cogroup(answered).applyInArrow(run, schema).select(

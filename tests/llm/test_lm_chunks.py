@@ -56,6 +56,18 @@ def test_short_texts_share_a_chunk_and_null_is_not_learned(spark):
     assert {r["train_tokens"] for r in got} == {2990 * 4} and sum(r["held_out"] is None for r in got) == 10 and len(got) == 3000
 
 
+def test_ids_of_any_kind(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        for made in ("string(id)", "timestamp_seconds(id)", "named_struct('a', id)"):
+            ids = spark.range(20).selectExpr(f"if(id = 7, NULL, {made}) AS doc_id", "concat('a b ', id) AS text")
+            got = lm.score(ids, F.lit(False))
+            assert sorted(str(r["doc_id"]) for r in got.collect()) == sorted(str(r["doc_id"]) for r in ids.collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_packed_numbers():
     rng = np.random.default_rng(0)
     for values in (rng.integers(0, 2**63, 1000).astype(np.uint64), rng.integers(0, 100, 1000).astype(np.uint8), np.zeros(0, dtype=np.int64)):
